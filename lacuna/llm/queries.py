@@ -22,11 +22,23 @@ def op1_media_jpeg(spark, sf_dir):
     return media_columns(_table(spark, sf_dir, "documents"), keep_media=False)
 
 
+def op2_ngram_jaccard(spark, sf_dir):
+    from lacuna.llm.ngram_join import similar_components
+
+    return similar_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_harmonic_packing(spark, sf_dir):
     from lacuna.llm.packing import pack
 
     return pack(_table(spark, sf_dir, "documents"), tokenizer_file(spark), keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_media_jpeg, op5_harmonic_packing)}
+def op7_fm_dedup(spark, sf_dir):
+    from lacuna.llm.fm_dedup import strip_repeats
+
+    return strip_repeats(_table(spark, sf_dir, "documents"), texts=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_media_jpeg, op2_ngram_jaccard, op5_harmonic_packing, op7_fm_dedup)}
 ORACLES: dict[str, str] = {}

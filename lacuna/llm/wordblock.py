@@ -182,4 +182,23 @@ def keep(df, name: str = "part"):
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def forget(*kept) -> None:
+    """Delete tables of ``keep`` that later kept ones have replaced, and let Spark drop old shuffle files."""
+    for df in kept:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    release(kept[0].sparkSession)
+
+
+def release(spark) -> None:
+    """Shuffle files go once nothing refers to them: collect the garbage of both sides now, not at some time."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
