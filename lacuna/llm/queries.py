@@ -28,6 +28,12 @@ def op2_ngram_jaccard(spark, sf_dir):
     return similar_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_zstd_quality(spark, sf_dir):
+    from lacuna.llm.quality_zstd import score
+
+    return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_harmonic_packing(spark, sf_dir):
     from lacuna.llm.packing import pack
 
@@ -40,5 +46,11 @@ def op7_fm_dedup(spark, sf_dir):
     return strip_repeats(_table(spark, sf_dir, "documents"), texts=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_media_jpeg, op2_ngram_jaccard, op5_harmonic_packing, op7_fm_dedup)}
+def op10_toxic_segments(spark, sf_dir):
+    from lacuna.llm.toxic_segments import score
+
+    return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), passages=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_media_jpeg, op2_ngram_jaccard, op3_zstd_quality, op5_harmonic_packing, op7_fm_dedup, op10_toxic_segments)}
 ORACLES: dict[str, str] = {}
