@@ -34,6 +34,12 @@ def op3_zstd_quality(spark, sf_dir):
     return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_kneser_ney(spark, sf_dir):
+    from lacuna.llm.kn_lm import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op5_harmonic_packing(spark, sf_dir):
     from lacuna.llm.packing import pack
 
@@ -52,5 +58,5 @@ def op10_toxic_segments(spark, sf_dir):
     return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), passages=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_media_jpeg, op2_ngram_jaccard, op3_zstd_quality, op5_harmonic_packing, op7_fm_dedup, op10_toxic_segments)}
+QUERIES = {f.__name__: f for f in (op1_media_jpeg, op2_ngram_jaccard, op3_zstd_quality, op4_kneser_ney, op5_harmonic_packing, op7_fm_dedup, op10_toxic_segments)}
 ORACLES: dict[str, str] = {}
