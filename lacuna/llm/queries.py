@@ -46,17 +46,57 @@ def op5_harmonic_packing(spark, sf_dir):
     return pack(_table(spark, sf_dir, "documents"), tokenizer_file(spark), keep_ids=False)
 
 
+def op6_url_rules(spark, sf_dir):
+    from lacuna.llm.url_rules import judge
+
+    return judge(_table(spark, sf_dir, "pages"))
+
+
 def op7_fm_dedup(spark, sf_dir):
     from lacuna.llm.fm_dedup import strip_repeats
 
     return strip_repeats(_table(spark, sf_dir, "documents"), texts=False)
 
 
+def op8_simhash_decontamination(spark, sf_dir):
+    from lacuna.llm.decontam import passages
+
+    return passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_license_scan(spark, sf_dir):
+    from lacuna.llm.license_scan import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxic_segments(spark, sf_dir):
     from lacuna.llm.toxic_segments import score
 
     return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), passages=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_media_jpeg, op2_ngram_jaccard, op3_zstd_quality, op4_kneser_ney, op5_harmonic_packing, op7_fm_dedup, op10_toxic_segments)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_media_jpeg,
+        op2_ngram_jaccard,
+        op3_zstd_quality,
+        op4_kneser_ney,
+        op5_harmonic_packing,
+        op6_url_rules,
+        op7_fm_dedup,
+        op8_simhash_decontamination,
+        op9_license_scan,
+        op10_toxic_segments,
+    )
+}
+
+
+def _oracles() -> dict[str, str]:
+    from lacuna.llm import license_scan, url_rules
+
+    return {"op6_url_rules": url_rules.oracle(), "op9_license_scan": license_scan.oracle()}
+
+
+ORACLES = _oracles()
