@@ -110,3 +110,21 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label))
     out = docs.mapInArrow(_scored(shared), "doc_id long, score double, difference double")
     return out.select("doc_id", (fold() == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "difference")
+
+
+def _good(shared, text_col: str, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        of = model.measure()
+        for batch in batches:
+            got = np.array([of((t.as_py() or "").encode()) for t in batch.column(text_col)]).reshape(-1, 2)
+            score = sigmoid(_features(got[:, 0], got[:, 1]) @ model.beta[:-1] + model.beta[-1])
+            yield batch.filter(pa.array(score >= threshold))
+
+    return run
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score reaches the threshold; map-only."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(wb.doc_text(docs, id_col, text_col), labels, label))
+    return docs.mapInArrow(_good(shared, text_col, threshold), docs.schema)
