@@ -1 +1 @@
-
+"""Operators on spans and notes."""

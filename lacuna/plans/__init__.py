@@ -1 +1 @@
-
+"""Whole plans."""
