@@ -3,7 +3,7 @@
 Shards are cut by content, so that equal windows of ``WINDOW`` words meet in one shard and each
 window is looked up in one index, not in all of them:
 
-1. The anchor of a window is its smallest 8-gram by hash. Anchors that occur once in the corpus
+1. The anchor of a window is its smallest 6-gram by hash. Anchors that occur once in the corpus
    cannot belong to a repeated window; the others are kept with their counts.
 2. Runs of windows with a repeated anchor are cut from their texts and sent to the shard of the
    anchor. Runs of an anchor with very many occurrences go as single windows, spread by the
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from lacuna.llm import wordblock as wb
 from lacuna.llm.fm_index import FMIndex, window_matches
 
-WINDOW, GRAM = 20, 8
+WINDOW, GRAM = 20, 6
 #: From this many occurrences on, an anchor's windows are spread one by one.
 HOT = 1000
 #: Bytes of pieces for each shard.
@@ -188,6 +188,8 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     found = docs.mapInArrow(_second_pass(window, gram), "value long, doc_id long, first int, n int").join(repeated, "value")
     runs = wb.keep(found.select("doc_id", "first", "n", "value", (F.col("seen") >= HOT).alias("hot")), "runs")
     wb.forget(repeated)
+    del repeated, found
+    wb.release(spark)
     words = runs.agg(F.sum(F.when(F.col("hot"), F.col("n") * window).otherwise(F.col("n") + window - 1))).first()[0] or 0
     shards = max(1, -(-int(words) * 7 // SHARD_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
     of_doc = runs.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "value", "hot")).alias("runs"))
@@ -195,48 +197,68 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
     later = wb.keep(pieces.groupBy("shard").applyInArrow(_shard(window), "doc_id long, first int, n int").distinct(), "later")
     wb.forget(runs)
+    del runs, of_doc, pieces
+    wb.release(spark)
     return later
 
 
-def _strip(window: int, texts: bool):
+def _kept(block: wb.Block, window: int) -> Iterator[tuple[int, int, bytes]]:
+    """Of each document: its words, how many stay, and those that stay joined by one space."""
+    words = block.words(lower=False)
+    runs = block.rows.column("lacuna_runs")
+    gone = np.zeros(len(words) + 1, np.int64)
+    valid = ~np.asarray(runs.is_null().to_numpy(zero_copy_only=False), bool)
+    docs = np.repeat(np.arange(len(block)), np.where(valid, np.diff(runs.offsets.to_numpy()), 0))
+    if len(docs):
+        flat = runs.drop_null().flatten()
+        first, n = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
+        np.add.at(gone, words.first[docs] + first, 1)
+        np.add.at(gone, words.first[docs] + first + n + window - 1, -1)
+    at = np.flatnonzero(np.cumsum(gone[:-1]) == 0)
+    cut = np.searchsorted(at, words.first)
+    begin, end, data = words.start[at].tolist(), words.end[at].tolist(), block.data.tobytes()
+    for d, n in enumerate(np.diff(words.first).tolist()):
+        lo, hi = cut[d], cut[d + 1]
+        yield n, int(hi - lo), b" ".join([data[a:b] for a, b in zip(begin[lo:hi], end[lo:hi], strict=True)])
+
+
+def _digest(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in wb.blocks(batches):
-            words = block.words(lower=False)
-            runs = block.rows.column("runs")
-            gone = np.zeros(len(words) + 1, np.int64)
-            valid = ~np.asarray(runs.is_null().to_numpy(zero_copy_only=False), bool)
-            docs = np.repeat(np.arange(len(block)), np.where(valid, np.diff(runs.offsets.to_numpy()), 0))
-            if len(docs):
-                flat = runs.drop_null().flatten()
-                first, n = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
-                np.add.at(gone, words.first[docs] + first, 1)
-                np.add.at(gone, words.first[docs] + first + n + window - 1, -1)
-            kept = np.cumsum(gone[:-1]) == 0
-            left, sums = [], np.concatenate(([0], np.cumsum(kept)))
-            n_words = np.diff(words.first)
-            n_kept = sums[words.first[1:]] - sums[words.first[:-1]]
-            data = block.data.tobytes()
-            at = np.flatnonzero(kept)
-            begin, end = words.start[at].tolist(), words.end[at].tolist()
-            pos = 0
-            for d, k in enumerate(n_kept.tolist()):
-                if texts and k == n_words[d]:
-                    left.append(block.text(d))
-                else:
-                    left.append(b" ".join([data[a:b] for a, b in zip(begin[pos : pos + k], end[pos : pos + k], strict=True)]))
-                pos += k
-            last = pa.array([t.decode() for t in left]) if texts else pa.array([hashlib.sha256(t).hexdigest() for t in left])
-            yield pa.RecordBatch.from_arrays([block.rows.column("doc_id"), pa.array(n_words), pa.array(n_words - n_kept), last], names=["doc_id", "n_words", "n_removed", "kept_text" if texts else "kept_sha256"])
+            n, k, text = zip(*_kept(block, window), strict=True)
+            yield pa.RecordBatch.from_arrays([block.rows.column("doc_id"), pa.array(n, pa.int64()), pa.array([a - b for a, b in zip(n, k, strict=True)], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in text])], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return run
 
 
-def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, texts: bool = True) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_text) of every document; with ``texts=False`` the digest of the kept words instead.
+def _rewritten(window: int, text_col: str, columns: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in wb.blocks(batches, text=text_col):
+            texts = [block.text(d).decode() if n == k else t.decode() for d, (n, k, t) in enumerate(_kept(block, window))]
+            new = {text_col: pa.array(texts, pa.string())}
+            if "n_chars" in columns:
+                new["n_chars"] = pa.array([len(t) for t in texts], block.rows.schema.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else block.rows.column(c) for c in columns], names=columns)
+
+    return run
 
-    A text that loses nothing stays as it is; else its kept words are joined by one space.
+
+def _with_runs(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """All rows and columns, with the runs to take out of each."""
+    later = repeated_runs(wb.doc_text(docs, id_col, text_col), window)
+    later = later.groupBy(F.col("doc_id").alias("lacuna_id")).agg(F.collect_list(F.struct("first", "n")).alias("lacuna_runs"))
+    return docs.join(later, docs[id_col] == F.col("lacuna_id"), "left").drop("lacuna_id")
+
+
+def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """``docs`` with all its columns and with repeated passages taken out of the texts (and ``n_chars`` set anew).
+
+    A text that loses nothing stays as it is (a null one becomes empty); else its kept words are joined by one space.
     """
-    docs = wb.doc_text(docs, id_col, text_col)
-    later = repeated_runs(docs, window).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
-    last = "kept_text string" if texts else "kept_sha256 string"
-    return docs.join(later, "doc_id", "left").mapInArrow(_strip(window, texts), f"doc_id long, n_words long, n_removed long, {last}")
+    return _with_runs(docs, id_col, text_col, window).mapInArrow(_rewritten(window, text_col, docs.columns), docs.schema)
+
+
+def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of every document: the digest of its kept words joined by one space."""
+    found = _with_runs(wb.doc_text(docs, id_col, text_col), "doc_id", "text", window)
+    return found.mapInArrow(_digest(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")

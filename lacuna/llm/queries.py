@@ -55,7 +55,7 @@ def op6_url_rules(spark, sf_dir):
 def op7_fm_dedup(spark, sf_dir):
     from lacuna.llm.fm_dedup import strip_repeats
 
-    return strip_repeats(_table(spark, sf_dir, "documents"), texts=False)
+    return strip_repeats(_table(spark, sf_dir, "documents"))
 
 
 def op8_simhash_decontamination(spark, sf_dir):

@@ -181,7 +181,7 @@ def keep(df, name: str = "part"):
     """Cut lineage: write to the shared folder and read again. Survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
     return out
@@ -199,6 +199,9 @@ def forget(*kept) -> None:
 def release(spark) -> None:
     """Shuffle files go once nothing refers to them: collect the garbage of both sides now, not at some time."""
     import gc
+    import time
 
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first round frees may hold the last reference to something else
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
