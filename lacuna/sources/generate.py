@@ -73,7 +73,7 @@ def segments_sql(k: str = "k") -> list[tuple[str, str | None]]:
         ("concat(', seen ')", None), (named, "DATE"),
         ("concat(' and ')", None), (iso, "DATE"),
         ("concat(chr(10), 'MRN: ')", None), (_text(f"100000 + ({k} * 7) % 900000"), "MRN"),
-        ("concat(chr(10), 'Passport Number: ')", None), (f"concat('LA', {_text(f'100000 + ({k} * 11) % 900000')})", "ID"),
+        ("concat(chr(10), 'Medical Record Number: ')", None), (f"concat('LA', {_text(f'100000 + ({k} * 11) % 900000')})", "ID"),
         ("concat(chr(10), 'SSN on card ')", None), (f"concat({_text(f'100 + {k} % 800')}, '-', {_text(f'10 + {k} % 89')}, '-', {_text(f'1000 + ({k} * 3) % 9000')})", "ID"),
         (f"CASE WHEN {k} % 2 = 0 THEN concat(chr(10), 'resource id ') ELSE concat(chr(10), 'trace of the device log in the ward, kept apart: ') END", None), (uuid_sql(k), "ID"),
         (f"concat(chr(10), 'Aged ')", None), (f"concat({_text(f'20 + {k} % 80')}, CASE WHEN {k} % 3 = 0 THEN ' yo' WHEN {k} % 3 = 1 THEN ' years old' ELSE 'y/o' END)", "AGE"),

@@ -1,0 +1,132 @@
+"""Redaction, the whole plan, evaluation, bundles, hooks, stream and files."""
+
+import hashlib
+import hmac
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from lacuna.functions.spans import SPANS
+from lacuna.operators import assist, evaluate, ner, redact
+from lacuna.plans.deidentify import Config, deidentify, detect
+from lacuna.sources import fhir, generate, notes
+from lacuna.streaming import start
+
+NOTE = "Patient: Jane Smith\nPhone: 021 242 2679\nEmail a.b@example.org"
+
+
+def one(spark, text, config=Config()):
+    return spark.createDataFrame([(1, text)], "id int, text string").transform(deidentify(config)).first()
+
+
+def test_mask(spark):
+    r = one(spark, NOTE)
+    assert r.redacted_text == "Patient: [REDACTED:PERSON]\nPhone: [REDACTED:PHONE]\nEmail [REDACTED:EMAIL]"
+    assert [(a.type, a["count"]) for a in r.audit] == [("EMAIL", 1), ("PERSON", 1), ("PHONE", 1)]
+    assert one(spark, r.redacted_text).redacted_text == r.redacted_text
+
+
+@pytest.mark.parametrize("native", [True, False])
+@pytest.mark.parametrize("key", ["short", "long " * 40])
+def test_hash_is_hmac(spark, native, key):
+    r = one(spark, "to A.B@example.org", Config(strategy="hash", key=key, native_key=native))
+    want = hmac.new(key.encode(), b"EMAIL:a.b@example.org", hashlib.sha256).hexdigest()[:10]
+    assert r.redacted_text == f"to [EMAIL:{want}]"
+
+
+def test_key_stays_out_of_the_plan(spark):
+    df = spark.createDataFrame([(1, NOTE)], "id int, text string").transform(deidentify(Config(strategy="hash", key="topsecretkey")))
+    plan = df._jdf.queryExecution().toString()
+    assert "topsecretkey" not in plan and b"topsecretkey".hex() not in plan.lower()
+
+
+def test_surrogates_differ_and_repeat(spark):
+    a, b = (one(spark, NOTE, Config(strategy="surrogate", key="k")).redacted_text for _ in range(2))
+    assert a == b and "Jane Smith" not in a and "[" not in a
+    assert spark.range(1).select(redact.shape_preserving(F.lit("AB-12z"))).first()[0] == "NO-89m"
+
+
+def test_config_is_checked():
+    for bad in ({"strategy": "shred"}, {"strategy": "hash"}, {"strategy": "surrogate", "key": ""}):
+        with pytest.raises(ValueError):
+            Config(**bad)
+
+
+def test_null_empty_and_extra_columns(spark):
+    df = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, NOTE, "z")], "id int, text string, audit2 string")
+    got = {r.id: r for r in df.transform(deidentify()).collect()}
+    assert got[1].redacted_text is None and got[2].redacted_text == "" and got[1].spans == []
+    assert got[3].audit2 == "z"
+    assert df.limit(0).transform(deidentify()).count() == 0
+
+
+def test_generated_notes_find_their_labels(spark):
+    keys = spark.range(1, 60).withColumnRenamed("id", "c_custkey")
+    n = generate.generated_notes(keys)
+    bad = n.select("text", F.explode("gold").alias("g")).where("substring(text, g.start + 1, g.end - g.start) <> g.text")
+    assert bad.count() == 0
+    found = {r.type: r for r in evaluate.per_type(evaluate.score_notes(detect(n))).collect()}
+    for kind in ("EMAIL", "MRN", "PHONE", "AGE", "POSTCODE", "PERSON", "URL"):
+        assert found[kind].strict_r == 1.0, kind
+
+
+def test_evaluation_is_one_to_one(spark):
+    span = lambda a, b, t="NHI": {"start": a, "end": b, "type": t, "text": "", "score": 1.0, "source": "rule", "recognizer": "r", "seq": 0}
+    df = spark.createDataFrame([(1, [span(0, 10), span(20, 30), span(40, 44, "DATE")], [span(0, 8), span(2, 10), span(20, 30), span(40, 44, "MRN")])], f"note_id int, gold {SPANS}, spans {SPANS}")
+    got = {r.type: (r.gold, r.pred, r.relaxed_tp, r.strict_tp) for r in evaluate.per_type(evaluate.score_notes(df)).collect()}
+    assert got == {"NHI": (2, 3, 2, 1), "DATE": (1, 0, 0, 0), "MRN": (0, 1, 0, 0)}
+    assert "micro overall" in evaluate.report(evaluate.score_notes(df))
+
+
+def test_noise_and_model_hook(spark):
+    def model(texts):
+        return [[{"start": 0, "end": 5, "type": "PERSON", "score": 0.9}, {"start": 6, "end": 8, "type": "PERSON", "score": 0.9}, {"start": 0, "end": 2, "type": "ORG", "score": 0.1}] for t in texts]
+
+    df = ner.model_spans(spark.createDataFrame([("Jonas R2 went",)], "text string"), model)
+    assert [s.text for s in df.first().ner_spans] == ["Jonas"]
+    assert [s.type for s in detect(df, ner_col="ner_spans").first().spans] == ["PERSON"]
+
+
+def test_second_pass(spark):
+    def ask(text, known, regions):
+        return [{"text": "Kim", "type": "person"}, {"text": "Kim", "type": "ship"}, {"text": "Kim", "type": "PERSON"}, {"text": "none", "type": "ORG"}]
+
+    df = spark.createDataFrame([("Kim and Kim and Kim",)], "text string")
+    spans = detect(df, Config(assistant=ask)).first().spans
+    assert [(s.start, s.end, s.source) for s in spans] == [(0, 3, "llm"), (16, 19, "llm")]
+    assert detect(df, Config(assistant=lambda *a: 1 / 0)).first().spans == []
+    assert assist.key_variable("openai/x") == "OPENAI_API_KEY" and assist.key_variable("local/x") is None
+
+
+def test_bundle(spark):
+    bundle = {"entry": [
+        {"resource": {"resourceType": "Patient", "name": [{"given": ["Ann"], "family": "Doe"}], "identifier": [{"system": "x/us-ssn", "value": "999-10-1234"}]}},
+        {"resource": {"resourceType": "Condition", "code": {"coding": [{"display": "Flu"}]}, "recordedDate": "2020-01-02T00"}},
+        {"resource": {"resourceType": "CarePlan", "text": {"div": "<p>a &lt; b</p>"}}}, {"resource": 3}, {}]}
+    df = spark.createDataFrame([(json.dumps(bundle),), ("{}",)], "j string").select(F.parse_json("j").alias("bundle"))
+    a, b = (r[0] for r in df.select(fhir.bundle_text(F.col("bundle"))).collect())
+    assert a == "Patient demographics\nPatient name: Ann Doe\nSocial Security Number: 999-10-1234\n\nClinical timeline\nCondition on 2020-01-02: Flu\nCarePlan: a < b\n"
+    assert b == "\n"
+    assert df.select(fhir.bundle_text(F.col("bundle"), 0)).first()[0].count("Condition") == 1
+    assert "[REDACTED:ID]" in fhir.deidentify_bundles(df).first().redacted_text
+
+
+def test_files_corpus_and_stream(spark, tmp_path):
+    (tmp_path / "c/notes").mkdir(parents=True)
+    text = "NHI: ABC1235\r\nx"
+    (tmp_path / "c/notes/n1.txt").write_bytes(text.encode())
+    labels = {"version": "1", "notes": [{"id": "n1", "file": "c/notes/n1.txt", "spans": [{"start": 5, "end": 12, "type": "NHI", "text": "ABC1235"}]}]}
+    (tmp_path / "c/labels.json").write_text(json.dumps(labels))
+    corpus = notes.read_corpus(spark, str(tmp_path / "c"))
+    assert corpus.first().text == "NHI: ABC1235\nx"
+    assert evaluate.passes_gate(evaluate.score_notes(detect(corpus)))
+    labels["notes"][0]["spans"][0]["text"] = "ABC1236"
+    (tmp_path / "c/labels.json").write_text(json.dumps(labels))
+    with pytest.raises(Exception, match="drift"):
+        notes.read_corpus(spark, str(tmp_path / "c")).collect()
+    spark.createDataFrame([(1, NOTE)], "id int, text string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id int, text string").parquet(str(tmp_path / "in"))
+    start(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out")).first()
+    assert "[REDACTED:PHONE]" in out.redacted_text and "text" not in out.asDict()
