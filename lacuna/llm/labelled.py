@@ -6,17 +6,35 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.llm import wordblock as wb
+
 
 def fold(id_col: str = "doc_id", parts: int = 3):
     """crc32 of the id as text, modulo ``parts``; a null id counts as 0."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts, F.lit(0))
 
 
-def training(docs: DataFrame, labels: DataFrame, label: str, held_out: int = 1) -> DataFrame:
-    """(doc_id, text, label) of labelled rows outside the held-out fold; one label for each id, null labels dropped."""
+def training(docs: DataFrame, labels: DataFrame, label: str, rows: int, held_out: int = 1) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, label) of at most ``rows`` rows of each label outside the held-out fold, and how many have each label.
+
+    The rows are the first by a hash of their ids, so they are the same at each run. Their ids are a bounded
+    table, so it is broadcast and documents are not shuffled. One label for each id; null labels are dropped.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null")
     known = known.where(fold() != held_out).groupBy("doc_id").agg(F.max("label").alias("label"))
-    return docs.join(known, "doc_id")
+    some = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (1, 0)]
+    found = docs.join(F.broadcast(some[0].union(some[1])), "doc_id").select("doc_id", "text", "label")
+    return wb.keep(found, "labelled"), {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+
+
+def weights(y: np.ndarray, count: np.ndarray, totals: dict[int, int]) -> np.ndarray:
+    """Weights that give the sample's labels the shares that they have among all labelled rows."""
+    out = np.asarray(count, float).copy()
+    for k in (0, 1):
+        n = out[y == k].sum()
+        if n:
+            out[y == k] *= totals.get(k, 0) / n
+    return out / max(out.mean(), 1e-9) if len(out) else out
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:

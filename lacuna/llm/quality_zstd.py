@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm import wordblock as wb
-from lacuna.llm.labelled import fold, logistic, sigmoid, training
+from lacuna.llm.labelled import fold, logistic, sigmoid, training, weights
 
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 8192
 DICTIONARY, PIECE, LEVEL = 64 << 10, 2048, 3
@@ -74,20 +74,16 @@ def _dictionary(texts: list[bytes]) -> bytes:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> QualityModel:
     """Learn from a bounded sample of the training fold; even rows make dictionaries, odd ones the calibration."""
-    known = training(docs, labels, label)
+    known, totals = training(docs, labels, label, SAMPLE_ROWS)
     cut = known.select("label", F.substring(F.encode("text", "UTF-8"), 1, SAMPLE_BYTES).alias("text"), F.xxhash64("doc_id").alias("h"), "doc_id")
-    rows = [cut.where(F.col("label") == k).orderBy("h", "doc_id").limit(SAMPLE_ROWS).toPandas() for k in (1, 0)]
-    good, bad = ([bytes(t) for t in r["text"]] for r in rows)
+    rows = cut.toPandas().sort_values(["h", "doc_id"])
+    good, bad = ([bytes(t) for t in rows["text"][rows["label"] == k]] for k in (1, 0))
     model = QualityModel(_dictionary(good[::2]), _dictionary(bad[::2]), np.zeros(4))
     of = model.measure()
     seen = [(*of(t), y) for y, texts in ((1, good[1::2]), (0, bad[1::2])) for t in texts]
     if seen:
         table = np.array(seen)
-        share = np.array([len(r) for r in rows], float)  # the sample takes as many of each label as it can
-        total = known.groupBy("label").count().collect()
-        counts = {r["label"]: r["count"] for r in total}
-        weight = np.where(table[:, 2] == 1, counts.get(1, 0) / max(share[0], 1), counts.get(0, 0) / max(share[1], 1))
-        model.beta = logistic(_features(table[:, 0], table[:, 1]), table[:, 2], weight / weight.mean())
+        model.beta = logistic(_features(table[:, 0], table[:, 1]), table[:, 2], weights(table[:, 2], np.ones(len(table)), totals))
     return model
 
 
