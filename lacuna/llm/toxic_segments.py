@@ -9,11 +9,11 @@
   once); tokens between scoring ones only add up, so the scan steps from one scoring token to the next.
 * Scores are log-odds, so the chance of a segment of score S in m tokens is of extreme-value form
   with E = m * exp(-S). The segments of a text are aggregated to x = log(sum(exp(S)) / m), and x is
-  calibrated to a probability by a logistic fit on counts of training texts by x.
+  calibrated to a probability by a logistic fit on counts of training texts by x, weighted to the labels' shares.
 
 Words are runs of [0-9a-z] and characters beyond ASCII, A-Z lowered. The model has at most ``KEPT``
-tokens (those with the largest z), counted in at most ``SAMPLE_ROWS`` training rows of each label;
-the calibration counts all training rows.
+tokens (those with the largest z). Counts and calibration are taken from at most ``SAMPLE_ROWS``
+training rows of each label.
 
 Defined cases: null or empty texts have no segment and x = ``FLOOR``; without labels all scores are
 0.5; repeated rows score alike; an empty table gives an empty result; extra columns are ignored.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm import wordblock as wb
-from lacuna.llm.labelled import fold, logistic, sigmoid, training
+from lacuna.llm.labelled import fold, logistic, sigmoid, training, weights
 
 PRIOR, FLAT, Z, KEPT, SAMPLE_ROWS = 0.001, 0.25, 2.5, 5000, 4000
 FLOOR, CEILING, STEP = -12.0, 40.0, 0.25
@@ -123,9 +123,8 @@ def _scan(batches, model: ToxicModel):
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> ToxicModel:
     """Learn from the training fold."""
     spark = docs.sparkSession
-    known = training(docs, labels, label)
-    some = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS) for k in (1, 0)]
-    pairs = some[0].union(some[1]).select("doc_id", "text", "label").repartition(8, "doc_id").mapInArrow(_counts, "token long, before long, toxic int").groupBy("token", "before").agg(F.max("toxic").alias("t"), F.max(1 - F.col("toxic")).alias("c"))
+    known, totals = training(docs, labels, label, SAMPLE_ROWS)
+    pairs = known.repartition(8, "doc_id").mapInArrow(_counts, "token long, before long, toxic int").groupBy("token", "before").agg(F.max("toxic").alias("t"), F.max(1 - F.col("toxic")).alias("c"))
     counts = wb.keep(pairs.groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "tokens")
     nt, nc = (float(v or 0) for v in counts.agg(F.sum("t"), F.sum("c")).first())
     model = ToxicModel(np.zeros(0, np.uint64), np.zeros(0), -0.01)
@@ -143,7 +142,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> ToxicModel:
     shared = spark.sparkContext.broadcast(model)
     seen = known.select("doc_id", "text", "label").mapInArrow(_bins(shared), "bin int, label int").groupBy("bin", "label").count().toPandas()
     if len(seen):
-        model.beta = logistic(((seen["bin"].to_numpy(float) + 0.5) * STEP)[:, None], seen["label"].to_numpy(float), seen["count"].to_numpy(float), ridge=1e-2)
+        y = seen["label"].to_numpy(float)
+        model.beta = logistic(((seen["bin"].to_numpy(float) + 0.5) * STEP)[:, None], y, weights(y, seen["count"].to_numpy(), totals), ridge=1e-3)
     return model
 
 
