@@ -19,7 +19,8 @@ def _ranked(high: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 def _shifted(x: np.ndarray, by: int) -> np.ndarray:
     out = np.zeros_like(x)
-    out[: len(x) - by] = x[by:] + 1
+    if by < len(x):
+        out[: len(x) - by] = x[by:] + 1
     return out
 
 

@@ -151,10 +151,13 @@ def lists(values: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 
 def doc_text(docs, id_col: str = "doc_id", text_col: str = "text"):
-    """The two columns that operators read, under fixed names, whatever else the table has."""
+    """The two columns that operators read, under fixed names, whatever else the table has.
+
+    A null text is an empty one. A row without an id is left out: no result could name it.
+    """
     from pyspark.sql import functions as F
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 def shared_dir(spark) -> str:
