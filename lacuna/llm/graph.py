@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.wordblock import keep
+from lacuna.llm.wordblock import forget, keep
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def components(links: DataFrame, left: str = "a", right: str = "b", rounds: int
     for _ in range(rounds):
         if not state[0]:
             break
-        edges = keep(_small_star(_large_star(edges)))
+        old, edges = edges, keep(_small_star(_large_star(edges)))
+        forget(old)
         now = _state(edges)
         if now == state:
             break
@@ -45,4 +46,6 @@ def components(links: DataFrame, left: str = "a", right: str = "b", rounds: int
     else:
         raise RuntimeError("components did not settle")
     stars = edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
-    return stars.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out = stars.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out._kept_at = edges._kept_at  # for ``forget``
+    return out

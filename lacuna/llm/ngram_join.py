@@ -10,10 +10,11 @@ two sets that share o elements or more share c of the first ``|r| - o + c`` of e
 * The boundary x is where enumerating the subsets of a set costs more than scanning its lists; list
   lengths come from counts over the whole corpus.
 
-A group of m alike documents has m * m / 2 links that say no more than m of them. So each list first
-pairs its sets with two pivots only (its smallest and largest id); what is left between *different*
-components of the links so found is enumerated in full. No pair of sets that could link two
-components goes unchecked: components are exact.
+A group of m alike documents has m * m / 2 links that say no more than m of them. So in each round a
+list has one pivot, and each document meets one pivot: the one it shares most lists with, among those
+of other components than its own. Rounds end when they find no link; what is left between *different*
+components is enumerated in full. No pair of sets that could link two components goes unchecked:
+components are exact.
 
 A candidate pair is dropped if the parity bitmaps of its sets differ in more bits than the sets may
 (a proven bound), and else decided on the whole sets of both texts.
@@ -39,7 +40,9 @@ from lacuna.llm.graph import components
 
 WIDTH, NUM, DEN = 5, 80, 100
 #: A shingle counts as frequent in a window of documents from this many on; the list's bound.
-OFTEN, FREQUENT_KEPT, WINDOW = 6, 200_000, 2_000_000
+OFTEN, FREQUENT_KEPT, WINDOW = 3, 400_000, 2_000_000
+#: Rounds of pivots before the rest is enumerated; any number gives the same components.
+ROUNDS = 5
 
 
 def distinct_shingles(block: wb.Block, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -253,26 +256,47 @@ def links(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame, Da
     seen = often.where("total > 0").agg(F.count("*"), F.sum("total"), F.sum("repeats")).first()
     length = 1 + (seen[2] or 0) / (seen[1] or 1) * (seen[0] or 0)
     boundary = choose_boundary(length)
-    # at most FREQUENT_KEPT hashes, 1.6 MB, whatever the input
+    # at most FREQUENT_KEPT hashes, 3.2 MB, whatever the input
     shared = spark.sparkContext.broadcast(frequent.select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64))
 
     listed = docs.mapInArrow(_keys(width, shared, boundary), "doc_id long, n long, keys array<long>, places array<int>")
     listed = listed.join(reps, "doc_id", "left_semi")
     entries = listed.select("doc_id", "n", F.explode(F.arrays_zip("keys", "places")).alias("e")).select(F.col("e.keys").alias("key"), "doc_id", "n", F.col("e.places").alias("place"))
     entries = wb.keep(entries, "entries")
-    pivots = entries.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    hits = wb.keep(entries.join(pivots, "key"), "hits")
-
-    bits = docs.mapInArrow(_bitmaps(width), "doc_id long, n long, bits binary")
-    bits = wb.keep(bits.join(hits.select("doc_id").distinct(), "doc_id", "left_semi"), "bitmaps")
-    first = hits.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).union(hits.where("doc_id <> high").select(F.col("doc_id").alias("a"), F.col("high").alias("b"))).distinct()
-    found = _verified(docs, bits, first, width)
-    stars = components(found)
-
-    marked = hits.join(stars.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
-    mixed = marked.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-    marked = wb.keep(marked.join(mixed, "key", "left_semi").select("key", "doc_id", "n", "place", "part"), "mixed")
-    x, y = marked.alias("x"), marked.alias("y")
+    del listed
+    wb.forget(often)
+    shared_keys = entries.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
+    hits = wb.keep(entries.join(shared_keys, "key"), "hits")
+    del shared_keys
+    wb.forget(entries)
+    del entries
+
+    near = hits.select("doc_id").distinct()
+    bits = wb.keep(docs.mapInArrow(_bitmaps(width), "doc_id long, n long, bits binary").join(near, "doc_id", "left_semi"), "bitmaps")
+    texts = wb.keep(docs.join(near, "doc_id", "left_semi").select("doc_id", "text"), "texts")
+    del near
+    wb.release(spark)
+
+    found, stars, table = None, None, hits
+    for turn in range(ROUNDS):
+        hits, table = _mixed(table, stars)
+        order = {0: F.col("doc_id"), 1: -F.col("doc_id")}.get(turn, F.xxhash64("doc_id", F.lit(turn)))
+        pivots = hits.groupBy("key").agg(F.min(F.struct(order.alias("o"), "doc_id", "part")).alias("p")).select("key", F.col("p.doc_id").alias("pivot"), F.col("p.part").alias("of"))
+        met = hits.join(pivots, "key").where("part <> of").groupBy("doc_id", "pivot").agg(F.count("*").alias("lists"))
+        one = met.groupBy("doc_id").agg(F.max(F.struct("lists", "pivot")).alias("m")).select(F.col("doc_id").alias("a"), F.col("m.pivot").alias("b"))
+        more = _verified(texts, bits, one, width)
+        if more.isEmpty():
+            break
+        both = more if found is None else wb.keep(found.union(more), "found")
+        if found is not None:
+            wb.forget(found, more)
+        old, found, stars = stars, both, components(both)
+        wb.forget(old)
+        del pivots, met, one
+        wb.release(spark)
+
+    hits, table = _mixed(table, stars)
+    x, y = hits.alias("x"), hits.alias("y")
     rest = (
         x.join(y, F.col("x.key") == F.col("y.key"))
         .where("x.doc_id < y.doc_id AND x.part <> y.part")
@@ -282,21 +306,33 @@ def links(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame, Da
         .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
         .distinct()
     )
-    more = _verified(docs, bits, rest, width)
-    return signed, classes, components(found.union(more))
+    more = _verified(texts, bits, rest, width)
+    out = components(more if found is None else found.union(more))
+    wb.forget(table, bits, texts, found, more, stars)
+    return signed, classes, out
+
+
+def _mixed(table: DataFrame, stars: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The entries of lists that still hold several components, with the component of each document; and the table they are in."""
+    hits = table.select("key", "doc_id", "n", "place")
+    if stars is None:
+        return hits.withColumn("part", F.col("doc_id")), table
+    marked = hits.join(stars.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component")
+    mixed = marked.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
+    out = wb.keep(marked.join(mixed, "key", "left_semi"), "mixed")
+    wb.forget(table)
+    return out, out
 
 
-def _verified(docs: DataFrame, bits: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+def _verified(texts: DataFrame, bits: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     a = bits.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
     b = bits.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
     near = pairs.join(a, "a").join(b, "b").where(f"{DEN} * least(na, nb) >= {NUM} * greatest(na, nb)").select("a", "b", "na", "nb", "xa", "xb")
     near = wb.keep(near.mapInArrow(_within_bound, "a long, b long"), "near")
-    needed = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
-    # a repeated id stands for one document: the text of its rows' first
-    texts = docs.join(needed, "doc_id", "left_semi").select("doc_id", "text")
-    texts = wb.keep(texts, "texts")
     both = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    return wb.keep(both.mapInArrow(_exact(width), "a long, b long").distinct(), "links")
+    out = wb.keep(both.mapInArrow(_exact(width), "a long, b long").distinct(), "links")
+    wb.forget(near)
+    return out
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:

@@ -191,12 +191,12 @@ def keep(df, name: str = "part"):
 
 
 def forget(*kept) -> None:
-    """Delete tables of ``keep`` that later kept ones have replaced, and let Spark drop old shuffle files."""
+    """Delete tables of ``keep`` that later kept ones have replaced (None is passed over)."""
     for df in kept:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._kept_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    release(kept[0].sparkSession)
+        if df is not None:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark) -> None:
