@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from lacuna.llm import wordblock as wb
 from lacuna.llm.labelled import fold
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 5 << 19
 #: Distinct hashes for each range, about.
 RANGE_KEYS = 1_500_000
 END, START = np.uint64(0x656E64), np.uint64(0x7374617274)
@@ -48,7 +48,7 @@ END, START = np.uint64(0x656E64), np.uint64(0x7374617274)
 _CHUNKS = "chunk long, docs binary, held binary, lengths binary, vocab binary, tokens binary"
 _ASKED = "chunk long, range int, keys binary, counts binary"
 _TOLD = "chunk long, range int, totals binary, owned binary, stats array<long>"
-_STATE = "chunk long, docs binary, held binary, lengths binary, vocab binary, tokens binary, totals binary, range int, keys binary, counts binary, stats array<long>"
+_STATE = "chunk long, docs binary, held binary, lengths binary, words long, begin long, tokens binary, totals binary, range int, keys binary, counts binary, stats array<long>"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 #: Numbers kept of each word: count, count as context, followers seen once, twice, more often, different predecessors.
 _OF_WORD = 6
@@ -69,6 +69,20 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _row(_CHUNKS, base + k, block.column("doc_id").astype(np.int64).tobytes(), np.asarray(block.column("held_out"), bool).tobytes(), (n + 1).astype(np.int64).tobytes(), vocab.tobytes(), tokens.tobytes())
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Counts, most of them small, as one byte each; those of 255 and more follow in full."""
+    flat = values.ravel()
+    large = flat[flat >= 255]
+    return np.minimum(flat, 255).astype(np.uint8).tobytes() + large.astype(np.uint32).tobytes() + np.array([len(large)], np.uint64).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    large = int.from_bytes(data[-8:], "little")
+    body = np.frombuffer(data, np.uint8, len(data) - 8 - 4 * large).astype(np.int64)
+    body[body == 255] = np.frombuffer(data[len(data) - 8 - 4 * large : len(data) - 8], np.uint32)
+    return body
+
+
 _KIND = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 
 
@@ -83,25 +97,28 @@ def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
 
 @dataclass
 class Chunk:
-    """The tokens of some documents and their distinct bigrams."""
+    """The tokens of some documents, as places in a sorted vocabulary, and their distinct bigrams."""
 
     docs: np.ndarray
     held: np.ndarray
     lengths: np.ndarray
-    vocab: np.ndarray
     tokens: np.ndarray
+    begin: int
+    vocab: np.ndarray | None = None
 
     @classmethod
     def of(cls, row: dict) -> "Chunk":
-        vocab = np.frombuffer(row["vocab"], np.uint64)
-        kind = np.uint16 if len(vocab) <= 1 << 16 else np.uint32
-        return cls(np.frombuffer(row["docs"], np.int64), np.frombuffer(row["held"], bool), np.frombuffer(row["lengths"], np.int64), vocab, np.frombuffer(row["tokens"], kind).astype(np.int64))
+        vocab = np.frombuffer(row["vocab"], np.uint64) if "vocab" in row else None
+        size = row["words"] if vocab is None else len(vocab)
+        begin = row["begin"] if vocab is None else int(np.searchsorted(vocab, START))
+        tokens = np.frombuffer(row["tokens"], np.uint16 if size <= 1 << 16 else np.uint32).astype(np.int64)
+        return cls(np.frombuffer(row["docs"], np.int64), np.frombuffer(row["held"], bool), np.frombuffer(row["lengths"], np.int64), tokens, begin, vocab)
 
     def before(self) -> np.ndarray:
         """The word before each token, a start mark before the first of each document."""
         out = np.empty_like(self.tokens)
         out[1:] = self.tokens[:-1]
-        out[np.cumsum(self.lengths) - self.lengths] = np.searchsorted(self.vocab, START)
+        out[np.cumsum(self.lengths) - self.lengths] = self.begin
         return out
 
     def training(self) -> np.ndarray:
@@ -130,9 +147,9 @@ def _ask_bigrams(ranges: int):
         for row in _rows(batches):
             chunk = Chunk.of(row)
             keys, index = chunk.bigrams()
-            counts = np.bincount(index, weights=chunk.training(), minlength=len(keys)).astype(np.uint32)
+            counts = np.bincount(index, weights=chunk.training(), minlength=len(keys)).astype(np.int64)
             cut = _cuts(keys, ranges)
-            yield _batch(_ASKED, [(row["chunk"], r, keys[a:b].tobytes(), counts[a:b].tobytes()) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a])
+            yield _batch(_ASKED, [(row["chunk"], r, keys[a:b].tobytes(), packed(counts[a:b])) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a])
 
     return run
 
@@ -142,7 +159,7 @@ def _merge(width: int):
     def run(table: pa.Table) -> pa.Table:
         asked = sorted((r for b in table.to_batches() for r in _rows([b])), key=lambda r: r["chunk"])
         ask = [np.frombuffer(r["keys"], np.uint64) for r in asked]
-        given = [np.frombuffer(r["counts"], np.uint32).reshape(-1, width) for r in asked]
+        given = [unpacked(r["counts"]).reshape(-1, width) for r in asked]
         keys, index = np.unique(np.concatenate(ask), return_inverse=True)
         index = index.reshape(-1)
         flat = np.concatenate(given)
@@ -159,7 +176,7 @@ def _merge(width: int):
                 found = np.searchsorted(hashes, a)
                 own = owner[found] == np.arange(at, at + len(a))
                 at += len(a)
-                out.append((r["chunk"], r["range"], totals[found].astype(np.uint32).tobytes(), np.packbits(own).tobytes(), None))
+                out.append((r["chunk"], r["range"], packed(totals[found]), np.packbits(own).tobytes(), None))
             if width > 1:  # of words: how many have 1, 2, 3, 4 predecessors, more than 2, any count; predecessors; tokens
                 c, p = totals[:, 0], totals[:, _OF_WORD - 1]
                 out.append((-1, asked[0]["range"], None, None, [*(int((p == k).sum()) for k in (1, 2, 3, 4)), int((p > 2).sum()), int((c > 0).sum()), int(p.sum()), int(c.sum())]))
@@ -178,9 +195,9 @@ def _mapped(folder: str, name: str, values: np.ndarray) -> np.ndarray:
 def _answers(told: list[dict], size: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Put the answers of all ranges in the order of the chunk's keys."""
     told = sorted(told, key=lambda t: t["range"])
-    totals = [np.frombuffer(t["totals"], np.uint32).reshape(-1, width) for t in told]
+    totals = [unpacked(t["totals"]).reshape(-1, width) for t in told]
     own = [np.unpackbits(np.frombuffer(t["owned"], np.uint8))[: len(x)].astype(bool) for t, x in zip(told, totals, strict=True)]
-    out = np.concatenate(totals).astype(np.int64)
+    out = np.concatenate(totals)
     if len(out) != size:
         raise RuntimeError("a hash range did not answer")
     return out, np.concatenate(own)
@@ -198,7 +215,7 @@ def _ask_words(ranges: int):
             first = np.zeros(len(keys), np.int64)
             first[index[::-1]] = np.arange(len(index))[::-1]
             left, right = before[first], chunk.tokens[first]
-            table = np.zeros((v, _OF_WORD), np.uint32)
+            table = np.zeros((v, _OF_WORD), np.int64)
             table[:, 0] = np.bincount(chunk.tokens[train], minlength=v)
             table[:, 1] = np.bincount(before[train], minlength=v)
             for k, has in ((2, totals == 1), (3, totals == 2), (4, totals > 2)):
@@ -206,8 +223,8 @@ def _ask_words(ranges: int):
             table[:, 5] = np.bincount(right[own], minlength=v)
             stats = [int((totals[own] == k).sum()) for k in (1, 2, 3, 4)]
             cut = _cuts(chunk.vocab, ranges)
-            state = (row["chunk"], row["docs"], row["held"], row["lengths"], row["vocab"], row["tokens"], totals[index].astype(np.uint32).tobytes(), None, None, None, stats)
-            asks = [(row["chunk"], *[None] * 6, r, chunk.vocab[a:b].tobytes(), table[a:b].tobytes(), None) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+            state = (row["chunk"], row["docs"], row["held"], row["lengths"], v, chunk.begin, row["tokens"], packed(totals[index]), None, None, None, stats)
+            asks = [(row["chunk"], *[None] * 7, r, chunk.vocab[a:b].tobytes(), packed(table[a:b]), None) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
             yield _batch(_STATE, [state, *asks])
 
     return run
@@ -254,8 +271,8 @@ def _score(totals: Totals):
     def run(batches):
         for row in _rows(batches):
             chunk = Chunk.of(row)
-            words, _ = _answers(row["told"], len(chunk.vocab), _OF_WORD)
-            c = np.frombuffer(row["totals"], np.uint32).astype(np.int64)
+            words, _ = _answers(row["told"], row["words"], _OF_WORD)
+            c = unpacked(row["totals"])
             t, v = words[chunk.tokens], words[chunk.before()]
             p = np.log10(totals.probability(c, v[:, 1], v[:, 2:5], t[:, 5]))
             base = np.log10((t[:, 0] + 1) / (totals.tokens + totals.vocabulary + 1))
@@ -287,6 +304,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts
     states = wb.keep(chunks.join(_told_by_chunk(told), "chunk").mapInArrow(_ask_words(ranges), _STATE), "states")
     wb.forget(chunks, told)
     del chunks, told
+    wb.release(spark)
     words = wb.keep(states.where("keys is not null").select("chunk", "range", "keys", "counts").groupBy("range").applyInArrow(_merge(_OF_WORD), _TOLD), "words")
     wb.release(spark)
 
@@ -297,5 +315,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts
 
     w = sums(words.where("chunk < 0"), 8)
     totals = Totals(discounts(*sums(states.where("tokens is not null"), 4)), discounts(*w[:4]), w[0], w[1], w[4], w[5], w[6], w[7])
-    ready = states.where("tokens is not null").select("chunk", "docs", "held", "lengths", "vocab", "tokens", "totals").join(_told_by_chunk(words), "chunk")
+    ready = states.where("tokens is not null").select("chunk", "docs", "held", "lengths", "words", "begin", "tokens", "totals").join(_told_by_chunk(words), "chunk")
     return ready.mapInArrow(_score(totals), _SCORES)
