@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.spans import SPANS, no_spans
-from lacuna.operators.recognizers import RecognizerSpec, locations
+from lacuna.operators.recognizers import RecognizerSpec, any_of, locations
 
 # Texts that are never organisations.
 NOISY_ORGS = ("nhi", "ihi", "medicare", "mrn", "ur", "u/r", "dob", "phone", "email", "fax", "address", "postcode", "patient", "clinic", "hospital", "social security number", "driver's license", "passport number", "medical record number", "nhis")
@@ -20,11 +20,11 @@ CITIES = "Auckland|Wellington|Christchurch|Hamilton|Tauranga|Dunedin|Napier|Sydn
 
 #: Cues before a name; names themselves keep their case.
 CUES = (
-    RecognizerSpec("cue:label", "PERSON", rf"(\b(?i:Patient name|Patient|Name|Practitioner|Next of kin)[: ][ ]*)({_FULL})", 0.85, "U", "second"),
-    RecognizerSpec("cue:title", "PERSON", rf"(\b(?:Mr|Mrs|Ms|Miss|Dr|Prof)\.? )({_NAME}(?: {_NAME}){{0,2}})", 0.85, "U", "second"),
-    RecognizerSpec("cue:kin", "PERSON", rf"(\b(?i:Daughter|Son|Wife|Husband|Mother|Father|Sister|Brother|Partner|Carer) )({_FULL})", 0.85, "U", "second"),
-    RecognizerSpec("cue:place", "LOCATION", rf"\b(?:{CITIES})\b", 0.6),
-    RecognizerSpec("cue:care", "ORG", rf"{_NAME}(?: {_NAME}){{0,3}} (?:Hospital|Clinic|Medical Centre|Health Centre)\b", 0.6),
+    RecognizerSpec("cue:label", "PERSON", rf"(\b(?i:Patient name|Patient|Name|Practitioner|Next of kin)[: ][ ]*)({_FULL})", 0.85, "U", "second", gate=any_of("patient", "name", "practitioner", "next of kin", lower=True)),
+    RecognizerSpec("cue:title", "PERSON", rf"(\b(?:Mr|Mrs|Ms|Miss|Dr|Prof)\.? )({_NAME}(?: {_NAME}){{0,2}})", 0.85, "U", "second", gate=any_of("Mr", "Ms ", "Ms. ", "Miss ", "Dr", "Prof")),
+    RecognizerSpec("cue:kin", "PERSON", rf"(\b(?i:Daughter|Son|Wife|Husband|Mother|Father|Sister|Brother|Partner|Carer) )({_FULL})", 0.85, "U", "second", gate=any_of("daughter ", "son ", "wife ", "husband ", "mother ", "father ", "sister ", "brother ", "partner ", "carer ", lower=True)),
+    RecognizerSpec("cue:place", "LOCATION", rf"\b(?:{CITIES})\b", 0.6, gate=any_of(*CITIES.split("|"))),
+    RecognizerSpec("cue:care", "ORG", rf"{_NAME}(?: {_NAME}){{0,3}} (?:Hospital|Clinic|Medical Centre|Health Centre)\b", 0.6, gate=any_of("Hospital", "Clinic", "Medical Centre", "Health Centre")),
 )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,7 +36,9 @@ class RecognizerSpec:
     """A pattern with what is kept of its matches.
 
     ``part``: "whole" match, or the "second" or "first" of two groups side by side. ``valid`` takes the
-    span's text; ``near`` takes the note and the match's struct.
+    span's text; ``near`` takes the note and the match's struct. ``gate`` is a cheap test that every note
+    with a match passes: word boundaries and case-blind classes cost far more than a plain search, and
+    most notes lack what a pattern needs.
     """
 
     name: str
@@ -46,6 +49,7 @@ class RecognizerSpec:
     part: str = "whole"
     valid: Callable[[Column], Column] | None = None
     near: Callable[[Column, Column], Column] | None = None
+    gate: Callable[[Column], Column] | None = None
 
     def spans(self, text: Column) -> Column:
         hits = finditer(text, self.pattern, self.flags, self.part != "whole")
@@ -55,7 +59,16 @@ class RecognizerSpec:
         spans = F.transform(hits, lambda h: make_span(text, h[bounds[0]], h[bounds[1]], self.kind, self.score, self.name))
         if self.valid:
             spans = F.filter(spans, lambda s: self.valid(s["text"]))
-        return spans
+        return F.when(self.gate(text), spans).otherwise(no_spans()) if self.gate else spans
+
+
+def has(regex: str) -> Callable[[Column], Column]:
+    return lambda text: F.regexp_like(text, F.lit(regex))
+
+
+def any_of(*words: str, lower: bool = False) -> Callable[[Column], Column]:
+    """Whether the text, or the text in lower case, contains one of the words."""
+    return lambda text: reduce(lambda a, b: a | b, [F.contains(F.lower(text) if lower else text, F.lit(w)) for w in words])
 
 
 def _date_valid(c: Column) -> Column:
@@ -90,27 +103,27 @@ def _ip_valid(c: Column) -> Column:
     return F.contains(c, F.lit(":")) | F.forall(F.split(c, r"\."), lambda o: o.cast("int") <= 255)
 
 
-NHI_OLD = RecognizerSpec("NhiOldRecognizer", "NHI", r"\b[A-HJ-NP-Z]{3}\d{4}\b", 1.0, "iU", valid=nhi_valid)
-NHI_NEW = RecognizerSpec("NhiNewRecognizer", "NHI", r"\b[A-HJ-NP-Z]{3}\d{2}[A-HJ-NP-Z]{2}\b", 0.6, "iU")
-MEDICARE = RecognizerSpec("MedicareRecognizer", "MEDICARE", r"\b[2-6]\d{7}\s?\d\s?\d?\b", 1.0, valid=medicare_valid)
-IHI = RecognizerSpec("IhiRecognizer", "IHI", r"\b8003\s?60\s?\d{4}\s?\d{4}\s?\d{2}\b", 1.0, valid=ihi_valid)
-PHONE_LABELLED = RecognizerSpec("PhoneRecognizerPhi", "PHONE", r"(\b(?:Phone|Telephone|Contact|Mobile)[:\s]+)([+()0-9][0-9 .()/-]{6,}\b)", 0.75, "iU", "second")
-DATE = RecognizerSpec("DateRecognizerCustom", "DATE", rf"(?:\b\d{{1,2}}/\d{{1,2}}/\d{{2,4}}\b|\b\d{{1,2}}\s+(?:{_MONTH})\s+\d{{4}}\b|\b\d{{4}}-\d{{2}}-\d{{2}}\b)", 0.85, "iU", valid=_date_valid)
-MRN = RecognizerSpec("MrnRecognizer", "MRN", r"(\b(?:MRN|UR|U/R)[:\s#]*)(\d{5,8}\b)", 0.85, "iU", "second")
-ID_LABELLED = RecognizerSpec("GenericIdRecognizer", "ID", rf"(\b(?:{ID_LABELS})[:\s#]+)([A-Z0-9][A-Z0-9-]{{5,}}\b)", 0.8, "iU", "second")
-SSN = RecognizerSpec("GenericIdRecognizer", "ID", r"\b\d{3}-\d{2}-\d{4}\b", 0.85)
-UUID = RecognizerSpec("GenericIdRecognizer", "ID", rf"\b{_UUID}\b", 0.75, "iU", near=_uuid_near)
-AGE_SHORT = RecognizerSpec("AgeRecognizer", "AGE", r"\b\d{1,3}\s*(?:yo|y/o)\b", 0.75, "iU")
-AGE_LONG = RecognizerSpec("AgeRecognizer", "AGE", r"\b\d{1,3}\s*years?\s*old\b", 0.75, "iU")
-STREET = RecognizerSpec("LocationRecognizer", "LOCATION", rf"\b\d{{1,5}}\s+[A-Za-z]+(?:[\s\-'][A-Za-z]+){{0,64}}\s+(?:{STREET_KINDS})\b", 0.75, "iU")
-CITY = RecognizerSpec("LocationRecognizer", "LOCATION", r"(\b[A-Za-z]+(?:\s+[A-Za-z]+)?)(\s*,?\s+\d{4}\b)", 0.6, "iU", "first", near=_city_near)
-EMAIL = RecognizerSpec("EmailRecognizer", "EMAIL", r"\b[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.){1,8}[A-Za-z]{2,12}\b", 1.0, "iU")
-URL = RecognizerSpec("UrlRecognizer", "URL", r"(?:\bhttps?://[^\s<>\"']+|\b(?:[a-z0-9-]+\.){1,8}(?:com|org|net|edu|gov|health|co\.nz|govt\.nz|org\.nz|ac\.nz|com\.au|org\.au|gov\.au|edu\.au)\b(?:/[^\s<>\"']*)?)", 0.6, "iU")
-IP = RecognizerSpec("IpRecognizer", "IP", r"(?:\b(?:\d{1,3}\.){3}\d{1,3}\b|\b(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}\b)", 0.6, "iU", valid=_ip_valid)
+NHI_OLD = RecognizerSpec("NhiOldRecognizer", "NHI", r"\b[A-HJ-NP-Z]{3}\d{4}\b", 1.0, "iU", valid=nhi_valid, gate=has(r"\p{Nd}{4}"))
+NHI_NEW = RecognizerSpec("NhiNewRecognizer", "NHI", r"\b[A-HJ-NP-Z]{3}\d{2}[A-HJ-NP-Z]{2}\b", 0.6, "iU", gate=has(r"\p{Nd}{2}"))
+MEDICARE = RecognizerSpec("MedicareRecognizer", "MEDICARE", r"\b[2-6]\d{7}\s?\d\s?\d?\b", 1.0, valid=medicare_valid, gate=has(r"\p{Nd}{8}"))
+IHI = RecognizerSpec("IhiRecognizer", "IHI", r"\b8003\s?60\s?\d{4}\s?\d{4}\s?\d{2}\b", 1.0, valid=ihi_valid, gate=any_of("8003"))
+PHONE_LABELLED = RecognizerSpec("PhoneRecognizerPhi", "PHONE", r"(\b(?:Phone|Telephone|Contact|Mobile)[:\s]+)([+()0-9][0-9 .()/-]{6,}\b)", 0.75, "iU", "second", gate=has("[+()0-9][0-9 .()/-]{6}"))
+DATE = RecognizerSpec("DateRecognizerCustom", "DATE", rf"(?:\b\d{{1,2}}/\d{{1,2}}/\d{{2,4}}\b|\b\d{{1,2}}\s+(?:{_MONTH})\s+\d{{4}}\b|\b\d{{4}}-\d{{2}}-\d{{2}}\b)", 0.85, "iU", valid=_date_valid, gate=has(r"\p{Nd}"))
+MRN = RecognizerSpec("MrnRecognizer", "MRN", r"(\b(?:MRN|UR|U/R)[:\s#]*)(\d{5,8}\b)", 0.85, "iU", "second", gate=has(r"\p{Nd}{5}"))
+ID_LABELLED = RecognizerSpec("GenericIdRecognizer", "ID", rf"(\b(?:{ID_LABELS})[:\s#]+)([A-Z0-9][A-Z0-9-]{{5,}}\b)", 0.8, "iU", "second", gate=any_of("ssn", "security number", "license", "passport", "record number", "patient id", "resource id", "identifier", lower=True))
+SSN = RecognizerSpec("GenericIdRecognizer", "ID", r"\b\d{3}-\d{2}-\d{4}\b", 0.85, gate=has(r"\p{Nd}{3}-\p{Nd}"))
+UUID = RecognizerSpec("GenericIdRecognizer", "ID", rf"\b{_UUID}\b", 0.75, "iU", near=_uuid_near, gate=has("[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-"))
+AGE_SHORT = RecognizerSpec("AgeRecognizer", "AGE", r"\b\d{1,3}\s*(?:yo|y/o)\b", 0.75, "iU", gate=has(r"\p{Nd}(?U)\s*[yY]"))
+AGE_LONG = RecognizerSpec("AgeRecognizer", "AGE", r"\b\d{1,3}\s*years?\s*old\b", 0.75, "iU", gate=has(r"\p{Nd}(?U)\s*[yY]"))
+STREET = RecognizerSpec("LocationRecognizer", "LOCATION", rf"\b\d{{1,5}}\s+[A-Za-z]+(?:[\s\-'][A-Za-z]+){{0,64}}\s+(?:{STREET_KINDS})\b", 0.75, "iU", gate=has(r"\p{Nd}(?U)\s"))
+CITY = RecognizerSpec("LocationRecognizer", "LOCATION", r"(\b[A-Za-z]+(?:\s+[A-Za-z]+)?)(\s*,?\s+\d{4}\b)", 0.6, "iU", "first", near=_city_near, gate=has(r"(?U)\s\p{Nd}{4}"))
+EMAIL = RecognizerSpec("EmailRecognizer", "EMAIL", r"\b[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.){1,8}[A-Za-z]{2,12}\b", 1.0, "iU", gate=any_of("@"))
+URL = RecognizerSpec("UrlRecognizer", "URL", r"(?:\bhttps?://[^\s<>\"']+|\b(?:[a-z0-9-]+\.){1,8}(?:com|org|net|edu|gov|health|co\.nz|govt\.nz|org\.nz|ac\.nz|com\.au|org\.au|gov\.au|edu\.au)\b(?:/[^\s<>\"']*)?)", 0.6, "iU", gate=has(r"://|[.](?i:com|org|net|edu|gov|health|co|ac)"))
+IP = RecognizerSpec("IpRecognizer", "IP", r"(?:\b(?:\d{1,3}\.){3}\d{1,3}\b|\b(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}\b)", 0.6, "iU", valid=_ip_valid, gate=has(r"\p{Nd}[.]\p{Nd}|:[0-9a-fA-F]{1,4}:"))
 
 
 def phone_region(region: str) -> RecognizerSpec:
-    return RecognizerSpec("PhoneRecognizerPhi", "PHONE", PHONE_SHAPES[region], 0.9)
+    return RecognizerSpec("PhoneRecognizerPhi", "PHONE", PHONE_SHAPES[region], 0.9, gate=has("[0-9]{3}"))
 
 
 def phones(text: Column, regions: tuple[str, ...]) -> Column:
@@ -133,7 +146,7 @@ def postcodes(text: Column) -> Column:
     lines = finditer(text, "[^\r\n\x0b\x0c\x1c-\x1e\x85  ]+", "U")
     lines = F.filter(lines, lambda h: F.regexp_like(piece(text, h["start"], h["end"]), F.lit(gate)))
     found = F.flatten(F.transform(lines, lambda line: F.transform(finditer(piece(text, line["start"], line["end"]), number, "U"), lambda h: make_span(text, line["start"] + h["start"], line["start"] + h["end"], "POSTCODE", 0.7, "PostcodeRecognizer"))))
-    return F.when(F.regexp_like(text, F.lit(gate)) & F.regexp_like(text, F.lit(f"(?U){number}")), found).otherwise(no_spans())
+    return F.when(has(r"\p{Nd}{4}")(text) & F.regexp_like(text, F.lit(gate)), found).otherwise(no_spans())
 
 
 def rule_spans(text: Column, regions: tuple[str, ...] = ("NZ", "AU"), extra: tuple[RecognizerSpec, ...] = ()) -> Column:

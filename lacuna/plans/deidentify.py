@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.spans import no_spans, settled
@@ -43,22 +45,46 @@ class Config:
         return cls(**{"key": os.environ.get("PHI_HASH_KEY")} | given)
 
 
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col), F.lit(""))
+
+
+# Columns are trees of thousands of nodes, each made by a call to the JVM: made once for each application.
+
+
+@lru_cache(maxsize=32)
+def _rules(app: str, text_col: str, regions: tuple[str, ...], extra: tuple[RecognizerSpec, ...]) -> Column:
+    return rule_spans(_text(text_col), regions, extra)
+
+
+@lru_cache(maxsize=32)
+def _cues(app: str, text_col: str, threshold: float, with_rules: bool) -> Column:
+    return cue_spans(_text(text_col), threshold, with_rules)
+
+
+@lru_cache(maxsize=32)
+def _settling(app: str, text_col: str, spans_col: str) -> tuple[Column, Column]:
+    """The filter of redacted tokens, and the merge after it."""
+    text = _text(text_col)
+    return filter_redacted(text, layers(F.col(spans_col))), merge_spans(text, F.col(spans_col))
+
+
 def detect(notes: DataFrame, config: Config = Config(), text_col: str = "text", spans_col: str = "spans", ner_col: str | None = None) -> DataFrame:
     """Add sorted, disjoint spans. ``ner_col`` names spans of a model that take the place of the cues.
 
     A null text has no spans.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    app = SparkContext.getOrCreate().applicationId
     parts = []
     if config.use_rules:
-        parts.append(rule_spans(text, config.regions, config.extra))
+        parts.append(_rules(app, text_col, tuple(config.regions), tuple(config.extra)))
     if config.use_ner:
-        parts.append(F.col(ner_col) if ner_col else cue_spans(text, config.ner_threshold, config.use_rules))
+        parts.append(F.col(ner_col) if ner_col else _cues(app, text_col, config.ner_threshold, config.use_rules))
     out = settled(notes, spans_col, F.concat(*parts) if parts else no_spans())
     if config.assistant:
         out = with_assistant(out, config.assistant, config.regions, text_col, spans_col)
-    out = settled(out, spans_col, filter_redacted(text, layers(F.col(spans_col))))
-    return settled(out, spans_col, merge_spans(text, F.col(spans_col)))
+    kept, merged = _settling(app, text_col, spans_col)
+    return settled(settled(out, spans_col, kept), spans_col, merged)
 
 
 def deidentify(config: Config = Config(), text_col: str = "text", **kw) -> Callable[[DataFrame], DataFrame]:
