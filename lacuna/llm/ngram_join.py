@@ -41,6 +41,8 @@ from lacuna.llm.graph import components
 WIDTH, NUM, DEN = 5, 80, 100
 #: A shingle counts as frequent in a window of documents from this many on; the list's bound.
 OFTEN, FREQUENT_KEPT, WINDOW = 3, 400_000, 2_000_000
+#: 64-bit words of the small bitmap that joins compare.
+SMALL = 8
 #: Rounds of pivots before the rest is enumerated; any number gives the same components.
 ROUNDS = 5
 
@@ -167,18 +169,26 @@ def _keys(width: int, shared, boundary: int):
     return run
 
 
+def _small() -> list[str]:
+    return [f"s{i}" for i in range(SMALL)]
+
+
 def _bitmaps(width: int):
-    """A parity bitmap of each set, of a power of two near twice its size in bits."""
+    """Parity bitmaps of each set: one of a power of two near twice its size in bits, and a small one of fixed size."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in wb.blocks(batches):
             values, first = distinct_shingles(block, width)
             n = np.diff(first)
+            own = wb.owner_of(first)
+            small = np.zeros((len(n), SMALL * 64), np.uint8)
+            np.add.at(small, (own, (values & np.uint64(SMALL * 64 - 1)).astype(np.int64)), 1)
+            small = np.packbits(small & 1, axis=1, bitorder="little").view(np.int64)
             maps = []
             for d in range(len(n)):
                 bits = max(256, 1 << int(2 * n[d]).bit_length())
                 v = values[first[d] : first[d + 1]] & np.uint64(bits - 1)
                 maps.append(np.packbits(np.bincount(v.astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([block.rows.column("doc_id"), pa.array(n), pa.array(maps, pa.binary())], names=["doc_id", "n", "bits"])
+            yield pa.RecordBatch.from_arrays([block.rows.column("doc_id"), pa.array(n), pa.array(maps, pa.binary()), *[pa.array(small[:, i].copy()) for i in range(SMALL)]], names=["doc_id", "n", "bits", *_small()])
 
     return run
 
@@ -272,7 +282,7 @@ def links(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame, Da
     del entries
 
     near = hits.select("doc_id").distinct()
-    bits = wb.keep(docs.mapInArrow(_bitmaps(width), "doc_id long, n long, bits binary").join(near, "doc_id", "left_semi"), "bitmaps")
+    bits = wb.keep(docs.mapInArrow(_bitmaps(width), "doc_id long, n long, bits binary, " + ", ".join(f"{c} long" for c in _small())).join(near, "doc_id", "left_semi"), "bitmaps")
     texts = wb.keep(docs.join(near, "doc_id", "left_semi").select("doc_id", "text"), "texts")
     del near
     wb.release(spark)
@@ -296,13 +306,17 @@ def links(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame, Da
         wb.release(spark)
 
     hits, table = _mixed(table, stars)
+    hits = hits.join(bits.select("doc_id", *_small()), "doc_id")
     x, y = hits.alias("x"), hits.alias("y")
+    differ = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in _small())
     rest = (
         x.join(y, F.col("x.key") == F.col("y.key"))
         .where("x.doc_id < y.doc_id AND x.part <> y.part")
         .where(f"{DEN} * least(x.n, y.n) >= {NUM} * greatest(x.n, y.n)")
         # behind a shared element no more is left than the shorter rest
         .where(f"x.place < 0 OR ({NUM} + {DEN}) * (least(x.place, y.place) + least(x.n - x.place, y.n - y.place)) >= {NUM} * (x.n + y.n)")
+        # sets differ in as many elements at least as their parity bitmaps in bits
+        .where(f"{differ} <= x.n + y.n - 2 * (({NUM} * (x.n + y.n) + {NUM + DEN - 1}) div {NUM + DEN})")
         .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
         .distinct()
     )
