@@ -42,7 +42,7 @@ from lacuna.llm.labelled import fold
 
 CHUNK_BYTES = 5 << 19
 #: Distinct hashes for each range, about.
-RANGE_KEYS = 1_500_000
+RANGE_KEYS = 750_000
 END, START = np.uint64(0x656E64), np.uint64(0x7374617274)
 
 _CHUNKS = "chunk long, docs binary, held binary, lengths binary, vocab binary, tokens binary"
@@ -65,8 +65,17 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = np.full(len(words) + len(n), END, np.uint64)
         h[np.arange(len(words)) + np.repeat(np.arange(len(n)), n)] = words.hashes()
         vocab, tokens = np.unique(np.append(h, [END, START]), return_inverse=True)
-        tokens = tokens.reshape(-1)[:-2].astype(np.uint16 if len(vocab) <= 1 << 16 else np.uint32)
-        yield _row(_CHUNKS, base + k, block.column("doc_id").astype(np.int64).tobytes(), np.asarray(block.column("held_out"), bool).tobytes(), (n + 1).astype(np.int64).tobytes(), vocab.tobytes(), tokens.tobytes())
+        tokens = tokens.reshape(-1)[:-2]
+        yield _row(_CHUNKS, base + k, block.column("doc_id").astype(np.int64).tobytes(), np.asarray(block.column("held_out"), bool).tobytes(), (n + 1).astype(np.int64).tobytes(), vocab.tobytes(), planes(tokens))
+
+
+def planes(values: np.ndarray) -> bytes:
+    """32-bit numbers as their lowest bytes, then the next ones and so on; the higher planes hardly take room once compressed."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -109,9 +118,8 @@ class Chunk:
     @classmethod
     def of(cls, row: dict) -> "Chunk":
         vocab = np.frombuffer(row["vocab"], np.uint64) if "vocab" in row else None
-        size = row["words"] if vocab is None else len(vocab)
         begin = row["begin"] if vocab is None else int(np.searchsorted(vocab, START))
-        tokens = np.frombuffer(row["tokens"], np.uint16 if size <= 1 << 16 else np.uint32).astype(np.int64)
+        tokens = from_planes(row["tokens"])
         return cls(np.frombuffer(row["docs"], np.int64), np.frombuffer(row["held"], bool), np.frombuffer(row["lengths"], np.int64), tokens, begin, vocab)
 
     def before(self) -> np.ndarray:
@@ -297,7 +305,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts
     chunks = wb.keep(docs.mapInArrow(_chunks, _CHUNKS), "chunks")
     tokens = chunks.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(least, -(-tokens // (2 * RANGE_KEYS)))
+    ranges = max(least, -(-tokens // (4 * RANGE_KEYS)))
 
     told = wb.keep(chunks.mapInArrow(_ask_bigrams(ranges), _ASKED).groupBy("range").applyInArrow(_merge(1), _TOLD), "bigrams")
     wb.release(spark)
