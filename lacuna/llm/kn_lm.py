@@ -1,36 +1,38 @@
-"""Interpolated modified Kneser-Ney bigrams, counted in Spark and looked up as sorted hash arrays.
+"""Interpolated modified Kneser-Ney of any order from 2, counted in Spark and looked up as sorted hash arrays.
 
 The model is as large as the corpus, so neither a worker nor the driver ever holds all of it. Texts
 are cut into chunks of about ``CHUNK_BYTES``; what a chunk asks about is reduced to its distinct
-hashes first, in numpy, and travels as arrays, one for each chunk and range of hashes:
-
-1. Chunks: ids, fold and tokens of their documents, as numbers into the chunk's own vocabulary.
-2. Bigrams. Each range of hashes merges the chunks' counts to one sorted hash array, which its worker
-   keeps in a file and maps into memory, and answers each chunk with the totals of its bigrams in
-   the order asked. Of each bigram seen in training one chunk is told that it owns it.
-3. Words. Chunks report, for each word, its count, its count as a context, and from the bigrams they
-   own how many different words follow it once, twice, more often, and how many precede it. Ranges
-   of word hashes merge and answer likewise.
-4. Chunks then hold all numbers of their tokens and score their documents.
-
-p(w | v) = max(c(vw) - D(c(vw)), 0) / c(v) + g(v) p(w), with the three discounts D from the
-counts of counts, g(v) the discounted share, and p(w) the same over the number of different words
-before w, interpolated with 1 / (V + 1). Probabilities of V words and one unknown sum to 1. A
-context not seen in training leaves p(w). The first word's context is a start mark.
-
-A model of order 2: the arrays of a third order would take the disk beyond the limit set for this job.
+hashes first, in numpy, and travels as compressed arrays, one for each chunk and range of hashes:
+
+1. Chunks: ids, fold and tokens of their documents, as numbers into the chunk's own vocabulary. They are written once.
+2. The longest grams. Each range of hashes merges the chunks' counts to one sorted hash array, which its
+   worker keeps in a file and maps into memory, and answers each chunk with the totals of its grams in
+   the order asked. Of each gram seen in training one chunk is told that it owns it.
+3. The next shorter grams, down to words. From the grams they own, one word longer, chunks report of each
+   gram how many different words precede it, how many follow it once, twice, more often, and how often
+   in all. Ranges merge and answer likewise. Of words their counts are reported too.
+4. Chunks then get the answers of all orders and score their documents.
+
+p(w | v) = max(c(vw) - D(c(vw)), 0) / c(v) + g(v) p(w | v'), v' without the first word of v. c is the count
+of grams of the full order and of those that begin with the start mark, and the number of different
+words before it for others; c(v) is the sum of c(vw) over w. Each order has three discounts D from its counts
+of counts; g(v) is the discounted share. p(w) is the same over the number of different words before w,
+interpolated with 1 / (V + 1). Probabilities of V words and one unknown sum to 1. A context not seen in
+training leaves p(w | v'). The first word's context is one start mark, and no context reaches beyond it.
 
 Defined cases: a null or empty text is one end token; repeated rows count and score each; no training
 row: every probability is 1 / (V + 1) with V = 0; an empty table gives an empty result; extra columns
-are ignored. Nothing is pruned.
+are ignored; an order under 2 is refused. Nothing is pruned.
 """
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,15 +45,16 @@ from lacuna.llm.labelled import fold
 CHUNK_BYTES = 5 << 19
 #: Distinct hashes for each range, about.
 RANGE_KEYS = 750_000
+#: Where all orders' answers lie on disk already, chunks meet them in so many parts, so that the shuffle takes less room beside them.
+PARTS = 2
 END, START = np.uint64(0x656E64), np.uint64(0x7374617274)
 
-_CHUNKS = "chunk long, docs binary, held binary, lengths binary, vocab binary, tokens binary"
+_CHUNKS = "chunk long, n long, docs binary, held binary, lengths binary, vocab binary, tokens binary"
 _ASKED = "chunk long, range int, keys binary, counts binary"
 _TOLD = "chunk long, range int, totals binary, owned binary, stats array<long>"
-_STATE = "chunk long, docs binary, held binary, lengths binary, words long, begin long, tokens binary, totals binary, range int, keys binary, counts binary, stats array<long>"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-#: Numbers kept of each word: count, count as context, followers seen once, twice, more often, different predecessors.
-_OF_WORD = 6
+#: Numbers kept of each gram: count; of those that are contexts, the sum of what follows, followers seen once, twice, more often; of words, count of tokens.
+_OF_LONGEST, _OF_CONTEXT, _OF_WORD = 1, 5, 6
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +69,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h[np.arange(len(words)) + np.repeat(np.arange(len(n)), n)] = words.hashes()
         vocab, tokens = np.unique(np.append(h, [END, START]), return_inverse=True)
         tokens = tokens.reshape(-1)[:-2]
-        yield _row(_CHUNKS, base + k, block.column("doc_id").astype(np.int64).tobytes(), np.asarray(block.column("held_out"), bool).tobytes(), (n + 1).astype(np.int64).tobytes(), vocab.tobytes(), planes(tokens))
+        yield _row(_CHUNKS, base + k, len(tokens), block.column("doc_id").astype(np.int64).tobytes(), np.asarray(block.column("held_out"), bool).tobytes(), (n + 1).astype(np.int64).tobytes(), squeezed(spaced(vocab)), squeezed(planes(tokens)))
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -92,6 +95,37 @@ def unpacked(data: bytes) -> np.ndarray:
     return body
 
 
+def spaced(keys: np.ndarray) -> bytes:
+    """Sorted hashes as the lowest bytes of their differences, then the next ones and so on."""
+    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_spaced(data: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return np.cumsum(steps, dtype=np.uint64)
+
+
+def squeezed(data: bytes) -> bytes:
+    import zstandard as z
+
+    return z.ZstdCompressor(level=1).compress(data)
+
+
+def restored(data: bytes) -> bytes:
+    import zstandard as z
+
+    return z.ZstdDecompressor().decompress(data)
+
+
+def _columns(values: np.ndarray) -> bytes:
+    """Rows of counts, column by column."""
+    return squeezed(packed(values.T))
+
+
+def _from_columns(data: bytes, width: int) -> np.ndarray:
+    return unpacked(restored(data)).reshape(width, -1).T
+
+
 _KIND = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 
 
@@ -106,37 +140,53 @@ def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
 
 @dataclass
 class Chunk:
-    """The tokens of some documents, as places in a sorted vocabulary, and their distinct bigrams."""
+    """The tokens of some documents, as places in a sorted vocabulary, and their distinct grams."""
 
     docs: np.ndarray
     held: np.ndarray
     lengths: np.ndarray
     tokens: np.ndarray
-    begin: int
-    vocab: np.ndarray | None = None
+    vocab: np.ndarray
 
     @classmethod
     def of(cls, row: dict) -> "Chunk":
-        vocab = np.frombuffer(row["vocab"], np.uint64) if "vocab" in row else None
-        begin = row["begin"] if vocab is None else int(np.searchsorted(vocab, START))
-        tokens = from_planes(row["tokens"])
-        return cls(np.frombuffer(row["docs"], np.int64), np.frombuffer(row["held"], bool), np.frombuffer(row["lengths"], np.int64), tokens, begin, vocab)
-
-    def before(self) -> np.ndarray:
-        """The word before each token, a start mark before the first of each document."""
-        out = np.empty_like(self.tokens)
-        out[1:] = self.tokens[:-1]
-        out[np.cumsum(self.lengths) - self.lengths] = self.begin
-        return out
+        return cls(np.frombuffer(row["docs"], np.int64), np.frombuffer(row["held"], bool), np.frombuffer(row["lengths"], np.int64), from_planes(restored(row["tokens"])), from_spaced(restored(row["vocab"])))
+
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.lengths) - self.lengths
+
+    def place(self) -> np.ndarray:
+        """Of each token, its place in its document."""
+        return np.arange(len(self.tokens)) - np.repeat(self.starts(), self.lengths)
 
     def training(self) -> np.ndarray:
         return np.repeat(~self.held, self.lengths)
 
-    def bigrams(self) -> tuple[np.ndarray, np.ndarray]:
-        with np.errstate(over="ignore"):
-            h = wb.mix(self.vocab[self.before()] * np.uint64(0x9E3779B97F4A7C15) + self.vocab[self.tokens])
-        keys, index = np.unique(h, return_inverse=True)
-        return keys, index.reshape(-1)
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct hashes of the k words up to each token, and each token's place among them: -1 where the document, with its start mark, has not so many."""
+        if k == 1:
+            return self.vocab, self.tokens
+        words, start = self.vocab[self.tokens], self.starts()
+        h = words
+        for j in range(2, k + 1):
+            last = np.empty_like(h)
+            last[1:] = h[:-1]
+            if j == 2:
+                last[start] = START
+            with np.errstate(over="ignore"):
+                h = wb.mix(last * np.uint64(0x9E3779B97F4A7C15) + words)
+        whole = self.place() >= k - 2
+        keys, index = np.unique(h[whole], return_inverse=True)
+        out = np.full(len(h), -1)
+        out[whole] = index.reshape(-1)
+        return keys, out
+
+    def contexts(self, index: np.ndarray, k: int) -> np.ndarray:
+        """The place of the k words before each token, from those up to each token; -1 where there are none."""
+        out = np.empty_like(index)
+        out[1:] = index[:-1]
+        out[self.starts()] = np.searchsorted(self.vocab, START) if k == 1 else -1
+        return out
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -145,19 +195,59 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: workers wait idle between tasks, and allocators keep what they had at their peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def _cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
     """Bounds of the hash ranges in sorted keys."""
     return np.searchsorted((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1))
 
 
-def _ask_bigrams(ranges: int):
+def _width(k: int, order: int) -> int:
+    return _OF_LONGEST if k == order else _OF_CONTEXT if k > 1 else _OF_WORD
+
+
+def _table(chunk: Chunk, k: int, order: int, told: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
+    """The chunk's grams of k words and what it knows of them; ``told``: the answers for those of k + 1."""
+    keys, index = chunk.grams(k)
+    table = np.zeros((len(keys), _width(k, order)), np.int64)
+    count = lambda at, by=None: np.bincount(at, weights=by, minlength=len(keys))
+    train = chunk.training()
+    if k == order:
+        table[:, 0] = count(index[train & (index >= 0)])
+        return keys, table
+    longer, of = chunk.grams(k + 1)
+    totals, own = _answers(told, len(longer), _width(k + 1, order))
+    totals = totals[own, 0]
+    first = np.zeros(len(longer), np.int64)
+    at = np.flatnonzero(of >= 0)[::-1]
+    first[of[at]] = at
+    first = first[own]
+    before = chunk.contexts(index, k)[first]
+    table[:, 0] = count(index[first])
+    if k > 1:  # those that begin with the start mark
+        table[:, 0] += count(index[train & (chunk.place() == k - 2)]).astype(np.int64)
+    else:
+        table[:, 5] = count(index[train])
+    table[:, 1] = count(before, totals)
+    for c, has in ((2, totals == 1), (3, totals == 2), (4, totals > 2)):
+        table[:, c] = count(before[has])
+    return keys, table
+
+
+def _ask(k: int, order: int, ranges: int):
     def run(batches):
         for row in _rows(batches):
-            chunk = Chunk.of(row)
-            keys, index = chunk.bigrams()
-            counts = np.bincount(index, weights=chunk.training(), minlength=len(keys)).astype(np.int64)
+            keys, table = _table(Chunk.of(row), k, order, row.get("told"))
             cut = _cuts(keys, ranges)
-            yield _batch(_ASKED, [(row["chunk"], r, keys[a:b].tobytes(), packed(counts[a:b])) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a])
+            yield _batch(_ASKED, [(row["chunk"], r, squeezed(spaced(keys[a:b])), _columns(table[a:b])) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a])
+            del keys, table, row
+            _give_back()
 
     return run
 
@@ -166,11 +256,10 @@ def _merge(width: int):
     """Merge the arrays of a hash range and answer every chunk with the totals of what it asked."""
     def run(table: pa.Table) -> pa.Table:
         asked = sorted((r for b in table.to_batches() for r in _rows([b])), key=lambda r: r["chunk"])
-        ask = [np.frombuffer(r["keys"], np.uint64) for r in asked]
-        given = [unpacked(r["counts"]).reshape(-1, width) for r in asked]
+        ask = [from_spaced(restored(r["keys"])) for r in asked]
+        flat = np.concatenate([_from_columns(r["counts"], width) for r in asked])
         keys, index = np.unique(np.concatenate(ask), return_inverse=True)
         index = index.reshape(-1)
-        flat = np.concatenate(given)
         sums = np.stack([np.bincount(index, weights=flat[:, k], minlength=len(keys)) for k in range(width)], axis=1).astype(np.int64)
         owner = np.full(len(keys), len(index))
         seen = np.flatnonzero(flat[:, 0] > 0)
@@ -184,11 +273,13 @@ def _merge(width: int):
                 found = np.searchsorted(hashes, a)
                 own = owner[found] == np.arange(at, at + len(a))
                 at += len(a)
-                out.append((r["chunk"], r["range"], packed(totals[found]), np.packbits(own).tobytes(), None))
-            if width > 1:  # of words: how many have 1, 2, 3, 4 predecessors, more than 2, any count; predecessors; tokens
-                c, p = totals[:, 0], totals[:, _OF_WORD - 1]
-                out.append((-1, asked[0]["range"], None, None, [*(int((p == k).sum()) for k in (1, 2, 3, 4)), int((p > 2).sum()), int((c > 0).sum()), int(p.sum()), int(c.sum())]))
-            del hashes, totals
+                out.append((r["chunk"], r["range"], _columns(totals[found]), squeezed(np.packbits(own).tobytes()), None))
+            # how many have a count of 1, 2, 3, 4, more than 2; sum of counts; words with any count of tokens; tokens
+            c, t = totals[:, 0], totals[:, -1]
+            out.append((-1, asked[0]["range"], None, None, [*(int((c == k).sum()) for k in (1, 2, 3, 4)), int((c > 2).sum()), int(c.sum()), int((t > 0).sum()), int(t.sum())]))
+            del hashes, totals, c, t
+        del asked, ask, keys, sums, owner, seen
+        _give_back()
         return pa.Table.from_batches([_batch(_TOLD, out)])
 
     return run
@@ -203,41 +294,14 @@ def _mapped(folder: str, name: str, values: np.ndarray) -> np.ndarray:
 def _answers(told: list[dict], size: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Put the answers of all ranges in the order of the chunk's keys."""
     told = sorted(told, key=lambda t: t["range"])
-    totals = [unpacked(t["totals"]).reshape(-1, width) for t in told]
-    own = [np.unpackbits(np.frombuffer(t["owned"], np.uint8))[: len(x)].astype(bool) for t, x in zip(told, totals, strict=True)]
+    totals = [_from_columns(t["totals"], width) for t in told]
+    own = [np.unpackbits(np.frombuffer(restored(t["owned"]), np.uint8))[: len(x)].astype(bool) for t, x in zip(told, totals, strict=True)]
     out = np.concatenate(totals)
     if len(out) != size:
         raise RuntimeError("a hash range did not answer")
     return out, np.concatenate(own)
 
 
-def _ask_words(ranges: int):
-    """State of each chunk with the totals of its bigrams, and what it knows of its words."""
-    def run(batches):
-        for row in _rows(batches):
-            chunk = Chunk.of(row)
-            keys, index = chunk.bigrams()
-            totals, own = _answers(row["told"], len(keys), 1)
-            totals = totals[:, 0]
-            before, train, v = chunk.before(), chunk.training(), len(chunk.vocab)
-            first = np.zeros(len(keys), np.int64)
-            first[index[::-1]] = np.arange(len(index))[::-1]
-            left, right = before[first], chunk.tokens[first]
-            table = np.zeros((v, _OF_WORD), np.int64)
-            table[:, 0] = np.bincount(chunk.tokens[train], minlength=v)
-            table[:, 1] = np.bincount(before[train], minlength=v)
-            for k, has in ((2, totals == 1), (3, totals == 2), (4, totals > 2)):
-                table[:, k] = np.bincount(left[own & has], minlength=v)
-            table[:, 5] = np.bincount(right[own], minlength=v)
-            stats = [int((totals[own] == k).sum()) for k in (1, 2, 3, 4)]
-            cut = _cuts(chunk.vocab, ranges)
-            state = (row["chunk"], row["docs"], row["held"], row["lengths"], v, chunk.begin, row["tokens"], packed(totals[index]), None, None, None, stats)
-            asks = [(row["chunk"], *[None] * 7, r, chunk.vocab[a:b].tobytes(), packed(table[a:b]), None) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-            yield _batch(_STATE, [state, *asks])
-
-    return run
-
-
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """The three discounts from the counts of counts; fixed ones where a count is missing."""
     if not (n1 and n2):
@@ -250,7 +314,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 @dataclass
 class Totals:
-    bigram: tuple[float, float, float]
+    longer: tuple[tuple[float, float, float], ...]
     word: tuple[float, float, float]
     with_one: int
     with_two: int
@@ -267,61 +331,89 @@ class Totals:
         rest = (self.word[0] * self.with_one + self.word[1] * self.with_two + self.word[2] * self.with_more) / self.types
         return (before - d) / self.types + rest / (self.vocabulary + 1)
 
-    def probability(self, c: np.ndarray, context: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """p(w | v) for c = c(vw), context = c(v), after = followers of v seen once, twice, more; before: predecessors of w."""
-        low = self.word_probability(before)
-        d = np.choose(np.minimum(c, 3), (0.0, *self.bigram))
+    def probability(self, k: int, c: np.ndarray, context: np.ndarray, after: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """p(w | v) of k words for c = c(vw), context = c(v), after = followers of v seen once, twice, more; low = p(w | v')."""
+        by = self.longer[k - 2]
+        d = np.choose(np.minimum(c, 3), (0.0, *by))
         n = np.maximum(context, 1)
-        return np.where(context > 0, (c - d) / n + after @ np.array(self.bigram) / n * low, low)
+        return np.where(context > 0, (c - d) / n + after @ np.array(by) / n * low, low)
 
 
-def _score(totals: Totals):
+def _score(totals: Totals, order: int):
     def run(batches):
         for row in _rows(batches):
             chunk = Chunk.of(row)
-            words, _ = _answers(row["told"], row["words"], _OF_WORD)
-            c = unpacked(row["totals"])
-            t, v = words[chunk.tokens], words[chunk.before()]
-            p = np.log10(totals.probability(c, v[:, 1], v[:, 2:5], t[:, 5]))
-            base = np.log10((t[:, 0] + 1) / (totals.tokens + totals.vocabulary + 1))
-            at = np.cumsum(chunk.lengths) - chunk.lengths
+            told = lambda k, size: _answers([t for t in row["told"] if t["k"] == k], size, _width(k, order))[0]  # noqa: B023, E731
+            keys, index = chunk.grams(1)
+            known = told(1, len(keys))
+            tokens = known[chunk.tokens, 5]
+            p = totals.word_probability(known[chunk.tokens, 0])
+            for k in range(2, order + 1):
+                before = chunk.contexts(index, k - 1)
+                keys, index = chunk.grams(k)
+                has = index >= 0
+                v = known[before[has]]
+                known = told(k, len(keys))
+                p[has] = totals.probability(k, known[index[has], 0], v[:, 1], v[:, 2:5], p[has])
+            p = np.log10(p)
+            base = np.log10((tokens + 1) / (totals.tokens + totals.vocabulary + 1))
+            at = chunk.starts()
             yield pa.RecordBatch.from_arrays([
-                pa.array(chunk.docs), pa.array(chunk.held), pa.array(chunk.lengths), pa.array(np.add.reduceat(t[:, 0] > 0, at, dtype=np.int64)),
+                pa.array(chunk.docs), pa.array(chunk.held), pa.array(chunk.lengths), pa.array(np.add.reduceat(tokens > 0, at, dtype=np.int64)),
                 pa.array(np.full(len(at), totals.tokens)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(p, at)),
             ], names=[f.split()[0] for f in _SCORES.split(", ")])
+            del row, known, tokens, p, base
+            _give_back()
 
     return run
 
 
-def _told_by_chunk(told: DataFrame) -> DataFrame:
-    """One answer for each hash range, together by chunk."""
-    return told.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("range", "totals", "owned")).alias("told"))
+def _with_answers(chunks: DataFrame, told: dict[int, DataFrame], part: int = 0, parts: int = 1) -> DataFrame:
+    """Chunks, or a part of them, with one answer for each order and hash range."""
+    own = (F.col("chunk") >= 0) & (F.pmod(F.xxhash64("chunk"), F.lit(parts)) == part)
+    rows = [df.where(own).select("chunk", F.lit(k).alias("k"), "range", "totals", "owned") for k, df in told.items()]
+    return chunks.where(own).join(reduce(DataFrame.union, rows).groupBy("chunk").agg(F.collect_list(F.struct("k", "range", "totals", "owned")).alias("told")), "chunk")
+
+
+def _by_parts(chunks: DataFrame, told: dict[int, DataFrame], run, schema: str, name: str) -> list[DataFrame]:
+    out = []
+    for part in range(PARTS):
+        out.append(wb.keep(_with_answers(chunks, told, part, PARTS).mapInArrow(run, schema), f"{name}{part}"))
+        wb.release(chunks.sparkSession)
+    return out
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 7, held_out: int = 2) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 7, held_out: int = 2, order: int = 2) -> DataFrame:
     """Learn from all documents outside the held-out fold and score all (see ``_SCORES``; log10)."""
+    if order < 2:
+        raise ValueError("the order has to be 2 at least")
     spark = docs.sparkSession
     docs = wb.doc_text(docs, id_col, text_col).withColumn("held_out", fold(parts=parts) == held_out)
     chunks = wb.keep(docs.mapInArrow(_chunks, _CHUNKS), "chunks")
-    tokens = chunks.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    tokens = chunks.agg(F.sum("n")).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(least, -(-tokens // (4 * RANGE_KEYS)))
-
-    told = wb.keep(chunks.mapInArrow(_ask_bigrams(ranges), _ASKED).groupBy("range").applyInArrow(_merge(1), _TOLD), "bigrams")
-    wb.release(spark)
-    states = wb.keep(chunks.join(_told_by_chunk(told), "chunk").mapInArrow(_ask_words(ranges), _STATE), "states")
-    wb.forget(chunks, told)
-    del chunks, told
-    wb.release(spark)
-    words = wb.keep(states.where("keys is not null").select("chunk", "range", "keys", "counts").groupBy("range").applyInArrow(_merge(_OF_WORD), _TOLD), "words")
-    wb.release(spark)
-
-    def sums(df: DataFrame, n: int) -> list[int]:
-        """Element-wise sums of the few numbers that each row of statistics has."""
-        got = df.agg(*[F.sum(F.col("stats")[i]) for i in range(n)]).first()
-        return [int(x or 0) for x in got]
-
-    w = sums(words.where("chunk < 0"), 8)
-    totals = Totals(discounts(*sums(states.where("tokens is not null"), 4)), discounts(*w[:4]), w[0], w[1], w[4], w[5], w[6], w[7])
-    ready = states.where("tokens is not null").select("chunk", "docs", "held", "lengths", "words", "begin", "tokens", "totals").join(_told_by_chunk(words), "chunk")
-    return ready.mapInArrow(_score(totals), _SCORES)
+    ranges = max(least, -(-tokens // RANGE_KEYS))
+
+    told, sums = {}, {}
+    for k in range(order, 0, -1):
+        asked = None
+        if k == order:
+            asks = chunks.mapInArrow(_ask(k, order, ranges), _ASKED)
+        elif k > 1:
+            asks = _with_answers(chunks, {k + 1: told[k + 1]}).mapInArrow(_ask(k, order, ranges), _ASKED)
+        else:  # words are few
+            asked = _by_parts(chunks, {k + 1: told[k + 1]}, _ask(k, order, ranges), _ASKED, "asked")
+            asks = reduce(DataFrame.union, asked)
+        told[k] = wb.keep(asks.groupBy("range").applyInArrow(_merge(_width(k, order)), _TOLD), f"told{k}")
+        wb.forget(*asked or ())
+        del asks, asked
+        wb.release(spark)
+        # sums of the few numbers that each range has
+        got = told[k].where("chunk < 0").agg(*[F.sum(F.col("stats")[i]) for i in range(8)]).first()
+        sums[k] = [int(x or 0) for x in got]
+
+    w = sums[1]
+    totals = Totals(tuple(discounts(*sums[k][:4]) for k in range(2, order + 1)), discounts(*w[:4]), w[0], w[1], w[4], w[6], w[5], w[7])
+    scores = _by_parts(chunks, told, _score(totals, order), _SCORES, "scores")
+    wb.forget(chunks, *told.values())
+    return reduce(DataFrame.union, scores)

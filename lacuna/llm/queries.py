@@ -37,7 +37,7 @@ def op3_zstd_quality(spark, sf_dir):
 def op4_kneser_ney(spark, sf_dir):
     from lacuna.llm.kn_lm import score
 
-    return score(_table(spark, sf_dir, "documents"))
+    return score(_table(spark, sf_dir, "documents"), order=3)
 
 
 def op5_harmonic_packing(spark, sf_dir):

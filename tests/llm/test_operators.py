@@ -192,6 +192,41 @@ def test_kneser_ney(spark, monkeypatch):
     assert kn_lm.score(frame(spark, [(only, "a b")])).first().score == 0
 
 
+@pytest.mark.parametrize("order", (3, 4))
+def test_kneser_ney_of_higher_order(spark, monkeypatch, order):
+    monkeypatch.setattr(kn_lm, "CHUNK_BYTES", 5000)
+    got = by_id(kn_lm.score(frame(spark, ROWS), order=order))
+    tokens = {i: ["<s>", *words(t), "</s>"] for i, t in ROWS}
+    grams = lambda w, k: [tuple(w[j - k + 1 : j + 1]) for j in range(max(1, k - 1), len(w))]
+    raw = {k: Counter(g for i, w in tokens.items() if not held(i, 7, 2) for g in grams(w, k)) for k in range(1, order + 1)}
+    c = {order: raw[order]}
+    for k in range(order - 1, 0, -1):
+        c[k] = Counter(g[1:] for g in raw[k + 1]) + Counter({g: n for g, n in raw[k].items() if g[0] == "<s>"})
+    v, d, after = len(raw[1]), {}, defaultdict(lambda: [0, 0, 0, 0])
+    for k in c:
+        d[k] = kn_lm.discounts(*(Counter(c[k].values())[n] for n in (1, 2, 3, 4)))
+        for g, n in c[k].items():
+            after[g[:-1]][min(n, 3) - 1] += 1
+            after[g[:-1]][3] += n
+
+    def p(g):
+        k, low = len(g), 1 / (v + 1) if len(g) == 1 else p(g[1:])
+        *kinds, total = after[g[:-1]]
+        if not total:
+            return low
+        n = c[k][g]
+        return (n - (d[k][min(n, 3) - 1] if n else 0)) / total + sum(x * y for x, y in zip(d[k], kinds)) / total * low
+
+    some = next(g[:-1] for g in c[order])
+    for context in (("<s>",), some, some[1:], ("unseen",) * (order - 1)):
+        assert abs(sum(p((*context, *w)) for w in raw[1]) + p((*context, "never seen")) - 1) < 1e-9
+    for i, w in tokens.items():
+        assert got[i].score == pytest.approx(sum(math.log10(p(tuple(w[max(0, j - order + 1) : j + 1]))) for j in range(1, len(w))))
+    assert kn_lm.score(frame(spark, []), order=order).count() == 0
+    with pytest.raises(ValueError):
+        kn_lm.score(frame(spark, ROWS), order=1)
+
+
 def test_packed_counts():
     x = np.array([0, 1, 254, 255, 256, 70000, 3])
     assert kn_lm.unpacked(kn_lm.packed(x)).tolist() == x.tolist() and kn_lm.unpacked(kn_lm.packed(x[:0])).tolist() == []
