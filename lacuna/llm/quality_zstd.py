@@ -5,8 +5,8 @@ One dictionary is built from good texts and one from bad ones. A text is compres
 difference of the two sums over their total, with the share of itself that a text has when compressed
 alone beside it, is turned into a probability by a logistic fit on labelled texts that no dictionary was built from.
 
-Bounds of what is learnt from: ``SAMPLE_ROWS`` rows of each label, ``SAMPLE_BYTES`` bytes of each
-(the fit alone; scoring reads whole texts). The model is two dictionaries of ``DICTIONARY`` bytes.
+Bounds of what is learnt from: ``SAMPLE_ROWS`` rows of each label, their whole texts, which the driver
+holds. The model is two dictionaries of ``DICTIONARY`` bytes.
 
 Defined cases: null or empty texts get the score at no difference and full size; with too few texts
 for a dictionary of one label, that dictionary is the texts themselves; without labels all scores
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lacuna.llm import wordblock as wb
 from lacuna.llm.labelled import fold, logistic, sigmoid, training, weights
 
-SAMPLE_ROWS, SAMPLE_BYTES = 2000, 8192
+SAMPLE_ROWS = 2000
 DICTIONARY, PIECE, LEVEL = 64 << 10, 2048, 3
 
 
@@ -75,7 +75,7 @@ def _dictionary(texts: list[bytes]) -> bytes:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> QualityModel:
     """Learn from a bounded sample of the training fold; even rows make dictionaries, odd ones the calibration."""
     known, totals = training(docs, labels, label, SAMPLE_ROWS)
-    cut = known.select("label", F.substring(F.encode("text", "UTF-8"), 1, SAMPLE_BYTES).alias("text"), F.xxhash64("doc_id").alias("h"), "doc_id")
+    cut = known.select("label", F.encode("text", "UTF-8").alias("text"), F.xxhash64("doc_id").alias("h"), "doc_id")
     rows = cut.toPandas().sort_values(["h", "doc_id"])
     good, bad = ([bytes(t) for t in rows["text"][rows["label"] == k]] for k in (1, 0))
     model = QualityModel(_dictionary(good[::2]), _dictionary(bad[::2]), np.zeros(4))

@@ -123,6 +123,19 @@ def test_classifiers(spark, module, column, bad):
     assert module.score(docs.limit(0), labels).count() == 0
 
 
+def test_quality_learns_from_whole_texts(spark):
+    rng = random.Random(4)
+    fresh = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(n)]
+    vocabulary = fresh(300)
+    some = lambda: " ".join(rng.choice(vocabulary) for _ in range(2200))
+    rows = [(i, some() + " " + (some().upper() if i % 2 else some())) for i in range(120)]
+    assert min(len(t) for _, t in rows) > 2 * 8192
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, quality int")
+    got = by_id(quality_zstd.score(frame(spark, rows), labels))
+    out = [got[i].predicted == 1 - i % 2 for i, _ in rows if held(i, 3, 1)]
+    assert len(out) > 20 and np.mean(out) > 0.95
+
+
 def test_keep_good_keeps_columns(spark):
     docs, labels, want = labelled(spark, lambda rng, w: " ".join(x.upper() + "!!" for x in w), "quality")
     kept = quality_zstd.keep_good(docs, labels)
