@@ -10,7 +10,7 @@ Each stage takes (spark, docs, sf_dir), with docs as Parquet wrote it, and works
 5. packing: pieces of token ids in sequences of 2048.
 
 Stages 1 to 4 return the columns of ``documents``. Rows with a null doc_id pass stages 2 to 4
-unchanged; null texts count as empty; repeated rows are each kept or dropped; an empty table gives an
+unchanged and are left out by stage 5, with their tokens; null texts count as empty; repeated rows are each kept or dropped; an empty table gives an
 empty result. SQL can't express compression or SimHash, so tests hold the stages against plain
 Python versions.
 """

@@ -12,7 +12,7 @@
 Items go out in blocks of at most ``ITEMS`` (a bounded broadcast); all documents are scanned for each
 block, map-only, so a passage in a third of all rows costs nothing extra.
 
-Defined cases: null or empty texts and items match nothing; an item of fewer than 5 words is its one
+Defined cases: a row without an id is left out; null or empty texts and items match nothing; an item of fewer than 5 words is its one
 shingle and matches equal words; equal items are all reported; repeated rows are each reported; empty
 tables give an empty result; extra columns are ignored.
 """

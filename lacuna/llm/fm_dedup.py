@@ -15,7 +15,7 @@ window is looked up in one index, not in all of them:
 
 Windows are judged on the input. Words are told apart by 64-bit hashes.
 
-Defined cases: null or empty texts and texts of fewer than ``WINDOW`` words lose nothing; of rows
+Defined cases: a row without an id is left out; null or empty texts and texts of fewer than ``WINDOW`` words lose nothing; of rows
 with one id none is earlier than another; an empty table gives an empty result; extra columns are
 ignored; nothing is capped.
 """

@@ -20,7 +20,7 @@ of counts; g(v) is the discounted share. p(w) is the same over the number of dif
 interpolated with 1 / (V + 1). Probabilities of V words and one unknown sum to 1. A context not seen in
 training leaves p(w | v'). The first word's context is one start mark, and no context reaches beyond it.
 
-Defined cases: a null or empty text is one end token; repeated rows count and score each; no training
+Defined cases: a row without an id is left out, of the counts too; a null or empty text is one end token; repeated rows count and score each; no training
 row: every probability is 1 / (V + 1) with V = 0; an empty table gives an empty result; extra columns
 are ignored; an order under 2 is refused. Nothing is pruned.
 """

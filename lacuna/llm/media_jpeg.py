@@ -10,7 +10,7 @@ The decoder reads any baseline (SOF0) Huffman-coded picture of 8-bit samples: ma
 restart intervals, stuffed bytes, one to four components with sampling factors, interleaved scans,
 AC coefficients (walked over, not kept). Progressive or arithmetic pictures raise ``ValueError``.
 
-Defined cases: a null text is an empty one; an empty text gives one row of 192 spaces; equal texts
+Defined cases: a row without an id is left out; a null text is an empty one; an empty text gives one row of 192 spaces; equal texts
 give equal values; an empty table gives an empty result; extra columns are ignored.
 """
 

@@ -21,7 +21,7 @@ A candidate pair is dropped if the parity bitmaps of its sets differ in more bit
 
 Copies (equal sets) are one class from the start. Sets are compared by 64-bit hashes of shingles.
 
-Defined cases: null or empty text, or no word: an empty set, linked with nothing; fewer than 5
+Defined cases: a row without an id is left out; null or empty text, or no word: an empty set, linked with nothing; fewer than 5
 words: the whole sequence is the one shingle; repeated rows of one id are one document; an empty
 table gives an empty result; extra columns are ignored. No cap on list lengths or partners.
 """

@@ -14,7 +14,7 @@ when a task is repeated, since they follow from the task's rows alone.
 Ids: ``word_bpe_49k.json`` by the tokenizers library; ids of a pre-token are asked for once and kept
 in a table of bounded size. A text goes through the library as a whole where that could differ.
 
-Defined cases: null or empty text: the end id alone, one piece of length 1; empty table: no rows;
+Defined cases: a row without an id is left out, with its tokens; null or empty text: the end id alone, one piece of length 1; empty table: no rows;
 repeated rows: each is packed; extra columns are ignored; very long texts are cut into many pieces.
 """
 

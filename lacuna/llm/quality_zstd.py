@@ -8,7 +8,7 @@ alone beside it, is turned into a probability by a logistic fit on labelled text
 Bounds of what is learnt from: ``SAMPLE_ROWS`` rows of each label, their whole texts, which the driver
 holds. The model is two dictionaries of ``DICTIONARY`` bytes.
 
-Defined cases: null or empty texts get the score at no difference and full size; with too few texts
+Defined cases: a row without an id is left out; null or empty texts get the score at no difference and full size; with too few texts
 for a dictionary of one label, that dictionary is the texts themselves; without labels all scores
 are 0.5; repeated rows score alike; an empty table gives an empty result; extra columns are ignored.
 """

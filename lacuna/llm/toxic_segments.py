@@ -15,7 +15,7 @@ Words are runs of [0-9a-z] and characters beyond ASCII, A-Z lowered. The model h
 tokens (those with the largest z). Counts and calibration are taken from at most ``SAMPLE_ROWS``
 training rows of each label.
 
-Defined cases: null or empty texts have no segment and x = ``FLOOR``; without labels all scores are
+Defined cases: a row without an id is left out; null or empty texts have no segment and x = ``FLOOR``; without labels all scores are
 0.5; repeated rows score alike; an empty table gives an empty result; extra columns are ignored.
 """
 
