@@ -1,7 +1,7 @@
 """URL filter by pattern rules, each indexed under its rarest literal token. DataFrame functions only.
 
 * A pattern rule names the literal tokens (runs of [0-9a-z], A-Z lowered) that every url it matches
-  has in full. How many urls have each of them is counted over the whole table, and the rule is
+  has in full, so none that the url may carry on. How many urls have each of them is counted over the whole table, and the rule is
   indexed under the rarest.
 * The distinct tokens of a url look up rules in that index, a literal of hash buckets; only the rules
   found run their regular expressions. Of those that match, the longest pattern gives the verdict
@@ -53,7 +53,7 @@ PATTERNS = (
     Pattern("block", "://m[.][0-9a-z.-]+/de/", ("m", "de")),
     Pattern("block", "://blog[.][0-9a-z.-]+/", ("blog",)),
     Pattern("block", "[/.-](?:online-)?casino[/.-]", ("casino",)),
-    Pattern("block", "/wp-login[.]php", ("wp", "login", "php")),
+    Pattern("block", "/wp-login[.]php", ("wp", "login")),
     Pattern("block", "/track/click[?/]", ("track", "click")),
 )
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -281,6 +282,18 @@ def test_packing(spark):
 # 6 and 9
 
 
+def test_pattern_tokens_where_urls_run_on(spark):
+    urls = ["/a?utm_source=", "/a?ref=x", "/a?page=1&ref=", "/en/12.html", "://m.a.b/de/", "://blog.a.b/", "/online-casino.", "/wp-login.php", "/track/click?"]
+    for p, url in zip(url_rules.PATTERNS, urls, strict=True):
+        for run_on in ("", "5", "x", "/", "?q", "-y"):
+            if re.search(p.regex, url + run_on):
+                assert {*p.tokens} <= {*re.findall("[0-9a-z]+", url + run_on)}, (p, url + run_on)
+        assert re.search(p.regex, url)
+    rows = [(1, "http://a.org/wp-login.php5"), (2, "http://a.org/wp/login"), (3, "http://a.org/wp-login.php")]
+    got = {r.page_id: r for r in url_rules.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert [(got[i].verdict, got[i].pattern) for i in (1, 2, 3)] == [("block", "/wp-login[.]php"), ("allow", None), ("block", "/wp-login[.]php")]
+
+
 def test_url_rules(spark):
     urls = ["http://WWW.Example.com/en/x", "http://example.com/en/x", "https://a.example.com/fr", "http://x.net/es/1?utm_source=a", "http://x.net/", "http://com", "http://com/", "nonsense", None, "", "http://m.x.org/de/5", "http://x.org/a?page=1&ref=z", "ftp://xexample.com/en/", "http://x.org/en/5.html#a", "http://h.org?utm_source=1", "http://play.casino.org/"]
     df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)] + [(3, urls[3], "y")], "page_id long, url string, verdict string")
