@@ -1,6 +1,6 @@
 """Benchmark passages in documents: SimHash over item-sized windows, multi-index Hamming search, exact check.
 
-* A window has as many words as an item; its fingerprint is the 128-bit SimHash of its 5-word
+* A window has as many words as an item, or all words of a document that has fewer; its fingerprint is the 128-bit SimHash of its 5-word
   shingles (A-Z lowered, each as often as it stands there).
 * Fingerprints of items are indexed by 16 blocks of 8 bits. Two fingerprints within ``RADIUS`` = 31
   bits differ by one bit at most in some block, so looking up each block with one bit flipped finds
@@ -104,13 +104,14 @@ def _scan_document(items: Items, shingles: np.ndarray, width: int, hit: np.ndarr
             sizes.setdefault(n, []).append(p)
     best: dict[int, tuple] = {}
     for n, places in sizes.items():
-        inside = n - width  # last shingle of a window, from its first
+        size = min(n, n_words)
+        inside = size - width  # last shingle of a window, from its first
         mark = np.zeros(len(shingles) + 1, np.int64)
         p = np.array(places)
         np.add.at(mark, np.maximum(p - inside, 0), 1)
         np.add.at(mark, p + 1, -1)
         starts = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-        starts = starts[starts + n <= n_words]
+        starts = starts[starts + size <= n_words]
         for lo in range(0, len(starts), 8192):
             part = starts[lo : lo + 8192]
             base, end = part[0], part[-1] + inside + 1
@@ -123,7 +124,7 @@ def _scan_document(items: Items, shingles: np.ndarray, width: int, hit: np.ndarr
                 item = (n, k)
                 if s >= SIMILARITY and (item not in best or key < best[item][0]):
                     best[item] = (key, at, s, d)
-    return {(items.by_size[n]["ids"][k], n, k): (at, n, s, d) for (n, k), (_, at, s, d) in best.items()}
+    return {(items.by_size[n]["ids"][k], n, k): (at, min(n, n_words), s, d) for (n, k), (_, at, s, d) in best.items()}
 
 
 def _scan(shared):

@@ -391,6 +391,13 @@ def test_passages(spark):
     assert decontam.passages(frame(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_passages_in_documents_shorter_than_the_item(spark):
+    w = [f"w{i}" for i in range(40)]
+    docs = [(1, " ".join(w[:-1])), (2, " ".join(w[2:])), (3, " ".join(w[:20])), (4, " ".join(w)), (5, " ".join(w[:2])), (6, " ".join(w[:-1])[:-1])]
+    got = decontam.passages(frame(spark, docs), spark.createDataFrame([(7, " ".join(w))], "item_id long, text string"))
+    assert {r.doc_id: (r.first_word, r.n_words, round(r.similarity, 6)) for r in got.collect()} == {1: (0, 39, round(35 / 36, 6)), 2: (0, 38, round(34 / 36, 6)), 4: (0, 40, 1.0), 6: (0, 39, round(34 / 37, 6))}
+
+
 def test_multi_index_finds_all_within_the_radius():
     rng = np.random.default_rng(4)
     items = decontam.Items(np.arange(50), [rng.integers(1, 1 << 60, 12).astype(np.uint64) for _ in range(50)])
