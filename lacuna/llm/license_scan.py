@@ -1,12 +1,11 @@
-"""Licence scan by a positional index on rare tokens. DataFrame functions only.
+"""Licence scan by exact phrases behind rare words. DataFrame functions only.
 
 * Base: every place where the words of a phrase stand one after the other.
-* Templates of licence notices are indexed by position: of each template the words are ranked by IDF
-  (how many documents have each is counted over the whole table), and the rarest is its index word.
-  A file's rare licence words fetch their templates; the places of the template's ``ANCHORS`` rarest
-  words in the file, less their places in the template, are intersected, which leaves the starts
-  where all of them stand in the right relative position; the template's key phrase, all of its
-  words, is then required at such a start.
+* Templates of licence notices are key phrases themselves, and all of them are tried on every file: this is
+  an exact phrase search. No index is dealt out and a file's own words fetch nothing. Of each template the
+  words are ranked by IDF (how many documents have each is counted over the whole table); the ``ANCHORS``
+  rarest gate the search, and their places, less those in the template, are intersected before the
+  phrase is required there. Both only save work: the phrase implies them. A notice in other words gets no label.
 
 Words are runs of [0-9a-z] and characters beyond ASCII, A-Z lowered. A text becomes one string of its
 words between single spaces; places come from splitting that string at a word, so a scan is a few
