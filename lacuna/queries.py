@@ -417,6 +417,49 @@ def eval_identifiers(spark, sf_dir):
     return evaluate.micro(_scored(spark, sf_dir), evaluate.IDENTIFIERS)
 
 
+# The same over the whole plan and all labelled types. SQL can't follow the entity layer.
+
+
+def _planned(spark, sf_dir) -> DataFrame:
+    return _notes(spark, sf_dir).select("note_id", "text", "gold").transform(deidentify())
+
+
+@_query("audit_per_note_plan")
+def audit_per_note_plan(spark, sf_dir):
+    rows = _planned(spark, sf_dir).select("note_id", F.explode(redact.audit(F.col("spans"))).alias("a"))
+    return rows.select("note_id", "a.type", F.col("a.count").cast("long").alias("n"))
+
+
+@_query("audit_corpus_plan")
+def audit_corpus_plan(spark, sf_dir):
+    return corpus_audit(_planned(spark, sf_dir)).withColumnRenamed("count", "n")
+
+
+@_query("eval_match_strict_plan")
+def eval_match_strict_plan(spark, sf_dir):
+    return evaluate.score_notes(_planned(spark, sf_dir)).groupBy("type").agg(F.sum("strict_tp").alias("matched"))
+
+
+@_query("eval_match_relaxed_plan")
+def eval_match_relaxed_plan(spark, sf_dir):
+    return evaluate.score_notes(_planned(spark, sf_dir)).groupBy("type").agg(F.sum("relaxed_tp").alias("matched"))
+
+
+@_query("eval_per_type_plan")
+def eval_per_type_plan(spark, sf_dir):
+    return evaluate.per_type(evaluate.score_notes(_planned(spark, sf_dir)))
+
+
+@_query("eval_micro_plan")
+def eval_micro_plan(spark, sf_dir):
+    return evaluate.micro(evaluate.score_notes(_planned(spark, sf_dir)))
+
+
+@_query("eval_identifiers_plan")
+def eval_identifiers_plan(spark, sf_dir):
+    return evaluate.micro(evaluate.score_notes(_planned(spark, sf_dir)), evaluate.IDENTIFIERS)
+
+
 @_query("corpus_offset_check", f"WITH {GOLD} SELECT type, count(*) AS spans, CAST(0 AS BIGINT) AS drifted, sum(begin_at)::BIGINT AS begins, sum(end_at)::BIGINT AS ends FROM gold GROUP BY type")
 def corpus_offset_check(spark, sf_dir):
     g = _notes(spark, sf_dir).select("text", F.explode("gold").alias("g"))
