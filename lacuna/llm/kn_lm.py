@@ -45,7 +45,7 @@ from lacuna.llm.labelled import fold
 CHUNK_BYTES = 5 << 19
 #: Distinct hashes for each range, about.
 RANGE_KEYS = 750_000
-#: Where all orders' answers lie on disk already, chunks meet them in so many parts, so that the shuffle takes less room beside them.
+#: Of what would lie on disk beside the answers of other orders, so many parts are shuffled one after the other: of chunks, or of hash ranges.
 PARTS = 2
 END, START = np.uint64(0x656E64), np.uint64(0x7374617274)
 
@@ -240,12 +240,13 @@ def _table(chunk: Chunk, k: int, order: int, told: list[dict] | None) -> tuple[n
     return keys, table
 
 
-def _ask(k: int, order: int, ranges: int):
+def _ask(k: int, order: int, ranges: int, part: int = 0, parts: int = 1):
+    """Ask the ranges of one part."""
     def run(batches):
         for row in _rows(batches):
             keys, table = _table(Chunk.of(row), k, order, row.get("told"))
             cut = _cuts(keys, ranges)
-            yield _batch(_ASKED, [(row["chunk"], r, squeezed(spaced(keys[a:b])), _columns(table[a:b])) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a])
+            yield _batch(_ASKED, [(row["chunk"], r, squeezed(spaced(keys[a:b])), _columns(table[a:b])) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a and r % parts == part])
             del keys, table, row
             _give_back()
 
@@ -368,14 +369,14 @@ def _score(totals: Totals, order: int):
     return run
 
 
-def _with_answers(chunks: DataFrame, told: dict[int, DataFrame], part: int = 0, parts: int = 1) -> DataFrame:
+def _with_answers(chunks: DataFrame, told: dict[int, list[DataFrame]], part: int = 0, parts: int = 1) -> DataFrame:
     """Chunks, or a part of them, with one answer for each order and hash range."""
     own = (F.col("chunk") >= 0) & (F.pmod(F.xxhash64("chunk"), F.lit(parts)) == part)
-    rows = [df.where(own).select("chunk", F.lit(k).alias("k"), "range", "totals", "owned") for k, df in told.items()]
+    rows = [df.where(own).select("chunk", F.lit(k).alias("k"), "range", "totals", "owned") for k, of in told.items() for df in of]
     return chunks.where(own).join(reduce(DataFrame.union, rows).groupBy("chunk").agg(F.collect_list(F.struct("k", "range", "totals", "owned")).alias("told")), "chunk")
 
 
-def _by_parts(chunks: DataFrame, told: dict[int, DataFrame], run, schema: str, name: str) -> list[DataFrame]:
+def _by_parts(chunks: DataFrame, told: dict[int, list[DataFrame]], run, schema: str, name: str) -> list[DataFrame]:
     out = []
     for part in range(PARTS):
         out.append(wb.keep(_with_answers(chunks, told, part, PARTS).mapInArrow(run, schema), f"{name}{part}"))
@@ -396,24 +397,25 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts
 
     told, sums = {}, {}
     for k in range(order, 0, -1):
-        asked = None
+        merged = lambda asks, name: wb.keep(asks.groupBy("range").applyInArrow(_merge(_width(k, order)), _TOLD), name)  # noqa: B023, E731
         if k == order:
-            asks = chunks.mapInArrow(_ask(k, order, ranges), _ASKED)
+            told[k] = [merged(chunks.mapInArrow(_ask(k, order, ranges), _ASKED), f"told{k}")]
         elif k > 1:
-            asks = _with_answers(chunks, {k + 1: told[k + 1]}).mapInArrow(_ask(k, order, ranges), _ASKED)
+            told[k] = []
+            for part in range(PARTS):
+                told[k].append(merged(_with_answers(chunks, {k + 1: told[k + 1]}).mapInArrow(_ask(k, order, ranges, part, PARTS), _ASKED), f"told{k}-{part}"))
+                wb.release(spark)
         else:  # words are few
             asked = _by_parts(chunks, {k + 1: told[k + 1]}, _ask(k, order, ranges), _ASKED, "asked")
-            asks = reduce(DataFrame.union, asked)
-        told[k] = wb.keep(asks.groupBy("range").applyInArrow(_merge(_width(k, order)), _TOLD), f"told{k}")
-        wb.forget(*asked or ())
-        del asks, asked
+            told[k] = [merged(reduce(DataFrame.union, asked), f"told{k}")]
+            wb.forget(*asked)
         wb.release(spark)
         # sums of the few numbers that each range has
-        got = told[k].where("chunk < 0").agg(*[F.sum(F.col("stats")[i]) for i in range(8)]).first()
+        got = reduce(DataFrame.union, told[k]).where("chunk < 0").agg(*[F.sum(F.col("stats")[i]) for i in range(8)]).first()
         sums[k] = [int(x or 0) for x in got]
 
     w = sums[1]
     totals = Totals(tuple(discounts(*sums[k][:4]) for k in range(2, order + 1)), discounts(*w[:4]), w[0], w[1], w[4], w[6], w[5], w[7])
     scores = _by_parts(chunks, told, _score(totals, order), _SCORES, "scores")
-    wb.forget(chunks, *told.values())
+    wb.forget(chunks, *(df for of in told.values() for df in of))
     return reduce(DataFrame.union, scores)
