@@ -7,6 +7,7 @@ which bounds what a worker holds whatever the size of a batch.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,24 +25,15 @@ _NOT_ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = Fals
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
-_BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Words of more bytes than this go through a keyed byte hash.
+LONG = 64
+#: Masks that keep the first 0 to 8 bytes of a little-endian number.
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 #: Odd multipliers for the places of a shingle, from one recurrence.
 _PLACE = [((0xD6E8FEB86659FD93 * (2 * i + 1)) ^ (0xA0761D6478BD642F >> (i % 7))) & _MASK | 1 for i in range(64)]
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            with np.errstate(over="ignore"):
-                _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply)."""
     with np.errstate(over="ignore"):
@@ -97,13 +89,25 @@ class Words:
         return len(self.start)
 
     def hashes(self) -> np.ndarray:
-        """One 64-bit hash for each word, the same for equal words in any block."""
-        up, down = _power_table(len(self.data) + 1)
+        """One 64-bit hash for each word, the same for equal words in any block.
+
+        Eight bytes are taken at a time, each step a mix of all before it; a word over ``LONG`` bytes is
+        hashed by keyed BLAKE2, as no arithmetic hash of so few steps tells long crafted words apart.
+        """
+        n = self.end - self.start
         with np.errstate(over="ignore"):
-            sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=sums[1:])
-            h = (sums[self.end] - sums[self.start]) * down[self.start]
-            return mix(h + (self.end - self.start).astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
+            h = mix(n.astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
+        padded = np.concatenate((self.data, np.zeros(8, np.uint8)))
+        eight = np.ndarray(len(self.data) + 1, "<u8", padded, 0, (1,))
+        at = np.flatnonzero(n <= LONG)
+        for j in range(0, LONG, 8):
+            at = at[n[at] > j]
+            if not len(at):
+                break
+            h[at] = mix(h[at] ^ (eight[self.start[at] + j] & _KEEP[np.minimum(n[at] - j, 8)]))
+        for i in np.flatnonzero(n > LONG).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.data[self.start[i] : self.end[i]], digest_size=8, key=b"word").digest(), "little")
+        return h
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

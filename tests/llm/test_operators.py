@@ -333,14 +333,57 @@ def test_native_sql(spark, tmp_path):
 # 7
 
 
-@pytest.mark.parametrize("hot", [1000, 3])
+def thue_morse(k):
+    bits = [i.bit_count() & 1 for i in range(1 << k)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("hot", [256, 2, 0])
 def test_strip_repeats(spark, monkeypatch, hot):
     monkeypatch.setattr(fm_dedup, "HOT", hot)
-    got = by_id(fm_dedup.strip_repeats(frame(spark, ROWS)))
-    for i, (n, kept) in stripped(ROWS).items():
+    w, v = [f"w{i}" for i in range(40)], [f"v{i}" for i in range(25)]
+    long = [f"l{i % 997}x{i % 89}" for i in range(30_000)]
+    one, two = thue_morse(11)
+    rows = [*ROWS, (300, " ".join(long)), (301, " ".join(long[200:400] + w)), (302, " ".join(w[:20] + v)), (303, " ".join(v + w)), (304, " ".join(v[1:] + w[:-1])), (305, "p q " * 60), (306, "q p " * 30)]
+    rows += [(307, " ".join([one] + v[:19])), (308, " ".join([two] + v[:19])), (309, " ".join([one] + v[:19]))]
+    rows += [(310 + i, " ".join(w[: 15 + i] + [f"new{i}"] + w[15 + i :])) for i in range(12)]
+    got = by_id(fm_dedup.strip_repeats(frame(spark, rows)))
+    for i, (n, kept) in stripped(rows).items():
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (n, n - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest())
 
 
+def test_pieces_are_compared_with_earlier_ones_only():
+    rng = np.random.default_rng(3)
+    pieces, n = [], 7
+    for value in range(40):
+        for _ in range(rng.integers(1, 9)):
+            pieces.append((value, int(rng.integers(0, 50)), 0, rng.integers(100 * value, 100 * value + 2, 5 + n - 1)))
+    pieces.append(pieces[0])
+    first = {}
+    for i, (value, doc, _, w) in sorted(enumerate(pieces), key=lambda x: (x[1][0], x[1][1])):
+        for k in range(n):
+            first.setdefault((value, doc), len(first))
+    columns = [np.array(x) for x in ([p[0] for p in pieces], [p[1] for p in pieces])]
+    loc = fm_dedup._loc(np.zeros(len(pieces), np.int64), np.array([64 * i for i in range(len(pieces) - 1)] + [0]), np.full(len(pieces), n))
+    found = fm_dedup.later_windows(*columns, loc, np.concatenate([p[3] for p in pieces]).astype(np.uint64), 5).reshape(len(pieces), -1)
+    place = [(p[1], int(x)) for p, x in zip(pieces, loc)]
+    for i, (value, _, _, w) in enumerate(pieces[:-1]):
+        for k in range(n):
+            earlier = any(place[j] < place[i] and p[0] == value and any((p[3][m : m + 5] == w[k : k + 5]).all() for m in range(n)) for j, p in enumerate(pieces[:-1]))
+            assert found[i, k] == earlier
+        assert not found[i, n:].any()
+    assert not found[-1].any()
+
+
+def test_one_passage_in_half_of_many_documents(spark):
+    """The passage is one class for each of its pieces: what reaches a shard does not grow with its copies."""
+    w = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([f"a{i}"] * 3 + (w if i % 2 else [f"b{i}x{k}" for k in range(60)]))) for i in range(5000)]
+    got = by_id(fm_dedup.strip_repeats(frame(spark, rows)))
+    assert {i for i, r in got.items() if r.n_removed == 60} == {i for i in range(3, 5000, 2)}
+    assert got[1].n_removed == 0 and all(got[i].n_removed == 0 for i in range(0, 5000, 2))
+
+
 def test_rewrite_keeps_columns_and_rows(spark):
     a, b = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))
     rows = [(1, f"{a}  {b}"), (2, f"x {a} y"), (3, a), (3, a), (None, b), (4, None), (5, "")]
@@ -349,6 +392,11 @@ def test_rewrite_keeps_columns_and_rows(spark):
     assert out.columns == df.columns
     assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted([(0, b), (1, f"{a}  {b}"), (2, "x y"), (3, ""), (3, ""), (4, ""), (5, "")])
     assert fm_dedup.strip_repeats(frame(spark, [])).count() == 0
+    # one id with one text is one document; with other texts it is several, shorter ones among them
+    same = [(7, f"{a} {b}")] * 30 + [(7, a), (7, "short"), (8, a)]
+    texts = [r.text for r in fm_dedup.rewrite(frame(spark, same)).collect()]
+    assert texts.count("short") == 1
+    assert (texts.count(f"{a} {b}"), texts.count(b), texts.count(a), texts.count("")) in ((30, 0, 0, 2), (0, 30, 1, 1))
 
 
 # 8
