@@ -2,13 +2,14 @@
 
 One dictionary is built from good texts and one from bad ones. A text is compressed in pieces of
 ``PIECE`` bytes with each, so that a dictionary counts as much at a text's end as at its start. The
-difference of the two sums over their total, with the share of itself that a text has when compressed
-alone beside it, is turned into a probability by a logistic fit on labelled texts that no dictionary was built from.
+difference of the two sums by the bytes of the text is the one feature; a logistic fit on labelled
+texts that no dictionary was built from turns it into a probability. (By bytes and not by compressed
+bytes, as texts that repeat themselves are small either way.)
 
 Bounds of what is learnt from: ``SAMPLE_ROWS`` rows of each label, their whole texts, which the driver
 holds. The model is two dictionaries of ``DICTIONARY`` bytes.
 
-Defined cases: a row without an id is left out; null or empty texts get the score at no difference and full size; with too few texts
+Defined cases: a row without an id is left out; null or empty texts get the score at no difference; a very long text is a block of its own, read piece by piece; with too few texts
 for a dictionary of one label, that dictionary is the texts themselves; without labels all scores
 are 0.5; repeated rows score alike; an empty table gives an empty result; extra columns are ignored.
 """
@@ -27,7 +28,7 @@ from lacuna.llm import wordblock as wb
 from lacuna.llm.labelled import fold, logistic, sigmoid, training, weights
 
 SAMPLE_ROWS = 2000
-DICTIONARY, PIECE, LEVEL = 64 << 10, 2048, 3
+DICTIONARY, PIECE, LEVEL = 512 << 10, 1024, 3
 
 
 @dataclass
@@ -38,28 +39,23 @@ class QualityModel:
     level: int = LEVEL
 
     def measure(self):
-        """A function from bytes to (normalised difference, log of the compressed share)."""
+        """A function from bytes to the normalised difference."""
         import zstandard as z
 
-        makers = [z.ZstdCompressor(level=self.level, write_content_size=False)]
+        makers = []
         for raw in (self.good, self.bad):
             d = z.ZstdCompressionDict(raw)
             d.precompute_compress(level=self.level)
             makers.append(z.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False))
 
-        def of(text: bytes) -> tuple[float, float]:
-            if not text:
-                return 0.0, 0.0
-            pieces = [text[i : i + PIECE] for i in range(0, len(text), PIECE)]
-            alone, good, bad = (sum(len(m.compress(p)) for p in pieces) for m in makers)
-            return (bad - good) / (bad + good), float(np.log(alone / len(text)))
+        def of(text: bytes) -> float:
+            good, bad = (sum(len(m.compress(text[i : i + PIECE])) for i in range(0, len(text), PIECE)) for m in makers)
+            return (bad - good) / max(len(text), 1)
 
         return of
 
-
-def _features(d: np.ndarray, share: np.ndarray) -> np.ndarray:
-    d, share = np.clip(d, -0.5, 0.5), np.clip(share, -4.0, 1.0)
-    return np.column_stack((50 * d, share, share**2))
+    def probability(self, difference: np.ndarray) -> np.ndarray:
+        return sigmoid(difference * self.beta[0] + self.beta[1])
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
@@ -78,12 +74,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> QualityMo
     cut = known.select("label", F.encode("text", "UTF-8").alias("text"), F.xxhash64("doc_id").alias("h"), "doc_id")
     rows = cut.toPandas().sort_values(["h", "doc_id"])
     good, bad = ([bytes(t) for t in rows["text"][rows["label"] == k]] for k in (1, 0))
-    model = QualityModel(_dictionary(good[::2]), _dictionary(bad[::2]), np.zeros(4))
+    model = QualityModel(_dictionary(good[::2]), _dictionary(bad[::2]), np.zeros(2))
     of = model.measure()
-    seen = [(*of(t), y) for y, texts in ((1, good[1::2]), (0, bad[1::2])) for t in texts]
+    seen = [(of(t), y) for y, texts in ((1, good[1::2]), (0, bad[1::2])) for t in texts]
     if seen:
         table = np.array(seen)
-        model.beta = logistic(_features(table[:, 0], table[:, 1]), table[:, 2], weights(table[:, 2], np.ones(len(table)), totals))
+        model.beta = logistic(table[:, :1], table[:, 1], weights(table[:, 1], np.ones(len(table)), totals))
     return model
 
 
@@ -92,9 +88,8 @@ def _scored(shared):
         model = shared.value
         of = model.measure()
         for block in wb.blocks(batches):
-            got = np.array([of(block.text(i)) for i in range(len(block))]).reshape(-1, 2)
-            score = sigmoid(_features(got[:, 0], got[:, 1]) @ model.beta[:-1] + model.beta[-1])
-            yield pa.RecordBatch.from_arrays([block.rows.column("doc_id"), pa.array(score), pa.array(got[:, 0])], names=["doc_id", "score", "difference"])
+            got = np.array([of(block.text(i)) for i in range(len(block))], float)
+            yield pa.RecordBatch.from_arrays([block.rows.column("doc_id"), pa.array(model.probability(got)), pa.array(got)], names=["doc_id", "score", "difference"])
 
     return run
 
@@ -113,9 +108,8 @@ def _good(shared, text_col: str, threshold: float):
         model = shared.value
         of = model.measure()
         for batch in batches:
-            got = np.array([of((t.as_py() or "").encode()) for t in batch.column(text_col)]).reshape(-1, 2)
-            score = sigmoid(_features(got[:, 0], got[:, 1]) @ model.beta[:-1] + model.beta[-1])
-            yield batch.filter(pa.array(score >= threshold))
+            got = np.array([of((t.as_py() or "").encode()) for t in batch.column(text_col)], float)
+            yield batch.filter(pa.array(model.probability(got) >= threshold))
 
     return run
 
