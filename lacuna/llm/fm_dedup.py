@@ -42,7 +42,7 @@ WINDOW, GRAM = 20, 6
 #: From this many different pieces on, an anchor's windows are spread one by one.
 HOT = 256
 #: Words of pieces for each shard, and of runs in each bucket of answers.
-SHARD_WORDS, BUCKET_RUNS = 600_000, 1_000_000
+SHARD_WORDS, BUCKET_RUNS = 200_000, 1_000_000
 
 #: A place within the documents of one id, in one number: 27 bits of the text's hash, 31 of the first word, 5 of the number of windows.
 _SIG, _FIRST, _N = 36, 5, 31

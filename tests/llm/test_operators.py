@@ -164,6 +164,80 @@ def test_maximal_segments_against_definition():
         assert all(abs(s - sum(x[a : b + 1])) < 1e-9 for a, b, s in got)
 
 
+def test_scan_of_segments_is_linear():
+    import time
+
+    def took(n):
+        rng = random.Random(n)
+        at = sorted(rng.sample(range(3 * n), n))
+        scores = [0.1 + rng.random() for _ in at]
+        best = math.inf
+        for _ in range(3):
+            began = time.perf_counter()
+            for rest in (-0.01, -0.4, -5.0):
+                toxic_segments.maximal_segments(at, scores, rest)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    assert took(64_000) < 16 * took(8_000)  # 8 where linear, 64 where quadratic
+
+
+def test_extreme_value_parameters_are_found():
+    rng = np.random.default_rng(1)
+    m = rng.integers(20, 2000, 4000)
+    best = np.maximum((np.log(0.02 * m) - np.log(-np.log(rng.random(4000)))) / 0.7, 0)
+    lam, k = toxic_segments.extreme_value(m, best)
+    assert abs(lam - 0.7) < 0.05 and abs(k - 0.02) < 0.004
+    assert toxic_segments.extreme_value(m[:5], best[:5]) == (1.0, 1.0)
+
+
+def test_scores_against_plain_versions(spark):
+    """The registered scores, recomputed from the fitted models by plain Python."""
+    import zstandard as z
+
+    docs, labels, want = labelled(spark, lambda rng, w: " ".join(w[:10] + [rng.choice(["vile", "rotten"]) for _ in range(3)] + w[10:]), "toxic")
+    both = labels.withColumnRenamed("toxic", "quality").selectExpr("doc_id", "1 - quality AS quality", "quality AS toxic")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    model = quality_zstd.fit(docs.selectExpr("doc_id", "coalesce(text, '') AS text"), both)
+    size = lambda raw, t: sum(len(z.ZstdCompressor(level=3, dict_data=z.ZstdCompressionDict(raw), write_content_size=False, write_dict_id=False).compress(t[i : i + 1024])) for i in range(0, len(t), 1024))
+    for i, r in by_id(quality_zstd.score(docs, both)).items():
+        raw = texts[i].encode()
+        d = (size(model.bad, raw) - size(model.good, raw)) / max(len(raw), 1)
+        assert r.difference == pytest.approx(d) and r.score == pytest.approx(1 / (1 + math.exp(-(d * model.beta[0] + model.beta[1]))))
+    toxic = toxic_segments.fit(docs.selectExpr("doc_id", "coalesce(text, '') AS text"), both)
+    from lacuna.llm.wordblock import blocks
+    import pyarrow as pa
+
+    vocabulary = sorted({w for t in texts.values() for w in t.split()})
+    batch = pa.RecordBatch.from_pydict({"doc_id": [0], "text": [" ".join(vocabulary)]})
+    of = dict(zip(vocabulary, next(blocks(iter([batch]))).words(lower=True, alnum=True).hashes().tolist()))
+    score = dict(zip(toxic.tokens.tolist(), toxic.scores.tolist()))
+    assert {w for w in vocabulary if of[w] in score} >= {"vile", "rotten"} and toxic.lam > 0
+
+    def parts(x, lo, hi):
+        sums = [0.0]
+        for v in x[lo:hi]:
+            sums.append(sums[-1] + v)
+        low, best = 0, (0.0, 0, 0)
+        for j in range(1, len(sums)):
+            if sums[j] - sums[low] > best[0]:
+                best = (sums[j] - sums[low], low, j)
+            if sums[j] <= sums[low]:
+                low = j
+        s, a, b = best
+        return [] if s <= 0 else [*parts(x, lo, lo + a), (lo + a, lo + b - 1, s), *parts(x, lo + b, hi)]
+
+    for i, r in by_id(toxic_segments.score(docs, both)).items():
+        x = [score.get(of[w], toxic.rest) for w in texts[i].split()]
+        found = parts(x, 0, len(x))
+        e = toxic_segments.FLOOR
+        if x:
+            e = math.log(sum(math.exp(toxic.lam * s) for *_, s in found) or 1) - math.log(toxic.k * len(x))
+        e = min(max(e, toxic_segments.FLOOR), toxic_segments.CEILING)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(e * toxic.beta[0] + toxic.beta[1])))), i
+        assert [(p.first, p.last) for p in r.passages] == [(a, b) for a, b, s in found if toxic.k * len(x) * math.exp(-toxic.lam * s) < 0.01]
+
+
 # 4
 
 
