@@ -520,6 +520,33 @@ def test_passages_in_documents_shorter_than_the_item(spark):
     assert {r.doc_id: (r.first_word, r.n_words, round(r.similarity, 6)) for r in got.collect()} == {1: (0, 39, round(35 / 36, 6)), 2: (0, 38, round(34 / 36, 6)), 4: (0, 40, 1.0), 6: (0, 39, round(34 / 37, 6))}
 
 
+def test_repeated_items_and_small_blocks(spark, monkeypatch):
+    """Equal items are one, however many; blocks are bounded by bytes; of equal windows the first counts; texts may be long."""
+    w = [f"w{i}" for i in range(30)]
+    one = " ".join(w)
+    rows = [(9, one)] * 50_000 + [(4, one), (5, one)] + [(20 + i, " ".join(f"x{i}y{k}" for k in range(20))) for i in range(20)] + [(None, one)]
+    docs = [(1, f"a {one} b {one}"), (1, one), (2, " ".join(["pad"] * 30_000 + w + [f"q{i}" for i in range(20_000)] + w[:29])), (3, " ".join(f"x7y{k}" for k in range(20)))]
+    monkeypatch.setattr(decontam, "ITEM_BYTES", 400)
+    got = decontam.passages(frame(spark, docs), spark.createDataFrame(rows, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_items, r.first_word, r.similarity) for r in got) == [(1, 4, 3, 0, 1.0), (1, 4, 3, 1, 1.0), (2, 4, 3, 30_000, 1.0), (3, 27, 1, 0, 1.0)]
+
+
+def test_recall_near_the_threshold():
+    """Of windows with similarity 0.80 to 0.85, the share within the radius of their item."""
+    rng, near, all_ = np.random.default_rng(8), 0, 0
+    while all_ < 2000:
+        item = rng.integers(1, 1 << 60, 60).astype(np.uint64)
+        other = item.copy()
+        other[rng.choice(60, rng.integers(1, 3), replace=False)] = rng.integers(1, 1 << 60)
+        a, b = (decontam.wb.shingles(x, 5) for x in (item, other))
+        s = decontam.weighted_similarity(Counter(a.tolist()), Counter(b.tolist()))
+        if 0.8 <= s <= 0.85:
+            all_ += 1
+            p, q = (decontam.simhash(decontam._signs(x).sum(0, keepdims=True))[0] for x in (a, b))
+            near += int(np.bitwise_count(p ^ q).sum()) <= decontam.RADIUS
+    assert near / all_ > 0.99
+
+
 def test_multi_index_finds_all_within_the_radius():
     rng = np.random.default_rng(4)
     items = decontam.Items(np.arange(50), [rng.integers(1, 1 << 60, 12).astype(np.uint64) for _ in range(50)])
