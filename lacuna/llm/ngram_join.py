@@ -1,6 +1,6 @@
 """Similarity join of documents on their sets of word 5-grams, Jaccard 0.8 or more, by set size.
 
-Sets are put in one global order (shingles that are frequent somewhere come last, else by hash), so
+Sets are put in one global order (by how often a shingle's cell was seen, then by hash: frequent ones come last), so
 two sets that share o elements or more share c of the first ``|r| - o + c`` of each.
 
 * Light sets (up to x shingles) enumerate all subsets of c = 2 of that prefix, and meet others under
@@ -22,8 +22,9 @@ A candidate pair is dropped if the parity bitmaps of its sets differ in more bit
 Copies (equal sets) are one class from the start. Sets are compared by 64-bit hashes of shingles.
 
 Defined cases: a row without an id is left out; null or empty text, or no word: an empty set, linked with nothing; fewer than 5
-words: the whole sequence is the one shingle; repeated rows of one id are one document; an empty
-table gives an empty result; extra columns are ignored. No cap on list lengths or partners.
+words: the whole sequence is the one shingle; rows of one id are one document, with the text of the smallest hash where they have
+several, and each gets its row; a component is named by its smallest id, so ties have no part; a very long text is a block of its own;
+an empty table gives an empty result; extra columns are ignored. No cap on list lengths or partners.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ from lacuna.llm import wordblock as wb
 from lacuna.llm.graph import components
 
 WIDTH, NUM, DEN = 5, 80, 100
-#: A shingle counts as frequent in a window of documents from this many on; the list's bound.
-OFTEN, FREQUENT_KEPT, WINDOW = 3, 400_000, 2_000_000
+#: A shingle counts as frequent in a window of documents from this many on. Counts are kept by cells of hashes, one byte each.
+OFTEN, CELLS, WINDOW = 3, 1 << 22, 2_000_000
 #: 64-bit words of the small bitmap that joins compare.
 SMALL = 8
 #: Rounds of pivots before the rest is enumerated; any number gives the same components.
@@ -110,23 +111,20 @@ def _often(width: int):
     return run
 
 
-class Order:
-    """The global order of shingles: frequent ones last, else by hash."""
+def _filled(table: pa.Table) -> pa.Table:
+    """The levels of a part of the cells: how many binary digits the counts have."""
+    levels = np.zeros(1 << 16, np.uint8)
+    levels[table.column("cell").to_numpy() & 0xFFFF] = np.frexp(table.column("n").to_numpy().astype(float))[1]
+    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int64()), "levels": pa.array([levels.tobytes()], pa.binary())})
 
-    def __init__(self, frequent: np.ndarray):
-        self._frequent = np.sort(frequent)
-        self._maybe = np.zeros(1 << 20, bool)
-        self._maybe[(self._frequent & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
-    def late(self, values: np.ndarray) -> np.ndarray:
-        out = self._maybe[(values & np.uint64((1 << 20) - 1)).astype(np.int64)]
-        if len(self._frequent):
-            at = np.flatnonzero(out)
-            v = values[at]
-            out[at] = self._frequent[np.minimum(np.searchsorted(self._frequent, v), len(self._frequent) - 1)] == v
-        else:
-            out[:] = False
-        return out
+def _levels(often: DataFrame) -> np.ndarray:
+    """One byte for each cell, whatever the input. Any value gives the same links; frequent cells are only to come last."""
+    cells = often.where("total = 0").groupBy(F.pmod("key", F.lit(CELLS)).alias("cell")).agg(F.sum("n").alias("n"))
+    out = np.zeros(CELLS, np.uint8)
+    for r in cells.withColumn("part", F.shiftright("cell", 16)).groupBy("part").applyInArrow(_filled, "part long, levels binary").collect():
+        out[r["part"] << 16 : (r["part"] + 1) << 16] = np.frombuffer(r["levels"], np.uint8)
+    return out
 
 
 def least_overlap(n):
@@ -137,10 +135,10 @@ def least_overlap(n):
 def _keys(width: int, shared, boundary: int):
     """Per document the keys under which it is listed: subsets of two for light sets, prefix elements for heavy ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Order(shared.value)
+        levels = shared.value
         for block in wb.blocks(batches):
             values, first = distinct_shingles(block, width)
-            late, n = order.late(values), np.diff(first)
+            late, n = levels[(values & np.uint64(CELLS - 1)).astype(np.int64)], np.diff(first)
             own = wb.owner_of(first)
             ranked = np.lexsort((values, late, own))
             values = values[ranked]
@@ -240,10 +238,10 @@ def _exact(width: int):
     return run
 
 
-def choose_boundary(list_length: float, most: int = 400) -> int:
+def choose_boundary(list_length: float) -> int:
     """The largest size whose subsets of two are no more than the entries of the lists it would scan."""
     x = 0
-    for n in range(1, most + 1):
+    for n in range(1, int(16 * list_length) + 64):  # beyond it subsets, of a tenth of n and more, are always dearer
         p = min(n, n - least_overlap(n) + 2)
         if p * (p - 1) / 2 <= (n - least_overlap(n) + 1) * list_length:
             x = n
@@ -253,38 +251,36 @@ def choose_boundary(list_length: float, most: int = 400) -> int:
 def links(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signatures of all documents, classes of equal sets, components of class representatives).
 
-    ``docs`` has doc_id and text (see ``wordblock.doc_text``).
+    ``docs`` has doc_id and text (see ``wordblock.doc_text``), and no id twice.
     """
     spark = docs.sparkSession
     signed = wb.keep(docs.mapInArrow(_signatures(width), "doc_id long, n long, sig_a long, sig_b long"), "signatures")
     classes = signed.where("n > 0").groupBy("n", "sig_a", "sig_b").agg(F.min("doc_id").alias("rep"))
     classes = wb.keep(classes, "classes")
-    reps = classes.select(F.col("rep").alias("doc_id"))
+    own = wb.keep(docs.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text"), "own")
+    wb.release(spark)
 
-    often = wb.keep(docs.mapInArrow(_often(width), "key long, n long, total long, repeats long"), "often")
-    frequent = often.where("total = 0").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT_KEPT)
+    often = wb.keep(own.mapInArrow(_often(width), "key long, n long, total long, repeats long"), "often")
     seen = often.where("total > 0").agg(F.count("*"), F.sum("total"), F.sum("repeats")).first()
     length = 1 + (seen[2] or 0) / (seen[1] or 1) * (seen[0] or 0)
     boundary = choose_boundary(length)
-    # at most FREQUENT_KEPT hashes, 3.2 MB, whatever the input
-    shared = spark.sparkContext.broadcast(frequent.select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64))
+    # CELLS bytes, whatever the input
+    shared = spark.sparkContext.broadcast(_levels(often))
 
-    listed = docs.mapInArrow(_keys(width, shared, boundary), "doc_id long, n long, keys array<long>, places array<int>")
-    listed = listed.join(reps, "doc_id", "left_semi")
+    listed = own.mapInArrow(_keys(width, shared, boundary), "doc_id long, n long, keys array<long>, places array<int>")
     entries = listed.select("doc_id", "n", F.explode(F.arrays_zip("keys", "places")).alias("e")).select(F.col("e.keys").alias("key"), "doc_id", "n", F.col("e.places").alias("place"))
     entries = wb.keep(entries, "entries")
-    del listed
     wb.forget(often)
+    del listed, often
     shared_keys = entries.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
     hits = wb.keep(entries.join(shared_keys, "key"), "hits")
-    del shared_keys
     wb.forget(entries)
-    del entries
+    del entries, shared_keys
 
-    near = hits.select("doc_id").distinct()
-    bits = wb.keep(docs.mapInArrow(_bitmaps(width), "doc_id long, n long, bits binary, " + ", ".join(f"{c} long" for c in _small())).join(near, "doc_id", "left_semi"), "bitmaps")
-    texts = wb.keep(docs.join(near, "doc_id", "left_semi").select("doc_id", "text"), "texts")
-    del near
+    texts = wb.keep(own.join(hits.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
+    wb.forget(own)
+    bits = wb.keep(texts.mapInArrow(_bitmaps(width), "doc_id long, n long, bits binary, " + ", ".join(f"{c} long" for c in _small())), "bitmaps")
+    del own
     wb.release(spark)
 
     found, stars, table = None, None, hits
@@ -352,6 +348,9 @@ def _verified(texts: DataFrame, bits: DataFrame, pairs: DataFrame, width: int) -
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every document."""
     docs = wb.doc_text(docs, id_col, text_col)
-    signed, classes, stars = links(docs, width)
+    repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    one = wb.keep(docs.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "one") if repeated else docs
+    signed, classes, stars = links(one, width)
     of_class = classes.join(stars.select(F.col("id").alias("rep"), "component"), "rep", "left").select("n", "sig_a", "sig_b", "rep", F.coalesce("component", "rep").alias("component"))
-    return signed.join(of_class, ["n", "sig_a", "sig_b"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = signed.join(of_class, ["n", "sig_a", "sig_b"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
+    return docs.select("doc_id").join(out, "doc_id") if repeated else out

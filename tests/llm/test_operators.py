@@ -20,6 +20,11 @@ def by_id(df):
     return {r.doc_id: r for r in df.collect()}
 
 
+def thue_morse(k):
+    bits = [i.bit_count() & 1 for i in range(1 << k)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 # 1
 
 
@@ -73,6 +78,26 @@ def test_similar_components(spark):
     assert sorted((r.doc_id, r.component_id) for r in twice.collect()) == [(1, 1), (1, 1), (2, 2)]
 
 
+def test_repeated_ids_do_not_multiply(spark):
+    """One id many times, in two documents that link and in one with several texts."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text)] * 200 + [(2, text + " more")] * 200 + [(3, f"{text} {i}" if i % 2 else "else") for i in range(200)]
+    got = ngram_join.similar_components(frame(spark, rows)).groupBy("doc_id", "n_shingles", "component_id").count().collect()
+    kept = {(r.doc_id, r.component_id, r["count"]) for r in got}
+    assert {(1, 1, 200), (2, 1, 200)} < kept and kept - {(1, 1, 200), (2, 1, 200)} in ({(3, 1, 200)}, {(3, 3, 200)})
+
+
+def test_words_and_sizes_that_could_collide(spark):
+    """Crafted words, a very long text, and sets whose similarity is exactly the threshold."""
+    one, two = thue_morse(11)
+    nine = "a b c d e f g h i j k l m".split()  # 9 shingles; 8 of them shared by texts one word longer at an end
+    long = [f"l{i}" for i in range(40_000)]
+    rows = [(1, f"{one} x y z q"), (2, f"{two} x y z q"), (3, " ".join(nine)), (4, " ".join(["z", *nine[:-1]])), (5, " ".join(long)), (6, " ".join(long[400:])), (7, " ".join(long[:20_000]))]
+    got = by_id(ngram_join.similar_components(frame(spark, rows)))
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == similar(rows)
+    assert got[3].component_id == got[4].component_id == 3 and got[6].component_id == 5 and got[2].component_id == 2
+
+
 def test_links_not_found_by_pivots_are_enumerated(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "ROUNDS", 0)
     got = by_id(ngram_join.similar_components(frame(spark, ROWS)))
@@ -407,11 +432,6 @@ def test_native_sql(spark, tmp_path):
 # 7
 
 
-def thue_morse(k):
-    bits = [i.bit_count() & 1 for i in range(1 << k)]
-    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
-
-
 @pytest.mark.parametrize("hot", [256, 2, 0])
 def test_strip_repeats(spark, monkeypatch, hot):
     monkeypatch.setattr(fm_dedup, "HOT", hot)
