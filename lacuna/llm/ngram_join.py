@@ -19,6 +19,11 @@ components are exact.
 A candidate pair is dropped if the parity bitmaps of its sets differ in more bits than the sets may
 (a proven bound), and else decided on the whole sets of both texts.
 
+Most entries of the lists are alone in theirs. So entries travel packed, many to a row, to the range of
+hashes of their key, which passes on those that have company. A key that a block of documents has
+several times needs no such answer: its entries pass straight on, and the range learns of the key
+once, so a list in a third of all rows does not meet in one task.
+
 Copies (equal sets) are one class from the start. Sets are compared by 64-bit hashes of shingles.
 
 Defined cases: a row without an id is left out; null or empty text, or no word: an empty set, linked with nothing; fewer than 5
@@ -132,7 +137,16 @@ def least_overlap(n):
     return -(-NUM * n // DEN)
 
 
-def _keys(width: int, shared, boundary: int):
+#: Entries of inverted lists, packed: a group of 0 and more is a range of keys, one below 0 passes its entries on.
+_ENTRIES = "grp long, keys binary, docs binary, sizes binary, places binary"
+_HITS = "key long, doc_id long, n long, place int"
+#: In place of an entry: its key is in several documents. Of a subset, which has no place.
+_SEVERAL, _NOWHERE = -2, -1
+#: Distinct shingles of documents for each range of keys, about; they have some 0.3 entries each.
+RANGE_SHINGLES = 2_000_000
+
+
+def _entries(width: int, shared, boundary: int, ranges: int):
     """Per document the keys under which it is listed: subsets of two for light sets, prefix elements for heavy ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
@@ -158,15 +172,41 @@ def _keys(width: int, shared, boundary: int):
                     sub = wb.mix(prefix[:, i] * np.uint64(0x9E3779B97F4A7C15) + prefix[:, j])
                 keys.append(sub.ravel())
                 owners.append(np.repeat(docs, len(i)))
-                places.append(np.full(sub.size, -1))
+                places.append(np.full(sub.size, _NOWHERE))
             key, owner, at = np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
-            back = np.argsort(owner, kind="stable")
-            bounds = np.searchsorted(owner[back], np.arange(len(n) + 1))
-            yield pa.RecordBatch.from_arrays([block.rows.column("doc_id"), pa.array(n), wb.lists(key[back].view(np.int64), bounds, pa.int64()), wb.lists(at[back].astype(np.int32), bounds, pa.int32())], names=["doc_id", "n", "keys", "places"])
+            order = np.argsort(key, kind="stable")
+            key, owner, at = key[order], owner[order], at[order].astype(np.int32)
+            lead = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+            many = np.diff(np.append(lead, len(key)))
+            several = np.repeat(many > 1, many)
+            ids, size = block.column("doc_id"), n.astype(np.int32)
+            told = key[lead[many > 1]]
+            grp = np.concatenate((np.where(several, -1 - (key >> np.uint64(32)).astype(np.int64) % ranges, _range(key, ranges)), _range(told, ranges)))
+            cols = [np.concatenate(c) for c in ((key, told), (ids[owner], np.zeros(len(told), np.int64)), (size[owner], np.zeros(len(told), np.int32)), (at, np.full(len(told), _SEVERAL, np.int32)))]
+            order = np.argsort(grp, kind="stable")
+            cuts = np.flatnonzero(np.diff(grp[order], prepend=grp[order[:1]] - 1))
+            parts = np.split(order, cuts[1:]) if len(order) else []
+            yield pa.RecordBatch.from_arrays([pa.array([int(grp[p[0]]) for p in parts], pa.int64()), *[pa.array([c[p].tobytes() for p in parts], pa.binary()) for c in cols]], names=[x.split()[0] for x in _ENTRIES.split(", ")])
 
     return run
 
 
+def _range(key: np.ndarray, ranges: int) -> np.ndarray:
+    return ((key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """The entries of a range whose key another document has."""
+    kinds = (("keys", np.uint64), ("docs", np.int64), ("sizes", np.int32), ("places", np.int32))
+    key, doc, size, place = (np.concatenate([np.frombuffer(x.as_py(), k) for x in table.column(c)]) for c, k in kinds)
+    if table.column("grp")[0].as_py() >= 0:
+        lists, of = np.unique(key, return_inverse=True)
+        of = of.reshape(-1)
+        known = (np.bincount(of, weights=np.where(place == _SEVERAL, 2, 1), minlength=len(lists)) > 1)[of] & (place != _SEVERAL)
+        key, doc, size, place = key[known], doc[known], size[known], place[known]
+    return pa.table({"key": pa.array(key.view(np.int64)), "doc_id": pa.array(doc), "n": pa.array(size.astype(np.int64)), "place": pa.array(place)})
+
+
 def _small() -> list[str]:
     return [f"s{i}" for i in range(SMALL)]
 
@@ -267,15 +307,11 @@ def links(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame, Da
     # CELLS bytes, whatever the input
     shared = spark.sparkContext.broadcast(_levels(often))
 
-    listed = own.mapInArrow(_keys(width, shared, boundary), "doc_id long, n long, keys array<long>, places array<int>")
-    entries = listed.select("doc_id", "n", F.explode(F.arrays_zip("keys", "places")).alias("e")).select(F.col("e.keys").alias("key"), "doc_id", "n", F.col("e.places").alias("place"))
-    entries = wb.keep(entries, "entries")
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(seen[1] or 0) // RANGE_SHINGLES))
+    hits = wb.keep(own.mapInArrow(_entries(width, shared, boundary, ranges), _ENTRIES).groupBy("grp").applyInArrow(_shared, _HITS), "hits")
     wb.forget(often)
-    del listed, often
-    shared_keys = entries.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
-    hits = wb.keep(entries.join(shared_keys, "key"), "hits")
-    wb.forget(entries)
-    del entries, shared_keys
+    del often
+    wb.release(spark)
 
     texts = wb.keep(own.join(hits.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
     wb.forget(own)
