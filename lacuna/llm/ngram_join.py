@@ -143,7 +143,7 @@ _HITS = "key long, doc_id long, n long, place int"
 #: In place of an entry: its key is in several documents. Of a subset, which has no place.
 _SEVERAL, _NOWHERE = -2, -1
 #: Distinct shingles of documents for each range of keys, about; they have some 0.3 entries each.
-RANGE_SHINGLES = 2_000_000
+RANGE_SHINGLES = 250_000
 
 
 def _entries(width: int, shared, boundary: int, ranges: int):

@@ -368,14 +368,63 @@ def test_packing(spark):
         own = sorted(docs[i], key=lambda r: r.start)
         assert [x for r in own for x in r.ids] == ids
         assert all(r.doc_tokens == len(ids) for r in own) and [r.start for r in own] == np.cumsum([0, *(r.length for r in own[:-1])]).tolist()
+    padding = 0
     for own in sequences.values():
         own.sort(key=lambda r: r.offset)
         total = sum(r.length for r in own)
-        assert [r.offset for r in own] == np.cumsum([0, *(r.length for r in own[:-1])]).tolist()
-        assert total <= 2048 and total & (total - 1) == 0
+        assert [r.offset for r in own] == np.cumsum([0, *(r.length for r in own[:-1])]).tolist() and total <= 2048
+        padding += 2048 - total
+    assert len({(r.sequence_id, r.offset) for r in got}) == len(got)
+    assert padding <= 4 * 2048  # a few open bins of each of three tasks
     assert packing.pack(frame(spark, []), path).count() == 0
     with pytest.raises(ValueError):
-        packing.pack(frame(spark, []), path, capacity=1000)
+        packing.pack(frame(spark, []), path, capacity=0)
+    twice = packing.pack(frame(spark, [(1, "a b"), (1, "a b"), (None, "c")]), path).collect()
+    assert sorted((r.doc_id, r.length) for r in twice) == [(1, 3), (1, 3)]
+
+
+@pytest.mark.parametrize("capacity", [2048, 1000, 7])
+def test_harmonic_bins(capacity):
+    """A bin of a class has its number of pieces, no bin more padding than allowed, every length is dealt out in full."""
+    rng = random.Random(capacity)
+    bins = packing.Bins(capacity, 0)
+    lengths = [rng.choice([1, 5, rng.randrange(1, 4 * capacity), rng.randrange(1, capacity + 1)]) for _ in range(5000)]
+    pieces, kinds = 0, {}
+    for i, n in enumerate(lengths):
+        at = 0
+        for k, size in bins.cut(n):
+            assert size >= 1 and (not k or size * k <= capacity < size * (k + 1) + k + 1)
+            kinds[i, at] = k
+            bins.put(k, size, [i, at, size])
+            at, pieces = at + size, pieces + 1
+        assert at == n
+    whole = {s for _, s, _ in bins.done}
+    bins.close()
+    assert len(bins.done) == pieces
+    held = defaultdict(list)
+    for row, s, offset in bins.done:
+        held[s].append((offset, *row))
+    for s, rows in held.items():
+        rows.sort()
+        total = sum(r[3] for r in rows)
+        assert [r[0] for r in rows] == np.cumsum([0, *(r[3] for r in rows[:-1])]).tolist() and total <= capacity
+        if s in whole:
+            k = {kinds[r[1], r[2]] for r in rows}
+            assert len(k) == 1 and (k == {0} or k == {len(rows)})
+            assert capacity - total <= max(capacity // packing.SLACK, *k)
+    assert sum(r[3] for rows in held.values() for r in rows) == sum(lengths)
+
+
+def test_another_tokenizer_goes_through_the_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    exact, short = Tokenizer.from_file(path), packing.Ids(public_tokenizers.path("word_bpe_49k.json"))
+    coder = packing.Ids(path)
+    for text in ["Some Words, it's 12  o'clock", "plain words", *TRICKY]:
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == exact.encode(text, add_special_tokens=False).ids
+    assert short._short and not coder._short
 
 
 # 6 and 9
