@@ -6,7 +6,7 @@ hashes first, in numpy, and travels as compressed arrays, one for each chunk and
 
 1. Chunks: ids, fold and tokens of their documents, as numbers into the chunk's own vocabulary. They are written once.
 2. The longest grams. Each range of hashes merges the chunks' counts to one sorted hash array, which its
-   worker keeps in a file and maps into memory, and answers each chunk with the totals of its grams in
+   worker keeps in a mapped file, and answers each chunk with the totals of its grams in
    the order asked. Of each gram seen in training one chunk is told that it owns it.
 3. The next shorter grams, down to words. From the grams they own, one word longer, chunks report of each
    gram how many different words precede it, how many follow it once, twice, more often, and how often
@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import ctypes
 import os
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -44,7 +43,7 @@ from lacuna.llm.labelled import fold
 
 CHUNK_BYTES = 5 << 19
 #: Distinct hashes for each range, about.
-RANGE_KEYS = 750_000
+RANGE_KEYS = 500_000
 #: Of what would lie on disk beside the answers of other orders, so many parts are shuffled one after the other: of chunks, or of hash ranges.
 PARTS = 2
 END, START = np.uint64(0x656E64), np.uint64(0x7374617274)
@@ -266,30 +265,33 @@ def _merge(width: int):
         seen = np.flatnonzero(flat[:, 0] > 0)
         np.minimum.at(owner, index[seen], seen)
         del index, flat
-        out = []
-        with tempfile.TemporaryDirectory() as folder:
-            hashes, totals = _mapped(folder, "keys", keys), _mapped(folder, "totals", sums)
-            at = 0
-            for r, a in zip(asked, ask, strict=True):
-                found = np.searchsorted(hashes, a)
-                own = owner[found] == np.arange(at, at + len(a))
-                at += len(a)
-                out.append((r["chunk"], r["range"], _columns(totals[found]), squeezed(np.packbits(own).tobytes()), None))
-            # how many have a count of 1, 2, 3, 4, more than 2; sum of counts; words with any count of tokens; tokens
-            c, t = totals[:, 0], totals[:, -1]
-            out.append((-1, asked[0]["range"], None, None, [*(int((c == k).sum()) for k in (1, 2, 3, 4)), int((c > 2).sum()), int(c.sum()), int((t > 0).sum()), int(t.sum())]))
-            del hashes, totals, c, t
-        del asked, ask, keys, sums, owner, seen
+        # from here on the model's part is read where it is mapped
+        hashes, totals, owners = _mapped(keys), _mapped(sums), _mapped(owner)
+        del keys, sums, owner, seen
+        out, at = [], 0
+        for r, a in zip(asked, ask, strict=True):
+            found = np.searchsorted(hashes, a)
+            own = owners[found] == np.arange(at, at + len(a))
+            at += len(a)
+            out.append((r["chunk"], r["range"], _columns(totals[found]), squeezed(np.packbits(own).tobytes()), None))
+        # how many have a count of 1, 2, 3, 4, more than 2; sum of counts; words with any count of tokens; tokens
+        c, t = totals[:, 0], totals[:, -1]
+        out.append((-1, asked[0]["range"], None, None, [*(int((c == k).sum()) for k in (1, 2, 3, 4)), int((c > 2).sum()), int(c.sum()), int((t > 0).sum()), int(t.sum())]))
+        del asked, ask, hashes, totals, owners, c, t
         _give_back()
         return pa.Table.from_batches([_batch(_TOLD, out)])
 
     return run
 
 
-def _mapped(folder: str, name: str, values: np.ndarray) -> np.ndarray:
-    path = os.path.join(folder, name)
-    values.tofile(path)
-    return np.memmap(path, values.dtype, "r", shape=values.shape) if len(values) else values
+def _mapped(values: np.ndarray) -> np.ndarray:
+    """The values in a file of the worker's memory, mapped read-only: no folder of the machine is used, and it goes with the last reference."""
+    if not values.size:
+        return values
+    with os.fdopen(os.memfd_create("hashes"), "w+b") as f:
+        np.ascontiguousarray(values).tofile(f)
+        f.flush()
+        return np.memmap(f, values.dtype, "r", shape=values.shape)
 
 
 def _answers(told: list[dict], size: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -396,6 +398,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts
     ranges = max(least, -(-tokens // RANGE_KEYS))
 
     told, sums = {}, {}
+    with wb.row_by_row(spark):
+        scores = _learnt(chunks, order, ranges, told, sums)
+    wb.forget(chunks, *(df for of in told.values() for df in of))
+    return reduce(DataFrame.union, scores)
+
+
+def _learnt(chunks: DataFrame, order: int, ranges: int, told: dict, sums: dict) -> list[DataFrame]:
+    """Count order by order, then score."""
+    spark = chunks.sparkSession
     for k in range(order, 0, -1):
         merged = lambda asks, name: wb.keep(asks.groupBy("range").applyInArrow(_merge(_width(k, order)), _TOLD), name)  # noqa: B023, E731
         if k == order:
@@ -416,6 +427,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts
 
     w = sums[1]
     totals = Totals(tuple(discounts(*sums[k][:4]) for k in range(2, order + 1)), discounts(*w[:4]), w[0], w[1], w[4], w[6], w[5], w[7])
-    scores = _by_parts(chunks, told, _score(totals, order), _SCORES, "scores")
-    wb.forget(chunks, *(df for of in told.values() for df in of))
-    return reduce(DataFrame.union, scores)
+    return _by_parts(chunks, told, _score(totals, order), _SCORES, "scores")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -203,6 +204,18 @@ def forget(*kept) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def row_by_row(spark):
+    """Rows of MBs go to Python one in a batch, for the tables written within."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def release(spark) -> None:
     """Shuffle files go once nothing refers to them: collect the garbage of both sides now, not at some time."""
     import gc
