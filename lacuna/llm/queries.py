@@ -67,7 +67,7 @@ def op8_simhash_decontamination(spark, sf_dir):
 def op9_license_scan(spark, sf_dir):
     from lacuna.llm.license_scan import scan
 
-    return scan(_table(spark, sf_dir, "documents"))
+    return scan(_table(spark, sf_dir, "documents"), notices=False)
 
 
 def op10_toxic_segments(spark, sf_dir):

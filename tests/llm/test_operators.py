@@ -468,6 +468,11 @@ def test_native_sql(spark, tmp_path):
     import duckdb
 
     texts = [*ROWS, (700, "MIT License mit license, the Apache-License."), (701, "Released under the MIT License."), (702, "licensed under the apache license version 3 0 Licensed under the Apache License, Version 2.0"), (703, "GNU General Public License, version 3"), (704, "mit  license"), (705, "éMIT License")]
+    for i, x in enumerate(license_scan.TEMPLATES):  # whole, with a tenth of the words changed, with a third, cut off, one word too many
+        w = x.words
+        texts += [(800 + i, "Copyright 2020. " + x.text.capitalize() + "."), (900 + i, " ".join("other" if k % 10 == 7 else v for k, v in enumerate(w))), (1000 + i, " ".join("other" if k % 3 == 2 else v for k, v in enumerate(w)))]
+        texts += [(1100 + i, " ".join(w[len(w) // 8 :])), (1200 + i, " ".join(w[: len(w) // 2] + ["more"] + w[len(w) // 2 :])), (1300 + i, f"{x.key} and {x.text} " * 2)]
+    texts += [(1400, "the license " * 30_000 + "Released under the MIT License"), (1401, "released under the mit \u212aicense \u0130sc MIT license")]
     frame(spark, texts, extra=False).write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
     con = duckdb.connect()
@@ -475,14 +480,34 @@ def test_native_sql(spark, tmp_path):
     cur = con.execute(license_scan.oracle())
     names = [d[0] for d in cur.description]
     want = sorted(str([dict(zip(names, r, strict=True))[c] for c in sorted(names)]) for r in cur.fetchall())
-    got = license_scan.scan(docs)
+    got = license_scan.scan(docs, notices=False)
     assert sorted(str([r[c] for c in sorted(names)]) for r in got.collect()) == want
     rows = by_id(got)
     assert (rows[700].n_base, rows[700].first_word, rows[700].last_word, rows[700].base_labels) == (3, 0, 5, "apache,mit")
     assert rows[702].labels == "apache,apache-2.0" and rows[703].base_labels == "gpl" and rows[705].n_base == 0
+    assert rows[800].labels == "apache,apache-2.0" and rows[800].score == 1.0 and rows[1400].labels == "mit"
+    full = by_id(license_scan.scan(docs))
+    assert [(n.label, n.first, n.share) for n in full[800].notices] == [("apache-2.0", 2, 1.0)] and full[701].notices[0].first == 0
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_licence_index_has_what_a_notice_keeps():
+    """Whatever words a notice lacks, as many as it may, ``AGREE`` of its postings are left."""
+    rng = random.Random(6)
+    words = {w for t in license_scan.TEMPLATES for w in t.words}
+    index = license_scan.postings(license_scan.TEMPLATES, {w: rng.random() for w in words})
+    for i, t in enumerate(license_scan.TEMPLATES):
+        places = [p for x in index.values() for k, p in x if k == i]
+        assert len(places) == len(set(places)) == len(t.words) - t.least + license_scan.AGREE
+        assert t.words[t.key_at : t.key_at + len(t.key.split())] == t.key.split()
+
+
+def test_repeated_rows_and_rows_without_an_id_in_native_scans(spark):
+    rows = [(1, "MIT License"), (1, "MIT License"), (None, "MIT License"), (2, None)]
+    got = license_scan.scan(frame(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.n_base) for r in got) == [(0, 1), (1, 1), (1, 1), (2, 0)]
+
+
 # 7
 
 
