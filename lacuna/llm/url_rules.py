@@ -7,7 +7,8 @@
   found run their regular expressions. Of those that match, the longest pattern gives the verdict
   (then the smallest pattern); a url that none matches is allowed.
 * Host rules (host, path prefix) go before: a rule fits its host and all subdomains where the url's
-  path starts with the rule's; the longest of those that fit decides.
+  path starts with the rule's; the longest of those that fit decides (then the smallest). The host and
+  each part of it behind a dot are looked up in hash buckets of the rules' hosts.
 
 Row by row, no shuffle but for the count of tokens (partial sums of at most as many keys as the rules
 have tokens), so hot hosts do not matter. ``RULES`` bounds the literal; more rules are refused.
@@ -89,6 +90,17 @@ def _index(of: dict[Pattern, str]) -> tuple[Column, int]:
     return F.array(*maps), n
 
 
+def _host_index(rules) -> tuple[Column, int]:
+    """Hash buckets of (length below 0, host, path, verdict), as a literal."""
+    from zlib import crc32
+
+    n = max(1, len(rules))
+    buckets: list[list] = [[] for _ in range(n)]
+    for h, p, v in rules:
+        buckets[crc32(h.encode()) % n].append(F.struct(F.lit(-len(h + p)).alias("n"), F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")))
+    return F.array(*[F.array(*b).cast("array<struct<n:int,host:string,path:string,verdict:string>>") for b in buckets]), n
+
+
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", host_rules=HOST_RULES, patterns: tuple[Pattern, ...] = PATTERNS, default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict, pattern) of every row."""
     if len(patterns) > RULES or len(host_rules) > RULES:
@@ -99,12 +111,12 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", host_
     urls = urls.withColumn("rest", rest)
     urls = urls.withColumn("host", lowered(F.regexp_extract("rest", "^[^/?#]*", 0))).withColumn("path", F.regexp_extract("rest", "^[^/?#]*([^?#]*)", 1))
 
-    fits = lambda h, p: ((F.col("host") == h) | F.endswith(F.col("host"), F.lit("." + h))) & F.startswith(F.col("path"), F.lit(p))
-    ordered = sorted(host_rules, key=lambda r: (-len(r[0] + r[1]), r))
-    rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for h, p, v in reversed(ordered):  # the first of ``ordered`` that fits
-        rule = F.when(fits(h, p), F.lit(h + p)).otherwise(rule)
-        verdict = F.when(fits(h, p), F.lit(v)).otherwise(verdict)
+    hosts, m = _host_index(host_rules)
+    labels = F.split("host", r"\.")
+    behind = F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
+    here = lambda h: F.filter(F.element_at(hosts, (F.pmod(F.crc32(h.cast("binary")), F.lit(m)) + 1).cast("int")), lambda r: (r["host"] == h) & F.startswith(F.col("path"), r["path"]))
+    urls = urls.withColumn("fits", F.array_min(F.flatten(F.transform(behind, here))))
+    rule, verdict = F.concat("fits.host", "fits.path"), F.col("fits.verdict")
 
     index, n = _index(rarest_tokens(urls, patterns))
     urls = urls.withColumn("tokens", _tokens(F.col("low")))

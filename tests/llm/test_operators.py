@@ -463,6 +463,14 @@ def test_url_rules(spark):
     assert url_rules.judge(df).count() == len(urls) + 1 and url_rules.judge(df.limit(0)).count() == 0
 
 
+def test_many_host_rules(spark):
+    rules = [(f"h{i}.org", "/", "block") for i in range(3000)] + [("org", "/a", "allow"), ("h7.org", "/a/b", "allow"), ("h7.org", "/a/b", "block")]
+    urls = ["http://h2999.org/x", "http://x.h5.org/a", "http://h7.org/a/b/c", "http://other.org/a", "http://org/b", "http://h7.org.uk/", None, "http://h1.org:80/", "http://" + "a." * 2000 + "h3.org/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge(df, host_rules=rules).collect()}
+    assert got == {0: ("h2999.org/", "block"), 1: ("h5.org/", "block"), 2: ("h7.org/a/b", "allow"), 3: ("org/a", "allow"), 4: (None, "allow"), 5: (None, "allow"), 6: (None, "allow"), 7: (None, "allow"), 8: ("h3.org/", "block")}
+
+
 def test_native_sql(spark, tmp_path):
     """Both native operators against DuckDB, where every rule and phrase is tried everywhere."""
     import duckdb
