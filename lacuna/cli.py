@@ -8,11 +8,15 @@ import sys
 from pyspark.sql import SparkSession
 
 from lacuna import ship
-from lacuna.operators import evaluate
-from lacuna.plans.deidentify import Config, detect, deidentify
+from lacuna.operators import assist, evaluate
+from lacuna.plans.deidentify import Config, deidentify, detect, settings
 from lacuna.sources import fhir, notes
 
 
+# Fixed value: the model where LLM_MODEL is not set.
+MODEL = "anthropic/claude-haiku-4-5"
+
+
 def _print(row) -> None:
     print(notes.note_report(row["redacted_text"], [(a["type"], a["count"]) for a in row["audit"]]))
 
@@ -25,6 +29,7 @@ def main(argv: list[str] | None = None) -> int:
         one.add_argument("file")
         one.add_argument("--strategy", choices=("mask", "hash", "surrogate"), default="mask")
         one.add_argument("--no-ner", action="store_true")
+        one.add_argument("--llm", action="store_true", help="second pass by LLM_MODEL")
         if name == "bundle":
             one.add_argument("--extract-only", action="store_true")
             one.add_argument("--max-clinical-items", type=int, default=fhir.MAX_ITEMS)
@@ -41,8 +46,11 @@ def main(argv: list[str] | None = None) -> int:
             with open(args.out, "w", encoding="utf-8") as f:
                 f.write(text)
         return 0 if evaluate.passes_gate(scored) else 1
-    regions = fhir.REGIONS if args.command == "bundle" else Config().regions
-    config = Config.from_env(strategy=args.strategy, use_ner=not args.no_ner, regions=regions)
+    given = {"regions": fhir.REGIONS} if args.command == "bundle" else {}
+    if args.llm:
+        found = settings()
+        given["assistant"] = assist.completing(assist.litellm_backend(found.get("LLM_MODEL", MODEL), found.get("API_KEY")))
+    config = Config.from_env(strategy=args.strategy, use_ner=not args.no_ner, **given)
     if args.command == "note":
         _print(notes.read_notes(spark, args.file).transform(deidentify(config)).first())
         return 0

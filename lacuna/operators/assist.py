@@ -6,6 +6,7 @@ raises counts as nothing found.
 
 from __future__ import annotations
 
+import json
 import logging
 from collections.abc import Callable
 
@@ -16,14 +17,63 @@ from pyspark.sql import functions as F
 from lacuna.functions.spans import SPANS
 from lacuna.operators.merge import PRIORITY
 
-#: Which environment variable holds the key of a provider's models; the callable reads it, nothing is set.
-PROVIDER_KEYS = {p: f"{p.upper()}_API_KEY" for p in ("openai", "anthropic", "gemini", "mistral", "groq", "cohere", "deepseek", "openrouter", "xai")}
+# Which environment variable holds the key of a provider's models, by the provider's names and by how its models' bare names
+# begin. The callable reads the variable, nothing is set.
+PROVIDER_KEYS = {
+    **{p: f"{p.upper()}_API_KEY" for p in ("openai", "anthropic", "azure", "gemini", "mistral", "groq", "cohere", "together", "deepseek", "openrouter", "xai")},
+    "azure_ai": "AZURE_API_KEY",
+    "google": "GEMINI_API_KEY",
+    "together_ai": "TOGETHER_API_KEY",
+}
+BARE_NAMES = {"claude-": "ANTHROPIC_API_KEY", "gpt-": "OPENAI_API_KEY", "o1": "OPENAI_API_KEY", "o3": "OPENAI_API_KEY", "o4": "OPENAI_API_KEY"}
+SYSTEM = 'You find protected health information in clinical notes that earlier passes have missed. Answer with one JSON object: {"spans": [{"text": exact text from the note, "type": one of the types}]}. Leave out what is already listed. Types: ' + ", ".join(sorted(PRIORITY))
 SCORE = 0.75
 
 
 def key_variable(model: str) -> str | None:
-    """The variable for ``provider/model``; None for providers that need none."""
-    return PROVIDER_KEYS.get(model.split("/", 1)[0].lower())
+    """The variable for ``provider/model`` or a bare model name; None for providers that need none."""
+    provider, slash, _ = model.lower().partition("/")
+    if slash:
+        return PROVIDER_KEYS.get(provider)
+    return next((v for start, v in BARE_NAMES.items() if provider.startswith(start)), None)
+
+
+def prompt(text: str, known: list[dict], regions: tuple[str, ...]) -> list[dict]:
+    """Messages with the note, what is found already, and the regions."""
+    listed = "\n".join(f"* {s['type']}: {s['text']!r}" for s in known) or "* nothing"
+    user = f"Regions: {', '.join(regions)}\n\nFound so far:\n{listed}\n\nNote:\n{text}"
+    return [{"role": "system", "content": SYSTEM}, {"role": "user", "content": user}]
+
+
+def parsed(answer: str | None) -> list[dict]:
+    """The spans of a JSON answer that have a text and a type."""
+    spans = json.loads(answer or "{}").get("spans") or []
+    return [s for s in spans if isinstance(s, dict) and isinstance(s.get("text"), str) and s["text"] and isinstance(s.get("type"), str)]
+
+
+def completing(*backends: Callable[[list[dict]], str]) -> Callable:
+    """An assistant that asks backends (messages -> answer) one after the other until one answers; none: nothing found."""
+    def ask(text: str, known: list[dict], regions: tuple[str, ...]) -> list[dict]:
+        messages = prompt(text, known, regions)
+        for backend in backends:
+            try:
+                return parsed(backend(messages))
+            except Exception as e:  # noqa: BLE001  the next backend may do better
+                logging.getLogger(__name__).warning("a backend failed: %s", e)
+        return []
+
+    return ask
+
+
+def litellm_backend(model: str, key: str | None = None) -> Callable[[list[dict]], str]:
+    """Calls ``model`` through the litellm package, which has to be installed where tasks run; without ``key`` it reads ``key_variable(model)`` itself."""
+    def complete(messages: list[dict]) -> str:
+        import litellm
+
+        given = {"api_key": key} if key else {}
+        return litellm.completion(model=model, messages=messages, temperature=0.0, response_format={"type": "json_object"}, **given)["choices"][0]["message"]["content"]
+
+    return complete
 
 
 def resolve(text: str, part: str, taken: list[tuple[int, int]]) -> tuple[int, int] | None:

@@ -73,6 +73,11 @@ def overlaps(spans: Column) -> Column:
     return F.exists(pairs, lambda p: p["y"]["start"] < p["x"]["end"])
 
 
+def disjoint(spans: Column) -> Column:
+    """The spans, or an error where neighbours overlap."""
+    return F.when(overlaps(spans), F.raise_error(F.lit("spans overlap after the merge"))).otherwise(spans)
+
+
 def layers(*spans: Column) -> Column:
     """Candidates of all layers in the order given, numbered."""
     return numbered(F.concat(*spans))

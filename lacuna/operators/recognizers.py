@@ -18,17 +18,26 @@ STREET_KINDS = "Street|St|Road|Rd|Avenue|Ave|Drive|Dr|Lane|Ln|Court|Ct|Place|Pl|
 CITY_GATE = ("address", "street", "road", "ave", "avenue", "drive", "suburb", "city", "lives", "lived")
 POSTCODE_GATE = ("address", "street", "road", "ave", "avenue", "drive", "suburb", "city", "town", "postcode", "post", "nz", "australia", "auckland", "wellington", "sydney", "melbourne", "brisbane", "perth", "adelaide", "unit")
 ID_LABELS = "SSN|Social Security Number|Driver'?s License|Passport(?: Number)?|Medical Record Number|FHIR patient id|FHIR resource id|Identifier"
+#: Ends of names that stand for a web address without a scheme; none is a word that ends sentences.
+SUFFIXES = "com|org|net|edu|gov|mil|int|info|biz|io|health|nz|au|uk|us|ca|ie|de|fr|eu"
 UUID_GATE = ("mrn", "identifier", "patient id", "resource id")
 
 _MONTH = "|".join([*MONTHS, *(m[:3] for m in MONTHS)])
 _UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 
-#: Shapes of numbers by region: country or trunk prefix, then the plan's groups.
+_NORTH_AMERICA = r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|\b[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}\b"
+#: Shapes of numbers by region: country or trunk prefix, then the plan's groups; free numbers as well.
 PHONE_SHAPES = {
-    "NZ": r"(?:\+64[ -]?|\b0)(?:2[0-9]|[34679])[ -]?[0-9]{3}[ -]?[0-9]{3,4}\b",
-    "AU": r"(?:(?:\+61[ -]?|\b0)4[0-9]{2}[ -]?[0-9]{3}[ -]?[0-9]{3}|(?:\+61[ -]?|\b0|\(0)[2378]\)?[ -]?[0-9]{4}[ -]?[0-9]{4})\b",
-    "US": r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|\b[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}\b",
+    "NZ": r"(?:(?:\+64[ -]?|\b0)(?:2[0-9]|[34679])[ -]?[0-9]{3}[ -]?[0-9]{3,4}|\b0(?:508|800|900)[ -]?[0-9]{3}[ -]?[0-9]{3,4})\b",
+    "AU": r"(?:(?:\+61[ -]?|\b0)4[0-9]{2}[ -]?[0-9]{3}[ -]?[0-9]{3}|(?:\+61[ -]?|\b0|\(0)[2378]\)?[ -]?[0-9]{4}[ -]?[0-9]{4}|\b1[389]00[ -]?[0-9]{3}[ -]?[0-9]{3})\b",
+    "US": _NORTH_AMERICA,
+    "CA": _NORTH_AMERICA,
+    "GB": r"(?:\+44[ -]?(?:\(0\)[ -]?)?|\b0|\(0)(?:[1-3][0-9]{1,4}\)?[ -]?[0-9]{3,4}[ -]?[0-9]{3,4}|7[0-9]{3}[ -]?[0-9]{3}[ -]?[0-9]{3}|80[08][ -]?[0-9]{3}[ -]?[0-9]{3,4})\b",
+    "IE": r"(?:\+353[ -]?(?:\(0\)[ -]?)?|\b0|\(0)(?:8[35679]|[1-9][0-9]?)\)?[ -]?[0-9]{3}[ -]?[0-9]{3,4}\b",
 }
+# Country calling codes of further regions; of these, numbers with the code are found.
+CALLING_CODES = {"AT": 43, "BE": 32, "BR": 55, "CH": 41, "CN": 86, "DE": 49, "DK": 45, "ES": 34, "FI": 358, "FJ": 679, "FR": 33, "GR": 30, "HK": 852, "ID": 62, "IN": 91, "IT": 39, "JP": 81, "KR": 82, "LK": 94, "MX": 52, "MY": 60, "NL": 31, "NO": 47, "PG": 675, "PH": 63, "PK": 92, "PL": 48, "PT": 351, "SE": 46, "SG": 65, "TH": 66, "TO": 676, "VN": 84, "WS": 685, "ZA": 27}
+REGIONS = frozenset(PHONE_SHAPES) | frozenset(CALLING_CODES)
 
 
 @dataclass(frozen=True)
@@ -100,7 +109,8 @@ def _city_near(text: Column, h: Column) -> Column:
 
 
 def _ip_valid(c: Column) -> Column:
-    return F.contains(c, F.lit(":")) | F.forall(F.split(c, r"\."), lambda o: o.cast("int") <= 255)
+    v6 = F.regexp_like(c, F.lit("[0-9]")) & (F.size(F.split(c, ":")) <= 8)
+    return F.when(F.contains(c, F.lit(":")), v6).otherwise(F.forall(F.split(c, r"\."), lambda o: o.cast("int") <= 255))
 
 
 NHI_OLD = RecognizerSpec("NhiOldRecognizer", "NHI", r"\b[A-HJ-NP-Z]{3}\d{4}\b", 1.0, "iU", valid=nhi_valid, gate=has(r"\p{Nd}{4}"))
@@ -117,13 +127,17 @@ AGE_SHORT = RecognizerSpec("AgeRecognizer", "AGE", r"\b\d{1,3}\s*(?:yo|y/o)\b",
 AGE_LONG = RecognizerSpec("AgeRecognizer", "AGE", r"\b\d{1,3}\s*years?\s*old\b", 0.75, "iU", gate=has(r"\p{Nd}(?U)\s*[yY]"))
 STREET = RecognizerSpec("LocationRecognizer", "LOCATION", rf"\b\d{{1,5}}\s+[A-Za-z]+(?:[\s\-'][A-Za-z]+){{0,64}}\s+(?:{STREET_KINDS})\b", 0.75, "iU", gate=has(r"\p{Nd}(?U)\s"))
 CITY = RecognizerSpec("LocationRecognizer", "LOCATION", r"(\b[A-Za-z]+(?:\s+[A-Za-z]+)?)(\s*,?\s+\d{4}\b)", 0.6, "iU", "first", near=_city_near, gate=has(r"(?U)\s\p{Nd}{4}"))
-EMAIL = RecognizerSpec("EmailRecognizer", "EMAIL", r"\b[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.){1,8}[A-Za-z]{2,12}\b", 1.0, "iU", gate=any_of("@"))
-URL = RecognizerSpec("UrlRecognizer", "URL", r"(?:\bhttps?://[^\s<>\"']+|\b(?:[a-z0-9-]+\.){1,8}(?:com|org|net|edu|gov|health|co\.nz|govt\.nz|org\.nz|ac\.nz|com\.au|org\.au|gov\.au|edu\.au)\b(?:/[^\s<>\"']*)?)", 0.6, "iU", gate=has(r"://|[.](?i:com|org|net|edu|gov|health|co|ac)"))
-IP = RecognizerSpec("IpRecognizer", "IP", r"(?:\b(?:\d{1,3}\.){3}\d{1,3}\b|\b(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}\b)", 0.6, "iU", valid=_ip_valid, gate=has(r"\p{Nd}[.]\p{Nd}|:[0-9a-fA-F]{1,4}:"))
+EMAIL = RecognizerSpec("EmailRecognizer", "EMAIL", r"\b[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.){1,16}[A-Za-z]{2,63}\b", 1.0, "iU", gate=any_of("@"))
+URL = RecognizerSpec("UrlRecognizer", "URL", rf"(?:\bhttps?://[^\s<>\"']+|\b(?:[a-z0-9-]+\.){{1,8}}(?:{SUFFIXES})\b(?:/[^\s<>\"']*)?)", 0.6, "iU", gate=has(rf"://|[.](?i:{SUFFIXES})"))
+IP = RecognizerSpec("IpRecognizer", "IP", r"(?:\b(?:\d{1,3}\.){3}\d{1,3}\b|\b(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}\b|\b(?:[0-9a-f]{1,4}:){1,6}(?::[0-9a-f]{1,4}){1,6}\b|\B::(?:[0-9a-f]{1,4}:){0,5}[0-9a-f]{1,4}\b)", 0.6, "iU", valid=_ip_valid, gate=has(r"\p{Nd}[.]\p{Nd}|:[0-9a-fA-F]{0,4}:"))
 
 
 def phone_region(region: str) -> RecognizerSpec:
-    return RecognizerSpec("PhoneRecognizerPhi", "PHONE", PHONE_SHAPES[region], 0.9, gate=has("[0-9]{3}"))
+    """Numbers of a region's plan; of a region without a plan here, numbers with its calling code."""
+    if region not in REGIONS:
+        raise ValueError(f"no phone numbers are known for region {region}")
+    shape = PHONE_SHAPES.get(region) or rf"\+{CALLING_CODES[region]}[ .-]?(?:\(0\)[ .-]?)?[0-9](?:[ .()-]{{0,2}}[0-9]){{6,12}}\b"
+    return RecognizerSpec("PhoneRecognizerPhi", "PHONE", shape, 0.9, gate=has("[0-9]{2}"))
 
 
 def phones(text: Column, regions: tuple[str, ...]) -> Column:

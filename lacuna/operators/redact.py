@@ -14,15 +14,11 @@ from lacuna.functions.spans import piece
 STRATEGIES = ("mask", "hash", "surrogate")
 
 #: What a surrogate of a named kind is picked from.
-PICKS = {
-    "PERSON": ("Alex Morgan", "Robin Taylor", "Jordan Ellis", "Casey Brooks", "Avery Quinn", "Rowan Blake", "Morgan Reid", "Dana Hollis"),
-    "PHONE": ("021 555 0101", "021 555 0102", "021 555 0103", "021 555 0104", "0400 555 105", "0400 555 106", "0400 555 107", "0400 555 108"),
-    "EMAIL": ("a.morgan@example.com", "r.taylor@example.com", "j.ellis@example.com", "c.brooks@example.com", "a.quinn@example.org", "r.blake@example.org"),
-    "URL": ("https://www.example.com/a", "https://www.example.org/b", "https://www.example.net/c", "https://www.example.com/d"),
-    "IP": ("192.0.2.11", "192.0.2.45", "198.51.100.7", "198.51.100.90", "203.0.113.21", "203.0.113.77"),
-    "LOCATION": ("1 Example Street", "22 Sample Road", "37 Model Avenue", "4 Pattern Lane", "58 Specimen Drive", "6 Template Court"),
-    "ORG": ("Example Health", "Sample Clinic", "Model Hospital", "Pattern Medical Centre"),
-}
+_FIRST = ("Alex", "Robin", "Jordan", "Casey", "Avery", "Rowan", "Morgan", "Dana", "Quinn", "Harper", "Riley", "Emery", "Sage", "Tatum", "Blair", "Devon", "Ellis", "Frankie", "Jules", "Kendall", "Lane", "Marlow", "Noel", "Oakley", "Parker", "Reese", "Skyler", "Teagan", "Val", "Wren")
+_LAST = ("Morgan", "Taylor", "Ellis", "Brooks", "Quinn", "Blake", "Reid", "Hollis", "Archer", "Barlow", "Carver", "Dalton", "Easton", "Farrow", "Garner", "Hadley", "Ingram", "Jarvis", "Keating", "Lowell", "Mercer", "Norwood", "Osborn", "Presley", "Ramsey", "Sawyer", "Thorne", "Upton", "Vance", "Winslow", "Yardley")
+_ROADS = ("Example", "Sample", "Model", "Pattern", "Specimen", "Template", "Fictive", "Mockup", "Stand In", "Dummy", "Nominal")
+_KINDS = ("Street", "Road", "Avenue", "Lane", "Drive", "Court", "Place", "Terrace", "Crescent")
+_CARE = ("Health", "Clinic", "Hospital", "Medical Centre", "Health Centre")
 SHAPED = ("MRN", "NHI", "MEDICARE", "IHI", "ID")
 
 _DIGITS = "0123456789"
@@ -77,14 +73,36 @@ def shape_preserving(c: Column) -> Column:
     return F.translate(c, _FROM, _TO)
 
 
+def _pick(values: tuple[str, ...], n: Column, by: int = 1) -> Column:
+    """One of the values, by the part of n above ``by``."""
+    return F.element_at(F.array(*map(F.lit, values)), (F.floor(n / by) % len(values) + 1).cast("int"))
+
+
+def _number(n: Column, by: int, size: int, least: int = 0) -> Column:
+    return (F.floor(n / by) % size + least).cast("string")
+
+
+def _person(n: Column, sep: str = " ") -> Column:
+    return F.concat(_pick(_FIRST, n), F.lit(sep), _pick(_LAST, n, len(_FIRST)))
+
+
+#: Surrogates of named kinds, from a number that the key and the text give. Addresses are of ranges kept for examples.
+NAMED = {
+    "PERSON": _person,
+    "PHONE": lambda n: F.concat(F.lit("021 555 "), _number(n, 1, 9000, 1000)),
+    "EMAIL": lambda n: F.concat(F.lower(_person(n, ".")), _number(n, 1000, 100), F.lit("@example.com")),
+    "URL": lambda n: F.concat(F.lit("https://www.example.org/"), F.lower(F.hex(n % 16777216))),
+    "IP": lambda n: F.concat(_pick(("192.0.2.", "198.51.100.", "203.0.113."), n, 254), _number(n, 1, 254, 1)),
+    "LOCATION": lambda n: F.concat(_number(n, 1, 400, 1), F.lit(" "), _pick(_ROADS, n, 400), F.lit(" "), _pick(_KINDS, n, 4400)),
+    "ORG": lambda n: F.concat(_pick(_ROADS, n), F.lit(" "), _pick(_LAST, n, len(_ROADS)), F.lit(" "), _pick(_CARE, n, 11 * len(_LAST))),
+}
+
+
 def surrogate(kind: Column, text: Column, entity_key: Column) -> Column:
     n = seed(entity_key)
     out = F.concat(F.lit("["), kind, F.lit(":"), entity_key, F.lit("]"))
-    for k, values in PICKS.items():
-        options = F.array(*map(F.lit, values))
-        first = F.element_at(options, (n % len(values) + 1).cast("int"))
-        second = F.element_at(options, ((n + 1) % len(values) + 1).cast("int"))
-        out = F.when(kind == k, F.when(first == text, second).otherwise(first)).otherwise(out)
+    for k, make in NAMED.items():
+        out = F.when(kind == k, F.when(make(n) == text, make(n + 1)).otherwise(make(n))).otherwise(out)
     out = F.when(kind == "DATE", F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), ((n % 365) * 3).cast("int")), "dd/MM/yyyy")).otherwise(out)
     out = F.when(kind == "POSTCODE", (n % 9000 + 1000).cast("string")).otherwise(out)
     out = F.when(kind == "AGE", (n % 90 + 10).cast("string")).otherwise(out)

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.spans import no_spans, settled
 from lacuna.operators.assist import with_assistant
-from lacuna.operators.merge import filter_redacted, layers, merge_spans
+from lacuna.operators.merge import disjoint, filter_redacted, layers, merge_spans
 from lacuna.operators.ner import cue_spans
-from lacuna.operators.recognizers import RecognizerSpec, rule_spans
+from lacuna.operators.recognizers import REGIONS, RecognizerSpec, rule_spans
 from lacuna.operators.redact import STRATEGIES, audit, redact, replacements
 
 
@@ -38,11 +38,33 @@ class Config:
             raise ValueError(f"no such strategy: {self.strategy}")
         if self.strategy != "mask" and not self.key:
             raise ValueError(f"{self.strategy} needs a key")
+        if not 0 <= self.ner_threshold <= 1:
+            raise ValueError("the threshold of the entity layer lies between 0 and 1")
+        if unknown := sorted(set(self.regions) - REGIONS):
+            raise ValueError(f"no phone numbers are known for regions {', '.join(unknown)}")
 
     @classmethod
-    def from_env(cls, **given) -> "Config":
-        """The key from PHI_HASH_KEY, where it is set."""
-        return cls(**{"key": os.environ.get("PHI_HASH_KEY")} | given)
+    def from_env(cls, env_file: str = ".env", **given) -> "Config":
+        """PHI_HASH_KEY, PHI_REGIONS and PHI_NER_THRESHOLD, from the environment or else from ``env_file``; arguments go before both."""
+        found = settings(env_file)
+        known = {"key": found.get("PHI_HASH_KEY")}
+        if regions := [r.strip().upper() for r in found.get("PHI_REGIONS", "").split(",") if r.strip()]:
+            known["regions"] = tuple(regions)
+        if threshold := found.get("PHI_NER_THRESHOLD"):
+            known["ner_threshold"] = float(threshold)
+        return cls(**known | given)
+
+
+def settings(env_file: str = ".env") -> dict[str, str]:
+    """Variables of a file of NAME=value lines, under those of the environment."""
+    found = {}
+    if os.path.isfile(env_file):
+        with open(env_file, encoding="utf-8") as f:
+            for line in f:
+                name, sign, value = line.strip().removeprefix("export ").partition("=")
+                if sign and not name.startswith("#"):
+                    found[name.strip()] = value.strip().strip("'\"")
+    return found | dict(os.environ)
 
 
 def _text(text_col: str) -> Column:
@@ -63,10 +85,10 @@ def _cues(app: str, text_col: str, threshold: float, with_rules: bool) -> Column
 
 
 @lru_cache(maxsize=32)
-def _settling(app: str, text_col: str, spans_col: str) -> tuple[Column, Column]:
-    """The filter of redacted tokens, and the merge after it."""
+def _settling(app: str, text_col: str, spans_col: str) -> tuple[Column, Column, Column]:
+    """The filter of redacted tokens, the merge after it, and the check of its result."""
     text = _text(text_col)
-    return filter_redacted(text, layers(F.col(spans_col))), merge_spans(text, F.col(spans_col))
+    return filter_redacted(text, layers(F.col(spans_col))), merge_spans(text, F.col(spans_col)), disjoint(F.col(spans_col))
 
 
 def detect(notes: DataFrame, config: Config = Config(), text_col: str = "text", spans_col: str = "spans", ner_col: str | None = None) -> DataFrame:
@@ -83,8 +105,8 @@ def detect(notes: DataFrame, config: Config = Config(), text_col: str = "text",
     out = settled(notes, spans_col, F.concat(*parts) if parts else no_spans())
     if config.assistant:
         out = with_assistant(out, config.assistant, config.regions, text_col, spans_col)
-    kept, merged = _settling(app, text_col, spans_col)
-    return settled(settled(out, spans_col, kept), spans_col, merged)
+    kept, merged, checked = _settling(app, text_col, spans_col)
+    return settled(settled(out, spans_col, kept), spans_col, merged).withColumn(spans_col, checked)
 
 
 def deidentify(config: Config = Config(), text_col: str = "text", **kw) -> Callable[[DataFrame], DataFrame]:

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lacuna import ship, spread
 from lacuna.functions import checksums
 from lacuna.functions.spans import SPAN, settled
 from lacuna.operators import assist, evaluate, merge, ner, recognizers, redact
@@ -35,13 +36,16 @@ def _query(name: str, oracle: str | None = None):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    from lacuna import ship
-
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _customers(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Keys that notes and bundles are made of, over all cores."""
+    return spread(_table(spark, sf_dir, "customer").select("c_custkey", *columns))
+
+
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generate.generated_notes(_table(spark, sf_dir, "customer"))
+    return generate.generated_notes(_customers(spark, sf_dir))
 
 
 NOTES = f"notes AS ({generate.notes_sql()})"
@@ -66,12 +70,49 @@ def _hits(text: str, pattern: str, insensitive: bool, cut: bool) -> str:
         e := (coalesce(list_sum(list_transform(p[1:i - 1], lambda x: {plain})), 0) + len(replace(p[i], chr(2), '')))::BIGINT)))[1]"""
 
 
-def _found(spec: RecognizerSpec, valid: str = "true", near: str = "true", source: str = "notes") -> str:
-    """Rows note_id, begin_at, end_at, value of a recognizer."""
-    a, b = {"whole": ("s", "e"), "second": ("m", "e"), "first": ("s", "m")}[spec.part]
+# What the recognizers are to find, written down apart from them, in RE2's syntax: (pattern, case-blind, which part). Groups
+# stand around what goes before or behind the part.
+_UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+_NAME = r"(?:\p{Lu}[\p{L}'’]+(?:-\p{Lu}[\p{L}'’]+)?|\p{Lu}\.)"
+EXPECTED = {
+    "NHI_OLD": (r"\b[A-HJ-NP-Z]{3}[0-9]{4}\b", True, "whole"),
+    "NHI_NEW": (r"\b[A-HJ-NP-Z]{3}[0-9]{2}[A-HJ-NP-Z]{2}\b", True, "whole"),
+    "MEDICARE": (r"\b[2-6][0-9]{7}\s?[0-9]\s?[0-9]?\b", False, "whole"),
+    "IHI": (r"\b8003\s?60\s?[0-9]{4}\s?[0-9]{4}\s?[0-9]{2}\b", False, "whole"),
+    "PHONE_LABELLED": (r"(\b(?:Phone|Telephone|Contact|Mobile)[:\s]+)([+()0-9][0-9 .()/-]{6,}\b)", True, "second"),
+    "PHONE_NZ": (r"(?:\+64[ -]?|\b0)(?:2[0-9]|3|4|6|7|9)[ -]?[0-9]{3}[ -]?[0-9]{3,4}\b|\b0(?:508|800|900)[ -]?[0-9]{3}[ -]?[0-9]{3,4}\b", False, "whole"),
+    "PHONE_AU": (r"(?:\+61[ -]?|\b0)4[0-9]{2}[ -]?[0-9]{3}[ -]?[0-9]{3}\b|(?:\+61[ -]?|\b0|\(0)[2378]\)?[ -]?[0-9]{4}[ -]?[0-9]{4}\b|\b1(?:300|800|900)[ -]?[0-9]{3}[ -]?[0-9]{3}\b", False, "whole"),
+    "PHONE_US": (r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|\b[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}\b", False, "whole"),
+    "DATE": (r"\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}\b|\b[0-9]{1,2}\s+(?:January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+[0-9]{4}\b|\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b", True, "whole"),
+    "MRN": (r"(\b(?:MRN|UR|U/R)[:\s#]*)([0-9]{5,8}\b)", True, "second"),
+    "ID_LABELLED": (r"(\b(?:SSN|Social Security Number|Driver'?s License|Passport|Passport Number|Medical Record Number|FHIR patient id|FHIR resource id|Identifier)[:\s#]+)([A-Z0-9][A-Z0-9-]{5,}\b)", True, "second"),
+    "SSN": (r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", False, "whole"),
+    "UUID": (rf"\b{_UUID}\b", True, "whole"),
+    "AGE_SHORT": (r"\b[0-9]{1,3}\s*(?:yo|y/o)\b", True, "whole"),
+    "AGE_LONG": (r"\b[0-9]{1,3}\s*years?\s*old\b", True, "whole"),
+    "STREET": (r"\b[0-9]{1,5}\s+[A-Za-z]+(?:[\s\-'][A-Za-z]+)*\s+(?:Street|St|Road|Rd|Avenue|Ave|Drive|Dr|Lane|Ln|Court|Ct|Place|Pl|Way|Terrace|Tce|Crescent|Cres|Parade|Pde|Boulevard|Blvd|Cutting|Esplanade|Highway|Hwy)\b", True, "whole"),
+    "CITY": (r"(\b[A-Za-z]+(?:\s+[A-Za-z]+)?)(\s*,?\s+[0-9]{4}\b)", True, "first"),
+    "POSTCODE": (r"\b[0-9]{4,5}(?:-[0-9]{4})?\b", False, "whole"),
+    "EMAIL": (r"\b[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}\b", True, "whole"),
+    "URL": (r"\bhttps?://[^\s<>\"']+|\b(?:[a-z0-9-]+\.)+(?:com|org|net|edu|gov|mil|int|info|biz|io|health|nz|au|uk|us|ca|ie|de|fr|eu)\b(?:/[^\s<>\"']*)?", True, "whole"),
+    "IP": (r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b|\b(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}\b", True, "whole"),
+    "PERSON": (rf"(\b(?i:Patient name|Patient|Name|Practitioner|Next of kin)[: ][ ]*)({_NAME}(?:[ ]{_NAME}){{1,3}})", False, "second"),
+    "REDACTED": (r"\[REDACTED:[A-Z]+\]|\[[A-Z]+:[0-9a-f]{10}\]", False, "whole"),
+    "TEN_DIGITS": (r"\b[0-9]{10}\b", False, "whole"),
+}
+_CITY_WORDS = ("address", "street", "road", "ave", "avenue", "drive", "suburb", "city", "lives", "lived")
+_UUID_WORDS = ("mrn", "identifier", "patient id", "resource id")
+_LINE_WORDS = ("address", "street", "road", "ave", "avenue", "drive", "suburb", "city", "town", "postcode", "post", "nz", "australia", "auckland", "wellington", "sydney", "melbourne", "brisbane", "perth", "adelaide", "unit")
+
+
+def _found(name: str, valid: str = "true", near: str = "true", source: str = "notes") -> str:
+    """Rows note_id, begin_at, end_at, value of what is expected of a recognizer."""
+    pattern, blind, part = EXPECTED[name]
+    a, b = {"whole": ("s", "e"), "second": ("m", "e"), "first": ("s", "m")}[part]
+    pattern = f"(?:{pattern})" if part == "whole" else pattern
     return f"""SELECT note_id, begin_at, end_at, value FROM (
   SELECT note_id, text, h, h.{a} AS begin_at, h.{b} AS end_at, substring(text, h.{a} + 1, h.{b} - h.{a}) AS value FROM (
-    SELECT note_id, text, unnest({_hits('text', spec.pattern, 'i' in spec.flags, spec.part != 'whole')}) AS h FROM {source}))
+    SELECT note_id, text, unnest({_hits('text', pattern, blind, part != 'whole')}) AS h FROM {source}))
   WHERE {valid} AND {near}"""
 
 
@@ -104,84 +145,88 @@ def _rows(spans: DataFrame) -> DataFrame:
     return s.select("note_id", F.col("s.start").cast("long").alias("begin_at"), F.col("s.end").cast("long").alias("end_at"), F.col("s.text").alias("value"))
 
 
-def _detector(name: str, spec: RecognizerSpec, valid: str = "true", near: str = "true") -> None:
-    @_query(name, f"WITH {NOTES} {_found(spec, valid, near)}")
+def _detector(name: str, spec: RecognizerSpec, expected: str, valid: str = "true", near: str = "true") -> None:
+    @_query(name, f"WITH {NOTES} {_found(expected, valid, near)}")
     def run(spark, sf_dir):
         return _rows(settled(_notes(spark, sf_dir), "found", spec.spans(F.col("text"))))
 
 
-_detector("detect_nhi", recognizers.NHI_OLD, _NHI)
-_detector("detect_nhi_new", recognizers.NHI_NEW)
-_detector("detect_medicare", recognizers.MEDICARE, _MEDICARE)
-_detector("detect_ihi", recognizers.IHI, _IHI)
-_detector("detect_phone_labelled", recognizers.PHONE_LABELLED)
-_detector("detect_phone_nz", recognizers.phone_region("NZ"))
-_detector("detect_phone_au", recognizers.phone_region("AU"))
-_detector("detect_phone_us", recognizers.phone_region("US"))
-_detector("detect_date", recognizers.DATE, _DATE)
-_detector("detect_mrn", recognizers.MRN)
-_detector("detect_id_labelled", recognizers.ID_LABELLED)
-_detector("detect_ssn", recognizers.SSN)
-_detector("detect_uuid_gated", recognizers.UUID, near=_window(40, 20, recognizers.UUID_GATE))
-_detector("detect_age_short", recognizers.AGE_SHORT)
-_detector("detect_age_long", recognizers.AGE_LONG)
-_detector("detect_street", recognizers.STREET)
-_detector("detect_city_gated", recognizers.CITY, near=_window(50, 10, recognizers.CITY_GATE))
-_detector("detect_email", recognizers.EMAIL)
-_detector("detect_url", recognizers.URL)
-_detector("detect_ip", recognizers.IP, _OCTETS)
-_detector("detect_person_cue", ner.CUES[0])
+_detector("detect_nhi", recognizers.NHI_OLD, "NHI_OLD", _NHI)
+_detector("detect_nhi_new", recognizers.NHI_NEW, "NHI_NEW")
+_detector("detect_medicare", recognizers.MEDICARE, "MEDICARE", _MEDICARE)
+_detector("detect_ihi", recognizers.IHI, "IHI", _IHI)
+_detector("detect_phone_labelled", recognizers.PHONE_LABELLED, "PHONE_LABELLED")
+_detector("detect_phone_nz", recognizers.phone_region("NZ"), "PHONE_NZ")
+_detector("detect_phone_au", recognizers.phone_region("AU"), "PHONE_AU")
+_detector("detect_phone_us", recognizers.phone_region("US"), "PHONE_US")
+_detector("detect_date", recognizers.DATE, "DATE", _DATE)
+_detector("detect_mrn", recognizers.MRN, "MRN")
+_detector("detect_id_labelled", recognizers.ID_LABELLED, "ID_LABELLED")
+_detector("detect_ssn", recognizers.SSN, "SSN")
+_detector("detect_uuid_gated", recognizers.UUID, "UUID", near=_window(40, 20, _UUID_WORDS))
+_detector("detect_age_short", recognizers.AGE_SHORT, "AGE_SHORT")
+_detector("detect_age_long", recognizers.AGE_LONG, "AGE_LONG")
+_detector("detect_street", recognizers.STREET, "STREET")
+_detector("detect_city_gated", recognizers.CITY, "CITY", near=_window(50, 10, _CITY_WORDS))
+_detector("detect_email", recognizers.EMAIL, "EMAIL")
+_detector("detect_url", recognizers.URL, "URL")
+_detector("detect_ip", recognizers.IP, "IP", _OCTETS)
+_detector("detect_person_cue", ner.CUES[0], "PERSON")
 
 
 def _union(*parts: str) -> str:
     return " UNION ".join(f"({p})" for p in parts)
 
 
-@_query("detect_phone_region", f"WITH {NOTES} {_union(*[_found(s) for s in (recognizers.PHONE_LABELLED, recognizers.phone_region('NZ'), recognizers.phone_region('AU'))])}")
+@_query("detect_phone_region", f"WITH {NOTES} {_union(*[_found(s) for s in ('PHONE_LABELLED', 'PHONE_NZ', 'PHONE_AU')])}")
 def detect_phone_region(spark, sf_dir):
     return _rows(settled(_notes(spark, sf_dir), "found", recognizers.phones(F.col("text"), ("NZ", "AU"))))
 
 
-@_query("detect_generic_id", f"WITH {NOTES} {_union(_found(recognizers.ID_LABELLED), _found(recognizers.SSN), _found(recognizers.UUID, near=_window(40, 20, recognizers.UUID_GATE)))}")
+@_query("detect_generic_id", f"WITH {NOTES} {_union(_found('ID_LABELLED'), _found('SSN'), _found('UUID', near=_window(40, 20, _UUID_WORDS)))}")
 def detect_generic_id(spark, sf_dir):
     return _rows(settled(_notes(spark, sf_dir), "found", recognizers.generic_ids(F.col("text"))))
 
 
-@_query("detect_location", f"WITH {NOTES} {_union(_found(recognizers.STREET), _found(recognizers.CITY, near=_window(50, 10, recognizers.CITY_GATE)))}")
+@_query("detect_location", f"WITH {NOTES} {_union(_found('STREET'), _found('CITY', near=_window(50, 10, _CITY_WORDS)))}")
 def detect_location(spark, sf_dir):
     return _rows(settled(_notes(spark, sf_dir), "found", recognizers.locations(F.col("text"))))
 
 
 _LINES = f"""lines AS (SELECT note_id * 1000 + i AS note_id, note_id AS id, text AS whole, p[i] AS text, coalesce(list_sum(list_transform(p[1:i - 1], lambda x: len(x) + 1)), 0)::BIGINT AS off
   FROM (SELECT note_id, text, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT note_id, text, string_split(text, chr(10)) AS p FROM notes))
-  WHERE regexp_matches(p[i], '(?i)\\b(?:{'|'.join(recognizers.POSTCODE_GATE)})\\b'))"""
-_POSTCODE = RecognizerSpec("p", "POSTCODE", r"\b\d{4,5}(?:-\d{4})?\b", 0.7)
-
-
-@_query("detect_postcode", f"WITH {NOTES}, {_LINES}, f AS ({_found(_POSTCODE, source='lines')}) SELECT id AS note_id, begin_at + off AS begin_at, end_at + off AS end_at, value FROM f JOIN lines USING (note_id)")
+  WHERE regexp_matches(p[i], '(?i)\\b(?:{'|'.join(_LINE_WORDS)})\\b'))"""
+@_query("detect_postcode", f"WITH {NOTES}, {_LINES}, f AS ({_found('POSTCODE', source='lines')}) SELECT id AS note_id, begin_at + off AS begin_at, end_at + off AS end_at, value FROM f JOIN lines USING (note_id)")
 def detect_postcode(spark, sf_dir):
     return _rows(settled(_notes(spark, sf_dir), "found", recognizers.postcodes(F.col("text"))))
 
 
 def _documents(spark, sf_dir) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return spread(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_id"), F.coalesce("text", F.lit("")).alias("text")))
 
 
+# Beyond ASCII the word boundaries of the engines differ, so these also hold that no letter beyond it stands beside a hit.
 _DOCS = "docs AS (SELECT doc_id AS note_id, coalesce(text, '') AS text FROM documents)"
-#: Without \b, which differs between engines beyond ASCII; the same on both sides.
-_DOC_EMAIL = RecognizerSpec("EmailRecognizer", "EMAIL", r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.){1,8}[A-Za-z]{2,12}", 1.0)
-_DOC_IP = RecognizerSpec("IpRecognizer", "IP", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", 0.6)
 
 
-@_query("documents_email", f"WITH {_DOCS} {_found(_DOC_EMAIL, source='docs')}")
+@_query("documents_email", f"WITH {_DOCS} {_found('EMAIL', source='docs')}")
 def documents_email(spark, sf_dir):
-    return _rows(settled(_documents(spark, sf_dir), "found", _DOC_EMAIL.spans(F.col("text"))))
+    return _rows(settled(_documents(spark, sf_dir), "found", recognizers.EMAIL.spans(F.col("text"))))
 
 
-@_query("documents_ip", f"WITH {_DOCS} {_found(_DOC_IP, _OCTETS, source='docs')}")
+@_query("documents_url", f"WITH {_DOCS} {_found('URL', source='docs')}")
+def documents_url(spark, sf_dir):
+    return _rows(settled(_documents(spark, sf_dir), "found", recognizers.URL.spans(F.col("text"))))
+
+
+@_query("documents_ip", f"WITH {_DOCS} {_found('IP', _OCTETS, source='docs')}")
 def documents_ip(spark, sf_dir):
-    spec = RecognizerSpec(_DOC_IP.name, "IP", _DOC_IP.pattern, 0.6, valid=recognizers.IP.valid)
-    return _rows(settled(_documents(spark, sf_dir), "found", spec.spans(F.col("text"))))
+    return _rows(settled(_documents(spark, sf_dir), "found", recognizers.IP.spans(F.col("text"))))
+
+
+@_query("documents_phone_us", f"WITH {_DOCS} {_found('PHONE_US', source='docs')}")
+def documents_phone_us(spark, sf_dir):
+    return _rows(settled(_documents(spark, sf_dir), "found", recognizers.phone_region("US").spans(F.col("text"))))
 
 
 # ---- check digits ----
@@ -260,8 +305,8 @@ def merge_invariant(spark, sf_dir):
 _NUMBER = RecognizerSpec("number", "PHONE", r"\b[0-9]{10}\b", 0.9)
 
 
-@_query("filter_redacted", f"""WITH {NOTES}, f AS ({_found(_NUMBER)})
-SELECT f.* FROM f JOIN notes USING (note_id) WHERE NOT list_bool_or(list_transform(list_append({_hits('text', '(?:' + merge.REDACTED_TOKEN + ')', False, False)}, struct_pack(s := -1::BIGINT, m := -1::BIGINT, e := -1::BIGINT)), lambda t: t.s <= begin_at AND end_at <= t.e))""")
+@_query("filter_redacted", f"""WITH {NOTES}, f AS ({_found('TEN_DIGITS')})
+SELECT f.* FROM f JOIN notes USING (note_id) WHERE NOT list_bool_or(list_transform(list_append({_hits('text', '(?:' + EXPECTED['REDACTED'][0] + ')', False, False)}, struct_pack(s := -1::BIGINT, m := -1::BIGINT, e := -1::BIGINT)), lambda t: t.s <= begin_at AND end_at <= t.e))""")
 def filter_redacted(spark, sf_dir):
     found = settled(_notes(spark, sf_dir), "found", _NUMBER.spans(F.col("text")))
     return _rows(settled(found, "found", merge.filter_redacted(F.col("text"), F.col("found"))))
@@ -281,7 +326,8 @@ def ner_noise_filter(spark, sf_dir):
 
 # ---- redaction ----
 
-_PLAIN = (recognizers.EMAIL, recognizers.SSN, recognizers.NHI_NEW)
+_PLAIN = (recognizers.EMAIL, recognizers.SSN, recognizers.NHI_NEW, recognizers.AGE_SHORT, recognizers.AGE_LONG)
+_PLAIN_SQL = (("EMAIL", "EMAIL"), ("SSN", "ID"), ("NHI_NEW", "NHI"), ("AGE_SHORT", "AGE"), ("AGE_LONG", "AGE"))
 
 
 def _spans_of(notes: DataFrame, specs) -> DataFrame:
@@ -289,7 +335,7 @@ def _spans_of(notes: DataFrame, specs) -> DataFrame:
     return settled(found, "spans", merge.merge_spans(F.col("text"), F.col("spans")))
 
 
-@_query("redact_mask", f"WITH {NOTES} SELECT note_id, " + reduce(lambda t, s: f"regexp_replace({t}, {_quoted(('(?i)' if 'i' in s.flags else '') + s.pattern)}, '[REDACTED:{s.kind}]', 'g')", _PLAIN, "text") + " AS redacted FROM notes")
+@_query("redact_mask", f"WITH {NOTES} SELECT note_id, " + reduce(lambda t, s: f"regexp_replace({t}, {_quoted(('(?i)' if EXPECTED[s[0]][1] else '') + EXPECTED[s[0]][0])}, '[REDACTED:{s[1]}]', 'g')", _PLAIN_SQL, "text") + " AS redacted FROM notes")
 def redact_mask(spark, sf_dir):
     found = _spans_of(_notes(spark, sf_dir), _PLAIN)
     strings = settled(found, "strings", redact.replacements(F.col("spans"), "mask"))
@@ -302,7 +348,7 @@ def _hmac_sql(message: str) -> str:
     return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({message}))))"
 
 
-@_query("redact_hash", f"""WITH {NOTES}, f AS ({_found(recognizers.EMAIL)})
+@_query("redact_hash", f"""WITH {NOTES}, f AS ({_found('EMAIL')})
 SELECT note_id, left(text, begin_at) || '[EMAIL:' || left({_hmac_sql("'EMAIL:' || lower(value)")}, 10) || ']' || substring(text, end_at + 1) AS redacted FROM f JOIN notes USING (note_id)""")
 def redact_hash(spark, sf_dir):
     found = _spans_of(_notes(spark, sf_dir), (recognizers.EMAIL,))
@@ -327,8 +373,15 @@ _surrogate("surrogate_date", "DATE", "concat('1/2/', CAST(1900 + c_custkey % 99
 _surrogate("surrogate_postcode", "POSTCODE", "CAST(1000 + c_custkey % 9000 AS STRING)", "CAST(seed % 9000 + 1000 AS VARCHAR)")
 _surrogate("surrogate_age", "AGE", "concat(CAST(c_custkey % 100 AS STRING), ' yo')", "CAST(seed % 90 + 10 AS VARCHAR)")
 _surrogate("surrogate_id", "MRN", "concat('MR', CAST(c_custkey * 7919 AS STRING), 'z')", f"translate(value, '{redact._FROM}', '{redact._TO}')")
-_PEOPLE = ", ".join(_quoted(x) for x in redact.PICKS["PERSON"])
-_surrogate("surrogate_pick", "PERSON", "c_name", f"[{_PEOPLE}][CAST(seed % {len(redact.PICKS['PERSON'])} AS INT) + 1]")
+_at = lambda values, n: f"[{', '.join(map(_quoted, values))}][CAST({n} % {len(values)} AS INT) + 1]"
+_PERSON_SQL = f"{_at(redact._FIRST, 'seed')} || ' ' || {_at(redact._LAST, f'(seed // {len(redact._FIRST)})')}"
+_surrogate("surrogate_person", "PERSON", "c_name", _PERSON_SQL)
+_surrogate("surrogate_phone", "PHONE", "c_name", "'021 555 ' || CAST(seed % 9000 + 1000 AS VARCHAR)")
+_surrogate("surrogate_email", "EMAIL", "c_name", f"lower({_PERSON_SQL.replace(chr(39) + ' ' + chr(39), chr(39) + '.' + chr(39))}) || CAST((seed // 1000) % 100 AS VARCHAR) || '@example.com'")
+_surrogate("surrogate_url", "URL", "c_name", "'https://www.example.org/' || lower(to_hex(seed % 16777216))")
+_surrogate("surrogate_ip", "IP", "c_name", f"{_at(('192.0.2.', '198.51.100.', '203.0.113.'), '(seed // 254)')} || CAST(seed % 254 + 1 AS VARCHAR)")
+_surrogate("surrogate_location", "LOCATION", "c_name", f"CAST(seed % 400 + 1 AS VARCHAR) || ' ' || {_at(redact._ROADS, '(seed // 400)')} || ' ' || {_at(redact._KINDS, '(seed // 4400)')}")
+_surrogate("surrogate_org", "ORG", "c_name", f"{_at(redact._ROADS, 'seed')} || ' ' || {_at(redact._LAST, f'(seed // {len(redact._ROADS)})')} || ' ' || {_at(redact._CARE, f'(seed // {len(redact._ROADS) * len(redact._LAST)})')}")
 
 
 @_query("idempotency", "SELECT CAST(c_custkey AS BIGINT) AS note_id, true AS same FROM customer")
@@ -341,20 +394,24 @@ def idempotency(spark, sf_dir):
 
 # ---- counts and evaluation ----
 
-_AUDITED = ((recognizers.EMAIL, "true"), (recognizers.SSN, "true"), (recognizers.DATE, _DATE), (recognizers.MEDICARE, _MEDICARE))
-_AUDIT_ROWS = " UNION ALL ".join(f"SELECT note_id, '{s.kind}' AS type FROM ({_found(s, v)})" for s, v in _AUDITED)
+_AUDITED = (
+    (recognizers.EMAIL, "EMAIL", "true"), (recognizers.SSN, "SSN", "true"), (recognizers.DATE, "DATE", _DATE), (recognizers.MEDICARE, "MEDICARE", _MEDICARE),
+    (recognizers.NHI_OLD, "NHI_OLD", _NHI), (recognizers.NHI_NEW, "NHI_NEW", "true"), (recognizers.IHI, "IHI", _IHI), (recognizers.MRN, "MRN", "true"), (recognizers.ID_LABELLED, "ID_LABELLED", "true"),
+    (recognizers.AGE_SHORT, "AGE_SHORT", "true"), (recognizers.AGE_LONG, "AGE_LONG", "true"), (recognizers.STREET, "STREET", "true"), (recognizers.IP, "IP", _OCTETS), (recognizers.phone_region("NZ"), "PHONE_NZ", "true"), (recognizers.phone_region("AU"), "PHONE_AU", "true"), (ner.CUES[0], "PERSON", "true"),
+)
+_AUDIT_ROWS = " UNION ALL ".join(f"SELECT note_id, '{s.kind}' AS type FROM ({_found(n, v)})" for s, n, v in _AUDITED)
 
 
 @_query("audit_per_note", f"WITH {NOTES}, a AS ({_AUDIT_ROWS}) SELECT note_id, type, count(*) AS n FROM a GROUP BY ALL")
 def audit_per_note(spark, sf_dir):
-    found = _spans_of(_notes(spark, sf_dir), [s for s, _ in _AUDITED])
+    found = _spans_of(_notes(spark, sf_dir), [s for s, _, _ in _AUDITED])
     rows = found.select("note_id", F.explode(redact.audit(F.col("spans"))).alias("a"))
     return rows.select("note_id", "a.type", F.col("a.count").cast("long").alias("n"))
 
 
 @_query("audit_corpus", f"WITH {NOTES}, a AS ({_AUDIT_ROWS}) SELECT type, count(*) AS n FROM a GROUP BY ALL")
 def audit_corpus(spark, sf_dir):
-    return corpus_audit(_spans_of(_notes(spark, sf_dir), [s for s, _ in _AUDITED])).withColumnRenamed("count", "n")
+    return corpus_audit(_spans_of(_notes(spark, sf_dir), [s for s, _, _ in _AUDITED])).withColumnRenamed("count", "n")
 
 
 def _gold_sql() -> str:
@@ -367,8 +424,8 @@ def _gold_sql() -> str:
 
 
 GOLD = _gold_sql()
-_EVALUATED = "'EMAIL', 'DATE', 'MEDICARE', 'ID'"
-_PRED = " UNION ALL ".join(f"SELECT note_id, '{s.kind}' AS type, begin_at, end_at FROM ({_found(s, v)})" for s, v in _AUDITED)
+_EVALUATED = ", ".join(sorted({f"'{s.kind}'" for s, _, _ in _AUDITED}))
+_PRED = " UNION ALL ".join(f"SELECT note_id, '{s.kind}' AS type, begin_at, end_at FROM ({_found(n, v)})" for s, n, v in _AUDITED)
 _IOU = "(least(g.end_at, p.end_at) - greatest(g.begin_at, p.begin_at))::DOUBLE / (greatest(g.end_at, p.end_at) - least(g.begin_at, p.begin_at))"
 _SCORED = f"""{NOTES}, {GOLD}, pred AS ({_PRED}), chosen AS (SELECT * FROM gold WHERE type IN ({_EVALUATED})),
 ng AS (SELECT type, count(*) AS gold FROM chosen GROUP BY type), np AS (SELECT type, count(*) AS pred FROM pred GROUP BY type),
@@ -387,7 +444,7 @@ _SUMS = "sum(gold)::BIGINT AS gold, sum(pred)::BIGINT AS pred, sum(relaxed_tp)::
 
 
 def _scored(spark, sf_dir) -> DataFrame:
-    found = _spans_of(_notes(spark, sf_dir), [s for s, _ in _AUDITED])
+    found = _spans_of(_notes(spark, sf_dir), [s for s, _, _ in _AUDITED])
     kinds = [k.strip("' ") for k in _EVALUATED.split(",")]
     return evaluate.score_notes(found.withColumn("gold", F.filter("gold", lambda g: g["type"].isin(*kinds))))
 
@@ -470,10 +527,16 @@ def corpus_offset_check(spark, sf_dir):
 # ---- whole plans ----
 
 
-@_query("deidentify_documents")
+# What the whole plan finds in documents: addresses, and streets. Emails go first, as the web address within one is part of it.
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+_MASKS = (("EMAIL", "(?i)" + EXPECTED["EMAIL"][0]), ("IP", rf"\b(?:{_OCTET}\.){{3}}{_OCTET}\b"), ("LOCATION", "(?i)" + EXPECTED["STREET"][0]))
+_MASKED = reduce(lambda t, m: f"regexp_replace({t}, {_quoted(m[1])}, '[REDACTED:{m[0]}]', 'g')", _MASKS, "text")
+
+
+@_query("deidentify_documents", f"WITH m AS (SELECT doc_id, text, {_MASKED} AS redacted_text FROM documents) SELECT doc_id, redacted_text, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(string_split(redacted_text, '[REDACTED:')) - len(string_split(text, '[REDACTED:')) END AS INT) AS n_spans FROM m")
 def deidentify_documents(spark, sf_dir):
     """Mask every document; the bench's headline."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.transform(deidentify()).select("doc_id", "redacted_text", F.size("spans").alias("n_spans"))
 
 
@@ -482,11 +545,13 @@ def deidentify_notes_surrogate(spark, sf_dir):
     return _notes(spark, sf_dir).select("note_id", "text").transform(deidentify(Config(strategy="surrogate", key=KEY))).select("note_id", "redacted_text")
 
 
-@_query("llm_resolve_offset")
+@_query("llm_resolve_offset", f"""WITH {NOTES} SELECT note_id, begin_at, end_at, 'EMAIL' AS type, 'rule' AS source FROM ({_found('EMAIL')})
+UNION ALL SELECT note_id, strpos(text, 'Stable')::BIGINT - 1, strpos(text, 'Stable')::BIGINT + 5, 'ORG', 'llm' FROM notes WHERE contains(text, 'Stable')
+UNION ALL SELECT note_id, a - 1, a + 2, 'MRN', 'llm' FROM (SELECT note_id, strpos(text, 'NHI')::BIGINT AS b, b + 2 + strpos(substring(text, b + 3), 'NHI')::BIGINT AS a FROM notes)""")
 def llm_resolve_offset(spark, sf_dir):
-    """The second pass with a stand-in for a model that names a town and a type that is not known."""
+    """The second pass with a stand-in for a model: a type that is not known takes its place, so the next answer gets the next place."""
     def ask(text, known, regions):
-        return [{"text": t, "type": k} for t, k in (("Stable", "org"), ("Ward", "planet"), ("Ward", "org"))]
+        return [{"text": t, "type": k} for t, k in (("Stable", "org"), ("NHI", "planet"), ("NHI", "mrn"), ("absent", "org"))]
 
     notes = _notes(spark, sf_dir).select("note_id", "text")
     found = assist.with_assistant(settled(notes, "spans", recognizers.EMAIL.spans(F.col("text"))), ask, ("NZ", "AU"))
@@ -494,6 +559,22 @@ def llm_resolve_offset(spark, sf_dir):
     return rows.select("note_id", F.col("s.start").cast("long").alias("begin_at"), F.col("s.end").cast("long").alias("end_at"), "s.type", "s.source")
 
 
+@_query("corpus_shapes", generate.shaped_sql())
+def corpus_shapes(spark, sf_dir):
+    return generate.shaped_notes(_customers(spark, sf_dir)).select("note_id", "shape", "text")
+
+
+_SOUND = generate.sound_nhi_sql("k")
+
+
+@_query("id_validation", f"SELECT 'shaped' AS corpus, CAST(0 AS BIGINT) AS invalid UNION ALL SELECT 'mixed', sum(CASE WHEN {_NHI.replace('value', 'nhi')} THEN 0 ELSE 1 END + CASE WHEN {_MEDICARE.replace('value', 'medicare')} THEN 0 ELSE 1 END + CASE WHEN {_IHI.replace('value', 'ihi')} THEN 0 ELSE 1 END)::BIGINT FROM (SELECT {generate.nhi_sql('k')} AS nhi, {generate.medicare_sql('k')} AS medicare, {generate.ihi_sql('k')} AS ihi FROM (SELECT CAST(c_custkey AS BIGINT) AS k FROM customer))")
+def id_validation(spark, sf_dir):
+    """Labelled identifiers that do not check out: none in the shaped corpus, some by design in the mixed notes."""
+    keys = _customers(spark, sf_dir)
+    made = {"shaped": generate.shaped_notes(keys), "mixed": generate.generated_notes(keys)}
+    return reduce(DataFrame.union, [generate.invalid_identifiers(n).agg(F.lit(name).alias("corpus"), F.count("*").alias("invalid")) for name, n in made.items()])
+
+
 # ---- bundles and markup ----
 
 #: A bundle for each customer, written by one SQL expression in both engines.
@@ -510,7 +591,7 @@ _BUNDLE_TEXT = """concat('Patient demographics', chr(10), 'Patient name: Ms Ann
 
 
 def _bundles(spark, sf_dir) -> DataFrame:
-    rows = _table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", f"{_BUNDLE} AS json")
+    rows = _customers(spark, sf_dir, "c_name", "c_nationkey").selectExpr("c_custkey AS id", f"{_BUNDLE} AS json")
     return rows.select("id", F.parse_json("json").alias("bundle"))
 
 
@@ -525,12 +606,20 @@ def fhir_resources(spark, sf_dir):
     return _bundles(spark, sf_dir).select("id", F.posexplode(kinds).alias("place", "kind")).select("id", "kind", F.col("place").cast("long").alias("place"))
 
 
-@_query("fhir_deidentify")
+_BUNDLE_MASKED = """concat('Patient demographics', chr(10), 'Patient name: [REDACTED:PERSON]', substring(c_name, 9), chr(10), 'Birth date: [REDACTED:DATE]', chr(10), 'Gender: female', chr(10), 'Phone: [REDACTED:PHONE]', chr(10), 'Contact: none', chr(10),
+ 'Address: [REDACTED:LOCATION], [REDACTED:LOCATION], [REDACTED:POSTCODE]', chr(10), 'Card: ', CAST(c_custkey * 7 AS STRING), chr(10), 'Social Security Number: [REDACTED:ID]', chr(10), chr(10),
+ 'Care team and facilities', chr(10), 'Organization: Org ', CAST(c_nationkey AS STRING), chr(10), 'Organization address: Town', chr(10), 'Practitioner: [REDACTED:PERSON]', chr(10), chr(10),
+ 'Clinical timeline', chr(10), 'Encounter on [REDACTED:DATE]: Check up', chr(10), 'Condition on [REDACTED:DATE]: Code ', CAST(c_custkey % 5 AS STRING), chr(10), 'CarePlan: Rest & walk', chr(10))"""
+
+
+@_query("fhir_deidentify", f"SELECT c_custkey AS id, {_BUNDLE_MASKED} AS redacted_text FROM customer")
 def fhir_deidentify(spark, sf_dir):
     return fhir.deidentify_bundles(_bundles(spark, sf_dir)).select("id", "redacted_text")
 
 
-_STRIPPED = reduce(lambda t, e: f"replace({t}, {_quoted(e[0])}, {_quoted(e[1])})", fhir.ENTITIES.items(), "regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g')")
+#: References that the pages have, the ampersand's last.
+_REFERENCES = {"&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+_STRIPPED = reduce(lambda t, e: f"replace({t}, {_quoted(e[0])}, {_quoted(e[1])})", _REFERENCES.items(), "regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g')")
 
 
 @_query("strip_html", f"SELECT page_id, trim(regexp_replace({_STRIPPED}, '[\\s\\x0b\\x{{85}}\\p{{Z}}]+', ' ', 'g')) AS text FROM pages")

@@ -5,21 +5,26 @@ One row is one bundle. Resources stay an array in bundle order; every section is
 
 from __future__ import annotations
 
+from functools import lru_cache
+from html.entities import html5
+from zlib import crc32
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.plans.deidentify import Config, deidentify
 
-# Resource types of the timeline, and entities of HTML that are written out.
+# Resource types of the timeline.
 CLINICAL = ("Encounter", "Condition", "Observation", "Procedure", "MedicationRequest", "DiagnosticReport", "CarePlan", "AllergyIntolerance", "Immunization")
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
 MAX_ITEMS = 30
 REGIONS = ("US", "NZ", "AU")
 
 
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bundle): one JSON file each."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.parse_json("value").alias("bundle"))
+    """(file, bundle, broken): one JSON file each. A file that is no JSON has its text in ``broken`` and no bundle."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value", F.try_parse_json("value").alias("bundle"))
+    return files.select("file", "bundle", F.when(F.col("bundle").isNull(), F.col("value")).alias("broken"))
 
 
 def _get(v: Column, path: str, kind: str = "string") -> Column:
@@ -77,12 +82,51 @@ def identifier_label(i: Column) -> Column:
     )
 
 
+#: Names that count without a semicolon, longest first.
+_OLD = "|".join(sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k)))
+#: Names of characters, by how many buckets they are looked up in.
+_NAMED, _BUCKETS = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}, 1024
+#: Numbers 128 to 159 stand for what they are in Windows-1252.
+_WINDOWS = {n: bytes([n]).decode("cp1252") for n in range(128, 160) if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
+@lru_cache(maxsize=4)
+def _names(app: str) -> Column:
+    buckets: list[dict[str, str]] = [{"": ""} for _ in range(_BUCKETS)]
+    for name, char in sorted(_NAMED.items()):
+        buckets[crc32(name.encode()) % _BUCKETS][name] = char
+    return F.array(*[F.create_map(*[F.lit(x) for pair in b.items() for x in pair]) for b in buckets])
+
+
+def _character(code: Column) -> Column:
+    """The character of a number; those that are none, 0 and surrogates are U+FFFD."""
+    bad = (code <= 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    out = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    odd = F.create_map(*[F.lit(x) for pair in _WINDOWS.items() for x in pair])
+    return F.when(bad | code.isNull(), F.lit("\ufffd")).when(code.between(128, 159), F.coalesce(F.try_element_at(odd, code.cast("int")), F.lit(""))).otherwise(out)
+
+
+def unescape(c: Column) -> Column:
+    """References of HTML written out: every name that ends in a semicolon, the old ones without it, and numbers."""
+    names = _names(SparkContext.getOrCreate().applicationId)
+
+    def one(part: Column) -> Column:
+        ref = F.regexp_extract(part, rf"^(#[0-9]{{1,9}}|#[xX][0-9a-fA-F]{{1,8}}|[A-Za-z][A-Za-z0-9]{{1,31}}(?=;)|{_OLD})", 1)
+        rest = F.regexp_replace(F.substring(part, F.length(ref) + 1, F.length(part)), "^;", "")
+        hexed = F.lower(F.left(ref, F.lit(2))) == "#x"
+        code = F.when(hexed, F.conv(F.substring(ref, 3, 8), 16, 10)).otherwise(F.substring(ref, 2, 9)).cast("bigint")
+        named = F.try_element_at(F.element_at(names, (F.pmod(F.crc32(ref.cast("binary")), F.lit(_BUCKETS)) + 1).cast("int")), ref)
+        same = F.concat(F.lit("&"), part)
+        return F.when(ref == "", same).when(F.startswith(ref, F.lit("#")), F.concat(_character(code), rest)).otherwise(F.coalesce(F.concat(named, rest), same))
+
+    parts = F.split(c, "&", -1)
+    written = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), one), ""))
+    return F.when(F.contains(c, F.lit("&")), written).otherwise(c)
+
+
 def strip_html(c: Column) -> Column:
-    """Tags to spaces, the common entities written out, white space collapsed."""
-    out = F.regexp_replace(c, "<[^>]+>", " ")
-    for entity, char in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
+    """Tags to spaces, references written out, white space collapsed."""
+    return F.trim(F.regexp_replace(unescape(F.regexp_replace(c, "<[^>]+>", " ")), r"(?U)\s+", " "))
 
 
 def _labelled(label: str, value: Column) -> Column:

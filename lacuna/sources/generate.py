@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 
 from lacuna.functions.checksums import MEDICARE_WEIGHTS, NHI_LETTERS, NHI_WEIGHTS
 
-_FIRST = ("Jane", "Wiremu", "Aroha", "Peter", "Mere", "Liam", "Olivia", "Noah", "Grace", "Hemi")
-_LAST = ("Smith", "Walker", "Ngata", "Jensen", "Lawson", "Patel", "Brown", "Turner", "Hughes", "Reid")
-_STREETS = ("Station Street", "Queen Street", "Bradley Avenue", "Kowhai Road", "Harbour Drive", "Hill Lane")
+_FIRST = ("Jane", "Tama", "Ngaio", "Peter", "Moana", "Liam", "Olivia", "Noah", "Grace", "Rangi")
+_LAST = ("Smith", "Cooper", "Parata", "Larsen", "Mason", "Patel", "Brown", "Foster", "Hughes", "Bell")
+_STREETS = ("Rata Street", "Queen Street", "Elm Avenue", "Kowhai Road", "Harbour Drive", "Hill Lane")
 _TOWNS = ("Hastings", "Auckland", "Newtown", "Brisbane", "Levin", "Perth")
 _MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 
@@ -39,6 +39,16 @@ def nhi_sql(k: str) -> str:
     return f"concat({', '.join(letters)}, {number}, {_text(check)})"
 
 
+def sound_nhi_sql(k: str) -> str:
+    """As ``nhi_sql``, but always valid: the last digit before the check digit is 1 where 0 would leave no check digit."""
+    two = _text(f"({k} * 37) % 100", 2)
+    at = [f"({k} % 24)", f"(({k} * 7) % 24)", f"(({k} * 13) % 24)"]
+    letters = [f"substring('{NHI_LETTERS}', CAST({a} AS INT) + 1, 1)" for a in at]
+    total = " + ".join([f"({a} + 1) * {w}" for a, w in zip(at, NHI_WEIGHTS, strict=False)] + [f"{_digit(two, i + 1)} * {NHI_WEIGHTS[3 + i]}" for i in range(2)])
+    last = f"(CASE WHEN ({total}) % 11 < 2 THEN 1 ELSE 0 END)"
+    return f"concat({', '.join(letters)}, {two}, {_text(last)}, {_text(f'11 - ({total} + {NHI_WEIGHTS[5]} * {last}) % 11')})"
+
+
 def medicare_sql(k: str) -> str:
     body = f"concat({_text(f'2 + {k} % 5')}, {_text(f'({k} * 7919) % 10000000', 7)})"
     total = " + ".join(f"{_digit(body, i + 1)} * {w}" for i, w in enumerate(MEDICARE_WEIGHTS))
@@ -69,6 +79,8 @@ def segments_sql(k: str = "k") -> list[tuple[str, str | None]]:
         ("concat(chr(10), 'IHI: ')", None), (ihi_sql(k), "IHI"),
         ("concat(chr(10), 'Phone: ')", None), (f"concat('021 ', {_text(f'100 + ({k} * 17) % 900')}, ' ', {_text(f'1000 + ({k} * 29) % 9000')})", "PHONE"),
         ("concat(chr(10), 'or ')", None), (f"concat('+64 21 ', {_text(f'100 + ({k} * 19) % 900')}, ' ', {_text(f'1000 + ({k} * 31) % 9000')})", "PHONE"),
+        ("concat(chr(10), 'or ')", None), (f"concat('04', {_text(f'10 + {k} % 90')}, ' ', {_text(f'100 + ({k} * 23) % 900')}, ' ', {_text(f'100 + ({k} * 41) % 900')})", "PHONE"),
+        ("concat(chr(10), 'free ')", None), (f"concat('1300 ', {_text(f'100 + ({k} * 43) % 900')}, ' ', {_text(f'100 + ({k} * 47) % 900')})", "PHONE"),
         ("concat(chr(10), 'DOB: ')", None), (date, "DATE"),
         ("concat(', seen ')", None), (named, "DATE"),
         ("concat(' and ')", None), (iso, "DATE"),
@@ -102,3 +114,76 @@ def generated_notes(keys: DataFrame, key: str = "c_custkey") -> DataFrame:
     parts = [F.struct(F.expr(s).alias("text"), F.lit(label).cast("string").alias("label")) for s, label in segments_sql()]
     rendered = k.select(F.col("k").alias("note_id"), render_segments(F.array(*parts)).alias("r"))
     return rendered.select("note_id", F.col("r.text").alias("text"), F.col("r.spans").alias("gold"))
+
+
+def shape_sql(k: str = "k") -> str:
+    """Of every 30 keys one rich, one Australian and one sparse note; of the others five in nine are from New Zealand."""
+    return f"CASE WHEN {k} % 30 = 0 THEN 'rich' WHEN {k} % 30 = 1 THEN 'au' WHEN {k} % 30 = 2 THEN 'sparse' WHEN {k} % 5 < 3 THEN 'nz' ELSE 'region_au' END"
+
+
+def _kept(condition: str, parts: list[tuple[str, str | None]]) -> list[tuple[str, str | None]]:
+    return [(f"CASE WHEN {condition} THEN {s} ELSE '' END", label) for s, label in parts]
+
+
+def shaped_segments_sql(k: str = "k") -> dict[str, list[tuple[str, str | None]]]:
+    """Segments of each shape; optional ones are empty for some keys."""
+    sound = f"(42 * {k} + 1)"  # no multiple of 6 or 7, which have wrong check digits
+    nhi, medicare, ihi = sound_nhi_sql(k), medicare_sql(sound), ihi_sql(sound)
+    person = f"concat({_pick(_FIRST, k)}, ' ', {_pick(_LAST, f'({k} + 3)')})"
+    second = f"concat({_pick(_FIRST, f'({k} + 4)')}, ' ', {_pick(_LAST, k)})"
+    date = f"concat({_text(f'1 + {k} % 28', 2)}, '/', {_text(f'1 + ({k} * 5) % 12', 2)}, '/', {_text(f'1930 + {k} % 70')})"
+    nz_phone = f"concat('021 ', {_text(f'100 + ({k} * 17) % 900')}, ' ', {_text(f'1000 + ({k} * 29) % 9000')})"
+    au_phone = f"concat('04', {_text(f'10 + {k} % 90')}, ' ', {_text(f'100 + ({k} * 23) % 900')}, ' ', {_text(f'100 + ({k} * 41) % 900')})"
+    street, town = f"concat({_text(f'1 + {k} % 400')}, ' ', {_pick(_STREETS, k)})", _pick(_TOWNS, k)
+    code, mrn = _text(f"1000 + ({k} * 13) % 9000"), _text(f"100000 + ({k} * 7) % 900000")
+    line = lambda label, *pieces: [(f"concat(chr(10), '{label}')", None), *pieces]
+    tail = [
+        *line("DOB: ", (date, "DATE")),
+        *_kept(f"{k} % 5 < 3", line("Email: ", (f"concat('user', {_text(k)}, '@clinic', {_text(f'{k} % 7')}, '.example.org')", "EMAIL"))),
+        *_kept(f"{k} % 5 > 2", line("MRN: ", (mrn, "MRN"))),
+        *_kept(f"{k} % 2 = 0", line("Address: ", (street, "LOCATION"), ("', '", None), (town, "LOCATION"), ("' '", None), (code, "POSTCODE"))),
+        ("concat(chr(10), 'Seen today. Nothing acute. To call if worse.')", None),
+    ]
+    return {
+        "rich": [("'Patient: '", None), (person, "PERSON"), *line("NHI: ", (nhi, "NHI")), *line("DOB: ", (date, "DATE")), *line("Phone: ", (nz_phone, "PHONE")), *line("Address: ", (street, "LOCATION"), ("', '", None), (town, "LOCATION"), ("' '", None), (code, "POSTCODE")), *line("MRN: ", (mrn, "MRN")), *line("Chest pain. Daughter ", (second, "PERSON")), ("' came along.'", None)],
+        "au": [("'Name: '", None), (person, "PERSON"), *line("Medicare: ", (medicare, "MEDICARE")), *line("IHI: ", (ihi, "IHI")), *line("Phone: ", (au_phone, "PHONE")), *line("Address: ", (street, "LOCATION"), ("', '", None), (town, "LOCATION"), ("' '", None), (code, "POSTCODE")), *line("95-year-old, reviewed. DOB ", (date, "DATE"))],
+        "sparse": [("'Patient '", None), (person, "PERSON"), ("' has no NHI on file. The entry ABC1234 is not valid.'", None)],
+        "nz": [("'Patient: '", None), (person, "PERSON"), *line("NHI: ", (nhi, "NHI")), *line("Contact: ", (nz_phone, "PHONE")), *tail],
+        "region_au": [("'Patient: '", None), (person, "PERSON"), *line("Medicare: ", (medicare, "MEDICARE")), *line("IHI: ", (ihi, "IHI")), *line("Contact: ", (au_phone, "PHONE")), *tail],
+    }
+
+
+def shaped_sql(table: str = "customer", key: str = "c_custkey") -> str:
+    """SELECT note_id, shape, text for every row of the table."""
+    cases = " ".join(f"WHEN shape = '{name}' THEN concat({', '.join(s for s, _ in parts)})" for name, parts in shaped_segments_sql().items())
+    return f"SELECT k AS note_id, shape, CASE {cases} END AS text FROM (SELECT k, {shape_sql()} AS shape FROM (SELECT CAST({key} AS BIGINT) AS k FROM {table}) AS keys) AS shaped"
+
+
+def shaped_notes(keys: DataFrame, key: str = "c_custkey") -> DataFrame:
+    """(note_id, shape, text, gold): a corpus of five shapes whose labels are all valid identifiers."""
+    from pyspark.sql import functions as F
+
+    from lacuna.sources.notes import render_segments
+
+    k = keys.select(F.col(key).cast("long").alias("k")).withColumn("shape", F.expr(shape_sql()))
+    parts = F.lit(None)
+    for name, segments in shaped_segments_sql().items():
+        made = F.array(*[F.struct(F.expr(s).alias("text"), F.lit(label).cast("string").alias("label")) for s, label in segments])
+        parts = F.when(F.col("shape") == name, F.filter(made, lambda s: s["text"] != "")).otherwise(parts)
+    rendered = k.select(F.col("k").alias("note_id"), "shape", render_segments(parts).alias("r"))
+    return rendered.select("note_id", "shape", F.col("r.text").alias("text"), F.col("r.spans").alias("gold"))
+
+
+def invalid_identifiers(notes: DataFrame, gold_col: str = "gold") -> DataFrame:
+    """(note_id, type, text) of labelled NHI, Medicare and IHI numbers that do not check out; none in a sound corpus."""
+    from pyspark.sql import functions as F
+
+    from lacuna.functions import checksums
+
+    g = notes.select("note_id", F.explode(gold_col).alias("g")).select("note_id", "g.type", "g.text")
+    new_form = F.regexp_like("text", F.lit("^[A-Z]{3}[0-9]{2}[A-Z]{2}$"))
+    checks = {"NHI": checksums.nhi_valid(F.col("text")) | new_form, "MEDICARE": checksums.medicare_valid(F.col("text")), "IHI": checksums.ihi_valid(F.col("text"))}
+    sound = F.lit(True)
+    for kind, check in checks.items():
+        sound = F.when(F.col("type") == kind, check).otherwise(sound)
+    return g.where(~sound)

@@ -50,6 +50,22 @@ def test_rules_on_one_note(spark):
     assert ("NHI", "ABC1234") not in got and ("DATE", "30/2/1990") not in got
 
 
+def test_phones_of_further_regions_and_free_numbers(spark):
+    found = lambda text, *regions: {t for k, t in spans(spark, text, regions) if k == "PHONE"}
+    assert found("call 0508 222 333 or 0800 123 4567", "NZ") == {"0508 222 333", "0800 123 4567"}
+    assert found("call 1300 123 456, 1800 654 321", "AU") == {"1300 123 456", "1800 654 321"}
+    assert found("on +44 20 7946 0018 or 07700 900123", "GB") == {"+44 20 7946 0018", "07700 900123"}
+    assert found("on +49 30 123456", "DE") == {"+49 30 123456"} and found("on +49 30 123456", "FR") == set()
+    with pytest.raises(ValueError, match="XX"):
+        R.phone_region("XX")
+
+
+def test_addresses_of_machines_and_long_suffixes(spark):
+    got = spans(spark, "at 2001:db8::1, ::1 and 10.0.0.300 or 10.0.0.30; x@y.international at std::vector, 12:30:45, see a.govt.nz and clinic.org.au/x")
+    assert {t for k, t in got if k == "IP"} == {"2001:db8::1", "::1", "10.0.0.30"}
+    assert ("EMAIL", "x@y.international") in got and {t for k, t in got if k == "URL"} == {"a.govt.nz", "clinic.org.au/x"}
+
+
 def test_generic_ids_need_their_context(spark):
     uuid = "01234567-89ab-cdef-0123-456789abcdef"
     assert ("ID", uuid) in spans(spark, f"resource id {uuid}")
