@@ -24,6 +24,7 @@ CUES = (
     RecognizerSpec("cue:title", "PERSON", rf"(\b(?:Mr|Mrs|Ms|Miss|Dr|Prof)\.? )({_NAME}(?: {_NAME}){{0,2}})", 0.85, "U", "second", gate=any_of("Mr", "Ms ", "Ms. ", "Miss ", "Dr", "Prof")),
     RecognizerSpec("cue:kin", "PERSON", rf"(\b(?i:Daughter|Son|Wife|Husband|Mother|Father|Sister|Brother|Partner|Carer) )({_FULL})", 0.85, "U", "second", gate=any_of("daughter ", "son ", "wife ", "husband ", "mother ", "father ", "sister ", "brother ", "partner ", "carer ", lower=True)),
     RecognizerSpec("cue:place", "LOCATION", rf"\b(?:{CITIES})\b", 0.6, gate=any_of(*CITIES.split("|"))),
+    RecognizerSpec("cue:address", "LOCATION", rf"(\b(?i:Address|Lives at|Lived at)[: ]+)(\d{{1,5}}[A-Za-z]?[ ]{_NAME}(?:[ ]{_NAME}){{0,3}}\b)", 0.6, "U", "second", gate=any_of("address", "lives at", "lived at", lower=True)),
     RecognizerSpec("cue:care", "ORG", rf"{_NAME}(?: {_NAME}){{0,3}} (?:Hospital|Clinic|Medical Centre|Health Centre)\b", 0.6, gate=any_of("Hospital", "Clinic", "Medical Centre", "Health Centre")),
 )
 

@@ -97,6 +97,11 @@ EXPECTED = {
     "URL": (r"\bhttps?://[^\s<>\"']+|\b(?:[a-z0-9-]+\.)+(?:com|org|net|edu|gov|mil|int|info|biz|io|health|nz|au|uk|us|ca|ie|de|fr|eu)\b(?:/[^\s<>\"']*)?", True, "whole"),
     "IP": (r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b|\b(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}\b", True, "whole"),
     "PERSON": (rf"(\b(?i:Patient name|Patient|Name|Practitioner|Next of kin)[: ][ ]*)({_NAME}(?:[ ]{_NAME}){{1,3}})", False, "second"),
+    "TITLE": (rf"(\b(?:Mr|Mrs|Ms|Miss|Dr|Prof)\.? )({_NAME}(?: {_NAME}){{0,2}})", False, "second"),
+    "KIN": (rf"(\b(?i:Daughter|Son|Wife|Husband|Mother|Father|Sister|Brother|Partner|Carer) )({_NAME}(?:[ ]{_NAME}){{1,3}})", False, "second"),
+    "PLACE": (r"\b(?:Auckland|Wellington|Christchurch|Hamilton|Tauranga|Dunedin|Napier|Sydney|Melbourne|Brisbane|Perth|Adelaide|Hobart|Darwin|Canberra|Queenstown|Rotorua|Nelson)\b", False, "whole"),
+    "ADDRESS": (rf"(\b(?i:Address|Lives at|Lived at)[: ]+)([0-9]{{1,5}}[A-Za-z]?[ ]{_NAME}(?:[ ]{_NAME}){{0,3}}\b)", False, "second"),
+    "CARE": (rf"{_NAME}(?: {_NAME}){{0,3}} (?:Hospital|Clinic|Medical Centre|Health Centre)\b", False, "whole"),
     "REDACTED": (r"\[REDACTED:[A-Z]+\]|\[[A-Z]+:[0-9a-f]{10}\]", False, "whole"),
     "TEN_DIGITS": (r"\b[0-9]{10}\b", False, "whole"),
 }
@@ -174,6 +179,22 @@ _detector("detect_ip", recognizers.IP, "IP", _OCTETS)
 _detector("detect_person_cue", ner.CUES[0], "PERSON")
 
 
+#: A line for each cue, on every customer: titles, kin, towns, addresses without a kind of street, places of care.
+_CUED = """concat('Seen by Dr ', CASE WHEN c_custkey % 2 = 0 THEN 'Mere Tahana' ELSE 'Li' END, chr(10), 'Daughter ', CASE WHEN c_custkey % 3 = 0 THEN 'Ana Rose Bell' WHEN c_custkey % 3 = 1 THEN 'is well' ELSE 'Jo-Ann Bell' END, chr(10), 'From ', CASE WHEN c_custkey % 4 = 0 THEN 'Napier' ELSE 'Napierville' END, chr(10), 'Address: ', CAST(c_custkey AS STRING), CASE WHEN c_custkey % 5 = 0 THEN 'b' ELSE '' END, ' Totara ', CASE WHEN c_custkey % 2 = 0 THEN 'Plaza' ELSE 'plaza' END, ', x', chr(10), 'To ', CASE WHEN c_custkey % 7 = 0 THEN 'the Hospital' ELSE 'Green Hill Hospital' END)"""
+_CUED_SQL = f"cued AS (SELECT c_custkey AS note_id, {_CUED} AS text FROM customer)"
+
+
+def _cue(name: str, spec: RecognizerSpec, expected: str) -> None:
+    @_query(name, f"WITH {_CUED_SQL} {_found(expected, source='cued')}")
+    def run(spark, sf_dir):
+        rows = _customers(spark, sf_dir).selectExpr("c_custkey AS note_id", f"{_CUED} AS text")
+        return _rows(settled(rows, "found", spec.spans(F.col("text"))))
+
+
+for _i, _kind in ((1, "title"), (2, "kin"), (3, "place"), (4, "address"), (5, "care")):
+    _cue(f"detect_{_kind}_cue", ner.CUES[_i], _kind.upper())
+
+
 def _union(*parts: str) -> str:
     return " UNION ".join(f"({p})" for p in parts)
 

@@ -224,6 +224,8 @@ def test_quality_on_the_labelled_corpus(spark):
     micro, ids = evaluate.micro(scored).first(), evaluate.micro(scored, evaluate.IDENTIFIERS).first()
     assert micro.relaxed_f1 >= 0.987 and micro.strict_f1 >= 0.967
     assert ids.relaxed_f1 == ids.strict_f1 == 1.0
+    place, person = (evaluate.micro(scored, (kind,)).first() for kind in ("LOCATION", "PERSON"))
+    assert place.relaxed_f1 >= 0.941 and place.strict_f1 >= 0.824 and person.relaxed_f1 >= 0.967 and person.strict_f1 >= 0.933
 
 
 def test_files_corpus_and_stream(spark, tmp_path):
