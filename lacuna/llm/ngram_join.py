@@ -8,7 +8,8 @@ two sets that share o elements or more share c of the first ``|r| - o + c`` of e
 * Heavy sets scan the inverted lists of their prefix (c = 1). Light sets within the size ratio of
   heavy ones are in those lists too.
 * The boundary x is where enumerating the subsets of a set costs more than scanning its lists; list
-  lengths come from counts over the whole corpus.
+  lengths come from counts over the whole corpus. A list is read once in each round of pivots below and
+  not once for each of its entries, so its length counts up to the number of rounds.
 
 A group of m alike documents has m * m / 2 links that say no more than m of them. So in each round a
 list has one pivot, and each document meets one pivot: the one it shares most lists with, among those
@@ -49,6 +50,8 @@ WIDTH, NUM, DEN = 5, 80, 100
 OFTEN, CELLS, WINDOW = 3, 1 << 22, 2_000_000
 #: 64-bit words of the small bitmap that joins compare.
 SMALL = 8
+#: Pairs of whole texts that are decided together, and bytes of their sets that are kept for the next ones.
+PAIRS, SETS_BYTES = 64, 32 << 20
 #: Rounds of pivots before the rest is enumerated; any number gives the same components.
 ROUNDS = 5
 
@@ -251,8 +254,10 @@ def _exact(width: int):
     """Decide pairs on the whole sets of their texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
+        held = 0
 
         def sets(ids: np.ndarray, texts: pa.Array) -> None:
+            nonlocal held
             ids = np.asarray(ids)
             _, at = np.unique(ids, return_index=True)
             at = [i for i in at.tolist() if int(ids[i]) not in known]
@@ -261,14 +266,16 @@ def _exact(width: int):
                 for block in wb.blocks(iter([part])):
                     values, first = distinct_shingles(block, width)
                     for k, d in enumerate(block.column("doc_id").tolist()):
-                        known[d] = values[first[k] : first[k + 1]]
+                        known[d] = values[first[k] : first[k + 1]].copy()
+                        held += known[d].nbytes
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for lo in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(lo, PAIRS)
                 a, b = part.column("a").to_numpy(), part.column("b").to_numpy()
-                if len(known) > 2048:
+                if held > SETS_BYTES:
                     known.clear()
+                    held = 0
                 sets(a, part.column("text_a"))
                 sets(b, part.column("text_b"))
                 shared = np.array([len(np.intersect1d(known[x], known[y], assume_unique=True)) for x, y in zip(a.tolist(), b.tolist(), strict=True)])
@@ -303,7 +310,7 @@ def links(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame, Da
     often = wb.keep(own.mapInArrow(_often(width), "key long, n long, total long, repeats long"), "often")
     seen = often.where("total > 0").agg(F.count("*"), F.sum("total"), F.sum("repeats")).first()
     length = 1 + (seen[2] or 0) / (seen[1] or 1) * (seen[0] or 0)
-    boundary = choose_boundary(length)
+    boundary = choose_boundary(min(length, 1 + ROUNDS))
     # CELLS bytes, whatever the input
     shared = spark.sparkContext.broadcast(_levels(often))
 
@@ -376,7 +383,8 @@ def _verified(texts: DataFrame, bits: DataFrame, pairs: DataFrame, width: int) -
     near = pairs.join(a, "a").join(b, "b").where(f"{DEN} * least(na, nb) >= {NUM} * greatest(na, nb)").select("a", "b", "na", "nb", "xa", "xb")
     near = wb.keep(near.mapInArrow(_within_bound, "a long, b long"), "near")
     both = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    out = wb.keep(both.mapInArrow(_exact(width), "a long, b long").distinct(), "links")
+    with wb.row_by_row(texts.sparkSession, PAIRS):
+        out = wb.keep(both.mapInArrow(_exact(width), "a long, b long").distinct(), "links")
     wb.forget(near)
     return out
 

@@ -205,11 +205,11 @@ def forget(*kept) -> None:
 
 
 @contextmanager
-def row_by_row(spark):
-    """Rows of MBs go to Python one in a batch, for the tables written within."""
+def row_by_row(spark, rows: int = 1):
+    """Large rows go to Python one, or so many, in a batch, for the tables written within."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, "1")
+    spark.conf.set(name, str(rows))
     try:
         yield
     finally:
