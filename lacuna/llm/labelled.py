@@ -18,12 +18,14 @@ def training(docs: DataFrame, labels: DataFrame, label: str, rows: int, held_out
     """(doc_id, text, label) of at most ``rows`` rows of each label outside the held-out fold, and how many have each label.
 
     The rows are the first by a hash of their ids, so they are the same at each run. Their ids are a bounded
-    table, so it is broadcast and documents are not shuffled. One label for each id; null labels are dropped.
+    table, so it is broadcast and only these documents are shuffled. One label for each id; null labels are dropped. Of
+    rows with one id, however many, the text of the smallest hash counts.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null")
     known = known.where(fold() != held_out).groupBy("doc_id").agg(F.max("label").alias("label"))
     some = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (1, 0)]
     found = docs.join(F.broadcast(some[0].union(some[1])), "doc_id").select("doc_id", "text", "label")
+    found = found.groupBy("doc_id").agg(F.min_by(F.struct("text", "label"), F.xxhash64("text")).alias("r")).select("doc_id", "r.text", "r.label")
     return wb.keep(found, "labelled"), {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
 
 

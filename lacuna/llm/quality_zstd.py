@@ -6,8 +6,10 @@ difference of the two sums by the bytes of the text is the one feature; a logist
 texts that no dictionary was built from turns it into a probability. (By bytes and not by compressed
 bytes, as texts that repeat themselves are small either way.)
 
-Bounds of what is learnt from: ``SAMPLE_ROWS`` rows of each label, their whole texts, which the driver
-holds. The model is two dictionaries of ``DICTIONARY`` bytes.
+Bounds of what is learnt from: ``SAMPLE_ROWS`` rows of each label. Half of them are measured whole, where they are,
+for the calibration. Of the others' pieces the driver gets about ``SAMPLE_PIECES`` for each label, all where there
+are no more, else those with the smallest hashes of id and place, so from all of each text. The model is two
+dictionaries of ``DICTIONARY`` bytes.
 
 Defined cases: a row without an id is left out; null or empty texts get the score at no difference; a very long text is a block of its own, read piece by piece; with too few texts
 for a dictionary of one label, that dictionary is the texts themselves; without labels all scores
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from lacuna.llm import wordblock as wb
 from lacuna.llm.labelled import fold, logistic, sigmoid, training, weights
 
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS, SAMPLE_PIECES = 2000, 50_000
 DICTIONARY, PIECE, LEVEL = 512 << 10, 1024, 3
 
 
@@ -58,28 +60,63 @@ class QualityModel:
         return sigmoid(difference * self.beta[0] + self.beta[1])
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
+def _dictionary(pieces: list[bytes]) -> bytes:
     import zstandard as z
 
-    pieces = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
     try:
         return z.train_dictionary(DICTIONARY, pieces).as_bytes()
     except z.ZstdError:
         return (b"".join(pieces) or b" " * 8)[-DICTIONARY:].ljust(8)
 
 
+def _pieces(shares: dict[int, float]):
+    """Of each text the pieces whose hash is within the share of its label."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in wb.blocks(batches):
+            ids, labels = block.column("doc_id"), block.column("label").tolist()
+            for i in range(len(block)):
+                text = block.text(i)
+                at = np.arange(-(-len(text) // PIECE))
+                hashed = wb.mix(wb.mix(ids[i : i + 1].astype(np.uint64)) ^ at.astype(np.uint64))
+                at = at[(hashed >> np.uint64(32)) < shares[labels[i]] * 2**32]
+                held = [text[k * PIECE : (k + 1) * PIECE] for k in at.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([labels[i]] * len(at), pa.int32()), pa.array(np.full(len(at), ids[i])), pa.array(at, pa.int64()), pa.array(held, pa.binary())], names=["label", "doc_id", "place", "piece"])
+
+    return run
+
+
+def _measured(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value.measure()
+        for block in wb.blocks(batches):
+            got = [of(block.text(i)) for i in range(len(block))]
+            yield pa.RecordBatch.from_arrays([block.rows.column("doc_id"), block.rows.column("label"), pa.array(got, pa.float64())], names=["doc_id", "label", "difference"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> QualityModel:
     """Learn from a bounded sample of the training fold; even rows make dictionaries, odd ones the calibration."""
     known, totals = training(docs, labels, label, SAMPLE_ROWS)
-    cut = known.select("label", F.encode("text", "UTF-8").alias("text"), F.xxhash64("doc_id").alias("h"), "doc_id")
-    rows = cut.toPandas().sort_values(["h", "doc_id"])
-    good, bad = ([bytes(t) for t in rows["text"][rows["label"] == k]] for k in (1, 0))
-    model = QualityModel(_dictionary(good[::2]), _dictionary(bad[::2]), np.zeros(2))
-    of = model.measure()
-    seen = [(of(t), y) for y, texts in ((1, good[1::2]), (0, bad[1::2])) for t in texts]
-    if seen:
-        table = np.array(seen)
-        model.beta = logistic(table[:, :1], table[:, 1], weights(table[:, 1], np.ones(len(table)), totals))
+    # ids, labels and sizes of 2 * SAMPLE_ROWS rows at most
+    rows = known.select("doc_id", "label", F.xxhash64("doc_id").alias("h"), F.ceil(F.octet_length("text") / PIECE).alias("pieces")).toPandas().sort_values(["h", "doc_id"])
+    rows["odd"] = rows.groupby("label").cumcount() % 2
+    even = rows[rows["odd"] == 0]
+    place = {d: i for i, d in enumerate(even["doc_id"].tolist())}
+    shares = {k: min(1.0, SAMPLE_PIECES / max(int(even["pieces"][even["label"] == k].sum()), 1)) for k in (0, 1)}
+    of_even = F.col("doc_id").isin(list(place))
+    held = known.where(of_even).mapInArrow(_pieces(shares), "label int, doc_id long, place long, piece binary").toPandas()
+    held = held.assign(rank=held["doc_id"].map(place)).sort_values(["rank", "place"])
+    good, bad = (_dictionary([bytes(x) for x in held["piece"][held["label"] == k]]) for k in (1, 0))
+    model = QualityModel(good, bad, np.zeros(2))
+    # two dictionaries of DICTIONARY bytes, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    seen = known.where(~of_even).mapInArrow(_measured(shared), "doc_id long, label int, difference double").toPandas().sort_values(["label", "doc_id"])
+    wb.forget(known)
+    if len(seen):
+        y = seen["label"].to_numpy(float)
+        beta = logistic(seen[["difference"]].to_numpy(float), y, weights(y, np.ones(len(y)), totals))
+        return QualityModel(good, bad, beta)
     return model
 
 
