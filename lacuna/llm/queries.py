@@ -1,4 +1,4 @@
-"""The registered queries op1 to op10: thin views of the operators over whole tables."""
+"""The registered queries op1 to op13: thin views of the operators over whole tables."""
 
 from __future__ import annotations
 
@@ -76,6 +76,19 @@ def op10_toxic_segments(spark, sf_dir):
     return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), passages=False)
 
 
+def piece_model_file(spark) -> str:
+    """The piece model; another place can be set as ``lacuna.piece_model``."""
+    import public_tokenizers
+
+    return spark.conf.get("lacuna.piece_model", public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_piece_encoding(spark, sf_dir):
+    from lacuna.llm.piece_encoding import digests, encode, read_model
+
+    return digests(encode(_table(spark, sf_dir, "documents"), read_model(piece_model_file(spark))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -89,6 +102,7 @@ QUERIES = {
         op8_simhash_decontamination,
         op9_license_scan,
         op10_toxic_segments,
+        op13_piece_encoding,
     )
 }
 
