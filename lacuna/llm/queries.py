@@ -76,6 +76,18 @@ def op10_toxic_segments(spark, sf_dir):
     return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), passages=False)
 
 
+def op11_tsqr_whitening(spark, sf_dir):
+    from lacuna.llm.whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark, sf_dir):
+    from lacuna.llm.conversation_repair import repair
+
+    return repair(_table(spark, sf_dir, "conversations"))
+
+
 def piece_model_file(spark) -> str:
     """The piece model; another place can be set as ``lacuna.piece_model``."""
     import public_tokenizers
@@ -102,6 +114,8 @@ QUERIES = {
         op8_simhash_decontamination,
         op9_license_scan,
         op10_toxic_segments,
+        op11_tsqr_whitening,
+        op12_conversation_repair,
         op13_piece_encoding,
     )
 }
