@@ -21,8 +21,10 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PAIR_MERGING = 2
 UNKNOWN_TEXT = " ⁇ "
 
+#: Characters of a word whose merges are looked up without a heap; stands for a pair that is no piece.
+SHORT, NO_PIECE = 64, float("inf")
 #: Pieces of distinct words that a worker keeps; beyond that it starts anew.
-KEPT_PIECES = 2_000_000
+KEPT_PIECES = 4_000_000
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -157,6 +159,15 @@ class Normalizer:
         return text, np.concatenate((source, end))
 
 
+def word_pattern(pieces: Iterable[str]) -> str:
+    """Finds words one after the other, so that no piece reaches over the end of one: they end before a space that follows something else, and around ASCII characters of no piece."""
+    names = [*pieces]
+    if any(re.search(f"[^{SPACE}]{SPACE}", n) for n in names):
+        return "(?s).+"
+    lone = re.escape("".join(sorted({*map(chr, range(128))} - {c for n in names for c in n})))
+    return "|".join([f"{SPACE}*[^{SPACE}{lone}]+", f"{SPACE}+"] + [f"[{lone}]"] * bool(lone))
+
+
 class PieceModel:
     """Encodes by words: texts are cut where no piece of the vocabulary reaches over, so each word is merged once.
 
@@ -179,10 +190,7 @@ class PieceModel:
         byte_of = {i: b for b, i in self._bytes.items()}
         self._raw = [bytes([byte_of[i]]) if kinds[i] == BYTE else b"" if kinds[i] == CONTROL else UNKNOWN_TEXT.encode() if kinds[i] == UNKNOWN else n.encode() for i, n in enumerate(names)]
         self._plain = [bool(kinds[i] != BYTE) for i in range(len(names))]
-        lone = "".join(c for c in map(chr, range(128)) if not any(c in n for n in self.ids))
-        crossed = any(re.search(f"[^{SPACE}]{SPACE}", n) for n in self.ids)
-        cut = re.escape(lone)
-        self._words = re.compile("(?s).+" if crossed else f"{f'[{cut}]|' * bool(lone)}{SPACE}*[^{SPACE}{cut}]+|{SPACE}+").findall
+        self._words = re.compile(word_pattern(self.ids)).findall
         self._forget()
 
     def _forget(self) -> None:
@@ -206,6 +214,23 @@ class PieceModel:
 
     def merged(self, word: str) -> list[str]:
         """Pieces of a word: the pair of best score first, the leftmost of equal ones."""
+        return self._merged_short(word) if len(word) <= SHORT else self._merged_long(word)
+
+    def _merged_short(self, word: str) -> list[str]:
+        """By looking over all scores each time, which for few characters is faster than a heap."""
+        part, score = list(word), self._score.get
+        pair = [score(a + b, NO_PIECE) for a, b in zip(part, part[1:])]
+        while pair and (best := min(pair)) < NO_PIECE:
+            i = pair.index(best)
+            part[i] += part[i + 1]
+            del part[i + 1], pair[i]
+            if i:
+                pair[i - 1] = score(part[i - 1] + part[i], NO_PIECE)
+            if i < len(pair):
+                pair[i] = score(part[i] + part[i + 1], NO_PIECE)
+        return part
+
+    def _merged_long(self, word: str) -> list[str]:
         part = list(word)
         after, before = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
         score, heap = self._score, []

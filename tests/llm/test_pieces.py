@@ -69,6 +69,13 @@ def test_words_kept_do_not_change_ids(library, monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == library.encode(texts[k : k + 7])
 
 
+def test_long_and_short_words_merge_alike(monkeypatch):
+    rng, model = random.Random(3), pm.PieceModel(pe.read_model(PATH))
+    for _ in range(500):
+        word = "".join(rng.choice("▁thehinganodé.,aa ") for _ in range(rng.randrange(1, 64)))
+        assert model._merged_short(word) == model._merged_long(word)
+
+
 def test_character_map_with_offsets():
     """Longest-prefix rules of a compiled map of some 200 kB, with and without extra spaces."""
     library = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
