@@ -6,12 +6,18 @@ and are half open. ``seq`` is its place among all candidates of a note and break
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "struct<start:int,end:int,type:string,text:string,score:double,source:string,recognizer:string,seq:int>"
 SPANS = f"array<{SPAN}>"
-_HIT = "array<struct<start:int,mid:int,end:int>>"
+#: A match: ``mid`` is where its second group begins, ``head`` and ``tail`` are the texts before and behind it.
+_HIT = "struct<start:int,mid:int,end:int,head:string,tail:string>"
+
+#: Items of an array that are folded at once, at least.
+BLOCK = 64
 
 MARK, SPLIT, STAND_IN = "\u0001", "\u0002", "\u0003"
 
@@ -20,8 +26,40 @@ def no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _block_size(n: Column) -> Column:
+    return F.greatest(F.lit(BLOCK), F.ceil(F.sqrt(n)).cast("int"))
+
+
+def in_blocks(items: Column, body: Callable[[Column], Column]) -> Column:
+    """An array of ``body`` of each run of about the square root of all items. Not for empty arrays.
+
+    An array that grows inside a fold is copied at each step, and a substring is looked for from the text's
+    beginning; over blocks both cost the square root of what they cost over all items.
+    """
+    return let(items, lambda x: let(_block_size(F.size(x)), lambda b: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / b).cast("int")), lambda j: body(F.slice(x, j * b + 1, b)))))
+
+
+def scan(items: Column, zero: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """A left fold that gives out items on its way: ``struct<state,out>``, where ``out`` is all that
+    ``emit(state, item)`` gave (arrays of ``kind``) and ``state`` what ``step`` made of ``zero`` in the end."""
+    none = lambda of: F.array().cast(f"array<{of}>")
+
+    def inner(state: Column, block: Column) -> Column:
+        begin = F.struct(state.alias("state"), none(kind).alias("out"))
+        return F.aggregate(block, begin, lambda acc, item: F.struct(step(acc["state"], item).alias("state"), F.concat(acc["out"], emit(acc["state"], item)).alias("out")))
+
+    outer = lambda acc, block: let(inner(acc["state"], block), lambda done: F.struct(done["state"].alias("state"), F.concat(acc["outs"], F.array(done["out"])).alias("outs")))
+    begin = F.struct(zero.alias("state"), none(f"array<{kind}>").alias("outs"))
+    return F.aggregate(in_blocks(items, lambda block: block), begin, outer, lambda acc: F.struct(acc["state"].alias("state"), F.flatten(acc["outs"]).alias("out")))
+
+
 def finditer(text: Column, pattern: str, flags: str = "U", cut: bool = False) -> Column:
-    """All matches, left to right, as ``array<struct<start,mid,end>>``.
+    """All matches, left to right, as ``array<struct<start,mid,end,head,tail>>``, in about the time of the search.
 
     With ``cut`` the pattern is two groups side by side and ``mid`` is where the second begins; else it is
     ``start``. The text is marked by one regexp_replace and the lengths between the marks are added up, so
@@ -34,32 +72,58 @@ def finditer(text: Column, pattern: str, flags: str = "U", cut: bool = False) ->
         F.lit(regex),
         F.lit(f"{MARK}$1{SPLIT}$2{MARK}" if cut else f"{MARK}$0{MARK}"),
     )
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(_HIT).alias("hits"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"))
+    split = lambda part: F.instr(part, SPLIT) if cut else F.lit(1)  # noqa: E731  its place in a part, from 1
+
+    def step(state: Column, part: Column) -> Column:
+        mark = F.when(state["inside"], 1).otherwise(0) if cut else F.lit(0)
+        return F.struct((state["at"] + F.length(part) - mark).cast("int").alias("at"), (~state["inside"]).alias("inside"))
+
+    def emit(state: Column, part: Column) -> Column:
+        at = state["at"]
+        head = F.left(part, split(part) - 1) if cut else F.lit("")
+        tail = F.substring(part, split(part) + 1, F.length(part)) if cut else part
+        mid = (at + split(part) - 1).cast("int")
+        hit = F.struct(at.alias("start"), mid.alias("mid"), (at + F.length(part) - (1 if cut else 0)).cast("int").alias("end"), head.alias("head"), tail.alias("tail"))
+        return F.when(state["inside"], F.array(hit)).otherwise(F.array().cast(f"array<{_HIT}>"))
+
+    found = scan(F.split(marked, MARK, -1), zero, step, emit, _HIT)["out"]
+    # a text with the marks themselves gets its hits' texts from where they stand
+    odd = F.contains(text, F.lit(MARK)) | F.contains(text, F.lit(SPLIT))
+    own = lambda h, local, base: h.withField("head", piece(local, h["start"] - base, h["mid"] - base)).withField("tail", piece(local, h["mid"] - base, h["end"] - base))
+    found = let(found, lambda hits: F.when(odd, near_each(text, hits, own)).otherwise(hits))
+    return F.when(F.regexp_like(text, F.lit(regex)), found).otherwise(F.array().cast(f"array<{_HIT}>"))
+
+
+def near_each(text: Column, items: Column, body: Callable[[Column, Column, Column], Column], before: int = 0, after: int = 0) -> Column:
+    """``body(item, local, base)`` of each of sorted items with ``start`` and ``end``: ``local`` is a part of the
+    text from ``base`` on, with all of a block's items and so many characters around them."""
+
+    def block(own: Column) -> Column:
+        base = F.greatest(F.element_at(own, 1)["start"] - before, F.lit(0))
+        end = F.array_max(F.transform(own, lambda i: i["end"])) + after
+        return let(F.struct(base.alias("base"), piece(text, base, end).alias("local")), lambda p: F.transform(own, lambda i: body(i, p["local"], p["base"])))
+
+    return F.flatten(in_blocks(items, block))
 
-    def step(acc: Column, part: Column) -> Column:
-        head = F.length(F.substring_index(part, SPLIT, 1)) if cut else F.lit(0)
-        size = F.length(part) - (F.lit(1) if cut else F.lit(0))
-        hit = F.struct(acc["at"].alias("start"), (acc["at"] + head).cast("int").alias("mid"), (acc["at"] + size).cast("int").alias("end"))
-        return F.struct(
-            F.when(acc["inside"], acc["at"] + size).otherwise(acc["at"] + F.length(part)).cast("int").alias("at"),
-            (~acc["inside"]).alias("inside"),
-            F.when(acc["inside"], F.concat(acc["hits"], F.array(hit))).otherwise(acc["hits"]).alias("hits"),
-        )
 
-    found = F.aggregate(F.split(marked, MARK, -1), zero, step, lambda acc: acc["hits"])
-    return F.when(F.regexp_like(text, F.lit(regex)), found).otherwise(F.array().cast(_HIT))
+def filter_near(text: Column, items: Column, keep: Callable[[Column, Column, Column], Column], before: int, after: int) -> Column:
+    """Of sorted items those whose surroundings ``keep(item, local, base)`` accepts."""
+    judged = near_each(text, items, lambda i, local, base: F.struct(i.alias("item"), keep(i, local, base).alias("keep")), before, after)
+    kept = F.transform(F.filter(judged, lambda j: j["keep"]), lambda j: j["item"])
+    return F.when(F.size(items) > 0, kept).otherwise(items)
 
 
 def piece(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, end - start)
 
 
-def make_span(text: Column, start: Column, end: Column, kind: str, score: float, recognizer: str, source: str = "rule") -> Column:
+def make_span(start: Column, end: Column, part: Column, kind: str, score: float, recognizer: str, source: str = "rule") -> Column:
     return F.struct(
         start.cast("int").alias("start"),
         end.cast("int").alias("end"),
         F.lit(kind).alias("type"),
-        piece(text, start, end).alias("text"),
+        part.alias("text"),
         F.lit(score).cast("double").alias("score"),
         F.lit(source).alias("source"),
         F.lit(recognizer).alias("recognizer"),
@@ -70,7 +134,10 @@ def make_span(text: Column, start: Column, end: Column, kind: str, score: float,
 def first_of_equal_bounds(*spans: Column) -> Column:
     """All spans in order, without those whose bounds an earlier one has."""
     same = lambda a, b: (a["start"] == b["start"]) & (a["end"] == b["end"])
-    return F.aggregate(F.concat(*spans), no_spans(), lambda out, s: F.when(F.exists(out, lambda o: same(o, s)), out).otherwise(F.concat(out, F.array(s))))
+    keyed = lambda x: F.transform(x, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), i.alias("i"), s.alias("span")))
+    first = lambda k: F.filter(k, lambda x, i: (i == 0) | ~same(x, F.element_at(k, F.greatest(i, F.lit(1)))))
+    again = lambda k: F.array_sort(F.transform(first(k), lambda x: F.struct(x["i"].alias("i"), x["span"].alias("span"))))
+    return let(F.concat(*spans), lambda x: F.when(F.size(x) < 2, x).otherwise(F.transform(let(F.array_sort(keyed(x)), again), lambda k: k["span"])))
 
 
 def settled(df: DataFrame, name: str, value: Column) -> DataFrame:

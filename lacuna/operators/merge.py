@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lacuna.functions.spans import SPANS, finditer, numbered, piece
+from lacuna.functions.spans import SPAN, finditer, let, near_each, numbered, piece, scan
 
 # Precedence of layers, priority of types, forms of redacted tokens.
 PRECEDENCE = {"rule": 3, "ner": 2, "llm": 1}
@@ -22,9 +22,18 @@ def _case(key: Column, table: dict[str, int]) -> Column:
 
 def filter_redacted(text: Column, spans: Column) -> Column:
     """Drop spans inside a token that redaction wrote; spans that straddle one stay."""
-    tokens = finditer(text, f"(?:{REDACTED_TOKEN})", "U")
-    inside = lambda s: F.exists(tokens, lambda t: (t["start"] <= s["start"]) & (s["end"] <= t["end"]))
-    return F.when(F.contains(text, F.lit("[")), F.filter(spans, lambda s: ~inside(s))).otherwise(spans)
+    tokens = F.transform(finditer(text, f"(?:{REDACTED_TOKEN})", "U"), lambda t: F.struct(t["start"].alias("start"), (-t["end"]).alias("stop"), F.lit(-1).alias("i")))
+    starts = lambda x: F.transform(x, lambda s, i: F.struct(s["start"].alias("start"), (-s["end"]).alias("stop"), i.alias("i")))
+
+    def outside(x: Column) -> Column:
+        """Places of the spans that end behind the last token begun before them: tokens are disjoint, so no other holds them."""
+        step = lambda state, e: F.when(e["i"] < 0, F.struct((-e["stop"]).alias("upto"))).otherwise(state)
+        emit = lambda state, e: F.when((e["i"] >= 0) & (-e["stop"] > state["upto"]), F.array(e["i"])).otherwise(F.array().cast("array<int>"))
+        # of equal bounds the token stands first (its place is -1), and of equal starts the longer one, so a token before what it holds
+        return scan(F.array_sort(F.concat(tokens, starts(x))), F.struct(F.lit(0).alias("upto")), step, emit, "int")["out"]
+
+    kept = let(spans, lambda x: F.when(F.size(x) == 0, x).otherwise(F.transform(F.array_sort(outside(x)), lambda i: F.get(x, i))))
+    return F.when(F.contains(text, F.lit("[")), kept).otherwise(spans)
 
 
 def merge_spans(text: Column, spans: Column, refill: bool = True) -> Column:
@@ -37,18 +46,16 @@ def merge_spans(text: Column, spans: Column, refill: bool = True) -> Column:
     """
     key = lambda s: F.struct(s["start"].alias("a"), (-_case(s["source"], PRECEDENCE)).alias("b"), (-s["score"]).alias("c"), (-s["end"]).alias("d"), s["seq"].alias("e"), s.alias("span"))
     ordered = F.transform(F.array_sort(F.transform(spans, key)), lambda k: k["span"])
+    behind = lambda last, s: last.isNull() | (s["start"] >= last["end"])
 
-    def step(out: Column, s: Column) -> Column:
-        last = F.element_at(out, -1)
-        rest = F.slice(out, F.lit(1), F.size(out) - 1)
+    def step(last: Column, s: Column) -> Column:
         p, q = _case(s["source"], PRECEDENCE), _case(last["source"], PRECEDENCE)
         n, m = s["end"] - s["start"], last["end"] - last["start"]
-        end = F.greatest(last["end"], s["end"])
         union = F.struct(
             last["start"].alias("start"),
-            end.alias("end"),
+            F.greatest(last["end"], s["end"]).alias("end"),
             last["type"].alias("type"),
-            (piece(text, last["start"], end) if refill else F.lit("")).alias("text"),
+            F.lit(None).cast("string").alias("text"),
             F.greatest(last["score"], s["score"]).alias("score"),
             last["source"].alias("source"),
             F.coalesce(last["recognizer"], s["recognizer"]).alias("recognizer"),
@@ -56,15 +63,21 @@ def merge_spans(text: Column, spans: Column, refill: bool = True) -> Column:
         )
         wins = (n > m) | ((n == m) & ((_case(s["type"], PRIORITY) > _case(last["type"], PRIORITY)) | (s["score"] > last["score"])))
         return (
-            F.when((F.size(out) == 0) | (s["start"] >= last["end"]), F.concat(out, F.array(s)))
-            .when(p > q, F.concat(rest, F.array(s)))
-            .when(p < q, out)
-            .when(s["type"] == last["type"], F.concat(rest, F.array(union)))
-            .when(wins, F.concat(rest, F.array(s)))
-            .otherwise(out)
+            F.when(behind(last, s) | (p > q), s)
+            .when(p < q, last)
+            .when(s["type"] == last["type"], union)
+            .when(wins, s)
+            .otherwise(last)
         )
 
-    return F.when(F.size(spans) < 2, spans).otherwise(F.aggregate(ordered, F.array().cast(SPANS), step))
+    emit = lambda last, s: F.when(last.isNotNull() & behind(last, s), F.array(last)).otherwise(F.array().cast(f"array<{SPAN}>"))
+    merged = let(scan(ordered, F.lit(None).cast(SPAN), step, emit, SPAN), lambda r: F.concat(r["out"], F.array(r["state"])))
+    if refill:
+        own = lambda s, local, base: F.when(s["text"].isNull(), s.withField("text", piece(local, s["start"] - base, s["end"] - base))).otherwise(s)
+        united = lambda x: F.when(F.exists(x, lambda s: s["text"].isNull()), near_each(text, x, own)).otherwise(x)
+    else:
+        united = lambda x: F.transform(x, lambda s: s.withField("text", F.coalesce(s["text"], F.lit(""))))
+    return F.when(F.size(spans) < 2, spans).otherwise(let(merged, united))
 
 
 def overlaps(spans: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lacuna.functions.checksums import ihi_valid, medicare_valid, nhi_valid
-from lacuna.functions.spans import finditer, first_of_equal_bounds, make_span, no_spans, piece
+from lacuna.functions.spans import filter_near, finditer, first_of_equal_bounds, let, make_span, no_spans
 
 # Word lists and label lists of the rules.
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
@@ -45,7 +45,7 @@ class RecognizerSpec:
     """A pattern with what is kept of its matches.
 
     ``part``: "whole" match, or the "second" or "first" of two groups side by side. ``valid`` takes the
-    span's text; ``near`` takes the note and the match's struct. ``gate`` is a cheap test that every note
+    span's text; ``near`` (characters before, characters behind, words) asks for one of the words around the match. ``gate`` is a cheap test that every note
     with a match passes: word boundaries and case-blind classes cost far more than a plain search, and
     most notes lack what a pattern needs.
     """
@@ -57,15 +57,17 @@ class RecognizerSpec:
     flags: str = "U"
     part: str = "whole"
     valid: Callable[[Column], Column] | None = None
-    near: Callable[[Column, Column], Column] | None = None
+    near: tuple[int, int, tuple[str, ...]] | None = None
     gate: Callable[[Column], Column] | None = None
 
     def spans(self, text: Column) -> Column:
         hits = finditer(text, self.pattern, self.flags, self.part != "whole")
         if self.near:
-            hits = F.filter(hits, lambda h: self.near(text, h))
-        bounds = {"whole": ("start", "end"), "second": ("mid", "end"), "first": ("start", "mid")}[self.part]
-        spans = F.transform(hits, lambda h: make_span(text, h[bounds[0]], h[bounds[1]], self.kind, self.score, self.name))
+            before, after, words = self.near
+            said = lambda h, local, base: F.regexp_like(_window(local, h["start"] - before - base, h["end"] + after - base), F.lit("|".join(words)))
+            hits = let(hits, lambda found: filter_near(text, found, said, before, after))
+        bounds, part = {"whole": (("start", "end"), lambda h: h["tail"]), "second": (("mid", "end"), lambda h: h["tail"]), "first": (("start", "mid"), lambda h: h["head"])}[self.part]
+        spans = F.transform(hits, lambda h: make_span(h[bounds[0]], h[bounds[1]], part(h), self.kind, self.score, self.name))
         if self.valid:
             spans = F.filter(spans, lambda s: self.valid(s["text"]))
         return F.when(self.gate(text), spans).otherwise(no_spans()) if self.gate else spans
@@ -100,14 +102,6 @@ def _window(text: Column, start: Column, end: Column) -> Column:
     return F.lower(F.substring(text, lo + 1, end - lo))
 
 
-def _uuid_near(text: Column, h: Column) -> Column:
-    return F.regexp_like(_window(text, h["start"] - 40, h["end"] + 20), F.lit("|".join(UUID_GATE)))
-
-
-def _city_near(text: Column, h: Column) -> Column:
-    return F.regexp_like(_window(text, h["start"] - 50, h["end"] + 10), F.lit("|".join(CITY_GATE)))
-
-
 def _ip_valid(c: Column) -> Column:
     v6 = F.regexp_like(c, F.lit("[0-9]")) & (F.size(F.split(c, ":")) <= 8)
     return F.when(F.contains(c, F.lit(":")), v6).otherwise(F.forall(F.split(c, r"\."), lambda o: o.cast("int") <= 255))
@@ -122,11 +116,11 @@ DATE = RecognizerSpec("DateRecognizerCustom", "DATE", rf"(?:\b\d{{1,2}}/\d{{1,2}
 MRN = RecognizerSpec("MrnRecognizer", "MRN", r"(\b(?:MRN|UR|U/R)[:\s#]*)(\d{5,8}\b)", 0.85, "iU", "second", gate=has(r"\p{Nd}{5}"))
 ID_LABELLED = RecognizerSpec("GenericIdRecognizer", "ID", rf"(\b(?:{ID_LABELS})[:\s#]+)([A-Z0-9][A-Z0-9-]{{5,}}\b)", 0.8, "iU", "second", gate=any_of("ssn", "security number", "license", "passport", "record number", "patient id", "resource id", "identifier", lower=True))
 SSN = RecognizerSpec("GenericIdRecognizer", "ID", r"\b\d{3}-\d{2}-\d{4}\b", 0.85, gate=has(r"\p{Nd}{3}-\p{Nd}"))
-UUID = RecognizerSpec("GenericIdRecognizer", "ID", rf"\b{_UUID}\b", 0.75, "iU", near=_uuid_near, gate=has("[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-"))
+UUID = RecognizerSpec("GenericIdRecognizer", "ID", rf"\b{_UUID}\b", 0.75, "iU", near=(40, 20, UUID_GATE), gate=has("[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-"))
 AGE_SHORT = RecognizerSpec("AgeRecognizer", "AGE", r"\b\d{1,3}\s*(?:yo|y/o)\b", 0.75, "iU", gate=has(r"\p{Nd}(?U)\s*[yY]"))
 AGE_LONG = RecognizerSpec("AgeRecognizer", "AGE", r"\b\d{1,3}\s*years?\s*old\b", 0.75, "iU", gate=has(r"\p{Nd}(?U)\s*[yY]"))
 STREET = RecognizerSpec("LocationRecognizer", "LOCATION", rf"\b\d{{1,5}}\s+[A-Za-z]+(?:[\s\-'][A-Za-z]+){{0,64}}\s+(?:{STREET_KINDS})\b", 0.75, "iU", gate=has(r"\p{Nd}(?U)\s"))
-CITY = RecognizerSpec("LocationRecognizer", "LOCATION", r"(\b[A-Za-z]+(?:\s+[A-Za-z]+)?)(\s*,?\s+\d{4}\b)", 0.6, "iU", "first", near=_city_near, gate=has(r"(?U)\s\p{Nd}{4}"))
+CITY = RecognizerSpec("LocationRecognizer", "LOCATION", r"(\b[A-Za-z]+(?:\s+[A-Za-z]+)?)(\s*,?\s+\d{4}\b)", 0.6, "iU", "first", near=(50, 10, CITY_GATE), gate=has(r"(?U)\s\p{Nd}{4}"))
 EMAIL = RecognizerSpec("EmailRecognizer", "EMAIL", r"\b[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.){1,16}[A-Za-z]{2,63}\b", 1.0, "iU", gate=any_of("@"))
 URL = RecognizerSpec("UrlRecognizer", "URL", rf"(?:\bhttps?://[^\s<>\"']+|\b(?:[a-z0-9-]+\.){{1,8}}(?:{SUFFIXES})\b(?:/[^\s<>\"']*)?)", 0.6, "iU", gate=has(rf"://|[.](?i:{SUFFIXES})"))
 IP = RecognizerSpec("IpRecognizer", "IP", r"(?:\b(?:\d{1,3}\.){3}\d{1,3}\b|\b(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}\b|\b(?:[0-9a-f]{1,4}:){1,6}(?::[0-9a-f]{1,4}){1,6}\b|\B::(?:[0-9a-f]{1,4}:){0,5}[0-9a-f]{1,4}\b)", 0.6, "iU", valid=_ip_valid, gate=has(r"\p{Nd}[.]\p{Nd}|:[0-9a-fA-F]{0,4}:"))
@@ -158,8 +152,8 @@ def postcodes(text: Column) -> Column:
     gate = rf"(?iU)\b(?:{'|'.join(POSTCODE_GATE)})\b"
     number = r"\b\d{4,5}(?:-\d{4})?\b"
     lines = finditer(text, "[^\r\n\x0b\x0c\x1c-\x1e\x85  ]+", "U")
-    lines = F.filter(lines, lambda h: F.regexp_like(piece(text, h["start"], h["end"]), F.lit(gate)))
-    found = F.flatten(F.transform(lines, lambda line: F.transform(finditer(piece(text, line["start"], line["end"]), number, "U"), lambda h: make_span(text, line["start"] + h["start"], line["start"] + h["end"], "POSTCODE", 0.7, "PostcodeRecognizer"))))
+    lines = F.filter(lines, lambda h: F.regexp_like(h["tail"], F.lit(gate)))
+    found = F.flatten(F.transform(lines, lambda line: F.transform(finditer(line["tail"], number, "U"), lambda h: make_span(line["start"] + h["start"], line["start"] + h["end"], h["tail"], "POSTCODE", 0.7, "PostcodeRecognizer"))))
     return F.when(has(r"\p{Nd}{4}")(text) & F.regexp_like(text, F.lit(gate)), found).otherwise(no_spans())
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lacuna.functions.spans import piece
+from lacuna.functions.spans import near_each, piece
 
 STRATEGIES = ("mask", "hash", "surrogate")
 
@@ -125,11 +125,11 @@ def replacements(spans: Column, strategy: str, key: str | None = None, native: b
 
 def redact(text: Column, spans: Column, strings: Column) -> Column:
     """The text with sorted, disjoint spans replaced."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    pairs = F.zip_with(spans, strings, lambda s, r: F.struct(s["start"].alias("start"), s["end"].alias("end"), r.alias("r")))
-    step = lambda acc, p: F.struct(p["end"].alias("at"), F.concat(acc["out"], piece(text, acc["at"], p["start"]), p["r"]).alias("out"))
-    tail = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(pairs, zero, step, tail))
+    end_before = lambda i: F.when(i == 0, 0).otherwise(F.element_at(spans, F.greatest(i, F.lit(1)))["end"])
+    gaps = F.transform(spans, lambda s, i: F.struct(end_before(i).alias("start"), s["start"].alias("end"), F.get(strings, i).alias("r")))
+    changed = near_each(text, gaps, lambda g, local, base: F.concat(piece(local, g["start"] - base, g["end"] - base), g["r"]))
+    out = F.concat(F.array_join(changed, ""), F.substring(text, F.element_at(spans, -1)["end"] + 1, F.length(text)))
+    return F.when(F.size(spans) == 0, text).otherwise(out)
 
 
 def audit(spans: Column) -> Column:

@@ -52,3 +52,17 @@ def test_filter_redacted(spark):
     df = spark.createDataFrame([(text, [span(1, 9), span(10, 16), span(24, 34), span(36, 38)])], f"t string, s {SPANS}")
     got = df.select(merge.filter_redacted(F.col("t"), F.col("s")).alias("s")).first().s
     assert [(x.start, x.end) for x in got] == [(10, 16), (36, 38)]
+
+
+def test_filter_redacted_by_all_pairs(spark):
+    """Random spans against tokens, many of both."""
+    rng = random.Random(11)
+    text = "".join(rng.choice(["[REDACTED:NHI]", "[PHONE:0123456789]", "[x", " word "]) for _ in range(400))
+    tokens = [m.span() for m in __import__("re").finditer(merge.REDACTED_TOKEN, text)]
+    made = []
+    for k in range(1500):
+        a = rng.randrange(len(text) - 20)
+        made.append({"start": a, "end": a + rng.randrange(1, 20), "type": "ID", "text": "", "score": 1.0, "source": "rule", "recognizer": "r", "seq": k})
+    made += [{**made[0], "start": a, "end": b, "seq": 2000 + i} for i, (a, b) in enumerate(tokens[:20])]
+    got = spark.createDataFrame([(text, made)], f"t string, s {SPANS}").select(merge.filter_redacted(F.col("t"), F.col("s")).alias("s")).first().s
+    assert [x.seq for x in got] == [s["seq"] for s in made if not any(a <= s["start"] and s["end"] <= b for a, b in tokens)]
