@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lacuna import ship, spread
 from lacuna.functions import checksums
 from lacuna.functions.spans import SPAN, settled
-from lacuna.operators import assist, evaluate, merge, ner, recognizers, redact
+from lacuna.operators import assist, evaluate, merge, ner, recognizers, redact, tagger
 from lacuna.operators.recognizers import RecognizerSpec
 from lacuna.plans.deidentify import Config, corpus_audit, deidentify
 from lacuna.sources import fhir, generate
@@ -545,6 +545,26 @@ def corpus_offset_check(spark, sf_dir):
     return g.groupBy(F.col("g.type").alias("type")).agg(F.count("*").alias("spans"), F.count_if(drift).alias("drifted"), F.sum("g.start").alias("begins"), F.sum("g.end").alias("ends"))
 
 
+# ---- the trained tagger: learnt on notes of every customer, tried on notes with other names and further sentences ----
+
+
+def _tagged(spark, sf_dir) -> DataFrame:
+    keys = _customers(spark, sf_dir)
+    model = tagger.train(generate.prose_notes(keys, pool=0), epochs=4)
+    return tagger.tagged(spread(generate.prose_notes(keys, pool=1)), model, "found")
+
+
+@_query("tagger_spans")
+def tagger_spans(spark, sf_dir):
+    s = _tagged(spark, sf_dir).select("note_id", F.explode("found").alias("s"))
+    return s.select("note_id", "s.type", F.col("s.start").cast("long").alias("begin_at"), F.col("s.end").cast("long").alias("end_at"), F.col("s.text").alias("value"))
+
+
+@_query("tagger_eval")
+def tagger_eval(spark, sf_dir):
+    return evaluate.per_type(evaluate.score_notes(_tagged(spark, sf_dir), pred_col="found"))
+
+
 # ---- whole plans ----
 
 

@@ -5,7 +5,7 @@ Everything is arithmetic on the key, in SQL that Spark and DuckDB share, so both
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from lacuna.functions.checksums import MEDICARE_WEIGHTS, NHI_LETTERS, NHI_WEIGHTS
 
@@ -187,3 +187,56 @@ def invalid_identifiers(notes: DataFrame, gold_col: str = "gold") -> DataFrame:
     for kind, check in checks.items():
         sound = F.when(F.col("type") == kind, check).otherwise(sound)
     return g.where(~sound)
+
+
+# Syllables of made-up names, towns and places of care, in two pools that share none: one to learn from, one to test on.
+_POOLS = (
+    (("Ba", "Der", "Fal", "Gri", "Hol", "Jas", "Kel", "Mar", "Nor", "Pet", "Ros", "Tam"), ("a", "bert", "da", "elle", "gan", "ick", "la", "man", "na", "son", "ton", "vik")),
+    (("Al", "Cor", "Dav", "Ew", "Ian", "Lin", "Mo", "Ol", "Quen", "Ser", "Vic", "Wen"), ("ard", "beth", "cy", "din", "er", "fred", "ia", "kin", "lys", "or", "rick", "wyn")),
+)
+_TOWN_ENDS = (("bury", "ford", "ham", "port"), ("field", "mouth", "stead", "ville"))
+_CARE_ENDS = (("Hospital", "Medical Centre", "Clinic"), ("Hospital", "Health Centre", "Clinic"))
+#: Sentences with places for a person (P), a surname (S), a town (T), a street address (A) and a place of care (C); the second pool
+#: has sentences of its own as well.
+_SENTENCES = (
+    ("Patient: {P}", "Name: {P}", "Seen with {P}, who lives in {T}.", "{P} was driven here from {T} by {P}.", "Referred by Dr {S} at {C}.", "{C} sent a letter to {P}.", "Address: {A}, {T} 4021", "Lives at {A}, {T}.", "Daughter {P} came along.", "Discussed with {P} and {P}.",
+     "Continue Metformin and Panadol.", "No acute concerns. Reviewed in clinic today.", "Chest pain since Monday. Plan: bloods.", "NHI: ABC1235", "DOB: 12/04/1961", "Phone: 021 242 2679", "Moved from {T} to {T} in March.", "Admitted to {C} on Friday.", "The Patient feels well. Blood Pressure stable.", "MRN: 123456", "{P} declined the vaccine.", "Next review with Ms {S}.", "Email: a.b@example.org", "Medicare: 2341316424"),
+    ("Next of kin: {P}", "Her neighbour {P} phoned from {T}.", "Prof {S} of {C} will advise.", "Wife {P} works in {T}.", "Home is {A}, {T}.", "Transferred from {C} to {C}.", "Patient {P} has no fever.", "Contact: 0410 877 925", "Stable. Advised to call if Symptoms worsen.", "Started Amoxicillin on Tuesday.", "IHI: 8003605255341923", "Spoke to {P} about Advance Care Planning."),
+)
+
+
+def prose_notes(keys: DataFrame, key: str = "c_custkey", pool: int = 0, sentences: int = 6) -> DataFrame:
+    """(note_id, text, gold): lines of prose with made-up names. Pool 1 has syllables and sentences that pool 0 lacks, and some of its sentences."""
+    from pyspark.sql import functions as F
+
+    from lacuna.sources.notes import render_segments
+
+    begins, ends = _POOLS[pool]
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.pmod(n, F.lit(len(values))) + 1).cast("int"))
+    draw = lambda k, i: F.floor(F.pmod(F.xxhash64(k, F.lit(pool), i if isinstance(i, Column) else F.lit(i)), F.lit(1 << 40)))
+    word = lambda n: F.concat(pick(begins, n), pick(ends, F.floor(n / 12)))
+    road = lambda n: F.concat(word(n), F.lit(" "), pick(("Street", "Road", "Avenue", "Lane", "St", "Crescent"), F.floor(n / 144)))
+    made = {
+        "P": ("PERSON", lambda n: F.when(n % 7 == 0, F.concat(word(n), F.lit(" "), F.left(word(F.floor(n / 3)), F.lit(1)), F.lit(". "), word(F.floor(n / 144)))).otherwise(F.concat(word(n), F.lit(" "), word(F.floor(n / 144))))),
+        "S": ("PERSON", word),
+        "T": ("LOCATION", lambda n: F.concat(word(n), pick(_TOWN_ENDS[pool], F.floor(n / 144)))),
+        "A": ("LOCATION", lambda n: F.concat((n % 700 + 1).cast("string"), F.lit(" "), road(F.floor(n / 700)))),
+        "C": ("ORG", lambda n: F.concat(word(n), F.lit(" "), pick(_CARE_ENDS[pool], F.floor(n / 144)))),
+    }
+    known = _SENTENCES[0] if pool == 0 else _SENTENCES[1] + _SENTENCES[0][::3]
+
+    def segment(piece, i):
+        """Every second piece of a sentence cut at braces names what stands there."""
+        n = draw(F.struct("note_id", "seat"), i)
+        text, label = piece, F.lit(None).cast("string")
+        for letter, (kind, make) in made.items():
+            here = (i % 2 == 1) & (piece == letter)
+            text, label = F.when(here, make(n)).otherwise(text), F.when(here, kind).otherwise(label)
+        return F.struct(text.alias("text"), label.alias("label"))
+
+    k = F.col(key).cast("long")
+    rows = keys.select(k.alias("note_id"), F.posexplode(F.array(*[pick(known, draw(k, 1000 + i)) for i in range(sentences)])).alias("seat", "sentence"))
+    pieces = F.filter(F.transform(F.split(F.concat("sentence", F.lit("\n")), "[{}]"), segment), lambda s: s["text"] != "")
+    lines = rows.select("note_id", "seat", pieces.alias("parts")).groupBy("note_id").agg(F.array_sort(F.collect_list(F.struct("seat", "parts"))).alias("lines"))
+    rendered = lines.select("note_id", render_segments(F.flatten(F.transform("lines", lambda x: x["parts"]))).alias("r"))
+    return rendered.select("note_id", F.col("r.text").alias("text"), F.col("r.spans").alias("gold"))
