@@ -31,6 +31,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def by_sql(value: Column, name: str, sql: str) -> Column:
+    """SQL in which ``name`` stands for the value. The parser makes it in one call, however large it is."""
+    return F.get(F.call_function("transform", F.array(value), F.expr(f"{name} -> {sql}")), F.lit(0))
+
+
 def _block_size(n: Column) -> Column:
     return F.greatest(F.lit(BLOCK), F.ceil(F.sqrt(n)).cast("int"))
 
@@ -72,29 +77,37 @@ def finditer(text: Column, pattern: str, flags: str = "U", cut: bool = False) ->
         F.lit(regex),
         F.lit(f"{MARK}$1{SPLIT}$2{MARK}" if cut else f"{MARK}$0{MARK}"),
     )
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"))
-    split = lambda part: F.instr(part, SPLIT) if cut else F.lit(1)  # noqa: E731  its place in a part, from 1
-
-    def step(state: Column, part: Column) -> Column:
-        mark = F.when(state["inside"], 1).otherwise(0) if cut else F.lit(0)
-        return F.struct((state["at"] + F.length(part) - mark).cast("int").alias("at"), (~state["inside"]).alias("inside"))
-
-    def emit(state: Column, part: Column) -> Column:
-        at = state["at"]
-        head = F.left(part, split(part) - 1) if cut else F.lit("")
-        tail = F.substring(part, split(part) + 1, F.length(part)) if cut else part
-        mid = (at + split(part) - 1).cast("int")
-        hit = F.struct(at.alias("start"), mid.alias("mid"), (at + F.length(part) - (1 if cut else 0)).cast("int").alias("end"), head.alias("head"), tail.alias("tail"))
-        return F.when(state["inside"], F.array(hit)).otherwise(F.array().cast(f"array<{_HIT}>"))
-
-    found = scan(F.split(marked, MARK, -1), zero, step, emit, _HIT)["out"]
-    # a text with the marks themselves gets its hits' texts from where they stand
-    odd = F.contains(text, F.lit(MARK)) | F.contains(text, F.lit(SPLIT))
-    own = lambda h, local, base: h.withField("head", piece(local, h["start"] - base, h["mid"] - base)).withField("tail", piece(local, h["mid"] - base, h["end"] - base))
-    found = let(found, lambda hits: F.when(odd, near_each(text, hits, own)).otherwise(hits))
+    found = by_sql(F.struct(marked.alias("marked"), text.alias("text")), "v", _hits_sql(cut))
     return F.when(F.regexp_like(text, F.lit(regex)), found).otherwise(F.array().cast(f"array<{_HIT}>"))
 
 
+# The fold of finditer, as scan() and near_each() have it, but written in SQL: a plan has dozens of them, and the parser makes each in one call.
+
+
+def _blocks_sql(items: str, body: str) -> str:
+    """``body`` of each block ``q`` of the items."""
+    return f"transform(array({items}), x -> transform(array(greatest({BLOCK}, int(ceil(sqrt(size(x)))))), n -> transform(sequence(0, int(floor((size(x) - 1) / n))), j -> transform(array(slice(x, j * n + 1, n)), q -> {body})[0]))[0])[0]"
+
+
+def _hits_sql(cut: bool) -> str:
+    """Hits of ``v.marked``; a text with the marks themselves gets its hits' texts from where they stand in ``v.text``."""
+    mark, split = r"'\u0001'", r"'\u0002'"
+    less, at = ("if(c.s.inside, 1, 0)", f"instr(i, {split})") if cut else ("0", "1")
+    head, tail = (f"left(i, {at} - 1)", f"substring(i, {at} + 1, length(i))") if cut else ("''", "i")
+    hit = f"named_struct('start', c.s.at, 'mid', int(c.s.at + {at} - 1), 'end', int(c.s.at + length(i) - {less}), 'head', {head}, 'tail', {tail})"
+    state = f"named_struct('at', int(c.s.at + length(i) - {less}), 'inside', not c.s.inside)"
+    none = f"cast(array() AS array<{_HIT}>)"
+    fold = f"aggregate(q, named_struct('s', a.s, 'o', {none}), (c, i) -> named_struct('s', {state}, 'o', if(c.s.inside, concat(c.o, array({hit})), c.o)))"
+    outer = f"(a, q) -> transform(array({fold}), d -> named_struct('s', d.s, 'o', concat(a.o, array(d.o))))[0]"
+    zero = f"named_struct('s', named_struct('at', 0, 'inside', false), 'o', cast(array() AS array<array<{_HIT}>>))"
+    hits = f"aggregate({_blocks_sql(f'split(v.marked, {mark}, -1)', 'q')}, {zero}, {outer}, a -> flatten(a.o))"
+    own = lambda start, end: f"substring(p.t, h.{start} - p.base + 1, h.{end} - h.{start})"
+    place = "named_struct('base', q[0].start, 't', substring(v.text, q[0].start + 1, element_at(q, -1).end - q[0].start))"
+    again = _blocks_sql("z", f"transform(array({place}), p -> transform(q, h -> named_struct('start', h.start, 'mid', h.mid, 'end', h.end, 'head', {own('start', 'mid')}, 'tail', {own('mid', 'end')})))[0]")
+    odd = f"(contains(v.text, {mark}) OR contains(v.text, {split}))"
+    return f"transform(array({hits}), z -> if({odd} AND size(z) > 0, flatten({again}), z))[0]"
+
+
 def near_each(text: Column, items: Column, body: Callable[[Column, Column, Column], Column], before: int = 0, after: int = 0) -> Column:
     """``body(item, local, base)`` of each of sorted items with ``start`` and ``end``: ``local`` is a part of the
     text from ``base`` on, with all of a block's items and so many characters around them."""
@@ -118,17 +131,10 @@ def piece(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, end - start)
 
 
-def make_span(start: Column, end: Column, part: Column, kind: str, score: float, recognizer: str, source: str = "rule") -> Column:
-    return F.struct(
-        start.cast("int").alias("start"),
-        end.cast("int").alias("end"),
-        F.lit(kind).alias("type"),
-        part.alias("text"),
-        F.lit(score).cast("double").alias("score"),
-        F.lit(source).alias("source"),
-        F.lit(recognizer).alias("recognizer"),
-        F.lit(0).alias("seq"),
-    )
+def make_spans(hits: Column, start: str, end: str, text: str, kind: str, score: float, recognizer: str) -> Column:
+    """Spans of hits; ``start``, ``end`` and ``text`` say in SQL what of a hit ``h`` they are."""
+    fields = f"'start', int({start}), 'end', int({end}), 'type', '{kind}', 'text', {text}, 'score', double({score}), 'source', 'rule', 'recognizer', '{recognizer}', 'seq', 0"
+    return F.call_function("transform", hits, F.expr(f"h -> named_struct({fields})"))
 
 
 def first_of_equal_bounds(*spans: Column) -> Column:

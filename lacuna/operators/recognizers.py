@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lacuna.functions.checksums import ihi_valid, medicare_valid, nhi_valid
-from lacuna.functions.spans import filter_near, finditer, first_of_equal_bounds, let, make_span, no_spans
+from lacuna.functions.domains import KNOWN
+from lacuna.functions.numbering import CANDIDATE, PLANS, international, owner
+from lacuna.functions.spans import filter_near, finditer, first_of_equal_bounds, let, make_spans, no_spans
 
 # Word lists and label lists of the rules.
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
@@ -18,10 +20,10 @@ STREET_KINDS = "Street|St|Road|Rd|Avenue|Ave|Drive|Dr|Lane|Ln|Court|Ct|Place|Pl|
 CITY_GATE = ("address", "street", "road", "ave", "avenue", "drive", "suburb", "city", "lives", "lived")
 POSTCODE_GATE = ("address", "street", "road", "ave", "avenue", "drive", "suburb", "city", "town", "postcode", "post", "nz", "australia", "auckland", "wellington", "sydney", "melbourne", "brisbane", "perth", "adelaide", "unit")
 ID_LABELS = "SSN|Social Security Number|Driver'?s License|Passport(?: Number)?|Medical Record Number|FHIR patient id|FHIR resource id|Identifier"
-#: Ends of names that stand for a web address without a scheme; none is a word that ends sentences.
-SUFFIXES = "com|org|net|edu|gov|mil|int|info|biz|io|health|nz|au|uk|us|ca|ie|de|fr|eu"
 UUID_GATE = ("mrn", "identifier", "patient id", "resource id")
 
+#: Ends of hosts that stand for a web address without a scheme.
+_ENDS = "|".join(KNOWN.last_labels())
 _MONTH = "|".join([*MONTHS, *(m[:3] for m in MONTHS)])
 _UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 
@@ -35,9 +37,7 @@ PHONE_SHAPES = {
     "GB": r"(?:\+44[ -]?(?:\(0\)[ -]?)?|\b0|\(0)(?:[1-3][0-9]{1,4}\)?[ -]?[0-9]{3,4}[ -]?[0-9]{3,4}|7[0-9]{3}[ -]?[0-9]{3}[ -]?[0-9]{3}|80[08][ -]?[0-9]{3}[ -]?[0-9]{3,4})\b",
     "IE": r"(?:\+353[ -]?(?:\(0\)[ -]?)?|\b0|\(0)(?:8[35679]|[1-9][0-9]?)\)?[ -]?[0-9]{3}[ -]?[0-9]{3,4}\b",
 }
-# Country calling codes of further regions; of these, numbers with the code are found.
-CALLING_CODES = {"AT": 43, "BE": 32, "BR": 55, "CH": 41, "CN": 86, "DE": 49, "DK": 45, "ES": 34, "FI": 358, "FJ": 679, "FR": 33, "GR": 30, "HK": 852, "ID": 62, "IN": 91, "IT": 39, "JP": 81, "KR": 82, "LK": 94, "MX": 52, "MY": 60, "NL": 31, "NO": 47, "PG": 675, "PH": 63, "PK": 92, "PL": 48, "PT": 351, "SE": 46, "SG": 65, "TH": 66, "TO": 676, "VN": 84, "WS": 685, "ZA": 27}
-REGIONS = frozenset(PHONE_SHAPES) | frozenset(CALLING_CODES)
+REGIONS = frozenset(PLANS)
 
 
 @dataclass(frozen=True)
@@ -66,8 +66,8 @@ class RecognizerSpec:
             before, after, words = self.near
             said = lambda h, local, base: F.regexp_like(_window(local, h["start"] - before - base, h["end"] + after - base), F.lit("|".join(words)))
             hits = let(hits, lambda found: filter_near(text, found, said, before, after))
-        bounds, part = {"whole": (("start", "end"), lambda h: h["tail"]), "second": (("mid", "end"), lambda h: h["tail"]), "first": (("start", "mid"), lambda h: h["head"])}[self.part]
-        spans = F.transform(hits, lambda h: make_span(h[bounds[0]], h[bounds[1]], part(h), self.kind, self.score, self.name))
+        start, end, part = {"whole": ("start", "end", "tail"), "second": ("mid", "end", "tail"), "first": ("start", "mid", "head")}[self.part]
+        spans = make_spans(hits, f"h.{start}", f"h.{end}", f"h.{part}", self.kind, self.score, self.name)
         if self.valid:
             spans = F.filter(spans, lambda s: self.valid(s["text"]))
         return F.when(self.gate(text), spans).otherwise(no_spans()) if self.gate else spans
@@ -103,8 +103,10 @@ def _window(text: Column, start: Column, end: Column) -> Column:
 
 
 def _ip_valid(c: Column) -> Column:
+    """Octets up to 255, those behind a colon as well; of an address with colons eight groups at most, and a digit."""
+    octets = F.forall(F.split(F.substring_index(c, ":", -1), r"\."), lambda o: F.coalesce(o.try_cast("int") <= 255, F.lit(False)))
     v6 = F.regexp_like(c, F.lit("[0-9]")) & (F.size(F.split(c, ":")) <= 8)
-    return F.when(F.contains(c, F.lit(":")), v6).otherwise(F.forall(F.split(c, r"\."), lambda o: o.cast("int") <= 255))
+    return F.when(~F.contains(c, F.lit(".")), v6).otherwise(octets)
 
 
 NHI_OLD = RecognizerSpec("NhiOldRecognizer", "NHI", r"\b[A-HJ-NP-Z]{3}\d{4}\b", 1.0, "iU", valid=nhi_valid, gate=has(r"\p{Nd}{4}"))
@@ -121,22 +123,37 @@ AGE_SHORT = RecognizerSpec("AgeRecognizer", "AGE", r"\b\d{1,3}\s*(?:yo|y/o)\b",
 AGE_LONG = RecognizerSpec("AgeRecognizer", "AGE", r"\b\d{1,3}\s*years?\s*old\b", 0.75, "iU", gate=has(r"\p{Nd}(?U)\s*[yY]"))
 STREET = RecognizerSpec("LocationRecognizer", "LOCATION", rf"\b\d{{1,5}}\s+[A-Za-z]+(?:[\s\-'][A-Za-z]+){{0,64}}\s+(?:{STREET_KINDS})\b", 0.75, "iU", gate=has(r"\p{Nd}(?U)\s"))
 CITY = RecognizerSpec("LocationRecognizer", "LOCATION", r"(\b[A-Za-z]+(?:\s+[A-Za-z]+)?)(\s*,?\s+\d{4}\b)", 0.6, "iU", "first", near=(50, 10, CITY_GATE), gate=has(r"(?U)\s\p{Nd}{4}"))
-EMAIL = RecognizerSpec("EmailRecognizer", "EMAIL", r"\b[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.){1,16}[A-Za-z]{2,63}\b", 1.0, "iU", gate=any_of("@"))
-URL = RecognizerSpec("UrlRecognizer", "URL", rf"(?:\bhttps?://[^\s<>\"']+|\b(?:[a-z0-9-]+\.){{1,8}}(?:{SUFFIXES})\b(?:/[^\s<>\"']*)?)", 0.6, "iU", gate=has(rf"://|[.](?i:{SUFFIXES})"))
-IP = RecognizerSpec("IpRecognizer", "IP", r"(?:\b(?:\d{1,3}\.){3}\d{1,3}\b|\b(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}\b|\b(?:[0-9a-f]{1,4}:){1,6}(?::[0-9a-f]{1,4}){1,6}\b|\B::(?:[0-9a-f]{1,4}:){0,5}[0-9a-f]{1,4}\b)", 0.6, "iU", valid=_ip_valid, gate=has(r"\p{Nd}[.]\p{Nd}|:[0-9a-fA-F]{0,4}:"))
+EMAIL = RecognizerSpec("EmailRecognizer", "EMAIL", r"\b[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.){1,127}[A-Za-z]{2,63}\b", 1.0, "iU", valid=lambda c: KNOWN.registered(F.substring_index(c, "@", -1)), gate=any_of("@"))
+URL = RecognizerSpec("UrlRecognizer", "URL", rf"(?:\bhttps?://[^\s<>\"']+|\b(?:[a-z0-9-]+\.){{1,127}}(?:{_ENDS})\b(?:/[^\s<>\"']*)?)", 0.6, "iU", valid=lambda c: F.contains(c, F.lit("://")) | KNOWN.web_address(F.substring_index(c, "/", 1)), gate=has(rf"://|[.](?i:{_ENDS})"))
+IP = RecognizerSpec("IpRecognizer", "IP", r"(?:(?:\b(?:0{1,4}:){1,5}|\B::)ffff:(?:\d{1,3}\.){3}\d{1,3}\b|\b(?:\d{1,3}\.){3}\d{1,3}\b|\b(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}\b|\b(?:[0-9a-f]{1,4}:){1,6}(?::[0-9a-f]{1,4}){1,6}\b|\B::(?:[0-9a-f]{1,4}:){0,5}[0-9a-f]{1,4}\b)", 0.6, "iU", valid=_ip_valid, gate=has(r"\p{Nd}[.]\p{Nd}|:[0-9a-fA-F]{0,4}:"))
+
+
+PLANNED = RecognizerSpec("PhoneRecognizerPhi", "PHONE", CANDIDATE, 0.9, gate=has("[0-9]{2}"))
 
 
 def phone_region(region: str) -> RecognizerSpec:
-    """Numbers of a region's plan; of a region without a plan here, numbers with its calling code."""
+    """Numbers as a region writes them: its shapes where some are known, else runs of digits that its numbering plan has."""
     if region not in REGIONS:
         raise ValueError(f"no phone numbers are known for region {region}")
-    shape = PHONE_SHAPES.get(region) or rf"\+{CALLING_CODES[region]}[ .-]?(?:\(0\)[ .-]?)?[0-9](?:[ .()-]{{0,2}}[0-9]){{6,12}}\b"
-    return RecognizerSpec("PhoneRecognizerPhi", "PHONE", shape, 0.9, gate=has("[0-9]{2}"))
+    if region in PHONE_SHAPES:
+        return RecognizerSpec("PhoneRecognizerPhi", "PHONE", PHONE_SHAPES[region], 0.9, gate=has("[0-9]{2}"))
+    return replace(PLANNED, valid=lambda c: owner(international(c, region)).isNotNull())
 
 
 def phones(text: Column, regions: tuple[str, ...]) -> Column:
-    """Labelled numbers, then each region's shapes; bounds seen before are not reported again."""
-    return first_of_equal_bounds(PHONE_LABELLED.spans(text), *[phone_region(r).spans(text) for r in regions])
+    """Labelled numbers, then each region's. Bounds seen before are not looked at again, not even if that number was
+    of a region not asked for: a number that one region's plan gives to another counts only if that one is asked for too.
+    """
+    of = lambda c, r: owner(international(c, r))
+
+    def found(region: str) -> Column:
+        spans = phone_region(region).spans(text)
+        if region in PHONE_SHAPES and region not in ("US", "CA"):  # shapes of a code of its own
+            return spans
+        return F.transform(spans, lambda s: s.withField("seq", F.when(of(s["text"], region).isin(*regions), 0).otherwise(1)))
+
+    seen = first_of_equal_bounds(PHONE_LABELLED.spans(text), *[found(r) for r in regions])
+    return F.filter(seen, lambda s: s["seq"] == 0)
 
 
 def generic_ids(text: Column) -> Column:
@@ -153,7 +170,9 @@ def postcodes(text: Column) -> Column:
     number = r"\b\d{4,5}(?:-\d{4})?\b"
     lines = finditer(text, "[^\r\n\x0b\x0c\x1c-\x1e\x85  ]+", "U")
     lines = F.filter(lines, lambda h: F.regexp_like(h["tail"], F.lit(gate)))
-    found = F.flatten(F.transform(lines, lambda line: F.transform(finditer(line["tail"], number, "U"), lambda h: make_span(line["start"] + h["start"], line["start"] + h["end"], h["tail"], "POSTCODE", 0.7, "PostcodeRecognizer"))))
+    moved = lambda s, by: s.withField("start", s["start"] + by).withField("end", s["end"] + by)
+    within = lambda line: F.transform(make_spans(finditer(line["tail"], number, "U"), "h.start", "h.end", "h.tail", "POSTCODE", 0.7, "PostcodeRecognizer"), lambda s: moved(s, line["start"]))
+    found = F.flatten(F.transform(lines, within))
     return F.when(has(r"\p{Nd}{4}")(text) & F.regexp_like(text, F.lit(gate)), found).otherwise(no_spans())
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna import ship, spread
-from lacuna.functions import checksums
+from lacuna.functions import checksums, domains, numbering
 from lacuna.functions.spans import SPAN, settled
 from lacuna.operators import assist, evaluate, merge, ner, recognizers, redact, tagger
 from lacuna.operators.recognizers import RecognizerSpec
@@ -94,8 +94,9 @@ EXPECTED = {
     "CITY": (r"(\b[A-Za-z]+(?:\s+[A-Za-z]+)?)(\s*,?\s+[0-9]{4}\b)", True, "first"),
     "POSTCODE": (r"\b[0-9]{4,5}(?:-[0-9]{4})?\b", False, "whole"),
     "EMAIL": (r"\b[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}\b", True, "whole"),
-    "URL": (r"\bhttps?://[^\s<>\"']+|\b(?:[a-z0-9-]+\.)+(?:com|org|net|edu|gov|mil|int|info|biz|io|health|nz|au|uk|us|ca|ie|de|fr|eu)\b(?:/[^\s<>\"']*)?", True, "whole"),
-    "IP": (r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b|\b(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}\b", True, "whole"),
+    "URL": (rf"\bhttps?://[^\s<>\"']+|\b(?:[a-z0-9-]+\.)+(?:{'|'.join(domains.KNOWN.last_labels())})\b(?:/[^\s<>\"']*)?", True, "whole"),
+    "IP": (r"(?:\b(?:0{1,4}:){1,5}|\B::)ffff:(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b|\b(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}\b|\b(?:[0-9a-f]{1,4}:){1,6}(?::[0-9a-f]{1,4}){1,6}\b|\B::(?:[0-9a-f]{1,4}:){0,5}[0-9a-f]{1,4}\b", True, "whole"),
+    "PHONE_RUN": (r"(?:\+|\(?\b)[0-9]{1,4}\)?(?:[ .-]?\(?[0-9]{1,5}\)?){1,6}\b", False, "whole"),
     "PERSON": (rf"(\b(?i:Patient name|Patient|Name|Practitioner|Next of kin)[: ][ ]*)({_NAME}(?:[ ]{_NAME}){{1,3}})", False, "second"),
     "TITLE": (rf"(\b(?:Mr|Mrs|Ms|Miss|Dr|Prof)\.? )({_NAME}(?: {_NAME}){{0,2}})", False, "second"),
     "KIN": (rf"(\b(?i:Daughter|Son|Wife|Husband|Mother|Father|Sister|Brother|Partner|Carer) )({_NAME}(?:[ ]{_NAME}){{1,3}})", False, "second"),
@@ -137,7 +138,21 @@ _DATE = f"""(CASE WHEN regexp_matches(value, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$
   WHEN contains(value, '/') THEN CASE len({_YEAR}) WHEN 4 THEN try_cast({_YEAR} || '-' || lpad(split_part(value, '/', 2), 2, '0') || '-' || lpad(split_part(value, '/', 1), 2, '0') AS DATE)
     WHEN 2 THEN try_cast('20' || {_YEAR} || '-' || lpad(split_part(value, '/', 2), 2, '0') || '-' || lpad(split_part(value, '/', 1), 2, '0') AS DATE) END
   ELSE try_cast(split_part(value, ' ', 3) || '-' || lpad(CAST(list_position({_MONTHS}, lower(left(split_part(value, ' ', 2), 3))) AS VARCHAR), 2, '0') || '-' || lpad(split_part(value, ' ', 1), 2, '0') AS DATE) END IS NOT NULL)"""
-_OCTETS = "(contains(value, ':') OR list_bool_and(list_transform(string_split(value, '.'), lambda o: CAST(o AS INT) <= 255)))"
+_OCTETS = "(CASE WHEN contains(value, '.') THEN list_bool_and(list_transform(string_split(split_part(value, ':', -1), '.'), lambda o: CAST(o AS INT) <= 255)) ELSE regexp_matches(value, '[0-9]') AND len(string_split(value, ':')) <= 8 END)"
+
+
+def _suffix_sql(host: str, web: bool = False) -> str:
+    """Whether a host lies below a public suffix, by the same table of rules."""
+    rules = domains.KNOWN
+    among = lambda values: "(" + ", ".join(map(_quoted, values)) + ")"
+    end = lambda n: f"array_to_string(l[len(l) - {n} + 1:], '.')"
+    size = f"list_max(list_transform(range(1, {rules.labels + 1}), lambda n: CASE WHEN len(l) < n THEN 0 WHEN {end('n')} IN {among(rules.exceptions)} THEN 100 + n - 1 WHEN {end('n')} IN {among(rules.plain)} OR (n > 1 AND {end('(n - 1)')} IN {among(rules.wild)}) THEN n ELSE 0 END))"
+    word = f" AND NOT (m = 1 AND l[len(l)] IN {among(domains.WORDS)})" if web else ""
+    return f"(SELECT m > 0 AND len(l) > m{word} FROM (SELECT l, m % 100 AS m FROM (SELECT l, {size} AS m FROM (SELECT string_split(lower({host}), '.') AS l))))"
+
+
+_MAIL_HOST = _suffix_sql("split_part(value, '@', -1)")
+_WEB_HOST = f"(contains(value, '://') OR {_suffix_sql("split_part(value, '/', 1)", True)})"
 
 
 def _window(before: int, after: int, words: tuple[str, ...]) -> str:
@@ -173,8 +188,8 @@ _detector("detect_age_short", recognizers.AGE_SHORT, "AGE_SHORT")
 _detector("detect_age_long", recognizers.AGE_LONG, "AGE_LONG")
 _detector("detect_street", recognizers.STREET, "STREET")
 _detector("detect_city_gated", recognizers.CITY, "CITY", near=_window(50, 10, _CITY_WORDS))
-_detector("detect_email", recognizers.EMAIL, "EMAIL")
-_detector("detect_url", recognizers.URL, "URL")
+_detector("detect_email", recognizers.EMAIL, "EMAIL", _MAIL_HOST)
+_detector("detect_url", recognizers.URL, "URL", _WEB_HOST)
 _detector("detect_ip", recognizers.IP, "IP", _OCTETS)
 _detector("detect_person_cue", ner.CUES[0], "PERSON")
 
@@ -195,6 +210,57 @@ for _i, _kind in ((1, "title"), (2, "kin"), (3, "place"), (4, "address"), (5, "c
     _cue(f"detect_{_kind}_cue", ner.CUES[_i], _kind.upper())
 
 
+def _on_customers(name: str, spec: RecognizerSpec, expected: str, made: str, valid: str) -> None:
+    """A recognizer over one line for every customer."""
+    @_query(name, f"WITH made AS (SELECT c_custkey AS note_id, {made} AS text FROM customer) {_found(expected, valid, source='made')}")
+    def run(spark, sf_dir):
+        rows = _customers(spark, sf_dir).selectExpr("c_custkey AS note_id", f"{made} AS text")
+        return _rows(settled(rows, "found", spec.spans(F.col("text"))))
+
+
+def _case_of(k: str, *values: str) -> str:
+    return f"CASE {k} % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+_HEX = "CAST(c_custkey % 9000 + 1000 AS STRING)"
+_on_customers("detect_ip6", recognizers.IP, "IP", "concat('from ', " + _case_of("c_custkey", f"concat('2001:db8::', {_HEX})", f"concat('fe80:0:0:0:1:2:3:', {_HEX})", f"concat('::', {_HEX})", "concat('::ffff:10.0.', CAST(c_custkey % 300 AS STRING), '.7')", "'at 12:30:45 and std::vector'", f"concat('a:', {_HEX}, '::1:2')", "concat('0:0:0:0:0:ffff:10.1.', CAST(c_custkey % 300 AS STRING), '.9')") + ", ' to 10.0.0.', CAST(c_custkey % 300 AS STRING), '.')", _OCTETS)
+_HOSTS = _case_of("c_custkey", "'clinic.co.nz'", "'co.nz'", "'x.govt.nz'", "'mail.zzz'", "'a.nhs.uk'", "'b.ck'", "'a.b.ck'", "'www.ck'", "'one.two.health'", "'it.is'", "'shop.co.in'", "'city.kawasaki.jp'", "'q.kawasaki.jp'")
+_on_customers("detect_email_suffix", recognizers.EMAIL, "EMAIL", f"concat('to user', CAST(c_custkey AS STRING), '@', {_HOSTS}, ' or UPPER@', upper({_HOSTS}), ' please')", _MAIL_HOST)
+_on_customers("detect_url_suffix", recognizers.URL, "URL", f"concat('see ', {_HOSTS}, ' or p', CAST(c_custkey AS STRING), '.', {_HOSTS}, '/q?a=1 or http://h.zzz/', CAST(c_custkey AS STRING), ' now')", _WEB_HOST)
+
+
+# Numbering plans: the table of plans joined by the longest beginning.
+_ASKED = ("FR", "DE", "ES", "IT", "NL", "CH", "SG", "JP", "ZA", "PL")
+_PLAN = "plan(prefix, code, lo, hi, region) AS (VALUES " + ", ".join(f"('{p}', {n}, {lo}, {hi}, '{r}')" for p, n, lo, hi, r in numbering.entries()) + ")"
+_OWNED = "SELECT n, arg_max(CASE WHEN len(n) - code BETWEEN lo AND hi THEN region ELSE '' END, len(prefix)) AS region FROM numbers JOIN plan ON starts_with(n, prefix) GROUP BY n"
+#: Numbers with a calling code: that of the plans in turn, some of wrong lengths.
+_DIALLED = "concat(" + _case_of("c_custkey", *(f"'{code}'" for code in sorted({str(p[0]) for p in numbering.PLANS.values()}))) + ", substring(CAST(4000000000 + c_custkey * 7919 % 5000000000 AS STRING), 1 + CAST(c_custkey % 3 AS INT), 7 + CAST(c_custkey % 4 AS INT)))"
+
+
+@_query("phone_plan_region", f"WITH {_PLAN}, made AS (SELECT c_custkey AS id, {_DIALLED} AS n FROM customer), numbers AS (SELECT DISTINCT n FROM made), owned AS ({_OWNED}) SELECT id, n, nullif(region, '') AS region FROM made LEFT JOIN owned USING (n)")
+def phone_plan_region(spark, sf_dir):
+    rows = _customers(spark, sf_dir).selectExpr("c_custkey AS id", f"{_DIALLED} AS n")
+    return settled(rows, "region", numbering.owner(F.col("n")))
+
+
+_RING = "concat('Ring ', " + _case_of("c_custkey", *(f"concat('{a}', {b})" for a, b in (
+    ("01 42 ", "concat(CAST(c_custkey % 90 + 10 AS STRING), ' 53 00')"), ("030 90", "CAST(c_custkey % 9000 + 1000 AS STRING)"), ("91", "concat(CAST(c_custkey % 10 AS STRING), ' 345 678')"), ("02 ", "CAST(c_custkey % 9000000 + 1000000 AS STRING)"), ("020-", "CAST(c_custkey % 9000000 + 1000000 AS STRING)"),
+    ("044 66", "concat(CAST(c_custkey % 10 AS STRING), ' 18 00')"), ("6123 ", "CAST(c_custkey % 9000 + 1000 AS STRING)"), ("090-1234-", "CAST(c_custkey % 9000 + 1000 AS STRING)"), ("+27 11 97", "concat(CAST(c_custkey % 10 AS STRING), ' 3155')"), ("22 5", "concat(CAST(c_custkey % 90 + 10 AS STRING), ' 60 01')"), ("+64 21 555 ", "CAST(c_custkey % 9000 + 1000 AS STRING)"), ("7", "CAST(c_custkey % 90 + 10 AS STRING)")))) + ", ' today.')"
+_AS_DIALLED = " UNION ALL ".join(
+    f"SELECT note_id, begin_at, end_at, value, CASE WHEN starts_with(value, '+') THEN d {f"WHEN starts_with(d, '{trunk[0]}') THEN '{code}' || substring(d, 2)" if trunk else f"ELSE '{code}' || d"} END AS n FROM found"
+    for code, trunk, _ in (numbering.PLANS[r] for r in _ASKED))
+
+
+@_query("detect_phone_plans", f"""WITH {_PLAN}, rings AS (SELECT c_custkey AS note_id, {_RING} AS text FROM customer),
+found AS (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS d FROM ({_found('PHONE_RUN', source='rings')})), asked AS ({_AS_DIALLED}),
+numbers AS (SELECT DISTINCT n FROM asked WHERE n IS NOT NULL), owned AS ({_OWNED})
+SELECT DISTINCT note_id, begin_at, end_at, value FROM asked JOIN owned USING (n) WHERE region IN ({', '.join(map(_quoted, _ASKED))})""")
+def detect_phone_plans(spark, sf_dir):
+    """National and international numbers of ten regions; numbers of others, and too short ones, stay."""
+    rows = _customers(spark, sf_dir).selectExpr("c_custkey AS note_id", f"{_RING} AS text")
+    return _rows(settled(rows, "found", recognizers.phones(F.col("text"), _ASKED)))
+
+
 def _union(*parts: str) -> str:
     return " UNION ".join(f"({p})" for p in parts)
 
@@ -230,12 +296,12 @@ def _documents(spark, sf_dir) -> DataFrame:
 _DOCS = "docs AS (SELECT doc_id AS note_id, coalesce(text, '') AS text FROM documents)"
 
 
-@_query("documents_email", f"WITH {_DOCS} {_found('EMAIL', source='docs')}")
+@_query("documents_email", f"WITH {_DOCS} {_found('EMAIL', _MAIL_HOST, source='docs')}")
 def documents_email(spark, sf_dir):
     return _rows(settled(_documents(spark, sf_dir), "found", recognizers.EMAIL.spans(F.col("text"))))
 
 
-@_query("documents_url", f"WITH {_DOCS} {_found('URL', source='docs')}")
+@_query("documents_url", f"WITH {_DOCS} {_found('URL', _WEB_HOST, source='docs')}")
 def documents_url(spark, sf_dir):
     return _rows(settled(_documents(spark, sf_dir), "found", recognizers.URL.spans(F.col("text"))))
 

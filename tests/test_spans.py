@@ -118,3 +118,22 @@ def test_blocks_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(S, "BLOCK", 3)
     assert spans(spark, note) == want and len(want) >= 4
     assert ("ID", "01234567-89ab-cdef-0123-456789abcdee") not in want
+
+
+def test_numbers_of_plans_and_the_region_check(spark):
+    found = lambda text, *regions: [t for k, t in sorted(spans(spark, text, regions)) if k == "PHONE"]
+    assert found("Paris 01 42 68 53 00, 06 12 34 56 78, +33 1 42 68 53 00, +49 30 901820", "FR") == ["+33 1 42 68 53 00", "01 42 68 53 00", "06 12 34 56 78"]
+    assert found("416-555-0123 and 212-555-0123", "US") == ["212-555-0123"] and found("416-555-0123 and 212-555-0123", "CA") == ["416-555-0123"]
+    assert found("+49 (0)30 901820 or 12 34", "DE") == ["+49 (0)30 901820"]
+
+
+def test_suffix_rules_of_a_file(spark, tmp_path):
+    from lacuna.functions.domains import Suffixes, read_rules
+
+    (tmp_path / "rules").write_text("// a list\nzz  note\n\n*.yy\n!in.yy\na.b.zz\n")
+    own = Suffixes(read_rules(str(tmp_path / "rules")))
+    hosts = {"zz": 0, "q.zz": 1, "b.zz": 1, "a.b.zz": 0, "q.a.b.zz": 1, "x.yy": 0, "q.x.yy": 1, "in.yy": 1, "yy": 0, "q.com": 0, "": 0}
+    df = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", own.registered(F.col("h")).cast("int").alias("r"))
+    assert {r.h: r.r for r in df.collect()} == hosts
+    with pytest.raises(ValueError, match="rules"):
+        Suffixes(f"s{i}" for i in range(20_001))
