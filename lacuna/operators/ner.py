@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import OrderedDict
+from collections.abc import Callable, Hashable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -44,17 +45,37 @@ def cue_spans(text: Column, threshold: float = 0.40, with_rules: bool = True) ->
     return F.filter(found, lambda s: (s["score"] >= threshold) & ~noisy(s))
 
 
-def model_spans(notes: DataFrame, detect: Callable[[list[str]], list[list[dict]]], column: str = "ner_spans", text_col: str = "text", threshold: float = 0.40) -> DataFrame:
+#: Models that a worker keeps, the latest used last, by their keys; and how many.
+_engines: OrderedDict[Hashable, Callable] = OrderedDict()
+ENGINES = 4
+
+
+def engine(key: Hashable, load: Callable[[], Callable]) -> Callable:
+    """The worker's model of that key, loaded where it has none; beyond ``ENGINES`` the one not used for longest goes."""
+    if key not in _engines:
+        _engines[key] = load()
+        while len(_engines) > ENGINES:
+            _engines.popitem(last=False)
+    _engines.move_to_end(key)
+    return _engines[key]
+
+
+def model_spans(notes: DataFrame, detect: Callable[[list[str]], list[list[dict]]] | None = None, column: str = "ner_spans", text_col: str = "text", threshold: float = 0.40, load: Callable[[], Callable] | None = None, key: Hashable = None) -> DataFrame:
     """Add the spans of a model: ``detect`` takes a list of texts and gives lists of {start, end, type, score}.
 
-    Arrow batches; load the model inside ``detect`` and keep it in a module-level variable, so that each
-    worker loads it once.
+    Arrow batches. A model that is costly to make is given as ``load``, which returns such a ``detect``: each worker calls it once
+    for a ``key`` (the regions and settings that the model depends on) and keeps it for its later tasks and queries.
     """
+    if (detect is None) == (load is None):
+        raise ValueError("either detect or load has to be given")
+
     @F.pandas_udf(SPANS)
-    def of(texts: pd.Series) -> pd.Series:
-        clean = texts.fillna("").tolist()
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find = detect or engine(key, load)
         full = lambda t, s: {"start": s["start"], "end": s["end"], "type": s["type"], "text": t[s["start"] : s["end"]], "score": float(s.get("score", 1.0)), "source": "ner", "recognizer": s.get("recognizer", "model"), "seq": 0}
-        return pd.Series([[full(t, s) for s in spans] for t, spans in zip(clean, detect(clean), strict=True)])
+        for texts in batches:
+            clean = texts.fillna("").tolist()
+            yield pd.Series([[full(t, s) for s in spans] for t, spans in zip(clean, find(clean), strict=True)])
 
     kept = F.filter(of(F.col(text_col)), lambda s: (s["score"] >= threshold) & ~noisy(s))
     return notes.withColumn(column, F.coalesce(kept, no_spans()))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lacuna.functions.folding import casefold
 from lacuna.functions.spans import near_each, piece
 
 STRATEGIES = ("mask", "hash", "surrogate")
@@ -28,8 +30,8 @@ _TO = _DIGITS[7:] + _DIGITS[:7] + _UPPER[13:] + _UPPER[:13] + (_UPPER[13:] + _UP
 
 
 def normalize(c: Column) -> Column:
-    """Lower case, white space collapsed, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
+    """Case folded in full, white space collapsed, none at the ends."""
+    return F.trim(F.regexp_replace(casefold(c), r"(?U)\s+", " "))
 
 
 def hmac_sha256(key: str, message: Column) -> Column:
@@ -44,12 +46,19 @@ def hmac_sha256(key: str, message: Column) -> Column:
     return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))), 256)
 
 
+#: White space, as the column functions have it.
+_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
 def keyed_udf(key: str):
-    """HMAC of an array of messages, in Arrow batches; the key stays out of the plan."""
+    """HMAC of the message of each (type, text), in Arrow batches; the key stays out of the plan."""
+    def one(kind: str, text: str) -> str:
+        message = f"{kind}:{_SPACES.sub(' ', text.casefold()).strip(' ')}"
+        return hmac.new(key.encode(), message.encode(), hashlib.sha256).hexdigest()
+
     @F.pandas_udf("array<string>")
-    def of(messages: pd.Series) -> pd.Series:
-        one = lambda m: hmac.new(key.encode(), m.encode(), hashlib.sha256).hexdigest()
-        return messages.map(lambda a: None if a is None else [one(m) for m in a])
+    def of(kinds: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None else [one(k, t) for k, t in zip(a, b, strict=True)] for a, b in zip(kinds, texts, strict=True)])
 
     return of
 
@@ -62,7 +71,7 @@ def entity_keys(spans: Column, key: str, native: bool = True) -> Column:
     """The first ten hex digits for each span: equal for equal type, text and key."""
     if native:
         return F.transform(messages(spans), lambda m: F.left(hmac_sha256(key, m), F.lit(10)))
-    return F.transform(keyed_udf(key)(messages(spans)), lambda h: F.left(h, F.lit(10)))
+    return F.transform(keyed_udf(key)(F.transform(spans, lambda s: s["type"]), F.transform(spans, lambda s: s["text"])), lambda h: F.left(h, F.lit(10)))
 
 
 def seed(entity_key: Column) -> Column:

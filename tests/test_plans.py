@@ -246,3 +246,49 @@ def test_files_corpus_and_stream(spark, tmp_path):
     start(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out")).first()
     assert "[REDACTED:PHONE]" in out.redacted_text and "text" not in out.asDict()
+
+
+def test_case_folding_over_all_code_points(spark):
+    from lacuna.functions.folding import casefold
+
+    chars = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i <= 0xDFFF]
+    texts = ["".join(chars[i : i + 100]) for i in range(0, len(chars), 100)] + ["STRASSE", "Straße", "ﬃ", "İ", "", "ΌΣΟΣ"]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    got = {r.t: r.f for r in df.select("t", casefold(F.col("t")).alias("f")).collect()}
+    assert all(got[t] == t.casefold() for t in texts) and got[None] is None
+    keys = spark.createDataFrame([("Jürgen STRASSE", "jürgen straße")], "a string, b string")
+    assert keys.select(redact.normalize(F.col("a")) == redact.normalize(F.col("b"))).first()[0]
+
+
+def test_a_worker_loads_a_model_once(spark, tmp_path):
+    import os
+    import uuid
+
+    from lacuna.operators import ner
+
+    def loader(name):
+        def load():
+            (tmp_path / f"{name}-{os.getpid()}-{uuid.uuid4().hex}").touch()
+            return lambda texts: [[{"start": 0, "end": 1, "type": "PERSON"}] if t else [] for t in texts]
+
+        return load
+
+    df = spark.range(400).repartition(8).selectExpr("concat('x', id) AS text")
+    for _ in range(3):
+        for name in ("NZ,AU", "US"):
+            found = ner.model_spans(df, load=loader(name), key=("fake", name))
+            assert found.where("size(ner_spans) = 1").count() == 400
+    loads = [p.name.rpartition("-")[0] for p in tmp_path.iterdir()]
+    assert len(loads) == len({*loads}) and {x.partition("-")[0] for x in loads} == {"NZ,AU", "US"}
+    kept = [ner.engine(k, lambda k=k: (lambda texts: k)) for k in range(ner.ENGINES + 1)]
+    assert len(kept) == ner.ENGINES + 1 and len(ner._engines) == ner.ENGINES and 0 not in ner._engines
+    with pytest.raises(ValueError, match="either"):
+        ner.model_spans(df)
+
+
+def test_native_and_python_keys_agree(spark):
+    texts = ["Straße  7", " a\tb ", "x\x1cy", "ﬃ\u2003\u2028Z", "İ", "plain"]
+    spans = [{"start": 0, "end": 1, "type": "ID", "text": t, "score": 1.0, "source": "rule", "recognizer": "r", "seq": 0} for t in texts]
+    df = spark.createDataFrame([(spans,)], f"spans {SPANS}")
+    row = df.select(redact.entity_keys(F.col("spans"), "key", True).alias("a"), redact.entity_keys(F.col("spans"), "key", False).alias("b")).first()
+    assert row.a == row.b and len({*row.a}) == len(texts)
