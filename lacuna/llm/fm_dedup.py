@@ -18,7 +18,7 @@ window is looked up there, not in all shards:
 5. Answers come back in rows of many, are merged to one row for each document, and the words under
    repeated windows are taken out.
 
-Windows are judged on the input. Words are told apart by 64-bit hashes, pieces by two of them.
+Windows are judged on the input. Words are told apart by 64-bit hashes keyed by the driver's secret, pieces by two of them.
 
 Defined cases: a row without an id is left out; null or empty texts and texts of fewer than ``WINDOW`` words lose nothing; rows with
 one id and one text are one document, of rows with one id and different texts the order is by a hash of the texts; an empty
@@ -60,9 +60,9 @@ def _signed(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("lacuna_sig", F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))), 37))
 
 
-def _anchors(words: wb.Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _anchors(words: wb.Words, window: int, gram: int, secret: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pieces of a block: their first words, numbers of windows, anchors, and the words' hashes. Of equal smallest grams the leftmost is the anchor."""
-    h, first = words.hashes(), words.first
+    h, first = words.hashes(secret), words.first
     grams = wb.shingles(h, gram)
     own = wb.owner_of(first)
     starts = np.flatnonzero(np.arange(len(h)) + window <= first[1:][own]) if len(h) else np.zeros(0, np.int64)
@@ -89,9 +89,11 @@ def _content(h: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _first_pass(window: int, gram: int):
+    secret = wb.KEY
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in wb.blocks(batches):
-            _, _, value, _ = _anchors(block.words(lower=False), window, gram)
+            _, _, value, _ = _anchors(block.words(lower=False), window, gram, secret)
             values, counts = np.unique(value, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["value", "n"])
 
@@ -102,10 +104,12 @@ _RUNS = "value long, content long, doc_id long, loc long"
 
 
 def _second_pass(window: int, gram: int):
+    secret = wb.KEY
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in wb.blocks(batches):
             words = block.words(lower=False)
-            begin, n, value, h = _anchors(words, window, gram)
+            begin, n, value, h = _anchors(words, window, gram, secret)
             own = wb.owner_of(words.first)[begin]
             ids, sig = block.column("doc_id")[own], block.column("lacuna_sig")[own]
             loc = _loc(sig, begin - words.first[own], n)
@@ -135,11 +139,13 @@ def _gathered(key: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
 
 def _cut(window: int, shards: int, buckets: int):
     """Pieces of documents' runs that an index has to decide. ``runs`` has (loc, value, kind): kind 2 as a whole, 3 window by window."""
+    secret = wb.KEY
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: dict[int, tuple[int, int]] = {}  # windows of hot anchors, at the earliest place seen by this task
         for block in wb.blocks(batches):
             words = block.words(lower=False)
-            h, runs = words.hashes(), block.rows.column("runs")
+            h, runs = words.hashes(secret), block.rows.column("runs")
             bounds, flat = runs.offsets.to_numpy(), runs.values
             lo, hi = int(bounds[0]), int(bounds[-1])
             loc, value, kind = (flat.field(k).to_numpy(zero_copy_only=False)[lo:hi] for k in range(3))

@@ -25,7 +25,7 @@ hashes of their key, which passes on those that have company. A key that a block
 several times needs no such answer: its entries pass straight on, and the range learns of the key
 once, so a list in a third of all rows does not meet in one task.
 
-Copies (equal sets) are one class from the start. Sets are compared by 64-bit hashes of shingles.
+Copies (equal sets) are one class from the start. Sets are compared by 64-bit hashes of shingles, keyed by the driver's secret.
 
 Defined cases: a row without an id is left out; null or empty text, or no word: an empty set, linked with nothing; fewer than 5
 words: the whole sequence is the one shingle; rows of one id are one document, with the text of the smallest hash where they have
@@ -56,10 +56,10 @@ PAIRS, SETS_BYTES = 64, 32 << 20
 ROUNDS = 5
 
 
-def distinct_shingles(block: wb.Block, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+def distinct_shingles(block: wb.Block, width: int, key: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each document, side by side, and their bounds."""
     words = block.words(lower=True)
-    h, first = words.hashes(), words.first
+    h, first = words.hashes(key), words.first
     n = np.diff(first)
     sh = wb.shingles(h, width)
     owner = wb.owner_of(first)
@@ -85,9 +85,11 @@ def _sum_by(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _signatures(width: int):
+    secret = wb.KEY
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in wb.blocks(batches):
-            values, first = distinct_shingles(block, width)
+            values, first = distinct_shingles(block, width, secret)
             a, b = _sum_by(wb.mix(values), first), _sum_by(wb.mix(values ^ np.uint64(0x5851F42D4C957F2D)), first)
             yield pa.RecordBatch.from_arrays([block.rows.column("doc_id"), pa.array(np.diff(first)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["doc_id", "n", "sig_a", "sig_b"])
 
@@ -96,6 +98,8 @@ def _signatures(width: int):
 
 def _often(width: int):
     """Shingles in ``OFTEN`` or more documents of a window, and of each window the shingles and repeats (key 0)."""
+    secret = wb.KEY
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -107,7 +111,7 @@ def _often(width: int):
             return pa.RecordBatch.from_arrays([pa.array(np.append(keys[often].view(np.int64), 0)), pa.array(np.append(counts[often], 1)), pa.array(np.append(np.zeros(often.sum(), np.int64), size)), pa.array(np.append(np.zeros(often.sum(), np.int64), repeats))], names=["key", "n", "total", "repeats"])
 
         for block in wb.blocks(batches):
-            values, _ = distinct_shingles(block, width)
+            values, _ = distinct_shingles(block, width, secret)
             held.append(values)
             size += len(values)
             if size >= WINDOW:
@@ -151,10 +155,12 @@ RANGE_SHINGLES = 250_000
 
 def _entries(width: int, shared, boundary: int, ranges: int):
     """Per document the keys under which it is listed: subsets of two for light sets, prefix elements for heavy ones."""
+    secret = wb.KEY
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
         for block in wb.blocks(batches):
-            values, first = distinct_shingles(block, width)
+            values, first = distinct_shingles(block, width, secret)
             late, n = levels[(values & np.uint64(CELLS - 1)).astype(np.int64)], np.diff(first)
             own = wb.owner_of(first)
             ranked = np.lexsort((values, late, own))
@@ -184,7 +190,7 @@ def _entries(width: int, shared, boundary: int, ranges: int):
             several = np.repeat(many > 1, many)
             ids, size = block.column("doc_id"), n.astype(np.int32)
             told = key[lead[many > 1]]
-            grp = np.concatenate((np.where(several, -1 - (key >> np.uint64(32)).astype(np.int64) % ranges, _range(key, ranges)), _range(told, ranges)))
+            grp = np.concatenate((np.where(several, -1 - (wb.mix(ids[owner].astype(np.int64).view(np.uint64)) % np.uint64(ranges)).astype(np.int64), _range(key, ranges)), _range(told, ranges)))
             cols = [np.concatenate(c) for c in ((key, told), (ids[owner], np.zeros(len(told), np.int64)), (size[owner], np.zeros(len(told), np.int32)), (at, np.full(len(told), _SEVERAL, np.int32)))]
             order = np.argsort(grp, kind="stable")
             cuts = np.flatnonzero(np.diff(grp[order], prepend=grp[order[:1]] - 1))
@@ -216,9 +222,11 @@ def _small() -> list[str]:
 
 def _bitmaps(width: int):
     """Parity bitmaps of each set: one of a power of two near twice its size in bits, and a small one of fixed size."""
+    secret = wb.KEY
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in wb.blocks(batches):
-            values, first = distinct_shingles(block, width)
+            values, first = distinct_shingles(block, width, secret)
             n = np.diff(first)
             own = wb.owner_of(first)
             small = np.zeros((len(n), SMALL * 64), np.uint8)
@@ -252,6 +260,8 @@ def _within_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _exact(width: int):
     """Decide pairs on the whole sets of their texts."""
+    secret = wb.KEY
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
         held = 0
@@ -264,7 +274,7 @@ def _exact(width: int):
             if at:
                 part = pa.RecordBatch.from_arrays([pa.array(ids[at]), texts.take(pa.array(at))], names=["doc_id", "text"])
                 for block in wb.blocks(iter([part])):
-                    values, first = distinct_shingles(block, width)
+                    values, first = distinct_shingles(block, width, secret)
                     for k, d in enumerate(block.column("doc_id").tolist()):
                         known[d] = values[first[k] : first[k + 1]].copy()
                         held += known[d].nbytes

@@ -8,6 +8,7 @@ which bounds what a worker holds whatever the size of a batch.
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -26,6 +27,10 @@ _NOT_ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = Fals
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
+#: Drawn anew by each driver. Word hashes keyed by it cannot be foreseen, so no words can be made up that share one. Functions that
+#: run in tasks take it along from the driver (the workers' own is another one).
+KEY = secrets.randbits(64)
+
 _MASK = (1 << 64) - 1
 #: Words of more bytes than this go through a keyed byte hash.
 LONG = 64
@@ -89,15 +94,16 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, key: int = 0) -> np.ndarray:
         """One 64-bit hash for each word, the same for equal words in any block.
 
-        Eight bytes are taken at a time, each step a mix of all before it; a word over ``LONG`` bytes is
-        hashed by keyed BLAKE2, as no arithmetic hash of so few steps tells long crafted words apart.
+        Eight bytes are taken at a time, each step a mix of all before it, from ``key`` and the length on; a word over
+        ``LONG`` bytes is hashed by keyed BLAKE2. The steps can be undone, so with a known key words of 16 bytes that share a
+        hash are found at once: where a result rests on hashes alone, ``KEY`` is the key.
         """
         n = self.end - self.start
         with np.errstate(over="ignore"):
-            h = mix(n.astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
+            h = mix(n.astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7) ^ np.uint64(key))
         padded = np.concatenate((self.data, np.zeros(8, np.uint8)))
         eight = np.ndarray(len(self.data) + 1, "<u8", padded, 0, (1,))
         at = np.flatnonzero(n <= LONG)
@@ -107,7 +113,7 @@ class Words:
                 break
             h[at] = mix(h[at] ^ (eight[self.start[at] + j] & _KEEP[np.minimum(n[at] - j, 8)]))
         for i in np.flatnonzero(n > LONG).tolist():
-            h[i] = int.from_bytes(hashlib.blake2b(self.data[self.start[i] : self.end[i]], digest_size=8, key=b"word").digest(), "little")
+            h[i] = int.from_bytes(hashlib.blake2b(self.data[self.start[i] : self.end[i]], digest_size=8, key=b"word" + key.to_bytes(8, "little")).digest(), "little")
         return h
 
     def counts(self) -> np.ndarray:

@@ -68,3 +68,51 @@ def test_matching_statistics_find_all_windows(seed):
 def test_windows_longer_than_the_depth_are_refused():
     with pytest.raises(ValueError):
         FMIndex(np.array([0, 1, 0]), 32)
+
+
+def _unmix(x: int) -> int:
+    """The inverse of ``mix``."""
+    mask = (1 << 64) - 1
+    x ^= x >> 31 ^ x >> 62
+    x = x * pow(0x94D049BB133111EB, -1, 1 << 64) & mask
+    x ^= x >> 27 ^ x >> 54
+    x = x * pow(0xBF58476D1CE4E5B9, -1, 1 << 64) & mask
+    return x ^ x >> 30 ^ x >> 60
+
+
+def crafted(word: bytes, key: int = 0, tries: int = 400_000) -> bytes:
+    """Another printable word of 16 bytes with the same hash under ``key``: the first eight bytes freely, the last ones solved for."""
+    one = lambda x: int(wb.mix(np.array([x], np.uint64))[0])
+    start = one(16 * 0x8CB92BA72F3D8DD7 % (1 << 64) ^ key)
+    whole = lambda b: one(one(start ^ int.from_bytes(b[:8], "little")) ^ int.from_bytes(b[8:], "little"))
+    before = _unmix(whole(word))
+    rng = np.random.default_rng(1)
+    first = rng.integers(97, 123, (tries, 8), dtype=np.uint8)
+    last = wb.mix(np.uint64(start) ^ first.view("<u8").ravel()) ^ np.uint64(before)
+    fits = ((last.view(np.uint8).reshape(-1, 8) - 0x21) < 0x5E).all(axis=1)
+    k = int(np.flatnonzero(fits)[0])
+    return first[k].tobytes() + last[k : k + 1].tobytes()
+
+
+def test_words_solved_for_share_a_hash_only_without_the_secret():
+    word = b"harmlesspassages"
+    other = crafted(word)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [f"{word.decode()} {other.decode()}"]})
+    words = next(wb.blocks(iter([batch]))).words(lower=False)
+    a, b = words.hashes().tolist()
+    assert a == b and other != word
+    a, b = words.hashes(wb.KEY).tolist()
+    assert a != b
+
+
+def test_solved_words_are_told_apart_by_joins_and_dedup(spark):
+    from lacuna.llm import fm_dedup, ngram_join
+    from tests.llm.texts import frame, similar, stripped
+
+    word = "harmlesspassages"
+    other = crafted(word.encode()).decode()
+    rows = [(0, " ".join([word] * 25)), (1, " ".join([other] * 25)), (2, " ".join([other.lower()] * 25))]
+    linked = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_components(frame(spark, rows)).collect()}
+    assert linked == similar(rows) and linked[0][1] != linked[1][1]
+    left = {r.doc_id: r.n_removed for r in fm_dedup.strip_repeats(frame(spark, rows)).collect()}
+    assert left == {i: n - len(k) for i, (n, k) in stripped(rows).items()}
