@@ -6,13 +6,13 @@ difference of the two sums by the bytes of the text is the one feature; a logist
 texts that no dictionary was built from turns it into a probability. (By bytes and not by compressed
 bytes, as texts that repeat themselves are small either way.)
 
-Bounds of what is learnt from: ``SAMPLE_ROWS`` rows of each label. Half of them are measured whole, where they are,
-for the calibration. Of the others' pieces the driver gets about ``SAMPLE_PIECES`` for each label, all where there
-are no more, else those with the smallest hashes of id and place, so from all of each text. The model is two
-dictionaries of ``DICTIONARY`` bytes.
+Bounds of what is learnt from: ``SAMPLE_ROWS`` rows of each label. Of every other row the driver gets the whole
+text, as long as those of one label stay within ``SAMPLE_BYTES``; these make the dictionary. All other rows, those
+that no longer fit or are longer by themselves included, are measured whole, where they are, for the calibration. The model is two dictionaries
+of ``DICTIONARY`` bytes.
 
 Defined cases: a row without an id is left out; null or empty texts get the score at no difference; a very long text is a block of its own, read piece by piece; with too few texts
-for a dictionary of one label, that dictionary is the texts themselves; without labels all scores
+for a dictionary of one label, that dictionary is the texts themselves, each different piece once; without labels all scores
 are 0.5; repeated rows score alike; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from lacuna.llm import wordblock as wb
 from lacuna.llm.labelled import fold, logistic, sigmoid, training, weights
 
-SAMPLE_ROWS, SAMPLE_PIECES = 2000, 50_000
+SAMPLE_ROWS, SAMPLE_BYTES = 2000, 64 << 20
 DICTIONARY, PIECE, LEVEL = 512 << 10, 1024, 3
 
 
@@ -66,23 +67,27 @@ def _dictionary(pieces: list[bytes]) -> bytes:
     try:
         return z.train_dictionary(DICTIONARY, pieces).as_bytes()
     except z.ZstdError:
-        return (b"".join(pieces) or b" " * 8)[-DICTIONARY:].ljust(8)
+        return b"".join(dict.fromkeys(pieces)).ljust(8)
 
 
-def _pieces(shares: dict[int, float]):
-    """Of each text the pieces whose hash is within the share of its label."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in wb.blocks(batches):
-            ids, labels = block.column("doc_id"), block.column("label").tolist()
-            for i in range(len(block)):
-                text = block.text(i)
-                at = np.arange(-(-len(text) // PIECE))
-                hashed = wb.mix(wb.mix(ids[i : i + 1].astype(np.uint64)) ^ at.astype(np.uint64))
-                at = at[(hashed >> np.uint64(32)) < shares[labels[i]] * 2**32]
-                held = [text[k * PIECE : (k + 1) * PIECE] for k in at.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([labels[i]] * len(at), pa.int32()), pa.array(np.full(len(at), ids[i])), pa.array(at, pa.int64()), pa.array(held, pa.binary())], names=["label", "doc_id", "place", "piece"])
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pieces of the texts."""
+    for block in wb.blocks(batches):
+        ids, labels = block.column("doc_id"), block.column("label").tolist()
+        for i in range(len(block)):
+            text = block.text(i)
+            held = [text[k : k + PIECE] for k in range(0, len(text), PIECE)]
+            n = len(held)
+            yield pa.RecordBatch.from_arrays([pa.array([labels[i]] * n, pa.int32()), pa.array(np.full(n, ids[i])), pa.array(np.arange(n), pa.int64()), pa.array(held, pa.binary())], names=["label", "doc_id", "place", "piece"])
 
-    return run
+
+def _fitting(sizes: list[int], most: int) -> list[bool]:
+    """Which texts, taken in order, stay within ``most`` bytes together; one too long for what is left is passed over."""
+    out, left = [], most
+    for n in sizes:
+        out.append(n <= left)
+        left -= n if n <= left else 0
+    return out
 
 
 def _measured(shared):
@@ -96,16 +101,16 @@ def _measured(shared):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> QualityModel:
-    """Learn from a bounded sample of the training fold; even rows make dictionaries, odd ones the calibration."""
+    """Learn from a bounded sample of the training fold: whole texts for the dictionaries, other whole texts for the calibration."""
     known, totals = training(docs, labels, label, SAMPLE_ROWS)
     # ids, labels and sizes of 2 * SAMPLE_ROWS rows at most
-    rows = known.select("doc_id", "label", F.xxhash64("doc_id").alias("h"), F.ceil(F.octet_length("text") / PIECE).alias("pieces")).toPandas().sort_values(["h", "doc_id"])
-    rows["odd"] = rows.groupby("label").cumcount() % 2
-    even = rows[rows["odd"] == 0]
+    rows = known.select("doc_id", "label", F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("size")).toPandas().sort_values(["h", "doc_id"])
+    even = rows[rows.groupby("label").cumcount() % 2 == 0]
+    even = pd.concat([of[_fitting(of["size"].tolist(), SAMPLE_BYTES)] for _, of in even.groupby("label")] or [even])
     place = {d: i for i, d in enumerate(even["doc_id"].tolist())}
-    shares = {k: min(1.0, SAMPLE_PIECES / max(int(even["pieces"][even["label"] == k].sum()), 1)) for k in (0, 1)}
     of_even = F.col("doc_id").isin(list(place))
-    held = known.where(of_even).mapInArrow(_pieces(shares), "label int, doc_id long, place long, piece binary").toPandas()
+    # 2 * SAMPLE_BYTES at most
+    held = known.where(of_even).mapInArrow(_pieces, "label int, doc_id long, place long, piece binary").toPandas()
     held = held.assign(rank=held["doc_id"].map(place)).sort_values(["rank", "place"])
     good, bad = (_dictionary([bytes(x) for x in held["piece"][held["label"] == k]]) for k in (1, 0))
     model = QualityModel(good, bad, np.zeros(2))

@@ -163,7 +163,7 @@ def test_quality_learns_from_whole_texts(spark):
 
 
 def test_samples_are_bounded(spark, monkeypatch):
-    """One id many times is one row to learn from; pieces come from all of a text."""
+    """One id many times is one row to learn from; texts are learnt from whole or measured whole."""
     from lacuna.llm.labelled import training
 
     rows = [(0, "same text")] * 3000 + [(0, "other text")] * 3 + [(i, f"text {i} " * 5) for i in range(3, 60, 3)] + [(1, None)]
@@ -174,12 +174,11 @@ def test_samples_are_bounded(spark, monkeypatch):
     assert totals == {k: sum(1 for i in range(60) if i % 2 == k and not held(i, 3, 1)) for k in (0, 1)}
     text = bytes(range(97, 123)) * 8000
     some = spark.createDataFrame([(5, text.decode(), 1), (6, "z" * 5000, 0)], "doc_id long, text string, label int")
-    kept = some.mapInArrow(quality_zstd._pieces({0: 1.0, 1: 0.25}), "label int, doc_id long, place long, piece binary").collect()
-    assert [bytes(r.piece) for r in kept if r.label == 0] == [b"z" * 1024] * 4 + [b"z" * 904]
-    places = [r.place for r in kept if r.label == 1]
-    assert 30 < len(places) < 75 and min(places) < 20 and max(places) > 180  # of 204
-    assert all(bytes(r.piece) == text[r.place * 1024 : (r.place + 1) * 1024] for r in kept if r.label == 1)
-    monkeypatch.setattr(quality_zstd, "SAMPLE_PIECES", 20)
+    kept = some.mapInArrow(quality_zstd._pieces, "label int, doc_id long, place long, piece binary").collect()
+    for label, want in ((0, b"z" * 5000), (1, text)):
+        assert b"".join(bytes(r.piece) for r in sorted(kept, key=lambda r: r.place) if r.label == label) == want
+    assert quality_zstd._fitting([3, 9, 4, 2, 1], 8) == [True, False, True, False, True]
+    monkeypatch.setattr(quality_zstd, "SAMPLE_BYTES", 4000)
     docs, labels, want = labelled(spark, lambda rng, w: " ".join(x.upper() + "!!" for x in w), "quality")
     got = by_id(quality_zstd.score(docs, labels))
     assert np.mean([got[i].predicted == y for i, y in want.items() if held(i, 3, 1)]) > 0.9
