@@ -14,7 +14,8 @@ window is looked up there, not in all shards:
    Any two pieces meet once, the later one being streamed against an index that holds the earlier one
    and not itself. Intervals of its matching statistics of ``WINDOW`` words or more are repeats.
 4. Anchors with more than ``HOT`` classes would make a shard large: their pieces go out window by window,
-   spread by the windows' own hashes, and of equal windows a task sends only ever earlier ones.
+   spread by the windows' own hashes. Of equal windows of a block only the earliest goes out, and none that a
+   task knows an earlier place of; it remembers ``KNOWN`` to twice as many windows.
 5. Answers come back in rows of many, are merged to one row for each document, and the words under
    repeated windows are taken out.
 
@@ -41,6 +42,8 @@ from lacuna.llm.fm_index import FMIndex, window_matches
 WINDOW, GRAM = 20, 6
 #: From this many different pieces on, an anchor's windows are spread one by one.
 HOT = 256
+#: Windows of such anchors that a task remembers, at least.
+KNOWN = 1 << 18
 #: Words of pieces for each shard, and of runs in each bucket of answers.
 SHARD_WORDS, BUCKET_RUNS = 200_000, 1_000_000
 
@@ -137,12 +140,41 @@ def _gathered(key: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
         yield int(key[at[0]]), at, [c[at].tobytes() for c in columns]
 
 
+class Earliest:
+    """The earliest places of windows that went by, of the ``most`` last ones at least and of twice as many at most."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.young: dict[int, tuple[int, int]] = {}
+        self.old: dict[int, tuple[int, int]] = {}
+
+    def unbeaten(self, value: np.ndarray, ids: np.ndarray, loc: np.ndarray) -> np.ndarray:
+        """Which of these places have no earlier one of their window here or, as far as remembered, before."""
+        order = np.lexsort((loc, ids, value))
+        v, d, p = value[order], ids[order], loc[order]
+        new = np.ones(len(v), bool)
+        new[1:] = v[1:] != v[:-1]
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(v)))
+        same = (d == np.repeat(d[first], size)) & (p == np.repeat(p[first], size))  # repeated rows bring a place twice
+        held = np.ones(len(first), bool)
+        for i, (key, *place) in enumerate(zip(v[first].tolist(), d[first].tolist(), p[first].tolist(), strict=True)):
+            known = self.young.get(key) or self.old.get(key)
+            held[i] = known is None or tuple(place) <= known
+            if len(self.young) >= self.most and key not in self.young:
+                self.old, self.young = self.young, {}
+            self.young[key] = tuple(place) if held[i] else known
+        out = np.zeros(len(v), bool)
+        out[order] = same & np.repeat(held, size)
+        return out
+
+
 def _cut(window: int, shards: int, buckets: int):
     """Pieces of documents' runs that an index has to decide. ``runs`` has (loc, value, kind): kind 2 as a whole, 3 window by window."""
     secret = wb.KEY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: dict[int, tuple[int, int]] = {}  # windows of hot anchors, at the earliest place seen by this task
+        sent = Earliest(KNOWN)
         for block in wb.blocks(batches):
             words = block.words(lower=False)
             h, runs = words.hashes(secret), block.rows.column("runs")
@@ -162,11 +194,7 @@ def _cut(window: int, shards: int, buckets: int):
             value[hot] = _content(h, begin[hot], size[hot]).view(np.int64)
             out = np.ones(len(loc), bool)
             places = np.flatnonzero(hot)
-            for i, v, place in zip(places.tolist(), value[places].tolist(), zip(ids[places].tolist(), loc[places].tolist(), strict=True), strict=True):
-                if sent.setdefault(v, place) < place:
-                    out[i] = False
-                else:
-                    sent[v] = place
+            out[places] = sent.unbeaten(value[places], ids[places], loc[places])
             rows = [(-1 - b, b"", d, at, b"") for b, _, (d, at) in _gathered(_bucket(ids[~out], buckets), ids[~out], loc[~out])]
             value, ids, loc, begin, size = value[out], ids[out], loc[out], begin[out], size[out]
             for shard, at, (v, d, p) in _gathered((value.view(np.uint64) % np.uint64(shards)).astype(np.int64), value, ids, loc):

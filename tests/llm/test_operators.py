@@ -578,6 +578,29 @@ def test_pieces_are_compared_with_earlier_ones_only():
     assert not found[-1].any()
 
 
+def test_earliest_windows_do_not_depend_on_order_within_a_block():
+    rng = np.random.default_rng(8)
+    seen = fm_dedup.Earliest(30)
+    known = {}
+    for _ in range(60):
+        value, ids, loc = (rng.integers(0, n, 200) for n in (90, 40, 3))
+        got = seen.unbeaten(value, ids, loc)
+        places = list(zip(value.tolist(), ids.tolist(), loc.tolist()))
+        for kept, (v, *place) in zip(got.tolist(), places):
+            least = min(p[1:] for p in places if p[0] == v)
+            if tuple(place) != least or not kept:  # what is held back has an earlier place, here or before
+                assert not kept and min(least, known.get(v, least)) < tuple(place)
+        for v, *place in places:
+            known[v] = min(tuple(place), known.get(v, tuple(place)))
+        assert len(seen.young) <= 30 and len(seen.old) <= 30
+    # ids falling within a block: one place of each window goes out
+    value, ids = np.tile(np.arange(50), 1000), np.repeat(np.arange(1000)[::-1], 50)
+    for order in (np.arange(50_000), rng.permutation(50_000)):
+        out = fm_dedup.Earliest(100).unbeaten(value[order], ids[order], np.zeros(50_000, np.int64))
+        assert out.sum() == 50 and not ids[order][out].any()
+    assert len(seen.unbeaten(*[np.zeros(0, np.int64)] * 3)) == 0
+
+
 def test_one_passage_in_half_of_many_documents(spark):
     """The passage is one class for each of its pieces: what reaches a shard does not grow with its copies."""
     w = [f"w{i}" for i in range(60)]
