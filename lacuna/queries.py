@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from lacuna import ship, spread
 from lacuna.functions import checksums, domains, numbering
 from lacuna.functions.spans import SPAN, settled
-from lacuna.operators import assist, evaluate, merge, ner, recognizers, redact, tagger
+from lacuna.operators import apart, assist, evaluate, merge, ner, recognizers, redact, tagger
 from lacuna.operators.recognizers import RecognizerSpec
-from lacuna.plans.deidentify import Config, corpus_audit, deidentify
+from lacuna.plans.deidentify import Config, corpus_audit, deidentify, detect
 from lacuna.sources import fhir, generate
 
 KEY = "a key for tests"
@@ -471,6 +471,25 @@ _surrogate("surrogate_location", "LOCATION", "c_name", f"CAST(seed % 400 + 1 AS
 _surrogate("surrogate_org", "ORG", "c_name", f"{_at(redact._ROADS, 'seed')} || ' ' || {_at(redact._LAST, f'(seed // {len(redact._ROADS)})')} || ' ' || {_at(redact._CARE, f'(seed // {len(redact._ROADS) * len(redact._LAST)})')}")
 
 
+@_query("surrogates_apart", """WITH v AS (SELECT unnest(['PERSON', 'PHONE', 'ORG', 'LOCATION']) AS type, unnest([c_name, c_name, concat('Org ', c_nationkey), concat(c_custkey % 1000, ' High Street')]) AS text FROM customer)
+SELECT type, count(*) AS spans, count(DISTINCT lower(text)) AS entities, count(DISTINCT lower(text)) AS surrogates, CAST(0 AS BIGINT) AS own FROM v GROUP BY type""")
+def surrogates_apart(spark, sf_dir):
+    """As many surrogates as different entities, beyond the size of a space too, and none that is the text itself."""
+    made = {"PERSON": "c_name", "PHONE": "c_name", "ORG": "concat('Org ', c_nationkey)", "LOCATION": "concat(c_custkey % 1000, ' High Street')"}
+    spans = F.array(*[F.struct(F.lit(k).alias("type"), F.expr(v).alias("text")) for k, v in made.items()])
+    rows = apart.entities(_customers(spark, sf_dir, "c_name", "c_nationkey").select(F.col("c_custkey").alias("note_id"), spans.alias("spans")), KEY)
+    out = apart.surrogates(rows, apart.dictionary(rows), KEY)
+    own = F.count_if(F.col("text") == F.col("surrogate"))
+    return out.groupBy("type").agg(F.count("*").alias("spans"), F.countDistinct(F.lower("text")).alias("entities"), F.countDistinct("surrogate").alias("surrogates"), own.alias("own"))
+
+
+@_query("deidentify_notes_apart")
+def deidentify_notes_apart(spark, sf_dir):
+    """Whole notes with surrogates that no two entities share."""
+    found = detect(_notes(spark, sf_dir).select("note_id", "text"))
+    return apart.redact_apart(found, KEY)[0].select("note_id", "redacted_text")
+
+
 @_query("idempotency", "SELECT CAST(c_custkey AS BIGINT) AS note_id, true AS same FROM customer")
 def idempotency(spark, sf_dir):
     """Masking what is masked changes nothing."""
