@@ -732,6 +732,34 @@ def fhir_resources(spark, sf_dir):
     return _bundles(spark, sf_dir).select("id", F.posexplode(kinds).alias("place", "kind")).select("id", "kind", F.col("place").cast("long").alias("place"))
 
 
+@_query("fhir_entries_text", f"SELECT c_custkey AS id, {_BUNDLE_TEXT} AS text FROM customer")
+def fhir_entries_text(spark, sf_dir):
+    return fhir.text_of_entries(fhir.entries(_bundles(spark, sf_dir), "id"))
+
+
+#: One bundle for a thousand customers, with four entries for each; only observations of even customers have a label.
+_VISITS = """concat('{"resource":{"resourceType":"Patient","name":[{"family":"', c_name, '"}],"identifier":[{"system":"urn:passport","value":"', CAST(c_custkey AS STRING), '"}]}},',
+ '{"resource":{"resourceType":"Practitioner","name":[{"prefix":["Dr"],"given":["Lee"],"family":"No', CAST(c_custkey AS STRING), '"},{"family":"second"}]}},',
+ '{"resource":{"resourceType":"Organization","name":"Ward ', CAST(c_custkey AS STRING), '","address":[{"line":["Level 2"],"country":"NZ"},{"city":"second"}]}},',
+ CASE WHEN c_custkey % 2 = 0 THEN concat('{"resource":{"resourceType":"Observation","code":{"coding":[{"display":""},{"display":"Reading ', CAST(c_custkey AS STRING), '"}]},"effectiveDateTime":"2021-03-04T05:06:07Z"}}')
+ ELSE '{"resource":{"resourceType":"Observation","text":{"div":"<p> </p>"}}}' END)"""
+
+
+@_query("fhir_entries_large", f"""WITH c AS (SELECT CAST(c_custkey // 1000 AS BIGINT) AS id, c_name, CAST(c_custkey AS VARCHAR) AS k, c_custkey % 2 = 0 AS even,
+  row_number() OVER (PARTITION BY c_custkey // 1000 ORDER BY c_custkey) AS n, row_number() OVER (PARTITION BY c_custkey // 1000, c_custkey % 2 ORDER BY c_custkey) AS m FROM customer)
+SELECT id, concat('Patient demographics', chr(10), 'Patient name: ', max(c_name) FILTER (n = 1), chr(10), 'Passport Number: ', max(k) FILTER (n = 1), chr(10), chr(10),
+  'Care team and facilities', chr(10), string_agg('Organization: Ward ' || k || chr(10) || 'Organization address: Level 2, NZ', chr(10) ORDER BY n) FILTER (n <= 3), chr(10),
+  string_agg('Practitioner: Dr Lee No' || k, chr(10) ORDER BY n) FILTER (n <= 3), chr(10),
+  coalesce(chr(10) || 'Clinical timeline' || chr(10) || string_agg('Observation on 2021-03-04: Reading ' || k, chr(10) ORDER BY m) FILTER (even AND m <= 30) || chr(10), '')) AS text
+FROM c GROUP BY id""")
+def fhir_entries_large(spark, sf_dir):
+    """Bundles of thousands of entries, as rows."""
+    rows = _table(spark, sf_dir, "customer").selectExpr("CAST(c_custkey DIV 1000 AS BIGINT) AS id", "c_custkey", f"{_VISITS} AS part")
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "part"))), lambda p: p["part"]), ",")
+    bundles = rows.groupBy("id").agg(F.concat(F.lit('{"entry":['), parts, F.lit("]}")).alias("json"))
+    return fhir.text_of_entries(fhir.entries(bundles.select("id", F.parse_json("json").alias("bundle")), "id"))
+
+
 _BUNDLE_MASKED = """concat('Patient demographics', chr(10), 'Patient name: [REDACTED:PERSON]', substring(c_name, 9), chr(10), 'Birth date: [REDACTED:DATE]', chr(10), 'Gender: female', chr(10), 'Phone: [REDACTED:PHONE]', chr(10), 'Contact: none', chr(10),
  'Address: [REDACTED:LOCATION], [REDACTED:LOCATION], [REDACTED:POSTCODE]', chr(10), 'Card: ', CAST(c_custkey * 7 AS STRING), chr(10), 'Social Security Number: [REDACTED:ID]', chr(10), chr(10),
  'Care team and facilities', chr(10), 'Organization: Org ', CAST(c_nationkey AS STRING), chr(10), 'Organization address: Town', chr(10), 'Practitioner: [REDACTED:PERSON]', chr(10), chr(10),

@@ -1,6 +1,7 @@
 """Clinical record bundles (FHIR JSON) to note text, with VARIANT columns: no schema, no shuffle.
 
 One row is one bundle. Resources stay an array in bundle order; every section is an array of lines.
+Bundles with very many entries go as rows (``entries``, ``text_of_entries``): no array holds more than the lines of one text.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from html.entities import html5
 from zlib import crc32
 
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lacuna.plans.deidentify import Config, deidentify
@@ -152,29 +153,79 @@ def care_team_lines(orgs: Column, practitioners: Column) -> Column:
     return F.array_compact(F.concat(F.flatten(F.transform(orgs, of_org)), F.flatten(F.transform(practitioners, of_person))))
 
 
+def timeline_line(r: Column) -> Column:
+    """The line of a clinical resource; null if it has neither a label nor a narrative."""
+    reason = F.coalesce(_text(r, "$.reasonCode[0].text"), _first_text(F.transform(_list(r, "$.reasonCode[0].coding"), lambda x: _text(x, "$.display"))))
+    label = F.coalesce(coding_text(r, "$.code"), coding_text(r, "$.type"), reason, F.nullif(strip_html(_text(r, "$.text.div")), F.lit("")))
+    when = F.left(F.coalesce(*[_text(r, f"$.{k}") for k in ("effectiveDateTime", "authoredOn", "performedDateTime", "recordedDate", "date", "period.start")]), F.lit(10))
+    return F.concat(_get(r, "$.resourceType"), F.when(when.isNotNull(), F.concat(F.lit(" on "), when)).otherwise(""), F.lit(": "), label)
+
+
 def timeline_lines(all_resources: Column, most: int = MAX_ITEMS) -> Column:
     """One line for each clinical resource that has a label or a narrative; at least one if there is any."""
     clinical = F.filter(all_resources, lambda r: _get(r, "$.resourceType").isin(*CLINICAL))
+    return F.slice(F.array_compact(F.transform(clinical, timeline_line)), 1, max(most, 1))
 
-    def line(r: Column) -> Column:
-        reason = F.coalesce(_text(r, "$.reasonCode[0].text"), _first_text(F.transform(_list(r, "$.reasonCode[0].coding"), lambda x: _text(x, "$.display"))))
-        label = F.coalesce(coding_text(r, "$.code"), coding_text(r, "$.type"), reason, F.nullif(strip_html(_text(r, "$.text.div")), F.lit("")))
-        when = F.left(F.coalesce(*[_text(r, f"$.{k}") for k in ("effectiveDateTime", "authoredOn", "performedDateTime", "recordedDate", "date", "period.start")]), F.lit(10))
-        return F.concat(_get(r, "$.resourceType"), F.when(when.isNotNull(), F.concat(F.lit(" on "), when)).otherwise(""), F.lit(": "), label)
 
-    return F.slice(F.array_compact(F.transform(clinical, line)), 1, max(most, 1))
+def _sections(people: Column, team: Column, clinical: Column) -> Column:
+    """``people`` with its title, empty without a patient; the others get theirs if they have lines."""
+    none = F.array().cast("array<string>")
+    section = lambda title, lines: F.when(F.size(lines) > 0, F.concat(F.array(F.lit(""), F.lit(title)), lines)).otherwise(none)
+    lines = F.concat(people, section("Care team and facilities", team), section("Clinical timeline", clinical))
+    return F.concat(F.regexp_replace(F.array_join(lines, "\n"), r"^(?U)\s+|(?U)\s+$", ""), F.lit("\n"))
 
 
 def bundle_text(bundle: Column, most: int = MAX_ITEMS) -> Column:
     """Demographics, care team and timeline as readable text."""
     patients = resources(bundle, "Patient")
-    none = F.array().cast("array<string>")
-    people = F.when(F.size(patients) > 0, F.concat(F.array(F.lit("Patient demographics")), patient_lines(F.get(patients, F.lit(0))))).otherwise(none)
+    people = F.when(F.size(patients) > 0, F.concat(F.array(F.lit("Patient demographics")), patient_lines(F.get(patients, F.lit(0))))).otherwise(F.array().cast("array<string>"))
     team = care_team_lines(F.slice(resources(bundle, "Organization"), 1, 3), F.slice(resources(bundle, "Practitioner"), 1, 3))
-    clinical = timeline_lines(resources(bundle), most)
-    section = lambda title, lines: F.when(F.size(lines) > 0, F.concat(F.array(F.lit(""), F.lit(title)), lines)).otherwise(none)
-    lines = F.concat(people, section("Care team and facilities", team), section("Clinical timeline", clinical))
-    return F.concat(F.regexp_replace(F.array_join(lines, "\n"), r"^(?U)\s+|(?U)\s+$", ""), F.lit("\n"))
+    return _sections(people, team, timeline_lines(resources(bundle), most))
+
+
+def entries(bundles: DataFrame, id_col: str = "file", bundle_col: str = "bundle") -> DataFrame:
+    """(id, pos, kind, resource): one row for each entry. ``resource`` is null where an entry has no object for one.
+
+    A bundle without a list of entries (a null one too) has one row, without a place. A null id stops the job.
+    """
+    ident = F.when(F.col(id_col).isNull(), F.raise_error(F.lit("a bundle without an id"))).otherwise(F.col(id_col))
+    known = bundles.select(ident.alias("id"), F.try_variant_get(bundle_col, "$.entry", "variant").alias("entry"))
+    rows = known.lateralJoin(bundles.sparkSession.tvf.variant_explode_outer(F.col("entry").outer()))
+    listed = F.col("key").isNull() & F.col("pos").isNotNull()
+    found = F.when(listed, _get(F.col("value"), "$.resource", "variant"))
+    rows = rows.select("id", F.when(listed, F.col("pos")).alias("pos"), found.alias("found"))
+    resource = F.when(F.startswith(F.schema_of_variant("found"), F.lit("OBJECT")), F.col("found"))
+    return rows.select("id", "pos", resource.alias("resource")).select("id", "pos", _get(F.col("resource"), "$.resourceType").alias("kind"), "resource")
+
+
+def text_of_entries(rows: DataFrame, most: int = MAX_ITEMS) -> DataFrame:
+    """(id, text) of ``entries``, the text as by ``bundle_text``.
+
+    Of each section only the first rows are kept, in each task before the shuffle already, so a
+    bundle of any size sends no more than a few lines from each task. Ids have to be unique.
+    """
+    most = max(most, 1)
+    r, kind = F.col("resource"), F.col("kind")
+    none = F.array().cast("array<variant>")
+    line = timeline_line(r)
+    made = rows.select(
+        "id", "pos",
+        F.when(kind == "Patient", 1).when(kind == "Organization", 2).when(kind == "Practitioner", 3).when(kind.isin(*CLINICAL), 4).otherwise(0).alias("part"),
+        F.when(kind == "Patient", patient_lines(r))
+        .when(kind == "Organization", care_team_lines(F.array(r), none))
+        .when(kind == "Practitioner", care_team_lines(none, F.array(r)))
+        .when(kind.isin(*CLINICAL), F.array_compact(F.array(line))).alias("lines"),
+    )
+    # a row without a line keeps its bundle in the result
+    made = made.withColumn("part", F.when((F.col("part") == 4) & (F.size("lines") == 0), 0).otherwise(F.col("part")))
+    order = Window.partitionBy("id", "part").orderBy("pos")
+    kept = made.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(most, 3))
+    part = F.col("part")
+    kept = kept.where(F.col("place") <= F.when(part.isin(2, 3), 3).when(part == 4, most).otherwise(1))
+    all_of = kept.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("part", "place", "lines"))).alias("kept"))
+    of = lambda *parts: F.flatten(F.transform(F.filter("kept", lambda k: k["part"].isin(*parts)), lambda k: k["lines"]))
+    people = F.when(F.exists("kept", lambda k: k["part"] == 1), F.concat(F.array(F.lit("Patient demographics")), of(1))).otherwise(F.array().cast("array<string>"))
+    return all_of.select("id", _sections(people, of(2, 3), of(4)).alias("text"))
 
 
 def deidentify_bundles(bundles: DataFrame, config: Config = Config(regions=REGIONS), most: int = MAX_ITEMS) -> DataFrame:

@@ -127,6 +127,45 @@ def test_references_of_markup_are_written_out(spark):
     assert df.select(fhir.strip_html(F.lit("<p>a&nbsp;&amp;\n<b>b</b></p>"))).first()[0] == "a & b"
 
 
+def test_bundles_as_rows_have_the_same_text(spark):
+    import random
+
+    rng = random.Random(5)
+    person = lambda: rng.choice([{}, {"family": "Doe"}, {"given": ["Al", "Bo"], "family": ""}, {"prefix": ["Dr"], "family": "Lee"}])
+    concept = lambda: rng.choice([{}, {"text": ""}, {"text": "one"}, {"coding": [{"display": ""}, {"display": "two"}]}])
+    make = {
+        "Patient": lambda: {"name": [person(), person()], "birthDate": rng.choice(["", "1970-01-01"])},
+        "Organization": lambda: {"name": rng.choice(["", "Ward"]), "address": rng.choice([[], [{"city": "Town"}, {"city": "no"}]])},
+        "Practitioner": lambda: {"name": [person()][: rng.randrange(2)]},
+        "Condition": lambda: {"code": rng.choice([concept(), [concept(), concept()]]), "recordedDate": rng.choice([None, "2020-01-02T03"])},
+        "CarePlan": lambda: {"text": {"div": rng.choice(["", "<p>Rest &amp; walk</p>"])}},
+        "Claim": lambda: {"code": concept()},
+    }
+    odd = [1, None, "text", {}, {"resource": None}, {"resource": 3}, {"resource": [1]}, {"resource": {}}, {"resource": {"resourceType": 5}}]
+    bundles = ["{}", "[]", "3", '{"entry":{"a":{"resource":{"resourceType":"Patient"}}}}', '{"entry":[]}', '{"entry":null}', '{"entry":7}', None]
+    for _ in range(60):
+        found = [rng.choice(odd) if rng.random() < 0.2 else {"resource": {"resourceType": (k := rng.choice(sorted(make)))} | make[k]()} for _ in range(rng.randrange(30))]
+        bundles.append(json.dumps({"entry": found}))
+    df = spark.createDataFrame(list(enumerate(bundles)), "id int, j string").select("id", F.parse_json("j").alias("bundle"))
+    for most in (30, 2, 0):
+        want = {r.id: r.t for r in df.select("id", fhir.bundle_text(F.col("bundle"), most).alias("t")).collect()}
+        got = {r.id: r.text for r in fhir.text_of_entries(fhir.entries(df, "id"), most).collect()}
+        assert got == want and len(want) == len(bundles)
+    assert fhir.text_of_entries(fhir.entries(df.limit(0), "id")).count() == 0
+    with pytest.raises(Exception, match="without an id"):
+        fhir.entries(df.select(F.lit(None).cast("int").alias("id"), "bundle"), "id").collect()
+
+
+def test_a_bundle_of_many_entries(spark):
+    one = lambda i: f'{{"resource":{{"resourceType":"Condition","code":{{"text":"C{i}"}}}}}}'
+    df = spark.createDataFrame([("b", '{"entry":[' + ",".join(map(one, range(200_000))) + "]}")], "id string, j string").select("id", F.parse_json("j").alias("bundle"))
+    out = fhir.text_of_entries(fhir.entries(df, "id"))
+    # few rows of each section leave a task
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    assert out.first().text == "Clinical timeline\n" + "".join(f"Condition: C{i}\n" for i in range(30))
+
+
 def test_broken_bundles_are_kept(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"entry": []}')
     (tmp_path / "b.json").write_text('{"entry": [')
