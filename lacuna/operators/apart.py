@@ -153,7 +153,8 @@ def _ranked(rows: DataFrame, ranks: DataFrame) -> DataFrame:
     mine = F.col("hot").isNull() & F.col("type").isin(*SPACES)
     rows = rows.withColumn("key", F.when(mine, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("id", "at").cast("string"))))
     rare = ranks.select(F.col("type").alias("kind"), F.col("digest").alias("key"), "rank")
-    rows = rows.join(rare, (F.col("type") == F.col("kind")) & (rows["key"] == rare["key"]), "left")
+    # as many as there are entities: the planner takes a table made of spans for far smaller than it is, so it must not choose
+    rows = rows.join(rare.hint("merge"), (F.col("type") == F.col("kind")) & (rows["key"] == rare["key"]), "left")
     return rows.select("id", "at", "type", "digest", "text", F.coalesce("hot", "rank").alias("rank"))
 
 
@@ -178,7 +179,8 @@ def redact_apart(found: DataFrame, key: str, known: DataFrame | None = None, id_
     ranks = dictionary(rows, known)
     # the strings of one note, as many as its spans
     made = surrogates(rows, ranks, key).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate"))).alias("lacuna_made"))
-    made = made.withColumnRenamed("id", "lacuna_id")
+    # the strings of all notes, which the planner would broadcast as well
+    made = made.withColumnRenamed("id", "lacuna_id").hint("merge")
     out = found.join(made, found[id_col] == made["lacuna_id"], "left")
     strings = F.coalesce(F.transform("lacuna_made", lambda m: m["surrogate"]), F.array().cast("array<string>"))
     whole = F.size(strings) == F.greatest(F.size(spans_col), F.lit(0))
