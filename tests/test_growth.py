@@ -23,3 +23,17 @@ def test_strings_and_ranks_of_all_notes_are_not_broadcast(spark):
     found = spark.range(1).selectExpr("id AS note_id", "'Jane Smith' AS text", "array(named_struct('start', 0, 'end', 10, 'type', 'PERSON', 'text', 'Jane Smith')) AS spans")
     out, _ = apart.redact_apart(found, "k")
     assert plan(out).count("SortMergeJoin") == 2 and out.count() == 1
+
+
+@pytest.mark.parametrize("name", ["corpus_offset_check", "id_validation"])
+def test_notes_are_made_after_their_table_is_dealt_out(spark, name):
+    text = plan(QUERIES[name](spark, SF), "optimizedPlan")
+    assert "Repartition" in text
+    assert not any("aggregate(" in below.split("Relation")[0] for below in text.split("Repartition")[1:])
+
+
+def test_labels_of_made_notes(spark):
+    keys = spark.range(40).select(F.col("id").alias("c_custkey"))
+    for df in (generate.generated_notes(keys), generate.shaped_notes(keys), generate.prose_notes(keys)):
+        got = df.collect()
+        assert sorted(r.note_id for r in got) == list(range(40)) and all(r.text[g.start : g.end] == g.text for r in got for g in r.gold)
