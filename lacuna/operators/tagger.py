@@ -28,7 +28,8 @@ FEATURES = 1 << 20
 SCORE = 0.85
 #: Tokens that are tagged at once, about.
 BLOCK_TOKENS = 1 << 15
-
+#: Notes that are learnt from at once, and lines of them that are tagged ahead at most.
+NOTES, RUN = 256, 512
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 #: Attributes of a token, and the (place, attribute) groups that make a feature.
 WORD, SHAPE, BEGIN, END, SHORT = range(5)
@@ -222,26 +223,41 @@ class _Learner:
         known = np.searchsorted(own, self.keys)
         here = (known < len(own)) & (own[np.minimum(known, len(own) - 1)] == self.keys) if len(own) else np.zeros(len(self.keys), bool)
         change[known[here]], late[known[here]] = self.change[here], self.late[here]
-        for a, b in zip(lines.first[:-1].tolist(), lines.first[1:].tolist(), strict=True):
-            rows, truth = at[a:b], gold[a:b]
-            scores = base[rows].sum(axis=1) + change[rows].sum(axis=1)
-            tags = viterbi(scores[None], np.array([b - a]), self._model.moves + self.moves)[0]
-            if not np.array_equal(tags, truth):
-                for i in np.flatnonzero(tags != truth).tolist():
-                    for tag, sign in ((truth[i], 1.0), (tags[i], -1.0)):
-                        np.add.at(change[:, tag], rows[i], sign)
-                        np.add.at(late[:, tag], rows[i], sign * self._steps)
-                for path, sign in ((truth, 1.0), (tags, -1.0)):
-                    pairs = np.concatenate(([N], path[:-1])), path
-                    np.add.at(self.moves, pairs, sign)
-                    np.add.at(self.late_moves, pairs, sign * self._steps)
-            self._steps += 1
+        first, size, line, run = lines.first, np.diff(lines.first), 0, 8
+        while line < len(size):
+            # a run of lines by the weights as they are: those before its first wrong line are as one by one, so only that one is learnt from
+            upto = min(line + run, len(size))
+            place = first[line:upto, None] + np.arange(size[line:upto].max())
+            inside = np.arange(place.shape[1]) < size[line:upto, None]
+            rows = at[np.where(inside, place, first[line])]
+            tags = viterbi(base[rows].sum(axis=2) + change[rows].sum(axis=2), size[line:upto], self._model.moves + self.moves)
+            wrong = ((tags != gold[np.where(inside, place, 0)]) & inside).any(axis=1)
+            right = int(wrong.argmax()) if wrong.any() else upto - line
+            self._steps += right
+            line += right
+            if line < upto:
+                a, b = int(first[line]), int(first[line + 1])
+                self._correct(at[a:b], gold[a:b], tags[right, : b - a], change, late)
+                self._steps += 1
+                line += 1
+            run = min(max(2 * right, 2), RUN)
         keep = np.concatenate((self.keys[~here], own))
         order = np.argsort(keep)
         change, late = np.concatenate((self.change[~here], change))[order], np.concatenate((self.late[~here], late))[order]
         used = change.any(axis=1) | late.any(axis=1)
         self.keys, self.change, self.late = keep[order][used], change[used], late[used]
 
+    def _correct(self, rows: np.ndarray, truth: np.ndarray, tags: np.ndarray, change: np.ndarray, late: np.ndarray) -> None:
+        """Weights of a wrong line: those of its true tags up, those of the tags it got down."""
+        for i in np.flatnonzero(tags != truth).tolist():
+            for tag, sign in ((truth[i], 1.0), (tags[i], -1.0)):
+                np.add.at(change[:, tag], rows[i], sign)
+                np.add.at(late[:, tag], rows[i], sign * self._steps)
+        for path, sign in ((truth, 1.0), (tags, -1.0)):
+            pairs = np.concatenate(([N], path[:-1])), path
+            np.add.at(self.moves, pairs, sign)
+            np.add.at(self.late_moves, pairs, sign * self._steps)
+
     def rows(self) -> pa.RecordBatch:
         """What changed, and its mean over the steps; moves are keyed by their place, below 256."""
         keys = np.concatenate((self.keys.astype(np.int64), np.arange(N + 1)))
@@ -254,8 +270,8 @@ def _epoch(model: Tagger):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner, cache = _Learner(model), {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, NOTES):
+                part = batch.slice(at, NOTES)
                 lines = Lines(part.column("text").to_pylist(), cache)
                 learner.learn(lines, gold_tags(lines, [[(s["start"], s["end"], s["type"]) for s in own] for own in part.column("gold").to_pylist()]))
         yield learner.rows()

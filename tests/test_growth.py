@@ -1,9 +1,10 @@
 """Plans whose work has to grow with the table, on all cores, and none of it on the driver."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lacuna.operators import apart
+from lacuna.operators import apart, tagger
 from lacuna.queries import QUERIES
 from lacuna.sources import generate
 
@@ -37,3 +38,21 @@ def test_labels_of_made_notes(spark):
     for df in (generate.generated_notes(keys), generate.shaped_notes(keys), generate.prose_notes(keys)):
         got = df.collect()
         assert sorted(r.note_id for r in got) == list(range(40)) and all(r.text[g.start : g.end] == g.text for r in got for g in r.gold)
+
+
+def test_right_lines_are_tagged_together(monkeypatch):
+    """As many searches as wrong lines and runs of right ones, and the weights of learning line by line."""
+    texts = [f"Seen with {a} {b}.\nLives in {b}ton.\nStable today." for a in ("Anna", "Bo", "Cy") for b in ("Bell", "Ford", "Hill", "Lee")] * 60
+    gold = [[(10, t.index("\n") - 1, "PERSON"), (t.index("in ") + 3, t.rindex("\n") - 1, "LOCATION")] for t in texts]
+    calls, viterbi = [], tagger.viterbi
+    monkeypatch.setattr(tagger, "viterbi", lambda *a: calls.append(len(a[0])) or viterbi(*a))
+
+    def learnt(run):
+        monkeypatch.setattr(tagger, "RUN", run)
+        learner = tagger._Learner(tagger.Tagger(np.zeros(0, np.uint64), np.zeros((1, tagger.N)), np.zeros((tagger.N + 1, tagger.N))))
+        lines = tagger.Lines(texts, {})
+        learner.learn(lines, tagger.gold_tags(lines, gold))
+        return learner.rows().to_pydict()
+
+    one_by_one, together = learnt(1), (calls.clear(), learnt(512))[1]
+    assert one_by_one == together and len(calls) < len(texts) // 4
