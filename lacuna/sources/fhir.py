@@ -6,6 +6,7 @@ Bundles with very many entries go as rows (``entries``, ``text_of_entries``): no
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import lru_cache
 from html.entities import html5
 from zlib import crc32
@@ -14,12 +15,16 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lacuna.operators.ner import _NAME as NAME
+from lacuna.operators.recognizers import RecognizerSpec, any_of
 from lacuna.plans.deidentify import Config, deidentify
 
 # Resource types of the timeline.
 CLINICAL = ("Encounter", "Condition", "Observation", "Procedure", "MedicationRequest", "DiagnosticReport", "CarePlan", "AllergyIntolerance", "Immunization")
 MAX_ITEMS = 30
 REGIONS = ("US", "NZ", "AU")
+#: Streets of address lines whose house number is longer than the rules and cues take one to be; here the label is the bundle's own field.
+LONG_NUMBER = RecognizerSpec("BundleAddress", "LOCATION", rf"((?:\A|\n)(?:Address|Organization address): )(\d{{6,18}}[A-Za-z]?[ ]{NAME}(?:[ ]{NAME}){{0,3}}\b)", 0.75, "U", "second", gate=any_of("ddress: "))
 
 
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
@@ -107,12 +112,13 @@ def _character(code: Column) -> Column:
     return F.when(bad | code.isNull(), F.lit("\ufffd")).when(code.between(128, 159), F.coalesce(F.try_element_at(odd, code.cast("int")), F.lit(""))).otherwise(out)
 
 
-def unescape(c: Column) -> Column:
-    """References of HTML written out: every name that ends in a semicolon, the old ones without it, and numbers."""
+def unescape(c: Column, closed: bool = False) -> Column:
+    """References of HTML written out: every name that ends in a semicolon, the old ones without it, and numbers.
+    With ``closed`` only those that end in a semicolon, so one that was cut off stays as it is."""
     names = _names(SparkContext.getOrCreate().applicationId)
 
     def one(part: Column) -> Column:
-        ref = F.regexp_extract(part, rf"^(#[0-9]{{1,9}}|#[xX][0-9a-fA-F]{{1,8}}|[A-Za-z][A-Za-z0-9]{{1,31}}(?=;)|{_OLD})", 1)
+        ref = F.regexp_extract(part, rf"^(#[0-9]{{1,9}}|#[xX][0-9a-fA-F]{{1,8}}|[A-Za-z][A-Za-z0-9]{{1,31}}(?=;)|{_OLD}){'(?=;)' if closed else ''}", 1)
         rest = F.regexp_replace(F.substring(part, F.length(ref) + 1, F.length(part)), "^;", "")
         hexed = F.lower(F.left(ref, F.lit(2))) == "#x"
         code = F.when(hexed, F.conv(F.substring(ref, 3, 8), 16, 10)).otherwise(F.substring(ref, 2, 9)).cast("bigint")
@@ -125,9 +131,9 @@ def unescape(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("&")), written).otherwise(c)
 
 
-def strip_html(c: Column) -> Column:
-    """Tags to spaces, references written out, white space collapsed."""
-    return F.trim(F.regexp_replace(unescape(F.regexp_replace(c, "<[^>]+>", " ")), r"(?U)\s+", " "))
+def strip_html(c: Column, closed: bool = False) -> Column:
+    """Tags to spaces, references written out (see ``unescape``), white space collapsed."""
+    return F.trim(F.regexp_replace(unescape(F.regexp_replace(c, "<[^>]+>", " "), closed), r"(?U)\s+", " "))
 
 
 def _labelled(label: str, value: Column) -> Column:
@@ -230,4 +236,4 @@ def text_of_entries(rows: DataFrame, most: int = MAX_ITEMS) -> DataFrame:
 
 def deidentify_bundles(bundles: DataFrame, config: Config = Config(regions=REGIONS), most: int = MAX_ITEMS) -> DataFrame:
     """Adds text, redacted_text, spans and audit to (.., bundle)."""
-    return bundles.withColumn("text", bundle_text(F.col("bundle"), most)).transform(deidentify(config))
+    return bundles.withColumn("text", bundle_text(F.col("bundle"), most)).transform(deidentify(replace(config, extra=(*config.extra, LONG_NUMBER))))
