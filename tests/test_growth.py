@@ -1,9 +1,12 @@
 """Plans whose work has to grow with the table, on all cores, and none of it on the driver."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lacuna.functions import spans
 from lacuna.operators import apart, tagger
 from lacuna.queries import QUERIES
 from lacuna.sources import generate
@@ -56,3 +59,18 @@ def test_right_lines_are_tagged_together(monkeypatch):
 
     one_by_one, together = learnt(1), (calls.clear(), learnt(512))[1]
     assert one_by_one == together and len(calls) < len(texts) // 4
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_a_text_is_searched_once_with_few_hits_and_many(spark, monkeypatch, cut):
+    texts = ["x" * i + "no 12 äé 345, " * i + odd for i in (0, 1, 2, 15, 16, 17, 40) for odd in ("", "\u0001 7", "\u0002 8\u0001")]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    found = {}
+    for few in (16, 0):
+        monkeypatch.setattr(spans, "FEW", few)
+        out = df.select("t", spans.finditer(F.col("t"), r"(\b\d)(\d*)" if cut else r"\b\d+", "U", cut).alias("h"))
+        assert "RLIKE" not in plan(out, "optimizedPlan")
+        found[few] = {r.t: r.h for r in out.collect()}
+    assert found[16] == found[0] and found[16][None] == []
+    for t in texts:
+        assert [(h.start, h.end, h["head"] + h["tail"]) for h in found[16][t]] == [(m.start(), m.end(), m[0]) for m in re.finditer(r"\b\d+", t)]
