@@ -35,6 +35,7 @@ an empty table gives an empty result; extra columns are ignored. No cap on list
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +50,9 @@ WIDTH, NUM, DEN = 5, 80, 100
 #: A shingle counts as frequent in a window of documents from this many on. Counts are kept by cells of hashes, one byte each.
 OFTEN, CELLS, WINDOW = 3, 1 << 22, 2_000_000
 #: 64-bit words of the small bitmap that joins compare.
-SMALL = 8
+SMALL = 32
+#: Lists of each document, the first by key, that tell whether a pair has met before.
+FIRST = 8
 #: Pairs of whole texts that are decided together, and bytes of their sets that are kept for the next ones.
 PAIRS, SETS_BYTES = 64, 32 << 20
 #: Rounds of pivots before the rest is enumerated; any number gives the same components.
@@ -228,15 +231,13 @@ def _bitmaps(width: int):
         for block in wb.blocks(batches):
             values, first = distinct_shingles(block, width, secret)
             n = np.diff(first)
-            own = wb.owner_of(first)
-            small = np.zeros((len(n), SMALL * 64), np.uint8)
-            np.add.at(small, (own, (values & np.uint64(SMALL * 64 - 1)).astype(np.int64)), 1)
-            small = np.packbits(small & 1, axis=1, bitorder="little").view(np.int64)
+            parity = lambda v, bits: np.packbits(np.bincount((v & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little")
+            small = np.zeros((len(n), SMALL), np.int64)
             maps = []
             for d in range(len(n)):
-                bits = max(256, 1 << int(2 * n[d]).bit_length())
-                v = values[first[d] : first[d + 1]] & np.uint64(bits - 1)
-                maps.append(np.packbits(np.bincount(v.astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes())
+                own = values[first[d] : first[d + 1]]
+                small[d] = parity(own, SMALL * 64).view(np.int64)
+                maps.append(parity(own, max(256, 1 << int(2 * n[d]).bit_length())).tobytes())
             yield pa.RecordBatch.from_arrays([block.rows.column("doc_id"), pa.array(n), pa.array(maps, pa.binary()), *[pa.array(small[:, i].copy()) for i in range(SMALL)]], names=["doc_id", "n", "bits", *_small()])
 
     return run
@@ -355,10 +356,34 @@ def links(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame, Da
         wb.release(spark)
 
     hits, table = _mixed(table, stars)
-    hits = hits.join(bits.select("doc_id", *_small()), "doc_id")
-    x, y = hits.alias("x"), hits.alias("y")
+    lists = _listed(hits, bits)
+    more = _verified(texts, bits, _pairs(lists).distinct(), width)
+    out = components(more if found is None else found.union(more))
+    wb.forget(table, lists, bits, texts, found, more, stars)
+    return signed, classes, out
+
+
+def _listed(hits: DataFrame, bits: DataFrame) -> DataFrame:
+    """Entries of different lists, with the small bitmaps of their documents, their documents' first lists and those of them before the entry's own.
+
+    Alike documents share hundreds of lists with the same members. They say no more than one of them,
+    which is told by sums of the members' hashes under two seeds of this call.
+    """
+    sums = [F.sum(F.xxhash64("doc_id", F.lit(secrets.randbits(63))).cast("decimal(38,0)")).alias(c) for c in ("u", "v")]
+    one = hits.groupBy("key").agg(F.count("*").alias("c"), *sums).groupBy("c", "u", "v").agg(F.min("key").alias("key")).select("key")
+    kept = wb.keep(hits.join(one, "key", "left_semi"), "different")
+    firsts = kept.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list("key")), 1, FIRST).alias("firsts"))
+    out = kept.join(firsts, "doc_id").join(bits.select("doc_id", *_small()), "doc_id").withColumn("before", F.filter("firsts", lambda k: k < F.col("key")))
+    out = wb.keep(out, "lists")
+    wb.forget(kept)
+    return out
+
+
+def _pairs(lists: DataFrame) -> DataFrame:
+    """Pairs of different components that one list has and that may link, most of them once however many lists they share."""
+    x, y = lists.alias("x"), lists.alias("y")
     differ = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in _small())
-    rest = (
+    return (
         x.join(y, F.col("x.key") == F.col("y.key"))
         .where("x.doc_id < y.doc_id AND x.part <> y.part")
         .where(f"{DEN} * least(x.n, y.n) >= {NUM} * greatest(x.n, y.n)")
@@ -366,13 +391,10 @@ def links(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame, Da
         .where(f"x.place < 0 OR ({NUM} + {DEN}) * (least(x.place, y.place) + least(x.n - x.place, y.n - y.place)) >= {NUM} * (x.n + y.n)")
         # sets differ in as many elements at least as their parity bitmaps in bits
         .where(f"{differ} <= x.n + y.n - 2 * (({NUM} * (x.n + y.n) + {NUM + DEN - 1}) div {NUM + DEN})")
+        # a list before this one has the pair too
+        .where("NOT arrays_overlap(x.before, y.firsts)")
         .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-        .distinct()
     )
-    more = _verified(texts, bits, rest, width)
-    out = components(more if found is None else found.union(more))
-    wb.forget(table, bits, texts, found, more, stars)
-    return signed, classes, out
 
 
 def _mixed(table: DataFrame, stars: DataFrame | None) -> tuple[DataFrame, DataFrame]:

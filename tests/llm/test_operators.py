@@ -69,6 +69,24 @@ def test_jpeg_of_any_bytes_and_with_ac_coefficients():
 # 2
 
 
+def test_pairs_of_alike_documents_meet_once(spark):
+    """Two groups share many lists: a pair is not made anew in each of them, and none is lost."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    near = lambda keep, k: " ".join(base[:keep] + [f"x{k}_{i}" for i in range(400 - keep)])
+    texts = {k: near(370, k) for k in range(8)}
+    hashed = {k: np.array([hash(tuple(t.split()[i : i + 5])) for i in range(396)]) for k, t in texts.items()}
+    rows = [(int(v), k, 396, i, k) for k, values in hashed.items() for i, v in enumerate(values[:80])]
+    hits = spark.createDataFrame(rows, "key long, doc_id long, n long, place int, part long")
+    bits = frame(spark, list(texts.items())).select("doc_id", "text").mapInArrow(ngram_join._bitmaps(5), "doc_id long, n long, bits binary, " + ", ".join(f"{c} long" for c in ngram_join._small()))
+    lists = ngram_join._listed(hits, bits)
+    assert lists.count() == 8  # the 80 lists have the same members
+    # each of the first two lists lacks another document, so they are told apart
+    less = hits.where("NOT (place = 0 AND doc_id = 7) AND NOT (place = 1 AND doc_id = 6)")
+    got = [tuple(r) for r in ngram_join._pairs(ngram_join._listed(less, bits)).collect()]
+    assert sorted(got) == [(i, j) for i in range(8) for j in range(i + 1, 8)]
+
+
 def test_similar_components(spark):
     rows = [*ROWS, (600, "one two three"), (601, "One TWO three"), (602, "one two"), (603, "a b c d e f g h i j"), (604, "a b c d e f g h i j k")]
     got = by_id(ngram_join.similar_components(frame(spark, rows)))
