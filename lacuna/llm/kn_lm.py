@@ -66,11 +66,35 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.diff(words.first)
         h = np.full(len(words) + len(n), END, np.uint64)
         h[np.arange(len(words)) + np.repeat(np.arange(len(n)), n)] = words.hashes()
-        vocab, tokens = np.unique(np.append(h, [END, START]), return_inverse=True)
-        tokens = tokens.reshape(-1)[:-2]
+        vocab, tokens, _ = distinct(np.append(h, [END, START]))
+        tokens = tokens[:-2]
         yield _row(_CHUNKS, base + k, len(tokens), block.column("doc_id").astype(np.int64).tobytes(), np.asarray(block.column("held_out"), bool).tobytes(), (n + 1).astype(np.int64).tobytes(), squeezed(spaced(vocab)), squeezed(planes(tokens)))
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, the place of each value among them, and where each hash is first.
+
+    Hashes are sorted with their places in their lowest bits, which is some three times as fast as sorting places by
+    hashes. Where two hashes differ in those bits alone and come out in the wrong order, places are sorted.
+    """
+    n = len(values)
+    low = np.uint64((1 << n.bit_length()) - 1)
+    tagged = values & ~low
+    tagged |= np.arange(n, dtype=np.uint64)
+    tagged.sort()
+    order = (tagged & low).astype(np.int64)
+    del tagged
+    ranked = values[order]
+    if (ranked[1:] < ranked[:-1]).any():
+        order = np.argsort(values, kind="stable")
+        ranked = values[order]
+    new = np.ones(n, bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    place = np.empty(n, np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ranked[new], place, order[new]
+
+
 def planes(values: np.ndarray) -> bytes:
     """32-bit numbers as their lowest bytes, then the next ones and so on; the higher planes hardly take room once compressed."""
     return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
@@ -163,8 +187,12 @@ class Chunk:
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct hashes of the k words up to each token, and each token's place among them: -1 where the document, with its start mark, has not so many."""
+        return self.grams_at(k)[:2]
+
+    def grams_at(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """``grams``, and the first token of each (None for words)."""
         if k == 1:
-            return self.vocab, self.tokens
+            return self.vocab, self.tokens, None
         words, start = self.vocab[self.tokens], self.starts()
         h = words
         for j in range(2, k + 1):
@@ -175,10 +203,10 @@ class Chunk:
             with np.errstate(over="ignore"):
                 h = wb.mix(last * np.uint64(0x9E3779B97F4A7C15) + words)
         whole = self.place() >= k - 2
-        keys, index = np.unique(h[whole], return_inverse=True)
+        keys, index, first = distinct(h[whole])
         out = np.full(len(h), -1)
-        out[whole] = index.reshape(-1)
-        return keys, out
+        out[whole] = index
+        return keys, out, np.flatnonzero(whole)[first]
 
     def contexts(self, index: np.ndarray, k: int) -> np.ndarray:
         """The place of the k words before each token, from those up to each token; -1 where there are none."""
@@ -220,12 +248,9 @@ def _table(chunk: Chunk, k: int, order: int, told: list[dict] | None) -> tuple[n
     if k == order:
         table[:, 0] = count(index[train & (index >= 0)])
         return keys, table
-    longer, of = chunk.grams(k + 1)
+    longer, _, first = chunk.grams_at(k + 1)
     totals, own = _answers(told, len(longer), _width(k + 1, order))
     totals = totals[own, 0]
-    first = np.zeros(len(longer), np.int64)
-    at = np.flatnonzero(of >= 0)[::-1]
-    first[of[at]] = at
     first = first[own]
     before = chunk.contexts(index, k)[first]
     table[:, 0] = count(index[first])
@@ -258,8 +283,7 @@ def _merge(width: int):
         asked = sorted((r for b in table.to_batches() for r in _rows([b])), key=lambda r: r["chunk"])
         ask = [from_spaced(restored(r["keys"])) for r in asked]
         flat = np.concatenate([_from_columns(r["counts"], width) for r in asked])
-        keys, index = np.unique(np.concatenate(ask), return_inverse=True)
-        index = index.reshape(-1)
+        keys, index, _ = distinct(np.concatenate(ask))
         sums = np.stack([np.bincount(index, weights=flat[:, k], minlength=len(keys)) for k in range(width)], axis=1).astype(np.int64)
         owner = np.full(len(keys), len(index))
         seen = np.flatnonzero(flat[:, 0] > 0)

@@ -390,6 +390,16 @@ def test_packed_counts():
     assert kn_lm.unpacked(kn_lm.packed(x)).tolist() == x.tolist() and kn_lm.unpacked(kn_lm.packed(x[:0])).tolist() == []
 
 
+def test_distinct_hashes():
+    """As numpy's, with hashes that differ in their lowest bits alone too."""
+    rng = np.random.default_rng(0)
+    near = (rng.integers(0, 4, 3000).astype(np.uint64) << np.uint64(60)) + rng.integers(0, 9, 3000).astype(np.uint64)
+    for values in (near, rng.integers(0, 1 << 63, 3000).astype(np.uint64), near[:1], near[:0], np.full(5, (1 << 64) - 1, np.uint64)):
+        keys, first, place = np.unique(values, return_index=True, return_inverse=True)
+        got = kn_lm.distinct(values)
+        assert [x.tolist() for x in got] == [keys.tolist(), place.tolist(), first.tolist()]
+
+
 # 5
 
 TRICKY = ["it's I'LL <|endoftext|> a_b x1²3 ½", "DON'T 'S!!'s it''sß ŉ \x00", "Σας ſ İ µ", "á é \x85\x1c", "naïve—“q”", "ĐĦ Œuvre"]
