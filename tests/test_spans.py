@@ -1,6 +1,7 @@
 """Search with offsets, and the rule recognizers."""
 
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,3 +138,14 @@ def test_suffix_rules_of_a_file(spark, tmp_path):
     assert {r.h: r.r for r in df.collect()} == hosts
     with pytest.raises(ValueError, match="rules"):
         Suffixes(f"s{i}" for i in range(20_001))
+
+
+def test_what_a_match_begins_with_costs_none(spark):
+    """A pattern led by what its matches begin with finds what the pattern alone finds; digits and letters beyond ASCII too."""
+    text = "١٢/٠٣/٢٠٢٠ 1/2/2020 3 May 2021 ١٢.٣٤.٥٦.٧٨ 1.2.3.4 x::ffff:1.2.3.4 fe80::1 mrn ABCDEF01-0000-0000-0000-000000000000 99 YO x12 yo 12 years old 5 High St 123-45-6789 2123 45670 1 8003601234567890 (03) 9123 4567 +64 21 555 1234"
+    rows = spark.createDataFrame([(text,), (text.lower(),), (text.replace("1", "١"),), ("é" + text.replace(" ", "é"),)], "text string")
+    specs = [R.phone_region("AU"), *(s for s in vars(R).values() if isinstance(s, R.RecognizerSpec) and s.first)]
+    assert len(specs) == 10
+    for spec in specs:
+        for r in rows.select(spec.spans(F.col("text")).alias("a"), replace(spec, first=None).spans(F.col("text")).alias("b")).collect():
+            assert r.a == r.b
