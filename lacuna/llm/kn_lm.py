@@ -71,8 +71,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _row(_CHUNKS, base + k, len(tokens), block.column("doc_id").astype(np.int64).tobytes(), np.asarray(block.column("held_out"), bool).tobytes(), (n + 1).astype(np.int64).tobytes(), squeezed(spaced(vocab)), squeezed(planes(tokens)))
 
 
-def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct hashes, the place of each value among them, and where each hash is first.
+def distinct(values: np.ndarray, placed: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """Sorted distinct hashes, the place of each value among them (None unless ``placed``), and where each hash is first.
 
     Hashes are sorted with their places in their lowest bits, which is some three times as fast as sorting places by
     hashes. Where two hashes differ in those bits alone and come out in the wrong order, places are sorted.
@@ -90,8 +90,10 @@ def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ranked = values[order]
     new = np.ones(n, bool)
     np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
-    place = np.empty(n, np.int64)
-    place[order] = np.cumsum(new) - 1
+    place = None
+    if placed:
+        place = np.empty(n, np.int64)
+        place[order] = np.cumsum(new) - 1
     return ranked[new], place, order[new]
 
 
@@ -189,8 +191,8 @@ class Chunk:
         """Distinct hashes of the k words up to each token, and each token's place among them: -1 where the document, with its start mark, has not so many."""
         return self.grams_at(k)[:2]
 
-    def grams_at(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-        """``grams``, and the first token of each (None for words)."""
+    def grams_at(self, k: int, placed: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+        """``grams``, without places unless ``placed``, and the first token of each (None for words)."""
         if k == 1:
             return self.vocab, self.tokens, None
         words, start = self.vocab[self.tokens], self.starts()
@@ -202,11 +204,15 @@ class Chunk:
                 last[start] = START
             with np.errstate(over="ignore"):
                 h = wb.mix(last * np.uint64(0x9E3779B97F4A7C15) + words)
-        whole = self.place() >= k - 2
-        keys, index, first = distinct(h[whole])
-        out = np.full(len(h), -1)
-        out[whole] = index
-        return keys, out, np.flatnonzero(whole)[first]
+        if k == 2:  # each token has a word or the start mark before it
+            return distinct(h, placed)
+        whole = np.flatnonzero(self.place() >= k - 2)
+        keys, index, first = distinct(h[whole], placed)
+        out = None
+        if placed:
+            out = np.full(len(h), -1)
+            out[whole] = index
+        return keys, out, whole[first]
 
     def contexts(self, index: np.ndarray, k: int) -> np.ndarray:
         """The place of the k words before each token, from those up to each token; -1 where there are none."""
@@ -248,7 +254,7 @@ def _table(chunk: Chunk, k: int, order: int, told: list[dict] | None) -> tuple[n
     if k == order:
         table[:, 0] = count(index[train & (index >= 0)])
         return keys, table
-    longer, _, first = chunk.grams_at(k + 1)
+    longer, _, first = chunk.grams_at(k + 1, placed=False)
     totals, own = _answers(told, len(longer), _width(k + 1, order))
     totals = totals[own, 0]
     first = first[own]
@@ -282,11 +288,12 @@ def _merge(width: int):
     def run(table: pa.Table) -> pa.Table:
         asked = sorted((r for b in table.to_batches() for r in _rows([b])), key=lambda r: r["chunk"])
         ask = [from_spaced(restored(r["keys"])) for r in asked]
-        flat = np.concatenate([_from_columns(r["counts"], width) for r in asked])
+        # counts lie number by number, so that each is read and written in one run
+        flat = np.concatenate([_from_columns(r["counts"], width).T for r in asked], axis=1)
         keys, index, _ = distinct(np.concatenate(ask))
-        sums = np.stack([np.bincount(index, weights=flat[:, k], minlength=len(keys)) for k in range(width)], axis=1).astype(np.int64)
+        sums = np.stack([np.bincount(index, weights=of, minlength=len(keys)).astype(np.int64) for of in flat])
         owner = np.full(len(keys), len(index))
-        seen = np.flatnonzero(flat[:, 0] > 0)
+        seen = np.flatnonzero(flat[0] > 0)
         np.minimum.at(owner, index[seen], seen)
         del index, flat
         # from here on the model's part is read where it is mapped
@@ -297,9 +304,9 @@ def _merge(width: int):
             found = np.searchsorted(hashes, a)
             own = owners[found] == np.arange(at, at + len(a))
             at += len(a)
-            out.append((r["chunk"], r["range"], _columns(totals[found]), squeezed(np.packbits(own).tobytes()), None))
+            out.append((r["chunk"], r["range"], _columns(np.stack([of[found] for of in totals]).T), squeezed(np.packbits(own).tobytes()), None))
         # how many have a count of 1, 2, 3, 4, more than 2; sum of counts; words with any count of tokens; tokens
-        c, t = totals[:, 0], totals[:, -1]
+        c, t = totals[0], totals[-1]
         out.append((-1, asked[0]["range"], None, None, [*(int((c == k).sum()) for k in (1, 2, 3, 4)), int((c > 2).sum()), int(c.sum()), int((t > 0).sum()), int(t.sum())]))
         del asked, ask, hashes, totals, owners, c, t
         _give_back()
