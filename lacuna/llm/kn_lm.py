@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import ctypes
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -191,8 +191,11 @@ class Chunk:
         """Distinct hashes of the k words up to each token, and each token's place among them: -1 where the document, with its start mark, has not so many."""
         return self.grams_at(k)[:2]
 
-    def grams_at(self, k: int, placed: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-        """``grams``, without places unless ``placed``, and the first token of each (None for words)."""
+    def grams_at(self, k: int, placed: bool = True, among: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+        """``grams``, without places unless ``placed``, and the first token of each (None for words).
+
+        Only hashes ``among`` are kept, if it is given (not for words); tokens of others have no place.
+        """
         if k == 1:
             return self.vocab, self.tokens, None
         words, start = self.vocab[self.tokens], self.starts()
@@ -204,9 +207,10 @@ class Chunk:
                 last[start] = START
             with np.errstate(over="ignore"):
                 h = wb.mix(last * np.uint64(0x9E3779B97F4A7C15) + words)
-        if k == 2:  # each token has a word or the start mark before it
+        if k == 2 and among is None:  # each token has a word or the start mark before it
             return distinct(h, placed)
-        whole = np.flatnonzero(self.place() >= k - 2)
+        kept = self.place() >= k - 2
+        whole = np.flatnonzero(kept if among is None else kept & among(h))
         keys, index, first = distinct(h[whole], placed)
         out = None
         if placed:
@@ -245,11 +249,12 @@ def _width(k: int, order: int) -> int:
     return _OF_LONGEST if k == order else _OF_CONTEXT if k > 1 else _OF_WORD
 
 
-def _table(chunk: Chunk, k: int, order: int, told: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
-    """The chunk's grams of k words and what it knows of them; ``told``: the answers for those of k + 1."""
-    keys, index = chunk.grams(k)
+def _table(chunk: Chunk, k: int, order: int, told: list[dict] | None, among: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The chunk's grams of k words (those ``among``, if given) and what it knows of them; ``told``: the answers for those of k + 1."""
+    keys, index, _ = chunk.grams_at(k, among=among)
     table = np.zeros((len(keys), _width(k, order)), np.int64)
     count = lambda at, by=None: np.bincount(at, weights=by, minlength=len(keys))
+    here = (lambda at: at[index[at] >= 0]) if among else (lambda at: at)
     train = chunk.training()
     if k == order:
         table[:, 0] = count(index[train & (index >= 0)])
@@ -259,9 +264,12 @@ def _table(chunk: Chunk, k: int, order: int, told: list[dict] | None) -> tuple[n
     totals = totals[own, 0]
     first = first[own]
     before = chunk.contexts(index, k)[first]
-    table[:, 0] = count(index[first])
+    if among:
+        mine = before >= 0
+        before, totals = before[mine], totals[mine]
+    table[:, 0] = count(index[here(first)])
     if k > 1:  # those that begin with the start mark
-        table[:, 0] += count(index[train & (chunk.place() == k - 2)]).astype(np.int64)
+        table[:, 0] += count(index[here(np.flatnonzero(train & (chunk.place() == k - 2)))])
     else:
         table[:, 5] = count(index[train])
     table[:, 1] = count(before, totals)
@@ -274,7 +282,9 @@ def _ask(k: int, order: int, ranges: int, part: int = 0, parts: int = 1):
     """Ask the ranges of one part."""
     def run(batches):
         for row in _rows(batches):
-            keys, table = _table(Chunk.of(row), k, order, row.get("told"))
+            # a part's grams alone are sorted and counted
+            among = (lambda h: ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)) % np.uint64(parts) == part) if parts > 1 else None
+            keys, table = _table(Chunk.of(row), k, order, row.get("told"), among)
             cut = _cuts(keys, ranges)
             yield _batch(_ASKED, [(row["chunk"], r, squeezed(spaced(keys[a:b])), _columns(table[a:b])) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a and r % parts == part])
             del keys, table, row
@@ -293,8 +303,9 @@ def _merge(width: int):
         keys, index, _ = distinct(np.concatenate(ask))
         sums = np.stack([np.bincount(index, weights=of, minlength=len(keys)).astype(np.int64) for of in flat])
         owner = np.full(len(keys), len(index))
-        seen = np.flatnonzero(flat[0] > 0)
-        np.minimum.at(owner, index[seen], seen)
+        # of equal places the last one written stays, so the first chunk's
+        seen = np.flatnonzero(flat[0] > 0)[::-1]
+        owner[index[seen]] = seen
         del index, flat
         # from here on the model's part is read where it is mapped
         hashes, totals, owners = _mapped(keys), _mapped(sums), _mapped(owner)
@@ -365,12 +376,15 @@ class Totals:
         rest = (self.word[0] * self.with_one + self.word[1] * self.with_two + self.word[2] * self.with_more) / self.types
         return (before - d) / self.types + rest / (self.vocabulary + 1)
 
-    def probability(self, k: int, c: np.ndarray, context: np.ndarray, after: np.ndarray, low: np.ndarray) -> np.ndarray:
-        """p(w | v) of k words for c = c(vw), context = c(v), after = followers of v seen once, twice, more; low = p(w | v')."""
-        by = self.longer[k - 2]
-        d = np.choose(np.minimum(c, 3), (0.0, *by))
+    def discounted(self, k: int, c: np.ndarray) -> np.ndarray:
+        """c(vw) less its discount, of k words."""
+        return c - np.array((0.0, *self.longer[k - 2]))[np.minimum(c, 3)]
+
+    def left(self, k: int, context: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """c(v), 1 at least, and g(v) of contexts of k words, with followers seen once, twice, more; g(v) is 1 of a context that was not seen."""
         n = np.maximum(context, 1)
-        return np.where(context > 0, (c - d) / n + after @ np.array(by) / n * low, low)
+        once, twice, more = self.longer[k - 2]
+        return n, np.where(context > 0, (after[:, 0] * once + after[:, 1] * twice + after[:, 2] * more) / n, 1.0)
 
 
 def _score(totals: Totals, order: int):
@@ -380,23 +394,26 @@ def _score(totals: Totals, order: int):
             told = lambda k, size: _answers([t for t in row["told"] if t["k"] == k], size, _width(k, order))[0]  # noqa: B023, E731
             keys, index = chunk.grams(1)
             known = told(1, len(keys))
-            tokens = known[chunk.tokens, 5]
-            p = totals.word_probability(known[chunk.tokens, 0])
+            # what depends on a gram alone is worked out once for each, and looked up for the tokens
+            seen = (known[:, 5] > 0)[chunk.tokens]
+            base = np.log10((known[:, 5] + 1) / (totals.tokens + totals.vocabulary + 1))[chunk.tokens]
+            p = totals.word_probability(known[:, 0])[chunk.tokens]
             for k in range(2, order + 1):
                 before = chunk.contexts(index, k - 1)
+                n, rest = totals.left(k, known[:, 1], known[:, 2:5])
                 keys, index = chunk.grams(k)
-                has = index >= 0
-                v = known[before[has]]
+                has = slice(None) if k == 2 else np.flatnonzero(index >= 0)
                 known = told(k, len(keys))
-                p[has] = totals.probability(k, known[index[has], 0], v[:, 1], v[:, 2:5], p[has])
+                at, of = index[has], before[has]
+                # a gram of a context that was not seen has no count
+                p[has] = totals.discounted(k, known[:, 0])[at] / n[of] + rest[of] * p[has]
             p = np.log10(p)
-            base = np.log10((tokens + 1) / (totals.tokens + totals.vocabulary + 1))
             at = chunk.starts()
             yield pa.RecordBatch.from_arrays([
-                pa.array(chunk.docs), pa.array(chunk.held), pa.array(chunk.lengths), pa.array(np.add.reduceat(tokens > 0, at, dtype=np.int64)),
+                pa.array(chunk.docs), pa.array(chunk.held), pa.array(chunk.lengths), pa.array(np.add.reduceat(seen, at, dtype=np.int64)),
                 pa.array(np.full(len(at), totals.tokens)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(p, at)),
             ], names=[f.split()[0] for f in _SCORES.split(", ")])
-            del row, known, tokens, p, base
+            del row, known, seen, p, base
             _give_back()
 
     return run

@@ -2,6 +2,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from lacuna.llm import kn_lm
 from lacuna.llm import wordblock as wb
 from lacuna.llm.fm_index import FMIndex, window_matches
 from tests.llm.texts import WORD, corpus, words
@@ -116,3 +117,26 @@ def test_solved_words_are_told_apart_by_joins_and_dedup(spark):
     assert linked == similar(rows) and linked[0][1] != linked[1][1]
     left = {r.doc_id: r.n_removed for r in fm_dedup.strip_repeats(frame(spark, rows)).collect()}
     assert left == {i: n - len(k) for i, (n, k) in stripped(rows).items()}
+
+
+def test_a_part_of_the_ranges_sorts_its_own_grams_only(monkeypatch):
+    """Together the parts have the grams and counts of all ranges."""
+    texts = [" ".join(f"w{(i * i + j) % 31}" for j in range(i % 9)) for i in range(200)]
+    docs = pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "text": texts, "held_out": [i % 7 == 2 for i in range(200)]})
+    row = next(kn_lm._chunks(iter([docs]))).to_pylist()[0]
+    chunk, ranges = kn_lm.Chunk.of(row), 8
+    longest = chunk.grams(3)[0]
+    told = [{"range": 0, "totals": kn_lm._columns(np.arange(1, len(longest) + 1).reshape(-1, 1) % 5), "owned": kn_lm.squeezed(np.packbits(np.arange(len(longest)) % 3 > 0).tobytes())}]
+    sizes, distinct = [], kn_lm.distinct
+    monkeypatch.setattr(kn_lm, "distinct", lambda h, *a: sizes.append(len(h)) or distinct(h, *a))
+    asked = lambda part, parts: [r for b in kn_lm._ask(2, 3, ranges, part, parts)(iter([pa.RecordBatch.from_pylist([row | {"told": told}])])) for r in b.to_pylist()]
+    whole, parts = asked(0, 1), asked(0, 2) + asked(1, 2)
+    assert sorted(whole, key=lambda r: r["range"]) == sorted(parts, key=lambda r: r["range"]) and len(whole) == ranges
+    assert sizes[0] == len(chunk.tokens) == sizes[2] + sizes[4]
+
+
+def test_grams_are_owned_by_the_first_chunk_that_trains_on_them():
+    asked = [{"chunk": c, "range": 0, "keys": kn_lm.squeezed(kn_lm.spaced(np.array(k, np.uint64))), "counts": kn_lm._columns(np.array(n).reshape(-1, 1))} for c, k, n in ((5, [1, 2, 9], [3, 0, 0]), (2, [1, 2], [0, 4]), (7, [1, 2, 9], [1, 1, 0]))]
+    out = [r for r in kn_lm._merge(1)(pa.Table.from_pylist(asked)).to_pylist() if r["chunk"] >= 0]
+    got = {r["chunk"]: (kn_lm._from_columns(r["totals"], 1).ravel().tolist(), np.unpackbits(np.frombuffer(kn_lm.restored(r["owned"]), np.uint8)).tolist()) for r in out}
+    assert {c: (t, o[: len(t)]) for c, (t, o) in got.items()} == {2: ([4, 5], [0, 1]), 5: ([4, 5, 0], [1, 0, 0]), 7: ([4, 5, 0], [0, 0, 0])}
