@@ -2,9 +2,11 @@
 
 import html
 
+import duckdb
 from pyspark.sql import functions as F
 
 from lacuna.plans.deidentify import deidentify
+from lacuna.queries import ORACLES, QUERIES
 from lacuna.sources import fhir
 
 
@@ -32,3 +34,17 @@ def test_references_that_were_cut_off(spark):
     got = df.select("t", fhir.unescape(F.col("t"), closed=True).alias("closed"), fhir.unescape(F.col("t")).alias("all")).collect()
     assert {r.t: r.all for r in got} == {t: html.unescape(t) for t in texts}
     assert [{r.t: r.closed for r in got}[t] for t in texts] == ["a&&amp b", "a &&lt; ' &#39 &copy © &nope; &", "A &#x41 z"]
+
+
+def test_order_lines_of_one_number_are_taken_as_they_lie(spark, tmp_path):
+    """A note's last two lines tie in all that the SQL sorts by; the one that lies first in the table is merged first."""
+    phone, person = 49, 19  # suppliers of candidates of one length and two types
+    rows = [(note, *line) for note, tied in enumerate(((phone, person), (person, phone))) for line in ((0, 1, 1), *((81, s, 2) for s in tied))]
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute("CREATE TABLE lineitem (l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT)")
+    con.executemany("INSERT INTO lineitem VALUES (?, ?, ?, ?)", rows)
+    con.execute(f"COPY lineitem TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    columns = ["note_id", "begin_at", "end_at", "type", "score", "source"]
+    got = sorted(tuple(r[c] for c in columns) for r in QUERIES["merge_spans"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(ORACLES["merge_spans"]).fetchall()) == [(0, 0, 6, "PHONE", 0.5, "rule"), (1, 1, 6, "PHONE", 0.5, "rule")]
