@@ -32,6 +32,8 @@ class Config:
     #: A language model's second pass: (text, spans, regions) -> [{text, type}].
     assistant: Callable | None = None
     extra: tuple[RecognizerSpec, ...] = ()
+    #: Streets, mail and IP addresses end where ASCII's words do, as in SQL engines with RE2: beside letters beyond ASCII as well.
+    ascii_words: bool = False
 
     def __post_init__(self):
         if self.strategy not in STRATEGIES:
@@ -75,8 +77,8 @@ def _text(text_col: str) -> Column:
 
 
 @lru_cache(maxsize=32)
-def _rules(app: str, text_col: str, regions: tuple[str, ...], extra: tuple[RecognizerSpec, ...]) -> Column:
-    return rule_spans(_text(text_col), regions, extra)
+def _rules(app: str, text_col: str, regions: tuple[str, ...], extra: tuple[RecognizerSpec, ...], ascii_words: bool) -> Column:
+    return rule_spans(_text(text_col), regions, extra, ascii_words)
 
 
 @lru_cache(maxsize=32)
@@ -99,7 +101,7 @@ def detect(notes: DataFrame, config: Config = Config(), text_col: str = "text",
     app = SparkContext.getOrCreate().applicationId
     parts = []
     if config.use_rules:
-        parts.append(_rules(app, text_col, tuple(config.regions), tuple(config.extra)))
+        parts.append(_rules(app, text_col, tuple(config.regions), tuple(config.extra), config.ascii_words))
     if config.use_ner:
         parts.append(F.col(ner_col) if ner_col else _cues(app, text_col, config.ner_threshold, config.use_rules))
     out = settled(notes, spans_col, F.concat(*parts) if parts else no_spans())

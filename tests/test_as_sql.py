@@ -48,3 +48,15 @@ def test_order_lines_of_one_number_are_taken_as_they_lie(spark, tmp_path):
     columns = ["note_id", "begin_at", "end_at", "type", "score", "source"]
     got = sorted(tuple(r[c] for c in columns) for r in QUERIES["merge_spans"](spark, str(tmp_path)).collect())
     assert got == sorted(con.execute(ORACLES["merge_spans"]).fetchall()) == [(0, 0, 6, "PHONE", 0.5, "rule"), (1, 1, 6, "PHONE", 0.5, "rule")]
+
+
+def test_words_end_at_letters_beyond_ascii_as_in_the_sql(spark, tmp_path):
+    texts = ["call 2043 der chensch stß now", "zu 3280 zuch stöbe", "ß12 Oak Street", "12 Oak Street", "1.2.3.4ß and ü10.0.0.7", "ößa.b@mail.orgß and c@mail.org", "é1.2.3.4.12 Oak Road", "12 Oak \u017ft"]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    sql = {r[0]: r[1:] for r in con.execute(ORACLES["deidentify_documents"]).fetchall()}
+    got = {r.doc_id: (r.redacted_text, r.n_spans) for r in QUERIES["deidentify_documents"](spark, str(tmp_path)).collect()}
+    assert got == sql and sql[0] == ("call [REDACTED:LOCATION]ß now", 1)
+    plain = spark.createDataFrame([(texts[0],)], "text string").transform(deidentify()).first()
+    assert plain.redacted_text == texts[0]
