@@ -13,11 +13,14 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
+from types import MappingProxyType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,6 +132,23 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.nd
     return tags
 
 
+def best_tags(scores: np.ndarray, lines: Lines, moves: np.ndarray) -> np.ndarray:
+    """Best tags of all lines, lines of about equal length side by side."""
+    out, size = np.zeros(len(lines.spans), np.int64), np.diff(lines.first)
+    order, at = np.argsort(size, kind="stable"), 0
+    while at < len(order):
+        upto = at + 1
+        while upto < len(order) and size[order[upto]] * (upto - at + 1) <= BLOCK_TOKENS and size[order[upto]] <= 2 * size[order[at]]:
+            upto += 1
+        some = order[at:upto]
+        place = lines.first[some][:, None] + np.arange(size[some[-1]])
+        inside = np.arange(size[some[-1]]) < size[some][:, None]
+        block = scores[np.where(inside, place, 0)]
+        out[place[inside]] = viterbi(block, size[some], moves)[inside]
+        at = upto
+    return out
+
+
 @dataclass
 class Tagger:
     """``keys`` sorted, a row of ``weights`` for each and one of zeros behind them; ``moves`` weighs neighbouring tags."""
@@ -145,20 +165,7 @@ class Tagger:
         return self.weights[np.where(known, at, len(self.keys))].sum(axis=1)
 
     def tags(self, lines: Lines) -> np.ndarray:
-        scores, out = self.scores(lines.features()), np.zeros(len(lines.spans), np.int64)
-        size = np.diff(lines.first)
-        order, at = np.argsort(size, kind="stable"), 0
-        while at < len(order):  # lines of about equal length side by side
-            upto = at + 1
-            while upto < len(order) and size[order[upto]] * (upto - at + 1) <= BLOCK_TOKENS and size[order[upto]] <= 2 * size[order[at]]:
-                upto += 1
-            some = order[at:upto]
-            place = lines.first[some][:, None] + np.arange(size[some[-1]])
-            inside = np.arange(size[some[-1]]) < size[some][:, None]
-            block = scores[np.where(inside, place, 0)]
-            out[place[inside]] = viterbi(block, size[some], self.moves)[inside]
-            at = upto
-        return out
+        return best_tags(self.scores(lines.features()), lines, self.moves)
 
     def detect(self, texts: list[str]) -> list[list[dict]]:
         """For ``ner.model_spans``."""
@@ -206,10 +213,10 @@ def gold_tags(lines: Lines, gold: list[list[tuple[int, int, str]]]) -> np.ndarra
 
 
 class _Learner:
-    """The perceptron of one partition in one epoch: weights, and their sums over steps by the usual trick of counting changes once."""
+    """The perceptron of one shard in one epoch: weights, and their sums over steps by the usual trick of counting changes once."""
 
     def __init__(self, model: Tagger):
-        self._model, self._steps = model, 1
+        self.model, self.steps, self.wrong = model, 1, 0
         self.keys = np.zeros(0, np.uint64)
         self.change, self.late = np.zeros((0, N)), np.zeros((0, N))
         self.moves, self.late_moves = np.zeros((N + 1, N)), np.zeros((N + 1, N))
@@ -218,7 +225,7 @@ class _Learner:
         features = lines.features()
         own, at = np.unique(features, return_inverse=True)
         at = at.reshape(features.shape)
-        base = self._model.scores(own[:, None])
+        base = self.model.scores(own[:, None])
         change, late = np.zeros((len(own), N)), np.zeros((len(own), N))
         known = np.searchsorted(own, self.keys)
         here = (known < len(own)) & (own[np.minimum(known, len(own) - 1)] == self.keys) if len(own) else np.zeros(len(self.keys), bool)
@@ -230,15 +237,15 @@ class _Learner:
             place = first[line:upto, None] + np.arange(size[line:upto].max())
             inside = np.arange(place.shape[1]) < size[line:upto, None]
             rows = at[np.where(inside, place, first[line])]
-            tags = viterbi(base[rows].sum(axis=2) + change[rows].sum(axis=2), size[line:upto], self._model.moves + self.moves)
+            tags = viterbi(base[rows].sum(axis=2) + change[rows].sum(axis=2), size[line:upto], self.model.moves + self.moves)
             wrong = ((tags != gold[np.where(inside, place, 0)]) & inside).any(axis=1)
             right = int(wrong.argmax()) if wrong.any() else upto - line
-            self._steps += right
+            self.steps += right
             line += right
             if line < upto:
                 a, b = int(first[line]), int(first[line + 1])
                 self._correct(at[a:b], gold[a:b], tags[right, : b - a], change, late)
-                self._steps += 1
+                self.steps += 1
                 line += 1
             run = min(max(2 * right, 2), RUN)
         keep = np.concatenate((self.keys[~here], own))
@@ -249,62 +256,243 @@ class _Learner:
 
     def _correct(self, rows: np.ndarray, truth: np.ndarray, tags: np.ndarray, change: np.ndarray, late: np.ndarray) -> None:
         """Weights of a wrong line: those of its true tags up, those of the tags it got down."""
+        self.wrong += 1
         for i in np.flatnonzero(tags != truth).tolist():
             for tag, sign in ((truth[i], 1.0), (tags[i], -1.0)):
                 np.add.at(change[:, tag], rows[i], sign)
-                np.add.at(late[:, tag], rows[i], sign * self._steps)
+                np.add.at(late[:, tag], rows[i], sign * self.steps)
         for path, sign in ((truth, 1.0), (tags, -1.0)):
             pairs = np.concatenate(([N], path[:-1])), path
             np.add.at(self.moves, pairs, sign)
-            np.add.at(self.late_moves, pairs, sign * self._steps)
+            np.add.at(self.late_moves, pairs, sign * self.steps)
+
+    def any_wrong(self, lines: Lines, gold: np.ndarray) -> bool:
+        """Whether a line is wrong by the weights as they are, which are added up as ``learn`` adds them."""
+        changed = Tagger(self.keys, np.concatenate((self.change, np.zeros((1, N)))), self.moves)
+        features = lines.features()
+        scores = self.model.scores(features) + changed.scores(features)
+        return bool((best_tags(scores, lines, self.model.moves + self.moves) != gold).any())
 
-    def rows(self) -> pa.RecordBatch:
-        """What changed, and its mean over the steps; moves are keyed by their place, below 256."""
+    def rows(self, shard: int = 0, read: Mapping[int, int] = MappingProxyType({})) -> pa.RecordBatch:
+        """Weights and moves, the latter keyed by their place, below 256; then the steps, and what was read of each part."""
         keys = np.concatenate((self.keys.astype(np.int64), np.arange(N + 1)))
         change, late = np.concatenate((self.change, self.moves)), np.concatenate((self.late, self.late_moves))
-        table = np.concatenate((change, change - late / self._steps), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.FixedSizeListArray.from_arrays(pa.array(table.ravel()), 2 * N).cast(pa.list_(pa.float64()))], names=["key", "change"])
+        weights = np.concatenate((change, late), axis=1).tolist()
+        rest = [[float(self.steps), float(self.wrong)], *[[float(n)] for n in read.values()]]
+        kinds = [_WEIGHT] * len(keys) + [_STEPS] + [_READ] * len(read)
+        return pa.RecordBatch.from_arrays([pa.array([shard] * len(kinds), pa.int32()), pa.array(kinds, pa.int32()), pa.array([*keys.tolist(), 0, *read], pa.int64()), pa.array(weights + rest, pa.list_(pa.float64()))], names=["shard", "kind", "key", "numbers"])
+
+    def changes(self) -> Iterator[tuple[int, np.ndarray]]:
+        """What changed, and its mean over the steps."""
+        for keys, change, late in ((self.keys.astype(np.int64), self.change, self.late), (np.arange(N + 1), self.moves, self.late_moves)):
+            yield from zip(keys.tolist(), np.concatenate((change, change - late / self.steps), axis=1), strict=True)
+
+    @classmethod
+    def of(cls, model: Tagger, rows: pa.Table) -> tuple["_Learner", dict[int, int]]:
+        """The learner whose ``rows`` these are, and what it read."""
+        self = cls(model)
+        kind, key = rows.column("kind").to_numpy(), rows.column("key").to_numpy()
+        numbers = rows.column("numbers").to_pylist()
+        own = np.flatnonzero(kind == _WEIGHT)
+        table = np.array([numbers[i] for i in own.tolist()])
+        moves = (key[own] >= 0) & (key[own] <= N)
+        at = key[own][moves]
+        self.moves[at], self.late_moves[at] = table[moves, :N], table[moves, N:]
+        keys = key[own][~moves].astype(np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.change, self.late = keys[order], table[~moves, :N][order], table[~moves, N:][order]
+        self.steps, self.wrong = map(int, numbers[int(np.flatnonzero(kind == _STEPS)[0])])
+        return self, {int(key[i]): int(numbers[i][0]) for i in np.flatnonzero(kind == _READ).tolist()}
+
+
+_WEIGHT, _STEPS, _READ = range(3)
+#: Notes of a shard that one task learns from in its first round; each round takes four times as many.
+ROUND = 4096
+
+
+def _labelled(rows: pa.RecordBatch, cache: dict) -> tuple[Lines, np.ndarray]:
+    lines = Lines(rows.column("text").to_pylist(), cache)
+    return lines, gold_tags(lines, [[(s["start"], s["end"], s["type"]) for s in own] for own in rows.column("gold").to_pylist()])
+
+
+def _unread(batches: Iterator[pa.RecordBatch], read: dict[int, int], going, shards: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(part, up to ``NOTES`` rows) behind the rows of a part that were read, if its shard still learns."""
+    skip = None
+    for batch in batches:
+        if batch.num_rows:
+            part = batch.column("part")[0].as_py()
+            if part % shards not in going:
+                return
+            skip = read.get(part, 0) if skip is None else skip
+            for at in range(min(skip, batch.num_rows), batch.num_rows, NOTES):
+                yield part, batch.slice(at, min(NOTES, batch.num_rows - at))
+            skip = max(skip - batch.num_rows, 0)
+
+
+def _heads(read: dict[int, int], going: set[int], shards: int, most: int):
+    """The next rows of each part of the shards that still learn: those that its shard takes next are among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = most
+        for part, rows in _unread(batches, read, going, shards):
+            yield rows.slice(0, left)
+            left -= min(left, rows.num_rows)
+            if not left:
+                return
+
+    return run
 
 
-def _epoch(model: Tagger):
+def _learning(learners: dict[int, _Learner], read: dict[int, int], shards: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner, cache = _Learner(model), {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, NOTES):
-                part = batch.slice(at, NOTES)
-                lines = Lines(part.column("text").to_pylist(), cache)
-                learner.learn(lines, gold_tags(lines, [[(s["start"], s["end"], s["type"]) for s in own] for own in part.column("gold").to_pylist()]))
-        yield learner.rows()
+        left, cache, shard, upto = most, {}, None, {}
+        for part, rows in _unread(batches, {}, learners, shards):
+            if shard is None:
+                shard = part % shards
+                learner, upto = learners[shard], {p: n for p, n in read.items() if p % shards == shard}
+            rows = rows.slice(0, left)
+            left -= rows.num_rows
+            learner.learn(*_labelled(rows, cache))
+            for p in rows.column("part").to_pylist():
+                upto[p] = upto.get(p, 0) + 1
+            if not left:
+                break
+        if shard is not None:
+            yield learner.rows(shard, upto)
 
     return run
 
 
+class _Seen:
+    """Labelled lines that were found right: by the same weights they are right again."""
+
+    MOST = 1 << 17
+
+    def __init__(self):
+        self._tagged: dict[tuple, int] = {}  # whether it has tokens, by line and labels
+        self._again = 0
+
+    def new(self, rows: pa.RecordBatch) -> list[tuple[str, list]]:
+        """Lines of the notes that were not seen before, with their labels; notes with a label beyond a line's end as a whole."""
+        out, self._again = [], 0
+        if len(self._tagged) > self.MOST:
+            self._tagged.clear()
+        for text, gold in zip(rows.column("text").to_pylist(), rows.column("gold").to_pylist(), strict=True):
+            labels = [(s["start"], s["end"], s["type"]) for s in gold]
+            if any(a is None or b is None or a < 0 or b < a or "\n" in text[a:b] for a, b, _ in labels):
+                out.append((text, labels))
+                continue
+            at = 0
+            for line in text.split("\n"):
+                end = at + len(line)
+                own = [(a - at, b - at, kind) for a, b, kind in labels if a < end and at < b]
+                if (has := self._tagged.get((line, *own))) is None:
+                    out.append((line, own))
+                else:
+                    self._again += has
+                at = end + 1
+        return out
+
+    def count(self, new: list[tuple[str, list]], lines: Lines) -> int:
+        """Lines with tokens among the notes last asked for, which were all right."""
+        has = np.bincount(lines.of, minlength=len(new)).tolist()
+        self._tagged.update(((text, *own), n) for (text, own), n in zip(new, has, strict=True) if n < 2 and "\n" not in text)
+        return self._again + len(lines.of)
+
+
+def _checking(learners: dict[int, _Learner], read: dict[int, int], shards: int):
+    """The shard and number of lines that are left of a part, or -1 for the number if one of them is wrong."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, seen, shard, n = {}, _Seen(), None, 0
+        for part, rows in _unread(batches, read, learners, shards):
+            shard = part % shards
+            new = seen.new(rows)
+            lines = Lines([text for text, _ in new], cache)
+            if learners[shard].any_wrong(lines, gold_tags(lines, [own for _, own in new])):
+                n = -1
+                break
+            n += seen.count(new, lines)
+        if shard is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n], pa.int64())], names=["shard", "lines"])
+
+    return run
+
+
+def _epoch(rows: DataFrame, model: Tagger, shards: int, parts: int, learnt: bool) -> dict[int, _Learner]:
+    """What each shard has learnt from its notes in their order, beginning with the model.
+
+    One task of a shard learns from its next notes; then all tasks look through what is left of it by the weights as they are. If no line
+    is wrong, learning from them would change nothing, and the shard is done, with the weights of going line by line; else it goes on.
+    """
+    done, going, read, most = {}, {s: _Learner(model) for s in range(shards)}, {}, ROUND
+    while going:
+        if learnt:  # a model that has learnt may be right everywhere
+            checked = rows.mapInArrow(_checking(going, read, shards), "shard int, lines long").groupBy("shard").agg(F.min("lines").alias("least"), F.sum("lines").alias("lines"))
+            left = {row.shard: row for row in checked.collect()}
+            for shard in list(going):
+                if shard not in left or left[shard].least >= 0:
+                    done[shard] = going.pop(shard)
+                    done[shard].steps += left[shard].lines if shard in left else 0
+        learnt = True
+        if not going:
+            break
+        heads = rows.mapInArrow(_heads(read, set(going), shards, most), rows.schema)
+        heads = heads.repartitionById(shards, F.col("part") % shards).sortWithinPartitions("note_id", "text", "gold")
+        told = heads.mapInArrow(_learning(going, read, shards, most), "shard int, kind int, key long, numbers array<double>")
+        found = told.limit(shards * (FEATURES + 2) + parts).toArrow()
+        _refuse_large(found.filter(pc.equal(found.column("kind"), _WEIGHT)).column("key").to_numpy())
+        for shard in list(going):
+            own = found.filter(pc.equal(found.column("shard"), shard))
+            if own.num_rows:
+                going[shard], upto = _Learner.of(model, own)
+                read |= upto
+        most *= 4
+    return done
+
+
+def _refuse_large(keys: np.ndarray) -> None:
+    if len(np.unique(keys)) > FEATURES:
+        raise ValueError(f"a model of more than {FEATURES} features")
+
+
+_GOLD = "array<struct<start:int,end:int,type:string>>"
+
+
 def train(notes: DataFrame, epochs: int = 5, shards: int = 4, id_col: str = "note_id", text_col: str = "text", gold_col: str = "gold") -> Tagger:
     """A model from notes with labelled spans. Null texts and notes without an id are left out; no notes give a model that tags nothing."""
     gold = F.transform(gold_col, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["type"].alias("type")))
-    gold = F.coalesce(gold, F.array().cast("array<struct<start:int,end:int,type:string>>"))
+    gold = F.coalesce(gold, F.array().cast(_GOLD))
     rows = notes.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("note_id"), F.col(text_col).alias("text"), gold.alias("gold"))
-    rows = rows.repartition(shards, "note_id").sortWithinPartitions("note_id", "text").persist()
+    # notes are dealt by a hash; a shard is every shards-th part, so it has the same notes whatever the number of parts, and all cores have some of them
+    parts = shards * -(-4 * notes.sparkSession.sparkContext.defaultParallelism // shards)
+    rows = rows.withColumn("part", F.pmod(F.hash("note_id"), F.lit(parts)))
+    rows = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("note_id", "text", "gold").persist(StorageLevel.MEMORY_AND_DISK)
     model = Tagger(np.zeros(0, np.uint64), np.zeros((1, N)), np.zeros((N + 1, N)))
     total: dict[int, np.ndarray] = {}
     weights: dict[int, np.ndarray] = {}
     try:
-        for _ in range(epochs):
-            changes = rows.mapInArrow(_epoch(model), "key long, change array<double>")
-            summed = changes.groupBy("key").agg(*[F.sum(F.col("change")[i]).alias(f"c{i}") for i in range(2 * N)])
-            found = summed.limit(FEATURES + 1).toPandas()
-            if len(found) > FEATURES:
-                raise ValueError(f"a model of more than {FEATURES} features")
+        for epoch in range(epochs):
+            learners = _epoch(rows, model, shards, parts, epoch > 0)
+            summed: dict[int, np.ndarray] = {}
+            for _, learner in sorted(learners.items()):
+                for key, change in learner.changes():
+                    summed[key] = summed.get(key, np.zeros(2 * N)) + change
             before = {k: w.copy() for k, w in weights.items()}
             means = {}
-            for row in found.to_numpy(object):
-                change = row[1:].astype(float) / shards
-                key = int(row[0])
+            for key, change in summed.items():
+                change = change / shards
                 means[key] = change[N:]
                 weights[key] = weights.get(key, np.zeros(N)) + change[:N]
+            _refuse_large(np.array([*summed]))
             for key in weights:
                 total[key] = total.get(key, np.zeros(N)) + before.get(key, np.zeros(N)) + means.get(key, np.zeros(N))
             model = _model(weights)
+            if not any(learner.wrong for learner in learners.values()):
+                for key in weights:  # all that is left would begin with these weights and change none
+                    for _ in range(epoch + 1, epochs):
+                        total[key] = total[key] + weights[key]
+                break
     finally:
         rows.unpersist()
     return _model({k: v / epochs for k, v in total.items()})
